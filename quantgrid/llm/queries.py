@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, topk, url_filter
+from . import line_dedup, media, mixing, token_codec, topk, url_filter
 from .common import table
 
 URL_RULES = [
@@ -17,6 +17,56 @@ URL_RULES = [
 ]
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedup_lines(docs, min_chars=40, min_docs=5).select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+OP2_SQL = """
+with l as (
+  select doc_id, n, line, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key
+  from (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) as n from documents)
+), k as (
+  select key, max(doc_id) as keeper from l where length(key) >= 40 group by key having count(distinct doc_id) >= 5
+), m as (
+  select l.doc_id, l.n, l.line, k.keeper is not null and k.keeper <> l.doc_id as dropped from l left join k using (key)
+)
+select doc_id, count(*) as n_lines, cast(count(*) filter (dropped) as bigint) as n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) order by n) filter (not dropped), '')) as kept_sha256
+from m group by doc_id
+"""
+
+
+def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixing.mix_sources(docs, weights=(5, 2, 1), share=1.5, max_epochs=2).select("doc_id", "size", "source_size", "target", "taken")
+
+
+OP3_SQL = r"""
+with d as (
+  select doc_id, source, cast(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as bigint) as size, md5(coalesce(cast(doc_id as varchar), '')) as k from documents
+), s as (
+  select source, cast(sum(size) as bigint) as source_size, row_number() over (order by source nulls last) as n from d group by source
+), w as (
+  select *, [5, 2, 1][(n - 1) % 3 + 1] as weight from s
+), c as (
+  select *, 1.5::double * sum(source_size) over () - 2 * coalesce(sum(source_size) over o, 0) as open_words, sum(weight) over () - coalesce(sum(weight) over o, 0) as open_weight
+  from w window o as (order by source_size / weight, n rows between unbounded preceding and 1 preceding)
+), f as (
+  select open_words / open_weight as level from c where open_words * weight <= 2 * source_size * open_weight order by source_size / weight, n limit 1
+), t as (
+  select source, source_size, coalesce(least(cast(2 * source_size as double), (select level from f) * weight), cast(2 * source_size as double)) as target from w
+), p as (
+  select *, least(2, coalesce(cast(floor(target / nullif(source_size, 0)) as bigint), 0)) as repeats from t
+), x as (
+  select d.*, p.source_size, p.target, p.repeats, floor(p.target) - p.repeats * p.source_size
+    - coalesce(sum(size) over (partition by d.source order by k, doc_id, size rows between unbounded preceding and 1 preceding), 0) as open_words
+  from d join p on d.source is not distinct from p.source
+)
+select doc_id, size, source_size, target, cast(repeats * size + greatest(0, least(size, open_words)) as bigint) as taken from x
+"""
+
+
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = media.pack_media(table(spark, sf_dir, "documents").select("doc_id", "text"))
     read = docs.withColumns({"probe": media.probe_media(F.col("media")), "payload": media.read_payload(F.col("media"))})
@@ -61,5 +111,12 @@ with v as (
 select query_id, rank, vec_id, score from r where rank <= 5
 """
 
-QUERIES = {"op5_media_columns": op5_media_columns, "op7_url_filter": op7_url_filter, "op8_exact_topk": op8_exact_topk}
-ORACLES = {"op8_exact_topk": OP8_SQL}
+def op10_token_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_codec.encode_corpus(docs, public_tokenizers.path("byte_bpe_50k.json"), end=0).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+QUERIES = {"op2_line_dedup": op2_line_dedup, "op3_source_mix": op3_source_mix, "op10_token_codec": op10_token_codec, "op5_media_columns": op5_media_columns, "op7_url_filter": op7_url_filter, "op8_exact_topk": op8_exact_topk}
+ORACLES = {"op2_line_dedup": OP2_SQL, "op3_source_mix": OP3_SQL, "op8_exact_topk": OP8_SQL}
