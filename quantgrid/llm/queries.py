@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, media, mixing, token_codec, topk, url_filter
+from . import brown_lm, line_dedup, media, mixing, token_codec, topk, url_filter
 from .common import table
 
 URL_RULES = [
@@ -17,6 +17,11 @@ URL_RULES = [
 ]
 
 
+def op1_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return brown_lm.score_texts(docs, F.crc32(F.col("doc_id").cast("string")) % 5 == 1)
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.dedup_lines(docs, min_chars=40, min_docs=5).select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
@@ -118,5 +123,5 @@ def op10_token_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_codec.encode_corpus(docs, public_tokenizers.path("byte_bpe_50k.json"), end=0).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES = {"op2_line_dedup": op2_line_dedup, "op3_source_mix": op3_source_mix, "op10_token_codec": op10_token_codec, "op5_media_columns": op5_media_columns, "op7_url_filter": op7_url_filter, "op8_exact_topk": op8_exact_topk}
+QUERIES = {"op1_brown_lm": op1_brown_lm, "op2_line_dedup": op2_line_dedup, "op3_source_mix": op3_source_mix, "op10_token_codec": op10_token_codec, "op5_media_columns": op5_media_columns, "op7_url_filter": op7_url_filter, "op8_exact_topk": op8_exact_topk}
 ORACLES = {"op2_line_dedup": OP2_SQL, "op3_source_mix": OP3_SQL, "op8_exact_topk": OP8_SQL}
