@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import brown_lm, line_dedup, media, mixing, token_codec, topk, url_filter
+from . import brown_lm, line_dedup, media, mixing, token_codec, topk, toxicity, url_filter
 from .common import table
 
 URL_RULES = [
@@ -72,6 +72,14 @@ select doc_id, size, source_size, target, cast(repeats * size + greatest(0, leas
 """
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    model = toxicity.fit(docs.where(~held_out), table(spark, sf_dir, "labels").where(~held_out))
+    scored = toxicity.score_texts(docs.withColumn("held_out", held_out), model)
+    return scored.select("doc_id", "held_out", "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = media.pack_media(table(spark, sf_dir, "documents").select("doc_id", "text"))
     read = docs.withColumns({"probe": media.probe_media(F.col("media")), "payload": media.read_payload(F.col("media"))})
@@ -123,5 +131,5 @@ def op10_token_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_codec.encode_corpus(docs, public_tokenizers.path("byte_bpe_50k.json"), end=0).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES = {"op1_brown_lm": op1_brown_lm, "op2_line_dedup": op2_line_dedup, "op3_source_mix": op3_source_mix, "op10_token_codec": op10_token_codec, "op5_media_columns": op5_media_columns, "op7_url_filter": op7_url_filter, "op8_exact_topk": op8_exact_topk}
+QUERIES = {"op1_brown_lm": op1_brown_lm, "op2_line_dedup": op2_line_dedup, "op3_source_mix": op3_source_mix, "op4_toxicity": op4_toxicity, "op10_token_codec": op10_token_codec, "op5_media_columns": op5_media_columns, "op7_url_filter": op7_url_filter, "op8_exact_topk": op8_exact_topk}
 ORACLES = {"op2_line_dedup": OP2_SQL, "op3_source_mix": OP3_SQL, "op8_exact_topk": OP8_SQL}
