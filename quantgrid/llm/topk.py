@@ -1,8 +1,7 @@
 """Exact top-k search by inner product: Fagin's threshold algorithm over sorted per-dimension lists.
 
-Candidates are dealt into blocks of bounded size; each block sorts one list per dimension. A query reads the lists in
-parallel from their favourable ends, scores what it meets, and stops once the bound on all unread rows is below its kth
-score. Blocks meet queries in chunks, so that no task sees all of either; the best k of all blocks are merged at the end.
+Candidates are dealt into blocks of bounded size; each block sorts one list per dimension. The queries read the lists in
+parallel from their ends, score what they meet, and stop once the bound on all unread rows is below their kth score. Blocks meet queries in chunks, so that no task sees all of either; the best k of all blocks are merged at the end.
 """
 
 from __future__ import annotations
@@ -26,40 +25,44 @@ def quantized(vector: Column) -> Column:
     return F.when(good, F.transform(x, lambda v: F.floor(v * 256).cast("long")))
 
 
-def threshold_search(rows: np.ndarray, ids: np.ndarray, order: np.ndarray, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k best (score, id) of a block; order[d] lists its rows by component d, ascending. Ties go to smaller ids."""
+def threshold_search(rows: np.ndarray, ids: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int) -> list[np.ndarray]:
+    """For each query the places of its k best rows of a block, ties to smaller ids; rows with the query's own id take no part.
+
+    All queries read the lists together, from both ends and twice as deep in each round. A query leaves when its bound on the
+    rows that nobody has met is below its kth score (at an equal bound, such a row could still tie).
+    """
     n = len(rows)
-    dims = np.flatnonzero(query)
-    lists = np.where((query[dims] > 0)[:, None], order[dims, ::-1], order[dims])
-    seen = np.zeros(n, bool)
-    scores = np.empty(n)
-    depth, read = min(FIRST_DEPTH, n), 0
-    while True:
-        met = np.zeros(n, bool)
-        met[lists[:, read:depth].ravel()] = True
-        met &= ~seen
-        new = np.flatnonzero(met)
-        scores[new] = rows[new] @ query
-        seen |= met
-        read = depth
-        known = np.flatnonzero(seen)
-        known = known[ids[known] != own]
-        if read >= n or len(known) == n:
-            break
-        if len(known) >= k:
-            kth = -np.partition(-scores[known], k - 1)[k - 1]
-            bound = (rows[lists[:, read - 1], dims] * query[dims]).sum()
-            if bound < kth:  # an unread row could still tie at an equal bound
-                break
-        depth = n if 2 * len(known) > n or not len(dims) else min(n, 2 * depth)
-        if depth == n:  # most rows are known: the rest of every list is one scan
-            rest = np.flatnonzero(~seen)
-            scores[rest] = rows[rest] @ query
-            seen[:] = True
-            known = np.flatnonzero(ids != own)
-            break
-    best = known[np.lexsort((ids[known], -scores[known]))[:k]]
-    return scores[best], ids[best]
+    order = np.argsort(rows, axis=0, kind="stable")
+    dims = np.arange(rows.shape[1])
+    up, down = np.maximum(queries, 0), np.minimum(queries, 0)
+    met, places = np.zeros(n, bool), np.zeros(0, np.int64)
+    scores, active = np.zeros((len(queries), 0)), np.arange(len(queries))
+    out: list[np.ndarray] = [places] * len(queries)
+    depth = min(FIRST_DEPTH, n)
+    while len(active):
+        if 2 * depth >= n:
+            new = np.flatnonzero(~met)
+        else:
+            ends = np.unique(np.concatenate([order[:depth], order[n - depth :]]))
+            new = ends[~met[ends]]
+        met[new] = True
+        places = np.concatenate([places, new])
+        fresh = queries[active] @ rows[new].T
+        fresh[ids[new] == own[active][:, None]] = -np.inf
+        scores = np.concatenate([scores, fresh], 1)
+        done = np.full(len(active), met.all())
+        kth = np.full(len(active), -np.inf)
+        if len(places) >= k:
+            kth = np.partition(scores, len(places) - k, axis=1)[:, len(places) - k]
+        if not met.all():
+            bound = up[active] @ rows[order[n - depth], dims] + down[active] @ rows[order[depth - 1], dims]
+            done = bound < kth
+        for i in np.flatnonzero(done):
+            best = np.flatnonzero((scores[i] >= kth[i]) & (scores[i] > -np.inf))
+            out[active[i]] = places[best[np.lexsort((ids[places[best]], -scores[i][best]))[:k]]]
+        active, scores = active[~done], scores[~done]
+        depth *= 2
+    return out
 
 
 def _matrix(column: pa.ChunkedArray, n: int) -> np.ndarray:
@@ -71,12 +74,11 @@ def search_block(k: int):
         if not candidates.num_rows or not queries.num_rows:
             return FOUND.empty_table()
         rows, ids = _matrix(candidates["vec"], candidates.num_rows), candidates["id"].to_numpy()
-        order = np.argsort(rows, axis=0, kind="stable").T
-        out = []
-        for own, q in zip(queries["id"].to_pylist(), _matrix(queries["vec"], queries.num_rows)):
-            s, i = threshold_search(rows, ids, order, q, own, k)
-            out.append((np.full(len(i), own), i, s.astype(np.int64)))
-        return pa.table([np.concatenate(x) for x in zip(*out)], schema=FOUND)
+        asked, own = _matrix(queries["vec"], queries.num_rows), queries["id"].to_numpy()
+        best = threshold_search(rows, ids, asked, own, k)
+        query, place = np.repeat(np.arange(len(own)), [len(x) for x in best]), np.concatenate(best)
+        scores = np.einsum("ij,ij->i", rows[place], asked[query]).astype(np.int64)
+        return pa.table([own[query], ids[place], scores], schema=FOUND)
 
     return search
 
