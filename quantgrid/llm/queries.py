@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import brown_lm, line_dedup, media, mixing, token_codec, topk, toxicity, url_filter
+from . import brown_lm, jaccard_join, line_dedup, media, mixing, packing, token_codec, topk, toxicity, url_filter
 from .common import table
 
 URL_RULES = [
@@ -99,6 +99,10 @@ def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_join(table(spark, sf_dir, "documents").select("doc_id", "text"), threshold=0.8)
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return url_filter.filter_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "mined_rule", "confidence")
@@ -124,6 +128,11 @@ with v as (
 select query_id, rank, vec_id, score from r where rank <= 5
 """
 
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return packing.pack_documents(docs, capacity=2048, per_source=2)
+
+
 def op10_token_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -131,5 +140,5 @@ def op10_token_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_codec.encode_corpus(docs, public_tokenizers.path("byte_bpe_50k.json"), end=0).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES = {"op1_brown_lm": op1_brown_lm, "op2_line_dedup": op2_line_dedup, "op3_source_mix": op3_source_mix, "op4_toxicity": op4_toxicity, "op10_token_codec": op10_token_codec, "op5_media_columns": op5_media_columns, "op7_url_filter": op7_url_filter, "op8_exact_topk": op8_exact_topk}
+QUERIES = {"op1_brown_lm": op1_brown_lm, "op2_line_dedup": op2_line_dedup, "op3_source_mix": op3_source_mix, "op4_toxicity": op4_toxicity,  "op6_jaccard_join": op6_jaccard_join, "op9_best_fit_packing": op9_best_fit_packing, "op10_token_codec": op10_token_codec, "op5_media_columns": op5_media_columns, "op7_url_filter": op7_url_filter, "op8_exact_topk": op8_exact_topk}
 ORACLES = {"op2_line_dedup": OP2_SQL, "op3_source_mix": OP3_SQL, "op8_exact_topk": OP8_SQL}
