@@ -11,7 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .model import complete
-from .operators import aggregate, impute, masks, normalize, qc
+from .functions import benchmarks, metrics, stats
+from .operators import aggregate, impute, integrate, masks, normalize, qc, reduce
+from .operators.matrix import row_arrays
+from .operators.neighbors import nearest
+from .plans import autoselect, plots
 from .plans import matrices as m
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -208,3 +212,141 @@ def missing_mechanism(spark: SparkSession, sf: str) -> DataFrame:
 def flagship_chain(spark: SparkSession, sf: str) -> DataFrame:
     summed = aggregate.aggregate_to_protein(m.peptides(spark, sf), m.links(spark, sf), "sum")
     return impute.impute_row_median(normalize.norm_median(normalize.log_transform(summed)))
+
+
+# joins and pairs
+query("jaccard_samples", "a b jaccard:d", "select a, b, t.n / (p.n + q.n - t.n) as jaccard from (select x.sample_id as a, y.sample_id as b, count(*) as n from s x join s y on x.feature_id = y.feature_id and x.sample_id < y.sample_id group by 1, 2) t join z p on a = p.sample_id join z q on b = q.sample_id", "cells", "s as (select sample_id, feature_id from cells where mask = 0), z as (select sample_id, count(*) as n from s group by 1)")(lambda s, d: plots.jaccard(m.cells(s, d)))
+_PAIRS = "pairs as (select x.sample_id as a, y.sample_id as b, x.value as x, y.value as y, x.mask as mx, y.mask as my from cells x join cells y on x.feature_id = y.feature_id and x.sample_id < y.sample_id)"
+query("mask_mismatch", "a b rate:d", "select a, b, avg(case when mx <> my then 1.0 else 0.0 end) as rate from pairs group by 1, 2", "cells", _PAIRS)(lambda s, d: plots.mask_mismatch(m.cells(s, d)))
+query("sample_distances", "a b distance:d", "select a, b, sqrt(avg((x - y) * (x - y))) as distance from pairs group by 1, 2", "cells", _PAIRS)(lambda s, d: plots.dendrogram(m.cells(s, d)))
+query("neighbors", "sample_id other place distance:d", "select sample_id, other, cast(place as integer) as place, distance from (select *, row_number() over (partition by sample_id order by distance, other) as place from (select a.sample_id, b.sample_id as other, sqrt(avg((a.value - b.value) * (a.value - b.value))) as distance from cells a join cells b on a.feature_id = b.feature_id and a.sample_id <> b.sample_id group by 1, 2)) where place <= 10", "cells")(lambda s, d: nearest(row_arrays(m.cells(s, d)), 10))
+_CORR = "pairs as (select x.feature_id as a, y.feature_id as b, corr(x.value, y.value) as r from {0} x join {0} y on x.sample_id = y.sample_id and x.feature_id < y.feature_id group by 1, 2)"
+simple("correlation_pearson", stats.correlation_pairs, "a b r:d", "select a, b, coalesce(r, 0.0) as r from pairs", "peptides links proteins", _CORR.format("proteins"), "proteins")
+simple("correlation_spearman", lambda c: stats.correlation_pairs(c, method="spearman"), "a b r:d", "select a, b, coalesce(r, 0.0) as r from pairs", "peptides links proteins", "ranked as (select sample_id, feature_id, rank() over (partition by feature_id order by value) + (count(*) over (partition by feature_id, value) - 1) / 2 as value from proteins), " + _CORR.format("ranked"), "proteins")
+simple("axis_stats", lambda c: stats.axis_stats(c, "feature_id"), "feature_id total:d mean:d variance:d", "select feature_id, coalesce(sum(value), 0.0) as total, coalesce(avg(value), 0.0) as mean, coalesce(var_samp(value), 0.0) as variance from logged group by 1", "cells logged", source="logged")
+
+
+def vectors(spark: SparkSession, sf: str) -> DataFrame:
+    return m.read(spark, sf, "embeddings")
+
+
+@query("cosine_pairs", "a b similarity:d", "select x.vec_id as a, y.vec_id as b, list_cosine_similarity(cast(x.embedding as double[]), cast(y.embedding as double[])) as similarity from embeddings x join embeddings y on y.vec_id = x.vec_id + 1")
+def cosine_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    v = vectors(spark, sf)
+    right = v.select(F.col("vec_id").alias("b"), F.col("embedding").alias("other"))
+    return v.join(right, F.col("b") == F.col("vec_id") + 1).select(F.col("vec_id").alias("a"), "b", stats.cosine(F.col("embedding"), F.col("other")).alias("similarity"))
+
+
+def labelled(spark: SparkSession, sf: str) -> DataFrame:
+    return vectors(spark, sf).select(F.col("vec_id").cast("string").alias("sample_id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("vec"))
+
+
+_POINTS = "x as (select vec_id, label, unnest(embedding)::double as v, unnest(range(len(embedding))) as i from embeddings)"
+_DISP = f"{_POINTS}, c as (select label, i, count(*) as n, avg(v) as m, var_pop(v) as s from x group by 1, 2), g as (select i, avg(v) as gm from x group by 1), t as (select sum(n * s) as within_ss, sum(n * (m - gm) * (m - gm)) as between_ss from c join g using (i)), k as (select count(*) as n, count(distinct label) as k from embeddings)"
+query("calinski_harabasz", "score:d", "select f / (f + 100) as score from (select (between_ss / (k - 1)) / (within_ss / (n - k)) as f from t, k)", "", _DISP)(lambda s, d: metrics.calinski_harabasz(labelled(s, d)))
+query("silhouette", "sample_id s:d", "select cast(vec_id as varchar) as sample_id, coalesce((b - a) / greatest(a, b), 0.0) as s from (select vec_id, max(case when own then d * n / (n - 1) end) as a, min(case when not own then d end) as b from (select p.vec_id, p.label = q.label as own, avg(list_sum([(z[1] - z[2]) * (z[1] - z[2]) for z in list_zip(cast(p.embedding as double[]), cast(q.embedding as double[]))])) as d, count(*) as n, q.label from embeddings p cross join embeddings q group by p.vec_id, p.label, q.label) group by 1)")(lambda s, d: metrics.silhouette(labelled(s, d)))
+query("davies_bouldin", "score:d", "select 1 / (1 + avg(r)) as score from (select a.label, max((a.s + b.s) / d) as r from (select p.label, q.label as o, sqrt(sum((p.m - q.m) * (p.m - q.m))) as d from c p join c q on p.i = q.i and p.label <> q.label group by 1, 2) e join w a on e.label = a.label join w b on e.o = b.label group by 1)", "", f"{_DISP}, w as (select label, avg(far) as s from (select vec_id, x.label, sqrt(sum((v - m) * (v - m))) as far from x join c on x.label = c.label and x.i = c.i group by 1, 2) group by 1)")(lambda s, d: metrics.davies_bouldin(labelled(s, d)))
+
+
+@query("adjusted_rand", "ari:d", "select (ij - sa * sb / nn) / ((sa + sb) / 2 - sa * sb / nn) as ari from (select (select sum(c * (c - 1) / 2) from (select count(*) as c from embeddings group by label, vec_id % 3)) as ij, (select sum(c * (c - 1) / 2) from (select count(*) as c from embeddings group by label)) as sa, (select sum(c * (c - 1) / 2) from (select count(*) as c from embeddings group by vec_id % 3)) as sb, (select count(*) * (count(*) - 1) / 2 from embeddings) as nn)")
+def adjusted_rand(spark: SparkSession, sf: str) -> DataFrame:
+    return metrics.adjusted_rand(vectors(spark, sf).select(F.col("label").alias("a"), (F.col("vec_id") % 3).alias("b")))
+
+
+def vector_rows(spark: SparkSession, sf: str) -> DataFrame:
+    names = F.array(*(F.lit(f"d{i:02d}") for i in range(64)))
+    return labelled(spark, sf).select("sample_id", names.alias("names"), "vec", "label")
+
+
+_NEAR = "n as (select * from (select *, row_number() over (partition by sample_id order by d, other) as place from (select cast(p.vec_id as varchar) as sample_id, cast(q.vec_id as varchar) as other, q.label, sqrt(list_sum([(z[1] - z[2]) * (z[1] - z[2]) for z in list_zip(cast(p.embedding as double[]), cast(q.embedding as double[]))]) / 64) as d from embeddings p join embeddings q on p.vec_id <> q.vec_id)) where place <= 30), p as (select sample_id, sum(c * c) / 900.0 as s from (select sample_id, label, count(*) as c from n group by 1, 2) group by 1)"
+query("lisi", "sample_id lisi:d", "select sample_id, 1 / s as lisi from p", "", _NEAR)(lambda s, d: metrics.lisi(vector_rows(s, d), vector_rows(s, d).select("sample_id", "label")))
+query("batch_mixing", "score:d", "select avg(1 - s) / (1 - 1.0 / (select count(distinct label) from embeddings)) as score from p", "", _NEAR)(lambda s, d: metrics.batch_mixing(vector_rows(s, d), vector_rows(s, d).select("sample_id", "label")))
+
+
+@query("kbet_ilisi")
+def kbet_ilisi(spark: SparkSession, sf: str) -> DataFrame:
+    rows = vector_rows(spark, sf)
+    labels = rows.select("sample_id", "label")
+    return spark.createDataFrame([(float(metrics.kbet(rows, labels)), float(metrics.ilisi(rows, labels, 10.0)))], "kbet double, ilisi double")
+
+
+query("layer_quality", "skewness:d kurtosis:d dynamic_range:d outlier_ratio:d", "select (avg(value * value * value) - 3 * avg(value) * avg(value * value) + 2 * pow(avg(value), 3)) / pow(var_pop(value), 1.5) as skewness, kurtosis_pop(value) as kurtosis, log10(max(value)) - log10(min(value)) as dynamic_range, avg(case when value < a - 1.5 * (b - a) or value > b + 1.5 * (b - a) then 1.0 else 0.0 end) as outlier_ratio from (select value, quantile_cont(value, 0.25) over f as a, quantile_cont(value, 0.75) over f as b from logged window f as (partition by feature_id))", "cells logged")(lambda s, d: metrics.layer_quality(SOURCES["logged"](s, d)))
+query("cv_stability", "score:d", "select exp(-avg(cv)) as score from (select grp, median(cv) as cv from (select grp, feature_id, stddev_pop(value) / avg(value) as cv from cells join obs using (sample_id) group by 1, 2) group by 1)", "cells obs")(lambda s, d: metrics.cv_stability(m.cells(s, d), m.obs(s, d)))
+
+# benchmark metrics
+_GT = "t as (select feature_id, avg(value) filter (grp = 'g0') as mean_a, avg(value) filter (grp = 'g1') as mean_b, case when count(value) filter (grp = 'g0') >= 2 then stddev_samp(value) filter (grp = 'g0') / avg(value) filter (grp = 'g0') end as cv_a, case when count(value) filter (grp = 'g1') >= 2 then stddev_samp(value) filter (grp = 'g1') / avg(value) filter (grp = 'g1') end as cv_b from cells join obs using (sample_id) group by 1), gt as (select *, log2(mean_a / mean_b) as log2_fc, coalesce((cv_a + cv_b) / 2, cv_a, cv_b) as mean_cv, case when feature_id like 'Brand#1%' then 'one' else 'other' end as species from t)"
+
+
+def group_table(spark: SparkSession, sf: str) -> DataFrame:
+    t = benchmarks.group_table(m.cells(spark, sf), m.obs(spark, sf), "g0", "g1")
+    return t.withColumn("species", F.when(F.col("feature_id").startswith("Brand#1"), "one").otherwise("other"))
+
+
+def expected(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([("one", 0.0), ("other", 0.5)], "species string, fc double")
+
+
+_EXPECTED = ", w as (select 'one' as species, 0.0::double as fc union all select 'other', 0.5::double)"
+query("bench_group_table", "feature_id mean_a:d mean_b:d log2_fc:d cv_a:d cv_b:d mean_cv:d", "select * from gt", "cells obs", _GT)(group_table)
+query("bench_fold_changes", "species n coverage:d mae:d median_error:d rmse:d bias:d sd_error:d", "select species, count(*) as n, count(e) / count(*) as coverage, avg(abs(e)) as mae, median(abs(e)) as median_error, sqrt(avg(e * e)) as rmse, avg(e) as bias, stddev_samp(e) as sd_error from (select species, log2_fc - fc as e from gt join w using (species)) group by 1", "cells obs", _GT + _EXPECTED)(lambda s, d: benchmarks.fold_change_errors(group_table(s, d), expected(s)))
+query("bench_pairwise_auc", "a b auc:d", "select 'one' as a, 'other' as b, greatest(u, 1 - u) as auc from (select avg(case when x.log2_fc > y.log2_fc then 1.0 when x.log2_fc = y.log2_fc then 0.5 else 0.0 end) as u from gt x join gt y on x.species = 'one' and y.species = 'other' where x.log2_fc is not null and y.log2_fc is not null)", "cells obs", _GT)(lambda s, d: benchmarks.pairwise_auc(group_table(s, d)))
+query("bench_de_consistency", "sign_share:d background_share:d score:d", "select a as sign_share, b as background_share, (a + b) / 2 as score from (select avg(case when sign(log2_fc) = sign(fc) then 1.0 else 0.0 end) filter (fc <> 0) as a, avg(case when abs(log2_fc) <= 0.5 then 1.0 else 0.0 end) filter (fc = 0) as b from gt join w using (species) where log2_fc is not null)", "cells obs", _GT + _EXPECTED)(lambda s, d: benchmarks.de_consistency(group_table(s, d), expected(s)))
+query("bench_mapping_burden", "n share_multi:d mean_targets:d median_targets:d", "select count(*) as n, avg(case when k > 1 then 1.0 else 0.0 end) as share_multi, avg(k) as mean_targets, median(k) as median_targets from (select len(string_split(replace(p_name, ' ', ';'), ';')) as k from part)")(lambda s, d: benchmarks.mapping_burden(F.replace(F.col("p_name"), F.lit(" "), F.lit(";")), m.read(s, d, "part")))
+query("bench_group_metrics", "within_sd:d eta2:d", "select (select median(sd) from a) as within_sd, (select median(b / (b + w)) from (select feature_id, sum(n * (m - g) * (m - g)) as b, sum(n * v) as w, sum(n) as n, count(*) as k from (select *, sum(n * m) over f / sum(n) over f as g from a window f as (partition by feature_id)) group by 1) where n >= 4 and k >= 2) as eta2", "cells obs", "a as (select * from (select feature_id, grp, count(*) as n, avg(value) as m, stddev_samp(value) as sd, var_pop(value) as v from cells join obs using (sample_id) group by 1, 2) where n >= 2)")(lambda s, d: benchmarks.group_metrics(m.cells(s, d), m.obs(s, d)))
+query("bench_within_group_cv", "cv:d", "select median(cv) as cv from (select stddev_samp(value) / avg(value) as cv from cells join obs using (sample_id) group by grp, feature_id having count(*) >= 2)", "cells obs")(lambda s, d: benchmarks.within_group_cv(m.cells(s, d), m.obs(s, d)))
+query("bench_distribution", "coverage:d median_mad:d iqr_cv:d rle_mad:d", "select 1.0 as coverage, 1.4826 * median(abs(m - mm)) as median_mad, stddev_samp(iqr) / avg(iqr) as iqr_cv, median(ra) filter (n >= 5) as rle_mad from (select *, median(m) over () as mm from s)", "cells logged", "x as (select *, value - median(value) over (partition by feature_id) as rle from logged), s as (select sample_id, median(value) as m, quantile_cont(value, 0.75) - quantile_cont(value, 0.25) as iqr, count(value) as n, median(abs(rle)) as ra from x group by 1)")(lambda s, d: benchmarks.distribution_metrics(SOURCES["logged"](s, d)))
+query("bench_marker_scores", "label feature_id score:d place", "select grp as label, feature_id, score, cast(place as integer) as place from (select *, row_number() over (partition by grp order by score desc, feature_id) as place from (select grp, feature_id, s / n - (sum(s) over f - s) / nullif(sum(n) over f - n, 0) as score from (select grp, feature_id, sum(value) as s, count(value) as n from cells join obs using (sample_id) group by 1, 2) window f as (partition by feature_id)) where score is not null) where place <= 25", "cells obs")(lambda s, d: benchmarks.marker_scores(m.cells(s, d), m.obs(s, d).withColumnRenamed("group", "label")))
+
+
+@query("bench_method_scores", "block method score:d", "select 'b' as block, method, avg(case when top = low then 1.0 else (value - low) / (top - low) end) as score from (select *, max(value) over (partition by metric) as top, min(value) over (partition by metric) as low from (select l_returnflag as method, 'qty' as metric, avg(l_quantity) as value from lineitem group by 1 union all select l_returnflag, 'price', avg(l_extendedprice) from lineitem group by 1)) group by 2")
+def method_scores(spark: SparkSession, sf: str) -> DataFrame:
+    line = m.read(spark, sf, "lineitem").groupBy(F.col("l_returnflag").alias("method")).agg(F.avg("l_quantity").alias("qty"), F.avg("l_extendedprice").alias("price"))
+    long = line.unpivot("method", ["qty", "price"], "metric", "value").withColumns({"block": F.lit("b"), "higher_is_better": F.lit(True)})
+    return benchmarks.method_scores(long)
+
+
+@query("bench_reconstruction", "n coverage:d mae:d rmse:d nrmse:d median_error:d pearson:d", "select count(x) as n, count(y) / count(x) as coverage, avg(abs(y - x)) as mae, sqrt(avg((y - x) * (y - x))) as rmse, sqrt(avg((y - x) * (y - x))) / stddev_samp(x) as nrmse, median(abs(y - x)) as median_error, corr(x, y) as pearson from (select value as x, median(value) over (partition by sample_id) as y from cells)", "cells")
+def reconstruction(spark: SparkSession, sf: str) -> DataFrame:
+    return benchmarks.reconstruction(m.cells(spark, sf).select(F.col("value").alias("truth"), F.median("value").over(normalize.SAMPLE).alias("imputed")))
+
+
+# tests between groups, integration, reduction
+query("welch_tests")(lambda s, d: stats.welch_tests(m.cells(s, d), m.obs(s, d), "g0", "g1"))
+query("rank_sum_tests")(lambda s, d: stats.rank_sum_tests(m.cells(s, d), m.obs(s, d), "g0", "g1"))
+query("integrate_limma", CELL_COLUMNS, "select sample_id, feature_id, value - (m - avg_m) as value, mask from logged join obs using (sample_id) join e using (feature_id, batch)", "cells logged obs", "e as (select *, avg(m) over (partition by feature_id) as avg_m from (select feature_id, batch, avg(value) as m from logged join obs using (sample_id) group by 1, 2))")(lambda s, d: integrate.integrate_limma(SOURCES["logged"](s, d), m.obs(s, d)))
+query("integrate_limma_covariates")(lambda s, d: integrate.integrate_limma(normalize.log_transform(proteins(s, d)), m.obs(s, d), covariates=("group",)))
+query("integrate_combat")(lambda s, d: integrate.integrate_combat(normalize.log_transform(proteins(s, d)), m.obs(s, d)))
+query("integrate_combat_nonparametric")(lambda s, d: integrate.integrate_combat(normalize.log_transform(proteins(s, d)), m.obs(s, d), eb_mode="nonparametric"))
+query("integrate_mnn")(lambda s, d: integrate.integrate_mnn(normalize.log_transform(proteins(s, d)), m.obs(s, d), k=5))
+query("pca_variance")(lambda s, d: reduce.pca(normalize.log_transform(proteins(s, d)), 5)["variance"])
+query("kmeans")(lambda s, d: reduce.kmeans(vector_rows(s, d).select("sample_id", "vec"), 5))
+query("graph_communities")(lambda s, d: reduce.graph_communities(vector_rows(s, d).select("sample_id", "names", "vec")))
+
+# tables behind plots
+query("plot_completeness", "sample_id grp n_valid", "select sample_id, grp, count(mask) filter (mask = 0) as n_valid from obs left join cells using (sample_id) group by 1, 2", "cells obs")(lambda s, d: plots.completeness(m.cells(s, d), m.obs(s, d)).withColumnRenamed("group", "grp"))
+simple("plot_missing_features", lambda g: plots.missing_rates(g, "feature_id", 50), "feature_id missing_rate:d", "select feature_id, avg(case when value is null then 1.0 else 0.0 end) as missing_rate from grid group by 1 order by 2 desc, 1 limit 50", "cells grid", source="grid")
+simple("plot_codes_per_sample", plots.codes_per_sample, "n_codes n_samples", "select n_codes, count(*) as n_samples from (select sample_id, count(distinct mask) as n_codes from cells group by 1) group by 1")
+simple("plot_cv_by_feature", plots.cv_by_feature, "feature_id mean:d cv:d", "select feature_id, avg(value) as mean, stddev_pop(value) / avg(value) as cv from cells where mask = 0 group by 1")
+query("plot_cv_comparison", "within_cv:d between_cv:d overall:d ratio:d", "select w as within_cv, b as between_cv, o as overall, b / o as ratio from (select (select avg(c) from (select batch, avg(cv) as c from p group by 1)) as w, (select avg(c) from (select feature_id, stddev_pop(m) / avg(m) as c from p group by 1)) as b, (select avg(c) from (select feature_id, stddev_pop(value) / avg(value) as c from cells where mask = 0 group by 1)) as o)", "cells obs", "p as (select batch, feature_id, stddev_pop(value) / avg(value) as cv, avg(value) as m from cells join obs using (sample_id) where mask = 0 group by 1, 2)")(lambda s, d: plots.cv_comparison(m.cells(s, d), m.obs(s, d)).withColumnsRenamed({"within": "within_cv", "between": "between_cv"}))
+query("plot_dotplot", "grp feature_id mean:d share:d", "select grp, feature_id, (mean - min(mean) over f) / case when max(mean) over f - min(mean) over f < 1e-8 then 1 else max(mean) over f - min(mean) over f end as mean, share from (select grp, feature_id, avg(ln(1 + value)) as mean, avg(case when value > 0 then 1.0 else 0.0 end) as share from cells join obs using (sample_id) group by 1, 2) window f as (partition by feature_id)", "cells obs")(lambda s, d: plots.dotplot(m.cells(s, d), m.obs(s, d), log1p=True, scale="var").withColumnRenamed("group", "grp"))
+query("plot_aggregation_summary", "target_id n_sources", "select target_id, count(*) as n_sources from links group by 1 order by 2 desc, 1 limit 20", "links")(lambda s, d: plots.aggregation_summary(m.links(s, d))[1])
+query("plot_filtering_summary", "stage n_samples n_features missing_rate:d", "select 'before' as stage, count(distinct sample_id) as n_samples, count(distinct feature_id) as n_features, 0.0 as missing_rate from cells union all select 'after', count(distinct sample_id), count(distinct feature_id), 0.0 from cells where value > 50000", "cells")(lambda s, d: plots.filtering_summary(m.cells(s, d), m.cells(s, d).where("value > 50000")))
+query("plot_preprocessing_summary", "layer sample_id q25:d q50:d q75:d", "select 'raw' as layer, sample_id, quantile_cont(value, 0.25) as q25, quantile_cont(value, 0.5) as q50, quantile_cont(value, 0.75) as q75 from cells group by 2 union all select 'log', sample_id, quantile_cont(value, 0.25), quantile_cont(value, 0.5), quantile_cont(value, 0.75) from logged group by 2", "cells logged")(lambda s, d: plots.preprocessing_summary({"raw": m.cells(s, d), "log": SOURCES["logged"](s, d)}))
+query("plot_feature_mean_variance", "feature_id mean:d variance:d", "select feature_id, avg(value) as mean, var_samp(value) as variance from cells group by 1", "cells")(lambda s, d: plots.feature_mean_variance(m.cells(s, d)))
+
+
+# windows of events by time, as the streaming query computes them
+@query("events_windowed", "start key n mean:d", "select time_bucket(interval '1 hour', ts) as start, event_type as key, count(*) as n, avg(value) as mean from events group by 1, 2")
+def events_windowed(spark: SparkSession, sf: str) -> DataFrame:
+    events = m.read(spark, sf, "events").select(F.col("ts").cast("timestamp_ntz").alias("ts"), F.col("event_type").alias("key"), "value")
+    w = F.window("ts", "1 hour")
+    return events.groupBy(w.alias("w"), "key").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean")).select(F.col("w.start").alias("start"), "key", "n", "mean")
+
+
+@query("autoselect")
+def autoselect_report(spark: SparkSession, sf: str) -> DataFrame:
+    from .model import Assay, Dataset
+
+    cells = sparse_proteins(spark, sf)
+    ds = Dataset(m.obs(spark, sf), {"proteins": Assay(cells.select("feature_id").distinct(), {"log": cells})})
+    return autoselect.AutoSelector().run(ds, source_layer="log", stages=("normalize", "impute"))[1].rows(spark)
