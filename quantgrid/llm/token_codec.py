@@ -6,7 +6,7 @@ at most LIMIT bits and writes each block as a bit stream with a checkpoint (bit
 lengths. `read_token_files` reads both back and decodes by one table look-up an id, all runs between checkpoints at once.
 
 File format. `codebook`: Parquet (id int, bits int), ids by canonical order of (bits, id). `blocks`: Parquet (part int,
-block int, doc_ids: little-endian 64-bit signed, doc_nulls: a byte each, lengths: 32-bit ids of each document, n_ids long,
+block int, first: ids of the part before the block, doc_ids: little-endian 64-bit signed, doc_nulls: a byte each, lengths: 32-bit ids of each document, n_ids long,
 checkpoints: 16-bit bit lengths of each run of STEP ids, payload: the runs' bits, most significant first).
 """
 
@@ -26,11 +26,13 @@ from .common import materialize, shared_dir
 
 BLOCK_IDS = 1 << 18
 STEP = 64
+BROADCAST_PARTS = 100_000
 LIMIT = 16
-CACHED = 300_000  # pieces a worker keeps
-#: A space after a white space doesn't start a piece of its own.
-JOINED = re.compile(r"\s ")
-CUT = re.compile(r"(?<=\S) ")
+YOUNG, KEPT = 200_000, 600_000  # pieces that a worker remembers
+FIRST, WHOLE = "\0", "\0\0"
+#: Parts that show that white space follows white space in their text, or other white space than a space or line end starts it.
+UNEVEN = re.compile(r"^\Z|\s\Z|^\0?[^\S\n]|^\n\s")
+CUT = re.compile(r"(?<=\S)(?=\s)")
 
 _encoders: dict[str, PieceEncoder] = {}
 
@@ -38,8 +40,9 @@ _encoders: dict[str, PieceEncoder] = {}
 class PieceEncoder:
     """Encodes texts piece by piece and remembers pieces.
 
-    The tokenizer's own rule never puts a non-space and a following space into one word, so a text may be cut before each
-    space that follows a non-space; the ids of the pieces, one after the other, are those of the text.
+    A byte-level tokenizer never puts a non-space and a following white space into one word. So a text may be cut before white
+    space that follows a non-space, and the ids of the pieces, one after the other, are those of the text. Other tokenizers get
+    whole texts.
     """
 
     def __init__(self, path: str):
@@ -47,7 +50,14 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # in texts their strings are ordinary text
-        self.known: dict[str, bytes] = {}
+        rule = str(self.tokenizer.pre_tokenizer)
+        self.by_piece = rule.startswith("ByteLevel(add_prefix_space=False") and "use_regex=True" in rule and self.tokenizer.normalizer is None
+        vocabulary = self.tokenizer.get_vocab()
+        self.width = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)  # bytes of each token
+        for token, i in vocabulary.items():
+            self.width[i] = len(token)
+        self.kept: dict[str, bytes] = {}  # pieces met in two batches or more
+        self.young: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, path: str) -> PieceEncoder:
@@ -58,27 +68,75 @@ class PieceEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian 32-bit integers."""
-        pieces = []
-        for text in texts:
-            first, *rest = CUT.split(text) if JOINED.search(text) else text.split(" ")
-            if not first and rest:  # a text that starts with a space
-                first, rest = " " + rest[0], rest[1:]
-            pieces.append(([first] if first else []) + [" " + x for x in rest])
-        if len(self.known) > CACHED:
-            self.known.clear()
-        new = list({x for p in pieces for x in p}.difference(self.known))
-        for i in range(0, len(new), 8192):
-            part = new[i : i + 8192]
-            for piece, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[piece] = np.array(found.ids, "<u4").tobytes()
-        known = self.known.__getitem__
-        return [b"".join(map(known, p)) for p in pieces]
+        if not self.by_piece:
+            return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        # A text's pieces: the first after FIRST, others without the space that they start with, any at all after WHOLE.
+        parts = [[WHOLE + t] if "\0" in t else (FIRST + t.replace("\n", " \n")).split(" ") for t in texts]
+        distinct: set[str] = set()
+        for p in parts:
+            distinct.update(p)
+        kept, young, found, new = self.kept, self.young, {}, []
+        for x in distinct:
+            if (ids := kept.get(x)) is None:
+                if (ids := young.pop(x, None)) is None:
+                    new.append(x)
+                    continue
+                kept[x] = ids
+            found[x] = ids
+        uneven = {x for x in new if UNEVEN.search(x)}
+        if uneven:
+            cut: set[str] = set()
+            for i, p in enumerate(parts):
+                if not uneven.isdisjoint(p):
+                    parts[i] = [WHOLE + x for x in CUT.split(texts[i])]
+                    cut.update(parts[i])
+            new = list({*new} - uneven | cut - found.keys())
+        if new:
+            made = self._encoded(new)
+            young.update(made)
+            found.update(made)
+        if len(young) > YOUNG:
+            young.clear()
+        if len(kept) > KEPT:
+            kept.clear()
+        known = found.__getitem__
+        return [b"".join(map(known, p)) for p in parts]
+
+    def _encoded(self, parts: list[str]) -> dict[str, bytes]:
+        """The ids of each part. A letter and a full stop or comma after it are apart, so stems are looked up alone."""
+        stems = {x: x[:-1] for x in parts if x[-1] in ".," and x[0] != FIRST and x[-2:-1].isalpha()}
+        out = {}
+        for x in {*stems.values(), ".", ","}:
+            if (ids := self.kept.get(x) or self.young.get(x)) is not None:
+                out[x] = ids
+        self._encode_joined([x for x in {*parts, *stems.values()}.difference(stems, out) if x[0] != FIRST], out)
+        whole = [x for x in parts if x[0] == FIRST]
+        for x, e in zip(whole, self.tokenizer.encode_batch_fast([x.lstrip(FIRST) if x[:2] != WHOLE else x[2:] for x in whole], add_special_tokens=False)):
+            out[x] = np.array(e.ids, "<u4").tobytes()
+        if stems:
+            marks = {m: np.array(self.tokenizer.encode(m, add_special_tokens=False).ids, "<u4").tobytes() for m in ".,"}
+            out |= {x: out[stem] + marks[x[-1]] for x, stem in stems.items()}
+        return out
+
+    def _encode_joined(self, parts: list[str], out: dict[str, bytes]) -> None:
+        """Encode parts in long strings and cut the ids apart by the bytes of their tokens."""
+        groups = [parts[i : i + 512] for i in range(0, len(parts), 512)]
+        texts = [(" " + " ".join(g)).replace(" \n", "\n") for g in groups]
+        for group, text, e in zip(groups, texts, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
+            sizes = map(len, group) if text.isascii() else (len(x.encode()) for x in group)
+            ends = np.cumsum([n + (x[0] != "\n") for n, x in zip(sizes, group)])
+            at = (np.searchsorted(np.cumsum(self.width[ids]), ends) + 1).tolist()
+            raw, start = ids.tobytes(), 0
+            for x, stop in zip(group, at):
+                out[x] = raw[4 * start : 4 * stop]
+                start = stop
 
 
 def block_rows(tokenizer: str, end: int) -> Callable:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, block, part = PieceEncoder.of(tokenizer), 0, None
-        ending, held, size = np.uint32(end).tobytes(), [], 0
+        ending, held, size, first = np.uint32(end).tobytes(), [], 0, 0
         press = zstandard.ZstdCompressor(level=1)
 
         def flush() -> pa.RecordBatch:
@@ -88,6 +146,7 @@ def block_rows(tokenizer: str, end: int) -> Callable:
             row = {
                 "part": [part],
                 "block": [block],
+                "first": [first],
                 "doc_ids": [np.array([d or 0 for d in docs], "<i8").tobytes()],
                 "doc_nulls": [bytes(d is None for d in docs)],
                 "lengths": [np.array([len(x) // 4 for _, x in held], "<u4").tobytes()],
@@ -100,21 +159,21 @@ def block_rows(tokenizer: str, end: int) -> Callable:
         for batch in batches:
             part = batch["part"][0].as_py() if batch.num_rows else part
             texts, docs = batch["text"].to_pylist(), batch["doc_id"].to_pylist()
-            for i in range(0, len(texts), 256):
-                for doc, ids in zip(docs[i : i + 256], encoder.encode([t or "" for t in texts[i : i + 256]])):
+            for i in range(0, len(texts), 1024):
+                for doc, ids in zip(docs[i : i + 1024], encoder.encode([t or "" for t in texts[i : i + 1024]])):
                     held.append((doc, ids + ending))
                     size += len(ids) // 4 + 1
                     if size >= BLOCK_IDS:
                         yield flush()
-                        held, size, block = [], 0, block + 1
+                        held, size, block, first = [], 0, block + 1, first + size
         if held:
             yield flush()
 
     return rows
 
 
-BLOCKS = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("doc_ids", pa.binary()), ("doc_nulls", pa.binary()), ("lengths", pa.binary()), ("n_ids", pa.int64()), ("width", pa.int32()), ("ids", pa.binary())])
-FILE = "part int, block int, doc_ids binary, doc_nulls binary, lengths binary, n_ids long, checkpoints binary, payload binary"
+BLOCKS = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("first", pa.int64()), ("doc_ids", pa.binary()), ("doc_nulls", pa.binary()), ("lengths", pa.binary()), ("n_ids", pa.int64()), ("width", pa.int32()), ("ids", pa.binary())])
+FILE = "part int, block int, first long, doc_ids binary, doc_nulls binary, lengths binary, n_ids long, checkpoints binary, payload binary"
 
 
 def tokenize_blocks(docs: DataFrame, tokenizer: str, *, end: int = 0, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -124,7 +183,7 @@ def tokenize_blocks(docs: DataFrame, tokenizer: str, *, end: int = 0, doc_id: st
     """
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     placed = slim.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").withColumn("part", F.spark_partition_id())
-    return materialize(placed.mapInArrow(block_rows(tokenizer, end), "part int, block int, doc_ids binary, doc_nulls binary, lengths binary, n_ids long, width int, ids binary"))
+    return materialize(placed.mapInArrow(block_rows(tokenizer, end), "part int, block int, first long, doc_ids binary, doc_nulls binary, lengths binary, n_ids long, width int, ids binary"))
 
 
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
@@ -231,8 +290,8 @@ def coded_rows(ids: np.ndarray, bits: np.ndarray) -> Callable:
         for batch in batches:
             for row in batch.to_pylist():
                 payload, runs = codec.encode(_ids(row))
-                out = {k: [row[k]] for k in ("part", "block", "doc_ids", "doc_nulls", "lengths", "n_ids")} | {"checkpoints": [runs], "payload": [payload]}
-                yield pa.RecordBatch.from_pydict(out, schema=pa.schema([*list(BLOCKS)[:6], ("checkpoints", pa.binary()), ("payload", pa.binary())]))
+                out = {k: [row[k]] for k in ("part", "block", "first", "doc_ids", "doc_nulls", "lengths", "n_ids")} | {"checkpoints": [runs], "payload": [payload]}
+                yield pa.RecordBatch.from_pydict(out, schema=pa.schema([*list(BLOCKS)[:7], ("checkpoints", pa.binary()), ("payload", pa.binary())]))
 
     return rows
 
@@ -262,13 +321,12 @@ def decoded_rows(ids: np.ndarray, bits: np.ndarray) -> Callable:
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.full(len(size), row["part"]), pa.int32()),
-                        pa.array(np.full(len(size), row["block"]), pa.int32()),
                         pa.array(np.frombuffer(row["doc_ids"], "<i8"), pa.int64(), mask=null),
-                        pa.array(ends - size, pa.int64()),
+                        pa.array(row["first"] + ends - size, pa.int64()),
                         pa.array(size, pa.int64()),
                         pa.array(each, pa.binary()),
                     ],
-                    ["part", "block", "doc_id", "offset", "n_tokens", "ids"],
+                    ["part", "doc_id", "offset", "n_tokens", "ids"],
                 )
 
     return rows
@@ -280,11 +338,12 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     blocks = spark.read.parquet(f"{path}/blocks")
     parts = blocks.groupBy("part").agg(F.sum("n_ids").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    within = F.coalesce(F.sum("n_ids").over(Window.partitionBy("part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = blocks.select("part", "block", within.alias("within")).join(parts.select("part", before.alias("before")), "part")
-    docs = blocks.mapInArrow(decoded_rows(book["id"].to_numpy(np.int64), book["bits"].to_numpy(np.int64)), "part int, block int, doc_id long, offset long, n_tokens long, ids binary")
-    start = F.col("before") + F.col("within") + F.col("offset")
-    return docs.join(starts, ["part", "block"]).select("doc_id", start.alias("start"), "n_tokens", "ids")
+    starts = parts.select("part", before.alias("before"))
+    if parts.count() <= BROADCAST_PARTS:  # a row for each task that wrote
+        starts = F.broadcast(starts)
+    docs = blocks.mapInArrow(decoded_rows(book["id"].to_numpy(np.int64), book["bits"].to_numpy(np.int64)), "part int, doc_id long, offset long, n_tokens long, ids binary")
+    start = F.col("before") + F.col("offset")
+    return docs.join(starts, "part").select("doc_id", start.alias("start"), "n_tokens", "ids")
 
 
 def encode_corpus(docs: DataFrame, tokenizer: str, *, end: int = 0, path: str | None = None) -> DataFrame:

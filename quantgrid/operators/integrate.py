@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..errors import MissingDependencyError, ValidationError
 from ..model import CELL, Dataset
+from ..storage import materialize
 from .matrix import row_arrays
 from .neighbors import nearest
 
@@ -132,22 +133,23 @@ def integrate_mnn(cells: DataFrame, obs: DataFrame, *, batch: str = "batch", k:
     """Merge batches one by one, the largest first: shift each new sample by Gaussian-weighted differences of mutual neighbours."""
     check_batches(obs, batch)
     names = order or [r[0] for r in obs.groupBy(F.col(batch).cast("string").alias("b")).count().orderBy(F.desc("count"), "b").collect()]
-    rows = _batched(cells, obs, batch).withColumn("batch", F.col("batch").cast("string"))
+    rows = materialize(_batched(cells, obs, batch).withColumn("batch", F.col("batch").cast("string")))
     merged = rows.where(F.col("batch") == names[0]).select(*CELL)
     for name in names[1:]:
         new = rows.where(F.col("batch") == name).select(*CELL)
-        left, right = row_arrays(merged), row_arrays(new)
-        pairs = mutual_neighbors(left, right, k)
+        left, right = materialize(row_arrays(merged)), materialize(row_arrays(new))
+        pairs = materialize(mutual_neighbors(left, right, k))
         a = merged.select(F.col("sample_id").alias("a"), "feature_id", F.col("value").alias("x"))
         b = new.select(F.col("sample_id").alias("b"), "feature_id", F.col("value").alias("y"))
         shift = pairs.join(a, "a").join(b, ["b", "feature_id"]).groupBy("b", "feature_id").agg(F.avg(F.col("x") - F.col("y")).alias("shift"))
+        shift = materialize(shift)
         anchors = right.join(shift.select(F.col("b").alias("sample_id")).distinct(), "sample_id", "left_semi")
         own = anchors.select("sample_id", F.col("sample_id").alias("other"), F.lit(0.0).alias("distance"))
         near = nearest(right, k, anchors).select("sample_id", "other", "distance").unionByName(own).groupBy("sample_id", "other").agg(F.min("distance").alias("distance"))
         weight = F.exp(-F.col("distance") ** 2 / (2 * sigma**2))
         smooth = near.withColumn("w", weight).join(shift.withColumnRenamed("b", "other"), "other").groupBy("sample_id", "feature_id").agg(F.try_divide(F.sum(F.col("w") * F.col("shift")), F.sum("w")).alias("shift"))
         moved = new.join(smooth, ["sample_id", "feature_id"], "left").withColumn("value", F.col("value") + F.coalesce("shift", F.lit(0.0))).select(*CELL)
-        merged = merged.unionByName(moved)
+        merged = materialize(merged.unionByName(moved))
     return merged
 
 

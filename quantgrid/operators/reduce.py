@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import MissingDependencyError, ValidationError
+from ..storage import materialize
 from .matrix import dense, feature_list, gram_sums, row_arrays
 from .neighbors import nearest
 
@@ -55,19 +56,19 @@ def kmeans(points: DataFrame, k: int = 5, *, seed: int = 42) -> DataFrame:
     return model.transform(x).select("sample_id", F.col("prediction").cast("string").alias("label"))
 
 
-def graph_communities(rows: DataFrame, k: int = 15, *, rounds: int = 10) -> DataFrame:
+def graph_communities(rows: DataFrame, k: int = 15, *, rounds: int = 5) -> DataFrame:
     """(sample_id, label): label propagation over the kNN graph, a substitute for Leiden's optimization of modularity.
 
-    In each round a sample takes the label of the greatest weight among its neighbours in both directions and its own; ties go to
-    the smaller label.
+    In each round a sample takes the label of the greatest weight among its neighbours in both directions and its own; ties are broken by
+    a hash of the label.
     """
     near = nearest(rows, k).select("sample_id", "other")
     edges = near.unionByName(near.select(F.col("other").alias("sample_id"), F.col("sample_id").alias("other")))
-    edges = edges.unionByName(rows.select("sample_id", F.col("sample_id").alias("other"))).cache()
+    edges = materialize(edges.unionByName(rows.select("sample_id", F.col("sample_id").alias("other"))))
     labels = rows.select("sample_id", F.col("sample_id").alias("label"))
     for _ in range(rounds):
         votes = edges.join(labels.withColumnRenamed("sample_id", "other"), "other").groupBy("sample_id", "label").agg(F.count(F.lit(1)).alias("n"))
-        labels = votes.groupBy("sample_id").agg(F.max_by("label", F.struct("n", F.negative(F.xxhash64("label")))).alias("label"))
+        labels = materialize(votes.groupBy("sample_id").agg(F.max_by("label", F.struct("n", F.negative(F.xxhash64("label")))).alias("label")))
     return labels
 
 
