@@ -18,11 +18,9 @@ from ..errors import ValidationError
 from ..functions.quantiles import quantiles
 from ..functions.special import norm_ppf
 from ..model import CELL, Dataset, MaskCode
-from .matrix import check_width, gram_sums, long_cells, row_arrays
+from .matrix import by_feature, by_sample, check_width, gram_sums, long_cells, row_arrays
 from .neighbors import nearest
 
-SAMPLE = Window.partitionBy("sample_id")
-FEATURE = Window.partitionBy("feature_id")
 RECOMMENDED = {"mcar": "knn", "mar": "missforest", "mnar": "qrilc"}
 
 
@@ -45,22 +43,22 @@ def impute_zero(cells: DataFrame) -> DataFrame:
 def impute_row_mean(cells: DataFrame) -> DataFrame:
     """The sample's mean; the mean of all cells for a sample without values; 0 without any."""
     overall = cells.agg(F.avg("value")).first()[0] or 0.0
-    return filled(cells, F.coalesce(F.avg("value").over(SAMPLE), F.lit(overall)))
+    return filled(cells, F.coalesce(F.avg("value").over(by_sample()), F.lit(overall)))
 
 
 def impute_row_median(cells: DataFrame) -> DataFrame:
     overall = quantiles(cells, "value", [0.5])[0] or 0.0
-    return filled(cells, F.coalesce(F.median("value").over(SAMPLE), F.lit(overall)))
+    return filled(cells, F.coalesce(F.median("value").over(by_sample()), F.lit(overall)))
 
 
 def impute_half_row_min(cells: DataFrame, *, fraction: float = 0.5) -> DataFrame:
     """A fraction of the sample's least value; of the least of all for a sample without values."""
     overall = cells.agg(F.min("value")).first()[0] or 0.0
-    return filled(cells, F.coalesce(F.min("value").over(SAMPLE), F.lit(overall)) * fraction)
+    return filled(cells, F.coalesce(F.min("value").over(by_sample()), F.lit(overall)) * fraction)
 
 
 def impute_col_mean(cells: DataFrame) -> DataFrame:
-    return filled(cells, F.coalesce(F.avg("value").over(FEATURE), F.lit(0.0)))
+    return filled(cells, F.coalesce(F.avg("value").over(by_feature()), F.lit(0.0)))
 
 
 def impute_missforest(cells: DataFrame, **_) -> DataFrame:
@@ -80,10 +78,10 @@ def impute_minprob(cells: DataFrame, *, sigma: float = 2.0, q: float = 0.01, ran
     sd = max(sd * sigma, 1e-8)
     (low,) = quantiles(cells, "value", [q])
     least = cells.agg(F.min("value")).first()[0]
-    level = F.coalesce(F.percentile("value", F.lit(q)).over(SAMPLE), F.lit(low or 0.0))
+    level = F.coalesce(F.percentile("value", F.lit(q)).over(by_sample()), F.lit(low or 0.0))
     # A draw depends on the cell alone, so that reruns agree however rows are dealt.
     draw = level + F.lit(sd) * gaussian(random_state)
-    nonnegative = F.coalesce(F.min("value").over(SAMPLE) >= 0, F.lit(least is None or least >= 0))
+    nonnegative = F.coalesce(F.min("value").over(by_sample()) >= 0, F.lit(least is None or least >= 0))
     return filled(cells, F.when(nonnegative, F.greatest(draw, F.lit(0.0))).otherwise(draw))
 
 
@@ -139,7 +137,7 @@ def impute_knn(cells: DataFrame, *, k: int = 5, weights: str = "uniform", oversa
     met = met.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
     w = F.lit(1.0) if weights == "uniform" else 1 / F.greatest(F.col("distance"), F.lit(1e-12))
     new = met.groupBy("sample_id", "feature_id").agg((F.sum(F.col("v") * w) / F.sum(w)).alias("new"))
-    out = cells.join(new, ["sample_id", "feature_id"], "left").withColumn("mean", F.avg("value").over(FEATURE))
+    out = cells.join(new, ["sample_id", "feature_id"], "left").withColumn("mean", F.avg("value").over(by_feature()))
     return filled(out, F.coalesce("new", "mean", F.lit(0.0)))
 
 
@@ -177,7 +175,7 @@ def impute_lls(cells: DataFrame, *, k: int = 10) -> DataFrame:
         return pd.DataFrame({"sample_id": grid.index[gap], "feature_id": target, "new": new})
 
     new = columns.groupBy("target").applyInPandas(fit, "sample_id string, feature_id string, new double")
-    out = cells.join(new, ["sample_id", "feature_id"], "left").withColumn("mean", F.avg("value").over(FEATURE))
+    out = cells.join(new, ["sample_id", "feature_id"], "left").withColumn("mean", F.avg("value").over(by_feature()))
     return filled(out, F.coalesce("new", "mean", F.lit(0.0)))
 
 

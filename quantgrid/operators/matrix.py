@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..errors import ValidationError
@@ -14,6 +14,14 @@ from ..errors import ValidationError
 MAX_FEATURES = 4096  # the sums hold its square; the driver sees one such matrix at a time
 
 
+def by_sample() -> WindowSpec:
+    return Window.partitionBy("sample_id")
+
+
+def by_feature() -> WindowSpec:
+    return Window.partitionBy("feature_id")
+
+
 def row_arrays(cells: DataFrame) -> DataFrame:
     """(sample_id, names, vec): each sample's observed features, ascending, and their values."""
     seen = cells.where("value is not null")

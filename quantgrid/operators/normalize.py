@@ -11,9 +11,8 @@ from pyspark.sql import functions as F
 from ..errors import ValidationError
 from ..functions.quantiles import quantiles
 from ..model import Dataset
+from .matrix import by_feature, by_sample
 
-SAMPLE = Window.partitionBy("sample_id")
-FEATURE = Window.partitionBy("feature_id")
 LOGGED = re.compile(r"(^|[_\-])(log|log2|log10|ln)([_\-]|$)")
 
 
@@ -24,12 +23,12 @@ def norm_none(cells: DataFrame) -> DataFrame:
 def norm_median(cells: DataFrame, *, add_global_median: bool = False) -> DataFrame:
     """Subtract each sample's median; then add the median of all cells, if asked."""
     add = (quantiles(cells, "value", [0.5])[0] or 0.0) if add_global_median else 0.0
-    return cells.withColumn("value", F.col("value") - F.median("value").over(SAMPLE) + F.lit(add))
+    return cells.withColumn("value", F.col("value") - F.median("value").over(by_sample()) + F.lit(add))
 
 
 def norm_mean(cells: DataFrame, *, add_global_mean: bool = False) -> DataFrame:
     add = (cells.agg(F.avg("value")).first()[0] or 0.0) if add_global_mean else 0.0
-    return cells.withColumn("value", F.col("value") - F.avg("value").over(SAMPLE) + F.lit(add))
+    return cells.withColumn("value", F.col("value") - F.avg("value").over(by_sample()) + F.lit(add))
 
 
 def norm_quantile(cells: DataFrame, *, by: str = "sample_id") -> DataFrame:
@@ -71,7 +70,7 @@ def norm_trqn(cells: DataFrame, *, low_thr: float = 0.5, balance_stat: str = "me
     plain = norm_quantile(cells)
     chosen = (rank_invariance(plain).where(F.col("frequency") >= low_thr) if features is None else features).select("feature_id").distinct()
     stat = F.median if balance_stat == "median" else F.avg
-    subset = cells.join(chosen, "feature_id", "left_semi").withColumn("__level", stat("value").over(FEATURE))
+    subset = cells.join(chosen, "feature_id", "left_semi").withColumn("__level", stat("value").over(by_feature()))
     level = subset.select("sample_id", "feature_id", "__level")
     balanced = norm_quantile(subset.withColumn("value", F.col("value") - F.col("__level")).drop("__level"))
     balanced = balanced.join(level, ["sample_id", "feature_id"]).withColumn("value", F.col("value") + F.col("__level")).drop("__level")
@@ -91,7 +90,7 @@ def normalize(ds: Dataset, method: str, *, assay: str = "protein", source_layer:
 
 def zscore(cells: DataFrame, *, axis: int = 0, ddof: int = 1) -> DataFrame:
     """(x - mean) / deviation per feature (axis 0) or sample (axis 1); a deviation of 0 counts as 1. Needs complete cells."""
-    w, key = (FEATURE, "feature_id") if axis == 0 else (SAMPLE, "sample_id")
+    w, key = (by_feature(), "feature_id") if axis == 0 else (by_sample(), "sample_id")
     if cells.where("value is null").limit(1).count():
         raise ValidationError("zscore needs cells without missing values")
     if cells.groupBy(key).count().where(F.col("count") <= ddof).limit(1).count():
@@ -106,7 +105,7 @@ def standard_score(x: Column, w, ddof: int = 1) -> Column:
 
 def robust_scale(cells: DataFrame, *, axis: int = 0, center: bool = True, scale: bool = True) -> DataFrame:
     """(x - median) / interquartile range per feature (axis 0) or sample; a range of 0 counts as 1."""
-    w = FEATURE if axis == 0 else SAMPLE
+    w = by_feature() if axis == 0 else by_sample()
     q = F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).over(w)
     out = cells.withColumn("__q", q)
     span = F.element_at("__q", 3) - F.element_at("__q", 1)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .model import complete
 from .functions import benchmarks, metrics, stats
 from .operators import aggregate, impute, integrate, masks, normalize, qc, reduce
-from .operators.matrix import row_arrays
+from .operators.matrix import by_sample, row_arrays
 from .operators.neighbors import nearest
 from .plans import autoselect, plots
 from .plans import matrices as m
@@ -307,7 +307,7 @@ def method_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("bench_reconstruction", "n coverage:d mae:d rmse:d nrmse:d median_error:d pearson:d", "select count(x) as n, count(y) / count(x) as coverage, avg(abs(y - x)) as mae, sqrt(avg((y - x) * (y - x))) as rmse, sqrt(avg((y - x) * (y - x))) / stddev_samp(x) as nrmse, median(abs(y - x)) as median_error, corr(x, y) as pearson from (select value as x, median(value) over (partition by sample_id) as y from cells)", "cells")
 def reconstruction(spark: SparkSession, sf: str) -> DataFrame:
-    return benchmarks.reconstruction(m.cells(spark, sf).select(F.col("value").alias("truth"), F.median("value").over(normalize.SAMPLE).alias("imputed")))
+    return benchmarks.reconstruction(m.cells(spark, sf).select(F.col("value").alias("truth"), F.median("value").over(by_sample()).alias("imputed")))
 
 
 # tests between groups, integration, reduction
