@@ -24,6 +24,6 @@ def append_cells(cells: DataFrame, table: str, checkpoint: str) -> StreamingQuer
 
 def windowed_means(events: DataFrame, *, time: str = "ts", late: str = "10 minutes", window: str = "1 hour") -> DataFrame:
     """(start, key, n, mean) of (ts, key, value) per window; rows that are later than `late` are dropped. Streams and tables."""
-    w = F.window(time, window)
+    w, events = F.window(time, window), events.withColumn(time, F.col(time).cast("timestamp"))
     out = events.withWatermark(time, late).groupBy(w.alias("w"), "key").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"))
     return out.select(F.col("w.start").alias("start"), "key", "n", "mean")
