@@ -12,7 +12,9 @@ the driver sees small; every text is scored whole.
 
 from __future__ import annotations
 
+import math
 import string
+import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
@@ -38,6 +40,8 @@ SCOPE = 3  # words that a negation covers
 EDGES = string.punctuation + "¡¿«»“”„’…"
 ENDS = (".", "!", "?", ";", ":")
 LENGTHS = (4, 5, 6, 7, 8)
+HARDLY = 50  # toxic texts to a clean one from which hardly any clean text holds a feature
+BY_CHANCE = 0.01  # features that may enter the lexicon without reason, on average
 WORDS_KEPT = 300_000
 
 #: Prior weights: of any match, and of the parts of its kind.
@@ -156,13 +160,20 @@ def feature_rows(among: frozenset[str] | None) -> Callable:
     return rows
 
 
+def copy_key(text: str | None) -> int:
+    """The least hash of three words in a row: mostly the same for near copies of a text, another one for other texts."""
+    words = (text or "").lower().split()
+    return min(zlib.crc32(" ".join(words[i : i + 3]).encode("utf-8", "replace")) for i in range(max(1, len(words) - 2)))
+
+
 def holding_rows(among: frozenset[str]) -> Callable:
-    """(features): those of `among` that each text holds."""
+    """(features, copy): the features of `among` that each text holds, and its copy_key."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [sorted(features_of(t) & among) for t in batch["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.string()))], ["features"])
+            texts = batch["text"].to_pylist()
+            found = [sorted(features_of(t) & among) for t in texts]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.string())), pa.array([copy_key(t) for t in texts], pa.int64())], ["features", "copy"])
 
     return rows
 
@@ -171,7 +182,7 @@ def choose_insults(texts: list[list[str]], least: int) -> list[str]:
     """Features that together explain the toxic texts: each next one is in most of those that have none yet, `least` at least.
 
     Of features in the same texts the longest is taken. Words that merely go with insults, as in copies of one text, explain
-    nothing new and are left out.
+    nothing new and are left out here; add_own brings those in that are insults by themselves.
     """
     held: dict[str, set[int]] = {}
     for i, found in enumerate(texts):
@@ -188,6 +199,25 @@ def choose_insults(texts: list[list[str]], least: int) -> list[str]:
     return sorted(chosen)
 
 
+def overlap(a: str, b: str) -> bool:
+    """Whether one feature is a beginning of the other."""
+    a, b = a.removesuffix("$"), b.removesuffix("$")
+    return a.startswith(b) or b.startswith(a)
+
+
+def add_own(chosen: list[str], held: dict[str, set[int]], enough: float) -> list[str]:
+    """The chosen features and those of `held` that are in `enough` texts, whatever other insults these texts hold.
+
+    Of overlapping beginnings a further one comes in only for `enough` texts without those that are in.
+    """
+    out, texts = list(chosen), {f: held.get(f, set()) for f in chosen}
+    for f in sorted(held.keys() - texts.keys(), key=lambda f: (-len(held[f]), -len(f), f)):
+        if len(held[f]) >= enough and len(held[f].difference(*(texts[g] for g in out if overlap(f, g)))) >= enough:
+            out.append(f)
+            texts[f] = held[f]
+    return sorted(out)
+
+
 def fit_weights(kinds: np.ndarray, toxic: np.ndarray, n: np.ndarray, strength: float = 1.0) -> np.ndarray:
     """Logistic weights of (none, each kind) from counts of rows by kind set and label, drawn to the prior weights."""
     name = {INSULT: "insult", THREAT: "threat"}
@@ -237,8 +267,17 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_labelled: int = 20_000, min_t
         clean = {r["feature"]: r["n"] for r in counted(sample.where("toxic = 0"), frozenset(toxic)).collect()}
         share = lambda n, of: (n + 0.5) / (of + 1)
         likely = frozenset(f for f, n in toxic.items() if share(n, sizes[1]) >= ratio * share(clean.get(f, 0), sizes.get(0, 0)))
-        texts = sample.where("toxic = 1").select("text").mapInArrow(holding_rows(likely), "features array<string>").collect()
-        insults = choose_insults([r["features"] for r in texts], max(min_texts, sizes[1] // 250)) or SEED_INSULTS
+        texts = sample.where("toxic = 1").select("text").mapInArrow(holding_rows(likely), "features array<string>, copy long").collect()
+        least = max(min_texts, sizes[1] // 250)
+        insults = choose_insults([r["features"] for r in texts], least)
+        held: dict[str, set[int]] = {}
+        for r in texts:
+            for f in r["features"]:
+                held.setdefault(f, set()).add(r["copy"])
+        own = {f: of for f, of in held.items() if f in insults or clean.get(f, 0) * HARDLY <= len(of)}
+        # So many texts that, drawn from all, hold no clean one hardly ever, for as many features as were counted.
+        enough = math.log(len(toxic) / BY_CHANCE) / math.log1p(sizes.get(0, 0) / sizes[1]) if sizes.get(0) else math.inf
+        insults = add_own(insults, own, max(least, enough)) or SEED_INSULTS
     seen = sample.mapInArrow(kind_rows(insults), "toxic int, kinds int").groupBy("toxic", "kinds").count().collect()
     columns = [np.array([r[c] for r in seen], np.int64) for c in ("kinds", "toxic", "count")]
     return Model(list(insults), fit_weights(*columns))

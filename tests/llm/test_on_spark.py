@@ -135,6 +135,17 @@ def test_toxicity(spark, docs, nothing):
     assert toxicity.score_texts(nothing, model).count() == 0
 
 
+def test_toxicity_insults_together(spark):
+    """An insult that only goes with others in the labelled texts counts alone; words of copies of one toxic text don't."""
+    rng = random.Random(11)
+    text = lambda i: " ".join(rng.choices(["calm%d" % n for n in range(40)], k=12)) + ("" if i % 4 else " vequx" + " brolm" * (i % 8 == 0))
+    rows = [(i, text(i), int(i % 4 == 0)) for i in range(400)] + [(400 + i, f"a copied text with the word gandolf in it and vequx {i}", 1) for i in range(30)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(table.select("doc_id", "text"), table.select("doc_id", "toxic"))
+    fresh = spark.createDataFrame([(0, "calm1 brolm calm2"), (1, "calm1 vequx calm2"), (2, "calm1 gandolf calm2")], "doc_id long, text string")
+    assert {r["doc_id"]: r["score"] >= 0.3 for r in toxicity.score_texts(fresh, model).collect()} == {0: True, 1: True, 2: False}
+
+
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.1"
     got = queries.op4_toxicity(spark, sf).where("held_out").join(spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic"), "doc_id")
