@@ -1,10 +1,11 @@
 """Toxicity: a weighted finite-state pattern grammar that scores clauses.
 
 A lexicon transducer maps words to classes: insults are word beginnings learned from labels; threats, targets, negations and
-words of reported speech are fixed lists. Four small transducers read the classes of a clause: event (insult or threat), target,
-negation (for a few words after it) and reported speech. Their composition is one table of states; its last state in a clause
-gives the kind of the matched clause, such as "insult at a target, not negated, not reported". A document's score is a logistic
-function of the kinds that it holds; the weights start from fixed prior weights and are fitted to labels.
+words of reported speech are fixed lists. Four small transducers read the classes of a clause, which ends with a line or a mark
+such as a full stop: event (insult or threat), target, negation and reported speech (each for some words after it). Their
+composition is one table of states. Each event of a clause gives a kind, such as "insult at a target, not negated, not
+reported", by the state that it leads to and by whether the clause holds a target. A document's score is a logistic function of
+the kinds that it holds; the weights start from fixed prior weights and are fitted to labels.
 
 Lexicon and weights are fitted on at most max_labelled labelled rows (those of the smallest hashes), a bound that keeps what
 the driver sees small; every text is scored whole.
@@ -37,6 +38,7 @@ SEED_INSULTS = "idiot stupid moron scum loser pathetic worthless disgusting tras
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
 STOP = 8  # added to the class of a word that ends a clause
 SCOPE = 3  # words that a negation covers
+REPORTED = 8  # words that a word of reported speech covers
 EDGES = string.punctuation + "¡¿«»“”„’…"
 ENDS = (".", "!", "?", ";", ":")
 LENGTHS = (4, 5, 6, 7, 8)
@@ -61,29 +63,25 @@ class Fst(NamedTuple):
 
 
 def event_fst() -> Fst:
-    """0 nothing, then INSULT or THREAT; an insult stays one."""
-    return Fst(3, {(0, INSULT): 1, (0, THREAT): 2, (2, INSULT): 1}, (0, INSULT, THREAT))
+    """INSULT or THREAT right after such a word, else 0."""
+    return Fst(3, {(s, c): {INSULT: 1, THREAT: 2}.get(c, 0) for s in range(3) for c in range(6)}, (0, INSULT, THREAT))
 
 
 def target_fst() -> Fst:
     return Fst(2, {(0, TARGET): 1}, (0, 1))
 
 
-def negation_fst() -> Fst:
-    """States 1 to SCOPE count down the words that a negation still covers; the last state: an event was covered."""
-    hit = SCOPE + 1
-    arcs = {(s, NEGATION): SCOPE for s in range(hit)} | {(s, c): hit for s in range(1, hit) for c in (INSULT, THREAT)}
-    arcs |= {(s, c): s - 1 for s in range(1, hit) for c in (OTHER, TARGET, REPORT)}
-    return Fst(hit + 1, arcs, (*[0] * hit, 1))
+def scope_fst(opener: int, words: int) -> Fst:
+    """States 1 to `words` count down the words that an opener still covers; those above stand for the same at a covered event."""
+    left = lambda s: s if s <= words else s - words - 1
+    arcs = {(s, c): max(left(s) - 1, 0) for s in range(2 * words + 1) for c in (OTHER, TARGET, NEGATION, REPORT)}
+    arcs |= {(s, opener): words for s in range(2 * words + 1)}
+    arcs |= {(s, c): words + left(s) if left(s) else 0 for s in range(2 * words + 1) for c in (INSULT, THREAT)}
+    return Fst(2 * words + 1, arcs, (*[0] * (words + 1), *[1] * words))
 
 
-def report_fst() -> Fst:
-    """1 after a word of reported speech, 2 once an event follows it."""
-    return Fst(3, {(0, REPORT): 1, (1, INSULT): 2, (1, THREAT): 2}, (0, 0, 1))
-
-
-def compose(*parts: Fst) -> tuple[np.ndarray, np.ndarray]:
-    """The product of transducers that read one input: table[state, class] of reachable states, and each state's kind or -1."""
+def compose(*parts: Fst) -> tuple[np.ndarray, list[tuple[int, ...]]]:
+    """The product of transducers that read one input: table[state, class] of reachable states, and each state's outputs."""
     index, queue, rows = {(0,) * len(parts): 0}, [(0,) * len(parts)], []
     for state in queue:
         row = []
@@ -94,8 +92,7 @@ def compose(*parts: Fst) -> tuple[np.ndarray, np.ndarray]:
                 queue.append(to)
             row.append(index[to])
         rows.append(row)
-    outputs = [tuple(p.output[s] for p, s in zip(parts, state)) for state in queue]
-    return np.array(rows), np.array([KINDS.index(o) if o[0] else -1 for o in outputs])
+    return np.array(rows), [tuple(p.output[s] for p, s in zip(parts, state)) for state in queue]
 
 
 class Grammar:
@@ -106,8 +103,14 @@ class Grammar:
         self.lengths = sorted({len(x) for x in self.starts})
         fixed = ((THREATS, THREAT), (TARGETS, TARGET), (NEGATIONS, NEGATION), (REPORTS, REPORT))
         self.words = {w: c for words, c in fixed for w in words} | {x[:-1]: INSULT for x in insults if x.endswith("$")}
-        table, kinds = compose(event_fst(), target_fst(), negation_fst(), report_fst())
-        self.table, self.kinds = table.tolist(), kinds.tolist()
+        table, outputs = compose(event_fst(), target_fst(), scope_fst(NEGATION, SCOPE), scope_fst(REPORT, REPORTED))
+        self.table = table.tolist()
+        self.bits = [1 << KINDS.index((e, 0, n, r)) if e else 0 for e, _, n, r in outputs]  # of an event, before the target is known
+        self.shifts = [t * KINDS.index((INSULT, 1, 0, 0)) for _, t, _, _ in outputs]
+        self.after = [np.arange(len(table))]  # after[n][state]: the state n other words later
+        for _ in range(max(SCOPE, REPORTED) + 1):
+            self.after.append(table[self.after[-1], OTHER])
+        self.after = [x.tolist() for x in self.after]
         self.known: dict[str, int] = {}
 
     def classify(self, token: str) -> int:
@@ -119,25 +122,28 @@ class Grammar:
         return found + STOP * (token.endswith(ENDS) or not word)
 
     def kinds_of(self, text: str) -> int:
-        """The kinds of clauses that a text holds, as a bit set."""
-        tokens = text.lower().split()
+        """The kinds of events that a text's clauses hold, as a bit set."""
+        lines = [line.split() for line in text.lower().splitlines()]
         known = self.known
         if len(known) > WORDS_KEPT:
             known.clear()
-        for new in {*tokens}.difference(known):
+        for new in set().union(*lines).difference(known):
             known[new] = self.classify(new)
-        out = state = last = 0
-        table, kinds = self.table, self.kinds
-        for i, c in [(i, c) for i, c in enumerate(map(known.__getitem__, tokens)) if c]:
-            for _ in range(min(i - last, SCOPE + 1) if state else 0):
-                state = table[state][OTHER]
-            state = table[state][c & 7]
-            last = i + 1
-            if c >= STOP:
-                if kinds[state] >= 0:
-                    out |= 1 << kinds[state]
-                state = 0
-        return out | (1 << kinds[state] if kinds[state] >= 0 else 0)
+        out = 0
+        table, bits, shifts, after = self.table, self.bits, self.shifts, self.after
+        for tokens in lines:
+            state = last = held = 0
+            for i, c in [(i, c) for i, c in enumerate(map(known.__getitem__, tokens)) if c]:
+                if state:
+                    state = after[min(i - last, len(after) - 1)][state]
+                state = table[state][c & 7]
+                held |= bits[state]
+                last = i + 1
+                if c >= STOP:
+                    out |= held << shifts[state]
+                    state = held = 0
+            out |= held << shifts[state]
+        return out
 
 
 def features_of(text: str | None) -> set[str]:

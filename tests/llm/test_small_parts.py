@@ -134,6 +134,25 @@ def test_toxicity_grammar():
     assert w[0] < -2 and w[0] + w[1] > 1
 
 
+def test_toxicity_clauses():
+    """Lines end clauses, each event has a kind of its own, and reported speech covers some words alone."""
+    g = toxicity.Grammar(["idiot$", "vequ"])
+    kinds = lambda t: [toxicity.KINDS[i] for i in range(len(toxicity.KINDS)) if g.kinds_of(t) >> i & 1]
+    assert kinds("it is not\nvequta") == [(toxicity.INSULT, 0, 0, 0)] == kinds("said he\r\nvequta\nfor you")
+    assert kinds("not vequta, such a vequta") == [(toxicity.INSULT, 0, 0, 0), (toxicity.INSULT, 0, 1, 0)]
+    assert kinds("not vequta or vequta then idiot you") == [(toxicity.INSULT, 1, 0, 0), (toxicity.INSULT, 1, 1, 0)]
+    assert kinds("kill it, not idiot") == [(toxicity.INSULT, 0, 1, 0), (toxicity.THREAT, 0, 0, 0)]
+    filler = " ".join(["word"] * toxicity.REPORTED)
+    assert kinds(f"said {filler} idiot") == [(toxicity.INSULT, 0, 0, 0)] and kinds(f"said{filler[4:]} idiot") == [(toxicity.INSULT, 0, 0, 1)]
+    assert kinds(f"said idiot {filler} idiot") == [(toxicity.INSULT, 0, 0, 0), (toxicity.INSULT, 0, 0, 1)]
+    for opener, words in ((toxicity.NEGATION, toxicity.SCOPE), (toxicity.REPORT, toxicity.REPORTED)):
+        for gap in range(words + 2):
+            fst, state = toxicity.scope_fst(opener, words), 0
+            for symbol in [opener, *[toxicity.OTHER] * gap, toxicity.INSULT]:
+                state = fst.step(state, symbol)
+            assert fst.output[state] == (gap < words)
+
+
 def test_model_parts():
     counts = np.random.default_rng(6).integers(0, 5, (4, 4, 4))
     mass = np.array([0.1, 0.2, 0.3, 0.4])
