@@ -15,7 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import groups_of
+from .common import groups_of, materialize
+from .jaccard_join import jaccard_join
 from .mixing import word_count
 
 GROUP_DOCS = 2048
@@ -102,3 +103,18 @@ def pack_documents(docs: DataFrame, *, capacity: int = 2048, per_source: int = 2
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).alias("source"), (word_count(F.col(text)) + 1).alias("size"), kind.alias("cluster"))
     slim = slim.withColumn("group", F.pmod(F.xxhash64("doc_id", "source", "size"), F.lit(groups)).cast("long"))
     return slim.groupBy("group").applyInArrow(pack_group(capacity, per_source), PACKED)
+
+
+def near_clusters(docs: DataFrame, *, threshold: float = 0.8, text: str = "text", cluster: str = "cluster") -> DataFrame:
+    """Add `cluster`: rows that links of Jaccard `threshold` or more join share it, whatever their ids; so do rows without words.
+
+    It is the least hash of the texts of the group, so that it doesn't depend on how rows are dealt out.
+    """
+    own = F.xxhash64(F.when(word_count(F.col(text)) > 0, F.col(text)).otherwise(F.lit("")))
+    rows = materialize(docs.withColumns({"__row": F.monotonically_increasing_id(), "__own": own}))
+    joined = jaccard_join(rows, threshold=threshold, doc_id="__row", text=text)
+    mates = materialize(joined.where("n_copies > 1 or n_links > 0").select(F.col("doc_id").alias("__row"), "group_id"))
+    mates = mates.join(rows.select("__row", "__own"), "__row")
+    least = mates.groupBy("group_id").agg(F.min("__own").alias("__least"))
+    shared = mates.join(least, "group_id").select("__row", "__least")
+    return rows.join(shared, "__row", "left").withColumn(cluster, F.coalesce("__least", "__own")).drop("__row", "__own", "__least")

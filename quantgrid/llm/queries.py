@@ -130,7 +130,7 @@ select query_id, rank, vec_id, score from r where rank <= 5
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return packing.pack_documents(docs, capacity=2048, per_source=2)
+    return packing.pack_documents(packing.near_clusters(docs, threshold=0.8), capacity=2048, per_source=2, cluster="cluster")
 
 
 def op10_token_codec(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -259,6 +259,18 @@ def test_packing(docs, nothing):
     assert packing.pack_documents(nothing).count() == 0
 
 
+def test_packing_near_copies(spark, tmp_path):
+    """Near copies, rows without id among them, and rows without words are one cluster each: a bin holds one of them."""
+    rng = random.Random(2)
+    texts = [" ".join(rng.choices(["w%d" % n for n in range(500)], k=60)) for _ in range(6)]
+    rows = [(i, "abcdef"[i // 6], texts[i // 6] + ["", " end", "\n"][i % 3]) for i in range(36)] + [(None, "n", texts[0].upper()), (None, "o", texts[1] + " other"), (90, "p", ""), (91, "q", " \n"), (92, "r", None)]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op9_best_fit_packing(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows)
+    kind = lambda r: {"n": 0, "o": 1, "p": -1, "q": -1, "r": -1}.get(r["source"], (r["doc_id"] or 0) // 6)
+    assert max(Counter((r["bin"], kind(r)) for r in got).values()) == 1
+
+
 def test_token_codec(docs, nothing):
     path = public_tokenizers.path("byte_bpe_50k.json")
     from tokenizers import Tokenizer
