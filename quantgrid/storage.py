@@ -10,9 +10,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a local folder where that is unset (tests)."""
+    """spark.checkpoint.dir. Where that is unset: a local folder if the master is local (tests), else an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    return folder or "file://" + os.path.join(tempfile.gettempdir(), "quantgrid-checkpoints")
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return "file://" + os.path.join(tempfile.gettempdir(), "quantgrid-checkpoints")
+
+
+def delete_at_exit(spark: SparkSession, path: str) -> None:
+    """Delete path when the driver's JVM ends."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -23,6 +33,5 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+    delete_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
