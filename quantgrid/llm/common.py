@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import materialize, shared_dir  # noqa: F401
+from ..storage import delete_at_exit, materialize, shared_dir  # noqa: F401
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: ASCII white space, the bytes 20 and 09 to 0D; bytes.split() and bytes.strip() use the same set.

@@ -18,96 +18,132 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, shared_dir
+from .common import delete_at_exit, materialize, shared_dir
 
 BLOCK_IDS = 1 << 18
 STEP = 64
 BROADCAST_PARTS = 100_000
 LIMIT = 16
-YOUNG, KEPT = 200_000, 600_000  # pieces that a worker remembers
+KEPT = 400_000  # pieces of a generation that a worker remembers
+TOGETHER = 16 << 20  # bytes of text that are cut up together
+FEW = 8  # added tokens that are looked for in each text
 FIRST, WHOLE = "\0", "\0\0"
+NO_IDS = b""  # of a part that shows that its text is cut otherwise
 #: Parts that show that white space follows white space in their text, or other white space than a space or line end starts it.
 UNEVEN = re.compile(r"^\Z|\s\Z|^\0?[^\S\n]|^\n\s")
 CUT = re.compile(r"(?<=\S)(?=\s)")
 
-_encoders: dict[str, PieceEncoder] = {}
+_encoders: dict[tuple[str, bool], PieceEncoder] = {}
 
 
 class PieceEncoder:
     """Encodes texts piece by piece and remembers pieces.
 
     A byte-level tokenizer never puts a non-space and a following white space into one word. So a text may be cut before white
-    space that follows a non-space, and the ids of the pieces, one after the other, are those of the text. Other tokenizers get
-    whole texts.
+    space that follows a non-space, and the ids of the pieces, one after the other, are those of the text. The distinct pieces
+    of many texts are found together and each is encoded once. Texts that hold a special token's string, and all texts of other
+    tokenizers, are encoded whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_as_text: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # in texts their strings are ordinary text
+        self.tokenizer.encode_special_tokens = special_as_text
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if not (special_as_text and t.special)]
         rule = str(self.tokenizer.pre_tokenizer)
-        self.by_piece = rule.startswith("ByteLevel(add_prefix_space=False") and "use_regex=True" in rule and self.tokenizer.normalizer is None
+        self.by_piece = rule.startswith("ByteLevel(add_prefix_space=False") and "use_regex=True" in rule and self.tokenizer.normalizer is None and len(added) <= FEW
+        self.added = added
         vocabulary = self.tokenizer.get_vocab()
         self.width = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)  # bytes of each token
         for token, i in vocabulary.items():
             self.width[i] = len(token)
-        self.kept: dict[str, bytes] = {}  # pieces met in two batches or more
-        self.young: dict[str, bytes] = {}
+        self.new: dict[str, bytes] = {}  # pieces met since the last change of generation
+        self.old: dict[str, bytes] = {}
 
     @classmethod
-    def of(cls, path: str) -> PieceEncoder:
+    def of(cls, path: str, special_as_text: bool = False) -> PieceEncoder:
         """One encoder a worker."""
-        if path not in _encoders:
-            _encoders[path] = cls(path)
-        return _encoders[path]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, as little-endian 32-bit integers."""
-        if not self.by_piece:
-            return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        # A text's pieces: the first after FIRST, others without the space that they start with, any at all after WHOLE.
-        parts = [[WHOLE + t] if "\0" in t else (FIRST + t.replace("\n", " \n")).split(" ") for t in texts]
-        distinct: set[str] = set()
-        for p in parts:
-            distinct.update(p)
-        kept, young, found, new = self.kept, self.young, {}, []
-        for x in distinct:
-            if (ids := kept.get(x)) is None:
-                if (ids := young.pop(x, None)) is None:
-                    new.append(x)
-                    continue
-                kept[x] = ids
-            found[x] = ids
-        uneven = {x for x in new if UNEVEN.search(x)}
-        if uneven:
-            cut: set[str] = set()
-            for i, p in enumerate(parts):
-                if not uneven.isdisjoint(p):
-                    parts[i] = [WHOLE + x for x in CUT.split(texts[i])]
-                    cut.update(parts[i])
-            new = list({*new} - uneven | cut - found.keys())
-        if new:
-            made = self._encoded(new)
-            young.update(made)
-            found.update(made)
-        if len(young) > YOUNG:
-            young.clear()
-        if len(kept) > KEPT:
-            kept.clear()
-        known = found.__getitem__
-        return [b"".join(map(known, p)) for p in parts]
+        key = path, special_as_text
+        if key not in _encoders:
+            _encoders[key] = cls(*key)
+        return _encoders[key]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, none of them null, and how many of them each text has."""
+        if not len(texts):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        special = np.full(len(texts), not self.by_piece)
+        for token in self.added if self.by_piece else ():
+            special |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        # A text's parts: the first after FIRST, others without the space that they start with.
+        parts = pc.split_pattern(pc.replace_substring(pc.binary_join_element_wise(pa.scalar(FIRST, texts.type), texts, pa.scalar("", texts.type)), "\n", " \n"), " ")
+        starts = parts.offsets.to_numpy()[:-1] - parts.offsets[0].as_py()
+        coded = parts.flatten().dictionary_encode()
+        at, found = coded.indices.to_numpy(), self.ids_of(coded.dictionary.to_pylist())
+        odd = np.fromiter((x is NO_IDS for x in found), bool, len(found))
+        apart = special | np.maximum.reduceat(odd[at], starts) | pc.match_substring(texts, FIRST).to_numpy(zero_copy_only=False)
+        if not apart.any():
+            return self.joined(found, at, starts)
+        sizes, pieces = np.zeros(len(texts), np.int64), np.repeat(~apart, np.diff(np.append(starts, len(at))))
+        rest = np.flatnonzero(~apart)
+        plain, sizes[rest] = self.joined(found, at[pieces], np.cumsum(pieces)[starts[rest]] - 1) if len(rest) else (np.zeros(0, np.uint32), sizes[rest])
+        own = self.encode_apart([texts[int(i)].as_py() for i in np.flatnonzero(apart)], special[apart])
+        sizes[apart] = [len(x) // 4 for x in own]
+        out, mine = np.empty(int(sizes.sum()), np.uint32), np.repeat(apart, sizes)
+        out[~mine], out[mine] = plain, np.frombuffer(b"".join(own), "<u4")
+        return out, sizes
+
+    @staticmethod
+    def joined(found: list[bytes], at: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the parts `at`, and how many of them belong to each text; texts begin at `starts`."""
+        taken = pa.array(found, pa.large_binary()).take(pa.array(at))
+        ends = np.frombuffer(taken.buffers()[1], np.int64)[: len(at) + 1]
+        ids = np.frombuffer(taken.buffers()[2], "<u4", (ends[-1] - ends[0]) // 4, int(ends[0])) if ends[-1] > ends[0] else np.zeros(0, np.uint32)
+        return ids, np.diff(np.append(ends[starts], ends[-1])) // 4
+
+    def ids_of(self, parts: list[str]) -> list[bytes]:
+        """The ids of distinct parts; NO_IDS for uneven ones."""
+        found = list(map(self.new.get, parts))
+        lacking = [i for i, x in enumerate(found) if x is None]
+        if self.old:
+            again = {i: x for i in lacking if (x := self.old.get(parts[i])) is not None}
+            self.new.update((parts[i], x) for i, x in again.items())
+            for i, x in again.items():
+                found[i] = x
+            lacking = [i for i in lacking if i not in again]
+        if lacking:
+            fresh = [parts[i] for i in lacking]
+            uneven = {x for x in fresh if not x.isalnum() and x[:2] != WHOLE and UNEVEN.search(x)}
+            made = self._encoded([x for x in fresh if x not in uneven]) | dict.fromkeys(uneven, NO_IDS)
+            for i in lacking:
+                found[i] = made[parts[i]]
+            self.new.update(made)
+        if len(self.new) > KEPT:
+            self.old, self.new = self.new, {}
+        return found
+
+    def encode_apart(self, texts: list[str], whole: np.ndarray) -> list[bytes]:
+        """The ids of each text: whole, or cut before each white space after a non-space."""
+        out = [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast([t for t, w in zip(texts, whole) if w], add_special_tokens=False)]
+        pieces = [[WHOLE + x for x in CUT.split(t)] for t, w in zip(texts, whole) if not w]
+        distinct = list({x for p in pieces for x in p})
+        known = dict(zip(distinct, self.ids_of(distinct))).__getitem__
+        by_piece = (b"".join(map(known, p)) for p in pieces)
+        each = iter(out)
+        return [next(each) if w else next(by_piece) for w in whole]
 
     def _encoded(self, parts: list[str]) -> dict[str, bytes]:
         """The ids of each part. A letter and a full stop or comma after it are apart, so stems are looked up alone."""
         stems = {x: x[:-1] for x in parts if x[-1] in ".," and x[0] != FIRST and x[-2:-1].isalpha()}
         out = {}
         for x in {*stems.values(), ".", ","}:
-            if (ids := self.kept.get(x) or self.young.get(x)) is not None:
+            if (ids := self.new.get(x) or self.old.get(x)) is not None:
                 out[x] = ids
         self._encode_joined([x for x in {*parts, *stems.values()}.difference(stems, out) if x[0] != FIRST], out)
         whole = [x for x in parts if x[0] == FIRST]
@@ -120,36 +156,45 @@ class PieceEncoder:
 
     def _encode_joined(self, parts: list[str], out: dict[str, bytes]) -> None:
         """Encode parts in long strings and cut the ids apart by the bytes of their tokens."""
+        column = pa.array(parts, pa.string())
+        sizes = pc.binary_length(column).to_numpy() + ~pc.starts_with(column, "\n").to_numpy(zero_copy_only=False)
         groups = [parts[i : i + 512] for i in range(0, len(parts), 512)]
         texts = [(" " + " ".join(g)).replace(" \n", "\n") for g in groups]
-        for group, text, e in zip(groups, texts, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+        for n, (group, e) in enumerate(zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False))):
             ids = np.array(e.ids, "<u4")
-            sizes = map(len, group) if text.isascii() else (len(x.encode()) for x in group)
-            ends = np.cumsum([n + (x[0] != "\n") for n, x in zip(sizes, group)])
-            at = (np.searchsorted(np.cumsum(self.width[ids]), ends) + 1).tolist()
-            raw, start = ids.tobytes(), 0
-            for x, stop in zip(group, at):
-                out[x] = raw[4 * start : 4 * stop]
-                start = stop
+            ends = np.cumsum(sizes[512 * n : 512 * n + 512])
+            at = (4 * np.searchsorted(np.cumsum(self.width[ids]), ends) + 4).tolist()
+            raw = ids.tobytes()
+            out.update(zip(group, map(raw.__getitem__, map(slice, [0, *at[:-1]], at))))
 
 
-def block_rows(tokenizer: str, end: int) -> Callable:
+def slices(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about `most` bytes of text, one row at least."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < batch.num_rows:
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + most, "right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
+def block_rows(tokenizer: str, end: int, special_as_text: bool) -> Callable:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, block, part = PieceEncoder.of(tokenizer), 0, None
-        ending, held, size, first = np.uint32(end).tobytes(), [], 0, 0
+        encoder, block, part = PieceEncoder.of(tokenizer, special_as_text), 0, None
+        held, size, first = [], 0, 0  # (doc_ids, ids, lengths), with end ids
         press = zstandard.ZstdCompressor(level=1)
 
         def flush() -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(x for _, x in held), "<u4")
-            wide = ids.astype("<u2") if len(ids) and ids.max() < 1 << 16 else ids
-            docs = [d for d, _ in held]
+            docs, ids, lengths = (np.concatenate([h[i] for h in held]) for i in range(3))
+            null = np.concatenate([h[3] for h in held])
+            wide = ids.astype("<u2") if ids.max() < 1 << 16 else ids.astype("<u4")
             row = {
                 "part": [part],
                 "block": [block],
                 "first": [first],
-                "doc_ids": [np.array([d or 0 for d in docs], "<i8").tobytes()],
-                "doc_nulls": [bytes(d is None for d in docs)],
-                "lengths": [np.array([len(x) // 4 for _, x in held], "<u4").tobytes()],
+                "doc_ids": [docs.astype("<i8").tobytes()],
+                "doc_nulls": [null.astype(np.uint8).tobytes()],
+                "lengths": [lengths.astype("<u4").tobytes()],
                 "n_ids": [len(ids)],
                 "width": [wide.itemsize],
                 "ids": [press.compress(wide.tobytes())],
@@ -158,11 +203,17 @@ def block_rows(tokenizer: str, end: int) -> Callable:
 
         for batch in batches:
             part = batch["part"][0].as_py() if batch.num_rows else part
-            texts, docs = batch["text"].to_pylist(), batch["doc_id"].to_pylist()
-            for i in range(0, len(texts), 1024):
-                for doc, ids in zip(docs[i : i + 1024], encoder.encode([t or "" for t in texts[i : i + 1024]])):
-                    held.append((doc, ids + ending))
-                    size += len(ids) // 4 + 1
+            for some in slices(batch, TOGETHER):
+                ids, n = encoder.encode(pc.fill_null(some["text"], ""))
+                ids, n = np.insert(ids, np.cumsum(n), end), n + 1
+                docs, null = some["doc_id"].fill_null(0).to_numpy(), some["doc_id"].is_null().to_numpy(zero_copy_only=False)
+                ends, at = np.cumsum(n), 0
+                while at < len(n):  # a block is full with the text that reaches BLOCK_IDS
+                    done = ends[at - 1] if at else 0
+                    to = min(len(n), int(np.searchsorted(ends, done + BLOCK_IDS - size)) + 1)
+                    held.append((docs[at:to], ids[done : ends[to - 1]], n[at:to], null[at:to]))
+                    size += int(ends[to - 1] - done)
+                    at = to
                     if size >= BLOCK_IDS:
                         yield flush()
                         held, size, block, first = [], 0, block + 1, first + size
@@ -176,14 +227,16 @@ BLOCKS = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("first", pa.in
 FILE = "part int, block int, first long, doc_ids binary, doc_nulls binary, lengths binary, n_ids long, checkpoints binary, payload binary"
 
 
-def tokenize_blocks(docs: DataFrame, tokenizer: str, *, end: int = 0, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Blocks of ids in ascending order of (doc_id, text), null ids first; part and block number them in this order.
+def tokenize_blocks(docs: DataFrame, tokenizer: str, *, end: int = 0, special_as_text: bool = False, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Blocks of ids in ascending order of (doc_id, hash of the text, text), null ids first; part and block number them in this order.
 
-    A null or empty text has its end id alone. A text is never split over blocks.
+    A null or empty text has its end id alone. A text is never split over blocks. The string of a special token in a text gives
+    that token, as the tokenizer does by itself, unless special_as_text makes it ordinary text. Rows that repeat an id, null ids
+    among them, are spread by their texts' hashes, so that no task gets them all.
     """
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    placed = slim.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").withColumn("part", F.spark_partition_id())
-    return materialize(placed.mapInArrow(block_rows(tokenizer, end), "part int, block int, first long, doc_ids binary, doc_nulls binary, lengths binary, n_ids long, width int, ids binary"))
+    placed = slim.withColumn("tie", F.xxhash64("text")).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").withColumn("part", F.spark_partition_id())
+    return materialize(placed.select("doc_id", "text", "part").mapInArrow(block_rows(tokenizer, end, special_as_text), "part int, block int, first long, doc_ids binary, doc_nulls binary, lengths binary, n_ids long, width int, ids binary"))
 
 
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
@@ -240,14 +293,18 @@ class Codec:
         bits = self.bits[ids]
         end = np.cumsum(bits)
         total = int(end[-1]) if len(end) else 0
-        start = end - bits
-        word = self.code[ids] << (24 + 8 - bits - (start & 7))  # its bits within the four bytes from its first byte on
-        out = np.zeros(total // 8 + 5, np.int64)
-        for i in range(4):
-            part = (word >> (24 - 8 * i)) & 255
-            out += np.bincount((start >> 3) + i, part, len(out)).astype(np.int64)
+        out = np.zeros(total // 64 + 2, np.uint64)
+        if total:  # each 64-bit word is the sum of the codes that start in it and of what the word before leaves over
+            start = end - bits
+            word, over = start >> 6, (start & 63) + bits - 64
+            code = self.code[ids].view(np.uint64)
+            first = np.flatnonzero(np.diff(word, prepend=-1))
+            last = np.append(first[1:], len(ids)) - 1
+            out[word[first]] = np.add.reduceat(np.where(over > 0, code >> np.maximum(over, 0).view(np.uint64), code << np.maximum(-over, 0).view(np.uint64)), first)
+            last = last[over[last] > 0]
+            out[word[last] + 1] += code[last] << (64 - over[last]).view(np.uint64)
         runs = np.add.reduceat(bits, np.arange(0, len(ids), STEP)) if len(ids) else bits
-        return out[: -(-total // 8)].astype(np.uint8).tobytes(), runs.astype("<u2").tobytes()
+        return out.astype(">u8").tobytes()[: -(-total // 8)], runs.astype("<u2").tobytes()
 
     def decode(self, payload: bytes, checkpoints: bytes, n: int) -> np.ndarray:
         runs = np.frombuffer(checkpoints, "<u2").astype(np.int64)
@@ -346,10 +403,15 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     return docs.join(starts, "part").select("doc_id", start.alias("start"), "n_tokens", "ids")
 
 
-def encode_corpus(docs: DataFrame, tokenizer: str, *, end: int = 0, path: str | None = None) -> DataFrame:
-    """Tokenize, write the files (in a new folder of the shared one unless a path is given) and read them back."""
+def encode_corpus(docs: DataFrame, tokenizer: str, *, end: int = 0, special_as_text: bool = False, path: str | None = None) -> DataFrame:
+    """Tokenize, write the files under path and read them back.
+
+    Without a path they go to a new folder of the shared one, which is deleted when the driver's JVM ends.
+    """
     spark = docs.sparkSession
-    path = path or f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
-    write_token_files(tokenize_blocks(docs, tokenizer, end=end), path)
+    if path is None:
+        path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+        delete_at_exit(spark, path)
+    write_token_files(tokenize_blocks(docs, tokenizer, end=end, special_as_text=special_as_text), path)
     return read_token_files(spark, path)
 

@@ -276,8 +276,9 @@ def test_token_codec(docs, nothing):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    rows = sorted(((r["doc_id"], r["text"] or "") for r in docs.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    docs = docs.select("doc_id", "text").unionByName(docs.sparkSession.createDataFrame([(300, "one <|endoftext|> two"), (301, "<|endoftext|>")], "doc_id long, text string"))
+    hashed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("tie")).collect()
+    rows = [(r["doc_id"], r["text"]) for r in sorted(hashed, key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["tie"]))]
     start, want = 0, []
     for d, text in rows:
         ids = np.array([*t.encode(text, add_special_tokens=False).ids, 0], "<u4").tobytes()
@@ -285,4 +286,5 @@ def test_token_codec(docs, nothing):
         start += len(ids) // 4
     got = token_codec.encode_corpus(docs, path).orderBy("start").collect()
     assert [(r["doc_id"], r["start"], r["n_tokens"], bytes(r["ids"])) for r in got] == want
+    assert {r["doc_id"]: 50256 in np.frombuffer(bytes(r["ids"]), "<u4") for r in got if (r["doc_id"] or 0) >= 300} == {300: True, 301: True}
     assert token_codec.encode_corpus(nothing, path).count() == 0

@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from quantgrid.llm import jaccard_join, line_dedup, media, packing, token_codec, topk, toxicity
@@ -71,7 +72,7 @@ def test_code_lengths_are_shortest():
 
 def test_codec_round_trip():
     rng = np.random.default_rng(3)
-    for n in (0, 1, 63, 64, 65, 5000):
+    for n in (0, 1, 4, 5, 63, 64, 65, 5000, 40_000):
         ids = np.minimum(rng.zipf(1.3, n), 5000).astype(np.int64)
         used, counts = np.unique(np.append(ids, [1, 2]), return_counts=True)
         codec = token_codec.Codec(used, token_codec.code_lengths(counts))
@@ -79,12 +80,17 @@ def test_codec_round_trip():
 
 
 def test_pieces_equal_whole_texts():
-    encoder = token_codec.PieceEncoder(public_tokenizers.path("byte_bpe_50k.json"))
     rng, letters = random.Random(4), list("\0ab'sA1.,\n\t  \x85　é漢🙂-")
     texts = ["", " ", "a  b", "it's 'sabc a'll", "a\n\nb", "<|endoftext|> a", "é.è, 12.5", "a ", "\n x", "\0", "a\0 b"]
     texts += ["".join(rng.choice(letters) for _ in range(rng.randint(0, 25))) for _ in range(3000)]
-    whole = [np.array(encoder.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
-    assert encoder.encode(texts) == whole and encoder.encode(texts) == whole
+    for special in (False, True):
+        encoder = token_codec.PieceEncoder(public_tokenizers.path("byte_bpe_50k.json"), special)
+        whole = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+        assert any(50256 in x for x in whole) != special
+        for some in (texts, texts[40:], texts[:1], []):  # the second time from memory
+            ids, n = encoder.encode(pa.array(some, pa.string()))
+            at = np.cumsum(n) - n
+            assert [ids[a : a + k].tolist() for a, k in zip(at, n)] == whole[len(texts) - len(some) :] if len(some) != 1 else ids.tolist() == whole[0]
 
 
 def naive_best_fit(items, capacity, per_source):
