@@ -29,8 +29,8 @@ BLOCK_IDS = 1 << 18
 STEP = 64
 BROADCAST_PARTS = 100_000
 LIMIT = 16
-KEPT = 400_000  # pieces of a generation that a worker remembers
-TOGETHER = 16 << 20  # bytes of text that are cut up together
+KEPT = 200_000  # pieces of a generation that a worker remembers
+TOGETHER = 6 << 20  # bytes of text that are cut up together
 FEW = 8  # added tokens that are looked for in each text
 FIRST, WHOLE = "\0", "\0\0"
 NO_IDS = b""  # of a part that shows that its text is cut otherwise
