@@ -146,6 +146,25 @@ def test_toxicity_insults_together(spark):
     assert {r["doc_id"]: r["score"] >= 0.3 for r in toxicity.score_texts(fresh, model).collect()} == {0: True, 1: True, 2: False}
 
 
+def test_toxicity_learned_contexts(spark):
+    """Hints count in pairs, threats with a target, and learned words around an insult excuse it or don't."""
+    rng = random.Random(13)
+    calm = lambda n: " ".join(rng.choices(["calm%d" % i for i in range(300)], k=n))
+    rows = []
+    for i in range(600):
+        rows += [(f"{calm(6)} vequx {calm(6)}.", 1), (f"{calm(20)} you", 0), (f"{calm(20)}.", 0), (f"{calm(5)} hardly vequx {calm(5)}", 0) if i % 10 == 0 else (calm(9), 0)]
+        rows += [(f"{calm(4)} bromen{rng.randint(0, 99)}a {calm(3)} bromen{rng.randint(0, 99)}b", 1), (f"{calm(4)} bromen{rng.randint(0, 99)}{rng.choice('ab')}", 0)] if i % 3 == 0 else []
+        rows += [(f"{calm(4)} zorch you {calm(3)}.", 1), (f"{calm(4)} zorch it {calm(3)}.", 0)] if i % 3 == 1 else []
+    table = spark.createDataFrame([(i, t, y, "x") for i, (t, y) in enumerate(rows)], "doc_id long, text string, toxic int, id string")
+    model = toxicity.fit(table, table.select("doc_id", "toxic"))
+    assert "hardly" in model.lexicon.negations and "zorch" in model.lexicon.threats and any("bromen".startswith(h[:6]) for h in model.lexicon.hints)
+    tests = {"calm1 vequx calm2": 1, "hardly vequx": 0, "calm3 bromen5a calm1": 0, "calm3 bromen5a. calm1 bromen7b": 1, "zorch you": 1, "zorch it calm1": 0, "": 0}
+    fresh = spark.createDataFrame([(i, t, "y", 1) for i, t in enumerate(tests)], "id long, text string, toxic string, score int")
+    assert {r["text"]: int(r["score"] >= 0.3) for r in toxicity.score_texts(fresh, model).collect()} == tests
+    off = toxicity.fit(table, table.select("doc_id", "toxic"), without=frozenset({"negation"}))
+    assert {r["text"]: r["score"] >= 0.3 for r in toxicity.score_texts(fresh, off).collect()}["hardly vequx"]
+
+
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.1"
     got = queries.op4_toxicity(spark, sf).where("held_out").join(spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic"), "doc_id")

@@ -127,23 +127,79 @@ def test_shingles_and_intersections():
     assert 1 - (1 - 0.8**d) ** 24 >= 0.9999 > 1 - (1 - 0.8 ** (d + 1)) ** 24
 
 
+def grammar(**words):
+    return toxicity.Grammar(toxicity.Lexicon(("idiot$", "vequ"), ("brol",))._replace(**words))
+
+
+def kinds_in(g, text):
+    return [toxicity.KINDS[i] for i in range(len(toxicity.KINDS)) if g.kinds_of(text) >> i & 1]
+
+
 def test_toxicity_grammar():
-    g = toxicity.Grammar(["idiot$", "vequ"])
-    kinds = lambda t: [toxicity.KINDS[i] for i in range(len(toxicity.KINDS)) if g.kinds_of(t) >> i & 1]
+    g = grammar()
+    kinds = lambda t: kinds_in(g, t)
     assert kinds("") == [] and kinds("a calm text.") == []
     assert kinds("an IDIOT, he") == [(toxicity.INSULT, 1, 0, 0)]
     assert kinds("not an idiot.") == [(toxicity.INSULT, 0, 1, 0)]
     assert kinds("not a word of this was idiot.") == [(toxicity.INSULT, 0, 0, 0)]
     assert kinds("she said vequta. kill them") == [(toxicity.INSULT, 1, 0, 1), (toxicity.THREAT, 1, 0, 0)]
+    assert kinds("a brolm") == [(toxicity.HINT, 0, 0, 0)]
+    several = lambda t: g.kinds_of(t) >> len(toxicity.KINDS)
+    assert several("brola brola, BROLA") == 0 and several("brola. brolb") == 4 and several("not brola. brolb") == 0 and several("idiot vequa") == 1
     assert toxicity.choose_insults([["idio", "idiot", "x"], ["idio", "idiot", "x"], ["idio", "idiot"]], 2) == ["idiot"]
     w = toxicity.fit_weights(np.array([0, 1, 0]), np.array([0, 1, 1]), np.array([100, 20, 1]))
     assert w[0] < -2 and w[0] + w[1] > 1
 
 
+def naive_kinds(g, text):
+    """Each event of each clause on its own, by looking back from it."""
+    out, words_of = set(), {}
+    for line in text.lower().splitlines():
+        clauses = [[]]
+        for t in line.split():
+            clauses[-1].append(t)
+            if t.endswith(toxicity.ENDS) or not t.strip(toxicity.EDGES):
+                clauses.append([])
+        for clause in clauses:
+            classes = [g.classify(t) & 7 for t in clause]
+            for i, c in enumerate(classes):
+                if c in toxicity.EVENTS:
+                    covered = [opener in classes[max(0, i - n) : i] for opener, n in ((toxicity.NEGATION, toxicity.SCOPE), (toxicity.REPORT, toxicity.REPORTED))]
+                    out.add((c, int(toxicity.TARGET in classes), *map(int, covered)))
+                    if not any(covered):
+                        words_of.setdefault(c, set()).add(clause[i].strip(toxicity.EDGES))
+    return sum(1 << toxicity.KINDS.index(k) for k in out) | sum(1 << len(toxicity.KINDS) + toxicity.EVENTS.index(c) for c, w in words_of.items() if len(w) > 1)
+
+
+def test_toxicity_brute_force():
+    g, rng = grammar(), random.Random(9)
+    words = "a b c d e not nie said wrote you tu kill kill, idiot idiot. vequa vequb brola brolb; calm. - ! said: you, never".split()
+    for _ in range(4000):
+        text = "".join(rng.choice(words) + rng.choice("     \n") for _ in range(rng.randint(0, 30)))
+        assert g.kinds_of(text) == naive_kinds(g, text), text
+
+
+def test_toxicity_switched_off():
+    """Each transducer changes the decision on some text."""
+    lexicon, weights = grammar(), toxicity.fit_weights(np.array([0]), np.array([0]), np.array([50]))
+    score = lambda g, t: 1 / (1 + np.exp(-weights[0] - sum(w for i, w in enumerate(weights[1:]) if g.kinds_of(t) >> i & 1)))
+    cases = {"insult": "a vequa", "threat": "kill you", "hint": "brola, brolb", "target": "not vequa you", "negation": "not an idiot", "report": "she wrote: idiot"}
+    for role, text in cases.items():
+        off = toxicity.Grammar(toxicity.Lexicon(("idiot$", "vequ"), ("brol",)), frozenset({role}))
+        text = text.replace(":", "")
+        assert (score(lexicon, text) >= 0.3) != (score(off, text) >= 0.3) or score(lexicon, text) > score(off, text) + 0.1 or score(lexicon, text) < score(off, text) - 0.1, role
+
+
+def test_toxicity_contexts():
+    counts = {("near", ""): (100, 400), ("near", "barely"): (60, 1), ("near", "the"): (20, 80), ("far", ""): (100, 400), ("far", "claims"): (70, 2), ("around", ""): (200, 200), ("around", "thee"): (1, 60), ("around", "a"): (50, 50)}
+    assert toxicity.choose_contexts(counts) == {"near": ["barely"], "far": ["claims"], "around": ["thee"]}
+    assert toxicity.binomial_tail(4, 1, 0.5) == pytest.approx(5 / 16)
+
+
 def test_toxicity_clauses():
     """Lines end clauses, each event has a kind of its own, and reported speech covers some words alone."""
-    g = toxicity.Grammar(["idiot$", "vequ"])
-    kinds = lambda t: [toxicity.KINDS[i] for i in range(len(toxicity.KINDS)) if g.kinds_of(t) >> i & 1]
+    g = grammar()
+    kinds = lambda t: kinds_in(g, t)
     assert kinds("it is not\nvequta") == [(toxicity.INSULT, 0, 0, 0)] == kinds("said he\r\nvequta\nfor you")
     assert kinds("not vequta, such a vequta") == [(toxicity.INSULT, 0, 0, 0), (toxicity.INSULT, 0, 1, 0)]
     assert kinds("not vequta or vequta then idiot you") == [(toxicity.INSULT, 1, 0, 0), (toxicity.INSULT, 1, 1, 0)]
