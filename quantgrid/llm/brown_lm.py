@@ -1,11 +1,14 @@
 """A Brown class-based n-gram model: exchange clustering, class transitions and word emissions, smoothed perplexity.
 
-Words are ASCII-lower-cased runs of non-space; each text ends with one end token. The most frequent HEAD words, met LEAST times or more, have classes: the
-first EXCHANGE of them by the exchange algorithm over their bigram counts, the others by the class of words met beside them.
-All further words form the tail class. A word's probability is P(class | two classes before) * P(word | class): transitions
-are Witten-Bell smoothed down to the class's unigram mass, emissions are additively smoothed counts, so that unknown words
-have their place in the tail class and all probabilities sum to 1. The counts cover every training text; what is broadcast
-(words and classes of the head, class n-grams) is bounded by HEAD and CLASSES, and the tail is joined by word.
+Words are ASCII-lower-cased runs of non-space; each text ends with one end token. The most frequent `head` words, met `least`
+times or more, have classes by the exchange algorithm over their bigram counts; all further words form the tail class. In each
+round every head word of one part of the vocabulary proposes the class that its neighbours' classes make likeliest; the
+likelihood of the whole is then counted anew, and a round that lowers it is undone and repeated for fewer words, so that it
+never falls. A word's probability is P(class | two classes before) * P(word | class): transitions are Witten-Bell smoothed down
+to the class's unigram mass, emissions are additively smoothed counts, so that unknown words have their place in the tail class
+and all probabilities sum to 1. The counts cover every training text; what is broadcast (words and classes of the head, class
+n-grams) is bounded by `head` and `classes`, and the tail is joined by word. With head at the size of the vocabulary and least
+at 1 every word is clustered.
 """
 
 from __future__ import annotations
@@ -21,16 +24,18 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import groups_of, materialize
+from .line_dedup import mix64
 
 HEAD = 131_072
 LEAST = 3  # occurrences from which a word can be of the head; rarer ones stand for unknown words in training
-EXCHANGE = 2048
 CLASSES = 48
 ROUNDS = 8
+GAIN = 1e-4  # of the likelihood; a round that gains less is the last
 END = b"\n"  # no word holds white space
 FLUSH = 400_000  # distinct words that a task holds before it passes its counts on
-BLOCK = 64  # words of a task in an exchange round
+PACKED_ROWS = 200_000  # bigrams of a packed block of words, on average
+TOGETHER = 64  # words whose moves are weighed together
 ENCODED = "row long, doc_id long, held_out boolean, n_tokens long, ids binary, tail array<string>"
 
 
@@ -119,30 +124,15 @@ def _gathered(batches: Iterator[pa.RecordBatch], code: Callable[[np.ndarray, np.
         yield np.concatenate(held)
 
 
-def pair_rows(limit: int) -> Callable:
-    """Counts of neighbours among the first `limit` ids."""
+def pair_rows(size: int) -> Callable:
+    """Counts of neighbours, of which one at least is one of the first `size` ids."""
 
     def code(ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        good = (ids[:-1] < limit) & (ids[1:] < limit)
+        good = (ids[:-1] < size) | (ids[1:] < size)
         good[starts[1:] - 1] = False
-        return ids[:-1][good] * limit + ids[1:][good]
+        return ids[:-1][good] * (size + 1) + ids[1:][good]
 
-    return lambda batches: _summed(_gathered(batches, code), ["left", "right", "n"], limit)
-
-
-def context_rows(classes: Broadcast, limit: int, size: int) -> Callable:
-    """Counts of (head word, class of a classified neighbour; those on the right after those on the left)."""
-
-    def code(ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        of, width = classes.value, 2 * size
-        near = np.ones(max(len(ids) - 1, 0), bool)
-        near[starts[1:] - 1] = False
-        a, b = ids[:-1][near], ids[1:][near]
-        right = (b < limit) & (a >= limit)
-        left = (a < limit) & (b >= limit)
-        return np.concatenate([a[right] * width + size + of[b[right]], b[left] * width + of[a[left]]])
-
-    return lambda batches: _summed(_gathered(batches, code), ["word", "context", "n"], 2 * size)
+    return lambda batches: _summed(_gathered(batches, code), ["left", "right", "n"], size + 1)
 
 
 def class_triples(ids: np.ndarray, starts: np.ndarray, classes: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -171,85 +161,148 @@ def xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1))
 
 
-def best_moves(word: np.ndarray, other: np.ndarray, right: np.ndarray, n: np.ndarray, classes: np.ndarray, pairs: np.ndarray) -> list[tuple[int, int]]:
-    """(word, class) of the best class for each word, given its neighbours and the counts of class pairs.
+def likelihood(pairs: np.ndarray) -> float:
+    """What classes decide of the bigram likelihood: sum N(c,d) log N(c,d) - sum N(c) log N(c) over both sides."""
+    return float(xlogx(pairs).sum() - xlogx(pairs.sum(1)).sum() - xlogx(pairs.sum(0)).sum())
+
 
-    The gain is that of the exchange algorithm in the likelihood sum N(c,d) log N(c,d) - sum N(c) log N(c) over both sides.
+def best_moves(right: np.ndarray, left: np.ndarray, own: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The best class of each word but the last class, the tail's, and its gain in likelihood over the word's own.
+
+    right[w, c], left[w, c]: how often a word of class c stands after and before the word.
     """
-    size, out = len(pairs), []
-    for w in np.unique(word):
-        mine = word == w
-        side = [np.bincount(classes[other[mine & (right == s)]], n[mine & (right == s)], size) for s in (False, True)]
-        own = classes[w]
-        rest = pairs.copy()
-        rest[own] -= side[1]
-        rest[:, own] -= side[0]
-        rest = np.maximum(rest, 0)
-        after = xlogx(rest + side[1]).sum(1) - xlogx(rest).sum(1) + xlogx(rest + side[0][:, None]).sum(0) - xlogx(rest).sum(0)
-        rows, cols = rest.sum(1), rest.sum(0)
-        cost = xlogx(rows + side[1].sum()) - xlogx(rows) + xlogx(cols + side[0].sum()) - xlogx(cols)
-        out.append((int(w), int(np.argmax(after - cost))))
-    return out
-
-
-def class_pairs(pairs: DataFrame, of: np.ndarray, classes: int) -> np.ndarray:
-    """The counts of class pairs; both tables that are broadcast have a row for each exchanged word."""
-    known = pairs.sparkSession.createDataFrame([(i, int(c)) for i, c in enumerate(of)], "id int, class int")
-    a, b = (F.broadcast(known.select(F.col("id").alias(s), F.col("class").alias(c))) for s, c in (("left", "ca"), ("right", "cb")))
-    table = np.zeros((classes, classes))
-    for r in pairs.join(a, "left").join(b, "right").groupBy("ca", "cb").agg(F.sum("n").alias("n")).collect():
-        table[r["ca"], r["cb"]] = r["n"]
-    return table
-
-
-def mover(of: np.ndarray, table: np.ndarray) -> Callable:
-    def move(rows: pa.Table) -> pa.Table:
-        word, other, right, n = (rows[c].to_numpy() for c in ("word", "other", "right", "n"))
-        found = best_moves(word, other, right, n.astype(float), of, table)
-        return pa.table({"word": pa.array([w for w, _ in found], pa.int32()), "class": pa.array([c for _, c in found], pa.int32())})
-
-    return move
-
-
-def exchange(pairs: DataFrame, words: int, classes: int, rounds: int) -> np.ndarray:
-    """Classes of the first `words` head words from their (left, right, n); in each round one half of the words may move.
-
-    The pair table has words**2 rows at most, whatever the corpus; each task of a round decides for BLOCK words.
+
+    def more(x: np.ndarray, d: np.ndarray) -> np.ndarray:
+        return xlogx(x + d) - xlogx(x)
+
+    best, gain = np.empty(len(own), np.int64), np.empty(len(own))
+    size, usual = len(pairs), xlogx(pairs)
+    for first in range(0, len(own), TOGETHER):
+        part = slice(first, first + TOGETHER)
+        r, l, o = right[part].astype(float), left[part].astype(float), own[part]
+        at = np.arange(len(o))
+        rest = np.repeat(pairs[None], len(o), axis=0)
+        rest[at, o] -= r
+        rest[at, :, o] -= l
+        np.maximum(rest, 0, out=rest)
+        known = np.repeat(usual[None], len(o), axis=0)
+        known[at, o], known[at, :, o] = xlogx(rest[at, o]), xlogx(rest[at, :, o])
+        row, col = (np.repeat(pairs.sum(axis)[None], len(o), axis=0) for axis in (1, 0))
+        row[at, o] -= r.sum(1)
+        col[at, o] -= l.sum(1)
+        both = np.einsum("wcc->wc", rest)
+        value = (xlogx(rest + r[:, None]) - known).sum(2) + (xlogx(rest + l[:, :, None]) - known).sum(1)
+        value += xlogx(both + r + l) - xlogx(both + r) - xlogx(both + l) + xlogx(both)
+        value -= more(row, r.sum(1, keepdims=True)) + more(col, l.sum(1, keepdims=True))
+        best[part] = np.argmax(value[:, : size - 1], 1)
+        gain[part] = value[at, best[part]] - value[at, o]
+    return best, gain
+
+
+PACKED = "block int, words binary, word binary, other binary, n binary"
+
+
+def pack_block(rows: pa.Table) -> pa.Table:
+    """One row of a block's bigrams: its words, and the word (its place in the block; of right neighbours, negative less 1), neighbour and count of each."""
+    press = zstandard.ZstdCompressor(level=1)
+    words, word = np.unique(rows["word"].to_numpy(), return_inverse=True)
+    word = np.where(rows["right"].to_numpy(), -word - 1, word)
+    order = np.argsort(word, kind="stable")
+    columns = [x[order].astype("<i4").tobytes() for x in (word, rows["other"].to_numpy())] + [rows["n"].to_numpy()[order].astype("<i8").tobytes()]
+    return pa.table({"block": pa.array([rows["block"][0].as_py()], pa.int32()), "words": [words.astype("<i4").tobytes()], **{k: [press.compress(x)] for k, x in zip(("word", "other", "n"), columns)}})
+
+
+def unpacked(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(words, place in words or negative, neighbour, count) of each block."""
+    press = zstandard.ZstdDecompressor()
+    for row in batch.to_pylist():
+        yield np.frombuffer(row["words"], "<i4"), *(np.frombuffer(press.decompress(row[k]), t) for k, t in (("word", "<i4"), ("other", "<i4"), ("n", "<i8")))
+
+
+def table_rows(classes: Broadcast, size: int) -> Callable:
+    """Counts of class pairs; neighbours to the right, and to the left those of the tail, which has no block."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, total = classes.value, np.zeros(size * size, np.int64)
+        for batch in batches:
+            for words, word, other, n in unpacked(batch):
+                right = word < 0
+                own, near = of[words[np.where(right, -word - 1, word)]].astype(np.int64), of[other].astype(np.int64)
+                use = right | (near == size - 1)
+                code = np.where(right, own * size + near, near * size + own)[use]
+                total += np.bincount(code, n[use], size * size).astype(np.int64)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used], pa.int64())], ["code", "n"])
+
+    return rows
+
+
+def class_pairs(packed: DataFrame, of: np.ndarray, size: int) -> np.ndarray:
+    """The counts of class pairs, from the packed blocks."""
+    shared = packed.sparkSession.sparkContext.broadcast(of.astype(np.int16))
+    table = np.zeros(size * size)
+    for r in packed.mapInArrow(table_rows(shared, size), "code int, n long").groupBy("code").agg(F.sum("n").alias("n")).collect():
+        table[r["code"]] = r["n"]
+    shared.destroy()
+    return table.reshape(size, size)
+
+
+def move_rows(classes: Broadcast, table: np.ndarray, turn: int, parts: int) -> Callable:
+    """(words, classes): moves that gain likelihood, of the words whose turn it is."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, size = classes.value, len(table)
+        moved = []
+        for batch in batches:
+            for words, word, other, n in unpacked(batch):
+                near, cells = of[other].astype(np.int64), len(words) * size
+                right = word < 0
+                sides = [np.bincount(w * size + near[use], n[use], cells).reshape(len(words), size) for use, w in ((right, -word[right].astype(np.int64) - 1), (~right, word[~right].astype(np.int64)))]
+                mine = np.flatnonzero(mix64(words.astype(np.uint64)) % np.uint64(parts) == turn % parts)
+                best, gain = best_moves(sides[0][mine], sides[1][mine], of[words[mine]].astype(np.int64), table)
+                go = gain > 1e-6
+                moved.append(np.stack([words[mine[go]], best[go]]))
+        found = np.concatenate(moved, 1) if moved else np.zeros((2, 0))
+        yield pa.RecordBatch.from_arrays([pa.array([x.astype("<i4").tobytes()], pa.binary()) for x in found], ["words", "classes"])
+
+    return rows
+
+
+def exchange(pairs: DataFrame, words: int, classes: int, rounds: int) -> tuple[np.ndarray, list[float]]:
+    """Classes of `words` words and of the tail after them, from (left, right, n), and the likelihood after each round.
+
+    The pairs are packed once by blocks of words; a round reads the packed blocks where they lie and shuffles nothing but its
+    moves and one table of classes. Half of the words may move in a round, fewer after one that lost.
     """
+    spark, size = pairs.sparkSession, classes + 1
     near = pairs.select(F.col("left").alias("word"), F.col("right").alias("other"), F.lit(True).alias("right"), "n").unionByName(
         pairs.select(F.col("right").alias("word"), F.col("left").alias("other"), F.lit(False).alias("right"), "n")
     )
-    near = materialize(near.withColumn("block", (F.col("word") / BLOCK).cast("int")))
-    of = np.arange(words) % classes
+    blocks = groups_of(2 * pairs.count(), PACKED_ROWS)
+    near = near.where(F.col("word") < words).withColumn("block", F.pmod(F.xxhash64("word"), F.lit(blocks)).cast("int"))
+    packed = materialize(near.groupBy("block").applyInArrow(pack_block, PACKED))
+    of = np.append(np.arange(words) % classes, classes)
+    table = class_pairs(packed, of, size)
+    now, parts = likelihood(table), 2
+    history = [now]
     for turn in range(rounds):
-        table = class_pairs(pairs, of, classes)
-
-        half = near.where((F.hash("word") % 2 == 0) if turn % 2 else (F.hash("word") % 2 != 0))
-        moved = half.groupBy("block").applyInArrow(mover(of, table), "word int, class int").collect()
+        shared = spark.sparkContext.broadcast(of.astype(np.int16))
         new = of.copy()
-        for r in moved:
-            new[r["word"]] = r["class"]
-        if turn and (new == of).all():
+        for r in packed.mapInArrow(move_rows(shared, table, turn, parts), "words binary, classes binary").collect():
+            new[np.frombuffer(r["words"], "<i4")] = np.frombuffer(r["classes"], "<i4")
+        shared.destroy()
+        after = class_pairs(packed, new, size)
+        value = likelihood(after)
+        if value < now:
+            parts *= 2
+            history.append(now)
+            continue
+        small = value - now < GAIN * abs(now)
+        of, table, now = new, after, value
+        history.append(now)
+        if small and turn:
             break
-        of = new
-    return of
-
-
-def place_rest(contexts: DataFrame, of: np.ndarray, table: np.ndarray) -> list:
-    """(word, class) for head words outside the exchange: the class whose neighbours resemble theirs most."""
-    size = len(table)
-    right = np.log((table + 0.1) / (table + 0.1).sum(1, keepdims=True))  # [class, class after]
-    left = np.log((table + 0.1) / (table + 0.1).sum(0, keepdims=True)).T  # [class, class before]
-    fit = np.concatenate([left, right], 1)
-
-    def choose(rows: pa.Table) -> pa.Table:
-        word, context, n = (rows[c].to_numpy() for c in ("word", "context", "n"))
-        words, at = np.unique(word, return_inverse=True)
-        near = np.zeros((len(words), 2 * size))
-        np.add.at(near, (at, context), n)
-        return pa.table({"word": pa.array(words, pa.int32()), "class": pa.array(np.argmax(near @ fit.T, 1), pa.int32())})
-
-    return contexts.withColumn("block", (F.col("word") / 512).cast("int")).groupBy("block").applyInArrow(choose, "word int, class int").collect()
+    return of, history
 
 
 def transition_gain(triples: np.ndarray, mass: np.ndarray) -> np.ndarray:
@@ -287,48 +340,69 @@ def score_rows(model: Broadcast) -> Callable:
     return rows
 
 
-def score_texts(docs: DataFrame, held_out: Column, *, doc_id: str = "doc_id", text: str = "text", head: int = HEAD, exchanged: int = EXCHANGE, classes: int = CLASSES, rounds: int = ROUNDS) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity) of each row.
+class Learned(NamedTuple):
+    """The counts that a score needs. triples[b, a, c]: how often class c follows classes b and a, in this order."""
 
-    The model learns from the rows that aren't held out (null counts as not). Null and empty texts have the end token alone.
-    Without training rows all words are unknown and score equals base_score.
-    """
-    spark = docs.sparkSession
-    slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text).alias("text"))
-    vocabulary = materialize(slim.where(~F.col("held_out")).select("text").mapInArrow(word_rows, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
-    total = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    top = vocabulary.where(F.col("n") >= LEAST).orderBy(F.desc("n"), "word").limit(head).collect()
-    lead = Head([r["word"].encode() for r in top], np.array([r["n"] for r in top], np.int64))
-    encoder = spark.sparkContext.broadcast(lead)
-    encoded = materialize(slim.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "held_out", "text").mapInArrow(encode_rows(encoder), ENCODED))
-    train = encoded.where(~F.col("held_out")).select("ids")
+    head: Head
+    classes: np.ndarray
+    history: list[float]
+    triples: np.ndarray
+    end: int
+    tokens: int
+    slots: float
 
-    size, exchanged = len(lead.words), min(exchanged, len(lead.words))
-    of = np.zeros(size + 1, np.int64)
-    of[size] = classes
-    if exchanged:
-        pairs = materialize(train.mapInArrow(pair_rows(exchanged), "left int, right int, n long").groupBy("left", "right").agg(F.sum("n").alias("n")))
-        of[:exchanged] = exchange(pairs, exchanged, classes, rounds)
-        table = class_pairs(pairs, of[:exchanged], classes)
-        shared = spark.sparkContext.broadcast(of[:exchanged])
-        contexts = train.mapInArrow(context_rows(shared, exchanged, classes), "word int, context int, n long").where(F.col("word") < size)
-        of[exchanged:size] = np.arange(exchanged, size) % classes  # for words that never stand beside the first
-        for r in place_rest(contexts.groupBy("word", "context").agg(F.sum("n").alias("n")), of, table):
-            of[r["word"]] = r["class"]
+
+def learn(encoded: DataFrame, lead: Head, tokens: int, kinds: int, *, classes: int, rounds: int) -> Learned:
+    """Classes and class n-grams from the encoded rows that aren't held out; `tokens` and `kinds` of the training tokens."""
+    spark = encoded.sparkSession
+    train = encoded.where(~F.col("held_out")).select("ids")
+    size, wide = len(lead.words), classes + 1
+    of, history = np.full(size + 1, classes), []
+    if size:
+        pairs = train.mapInArrow(pair_rows(size), "left int, right int, n long").groupBy("left", "right").agg(F.sum("n").alias("n"))
+        of, history = exchange(materialize(pairs), size, classes, rounds)
     end = int(of[lead.words.index(END)]) if END in lead.words else classes
-    wide = classes + 1
     shared = spark.sparkContext.broadcast(of)
     triples = np.zeros(wide**3, np.int64)
     for r in train.mapInArrow(triple_rows(shared, end, wide), "code int, n long").groupBy("code").agg(F.sum("n").alias("n")).collect():
         triples[r["code"]] = r["n"]
+    return Learned(lead, of, history, triples.reshape(wide, wide, wide), end, tokens, tokens + 0.5 * (kinds + 1))
+
 
-    slots = total["n"] + 0.5 * (total["v"] + 1)
-    share = (lead.counts + 0.5) / slots
-    mass = np.bincount(of[:size], share, wide)
-    mass[classes] = max(1 - mass[:classes].sum(), 0.5 / slots)
+def scorer(learned: Learned) -> Scorer:
+    """Emissions and transition gains; the tail class has the mass that the head leaves."""
+    size, wide = len(learned.head.words), len(learned.triples)
+    share = (learned.head.counts + 0.5) / learned.slots
+    mass = np.bincount(learned.classes[:size], share, wide)
+    mass[-1] = max(1 - mass[:-1].sum(), 0.5 / learned.slots)
     mass = np.maximum(mass, 1e-12)  # a class without words is never met
-    gain = transition_gain(triples.reshape(wide, wide, wide), mass)
-    model = spark.sparkContext.broadcast(Scorer(np.append(np.log10(share), 0.0), of, gain, end))
+    return Scorer(np.append(np.log10(share), 0.0), learned.classes, transition_gain(learned.triples, mass), learned.end)
+
+
+def encode(docs: DataFrame, held_out: Column, *, doc_id: str = "doc_id", text: str = "text", head: int = HEAD, least: int = LEAST) -> tuple[DataFrame, DataFrame, Head, int, int]:
+    """Rows as ids of the head's words; the vocabulary (word, n) of the training rows; its head, tokens and distinct words."""
+    spark = docs.sparkSession
+    slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text).alias("text"))
+    vocabulary = materialize(slim.where(~F.col("held_out")).select("text").mapInArrow(word_rows, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    total = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
+    top = vocabulary.where(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(head).collect()
+    lead = Head([r["word"].encode() for r in top], np.array([r["n"] for r in top], np.int64))
+    shared = spark.sparkContext.broadcast(lead)
+    encoded = slim.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "held_out", "text").mapInArrow(encode_rows(shared), ENCODED)
+    return materialize(encoded), vocabulary, lead, total["n"], total["v"]
+
+
+def score_texts(docs: DataFrame, held_out: Column, *, doc_id: str = "doc_id", text: str = "text", head: int = HEAD, least: int = LEAST, classes: int = CLASSES, rounds: int = ROUNDS) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity) of each row.
+
+    The model learns from the rows that aren't held out (null counts as not). Null and empty texts have the end token alone.
+    Without training rows all words are unknown and score equals base_score. Rows that repeat an id are scored each; other
+    columns of docs don't matter.
+    """
+    encoded, vocabulary, lead, tokens, kinds = encode(docs, held_out, doc_id=doc_id, text=text, head=head, least=least)
+    learned = learn(encoded, lead, tokens, kinds, classes=classes, rounds=rounds)
+    slots = learned.slots
+    model = docs.sparkSession.sparkContext.broadcast(scorer(learned))
     whole = encoded.select("row", "doc_id", "held_out", "n_tokens", "ids").mapInArrow(score_rows(model), "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, gain double")
 
     rare = encoded.select("row", F.explode("tail").alias("word"))
@@ -343,7 +417,7 @@ def score_texts(docs: DataFrame, held_out: Column, *, doc_id: str = "doc_id", te
         "held_out",
         "n_tokens",
         (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
-        F.lit(total["n"]).cast("long").alias("train_tokens"),
+        F.lit(tokens).cast("long").alias("train_tokens"),
         base.alias("base_score"),
         score.alias("score"),
         F.pow(F.lit(10.0), -score / F.col("n_tokens")).alias("perplexity"),
