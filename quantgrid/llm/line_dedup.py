@@ -2,8 +2,9 @@
 
 Lines are counted by 128-bit hashes of their keys. The distinct hashes that reach the threshold are dealt into shards; each
 shard builds a minimal perfect hash (levels of bit arrays, one rank each) that indexes arrays of fingerprints, counts and
-keepers. Documents send the hashes of their lines to the shards, dealt anew by groups of documents so that no common line
-gathers in a task, and get back those that they lose; no line text is ever joined or shuffled.
+keepers. Documents send each hash of their lines once, to its shard, and get back those that they lose; no line text is ever
+joined or shuffled. A shard that more hashes go to than PART_LINES is copied to as many parts, and its documents are dealt over these.
+So what is shuffled grows with the lines, and no common line gathers in a task.
 """
 
 from __future__ import annotations
@@ -14,13 +15,13 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import SPACES, groups_of, materialize
 
 SHARD_LINES = 200_000
-GROUP_DOCS = 2048
+PART_LINES = 500_000  # hashes that probe one copy of a shard
 NOBODY = -(1 << 63)  # stands for a null doc_id
 MINE = ("n_lines", "n_dropped")
 
@@ -118,19 +119,19 @@ def line_rows(min_chars: int) -> Callable:
     return rows
 
 
-def probe_rows(min_chars: int, shards: int, groups: int) -> Callable:
-    """(shard, part, doc_id, keys) for each document and shard that its long lines belong to."""
+def probe_rows(min_chars: int, parts: np.ndarray) -> Callable:
+    """(shard, part, doc_id, tie, keys) for each document and shard that its long lines belong to; a shard has parts[shard] parts."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for doc, text in zip(batch["doc_id"].to_pylist(), texts_of(batch["text"])):
+            for doc, tie, text in zip(batch["doc_id"].to_pylist(), batch["tie"].to_pylist(), texts_of(batch["text"])):
                 words = np.frombuffer(b"".join(sorted({*line_keys(text, min_chars)} - {b""})), "<u8").reshape(-1, 2)
-                part = int(mix64(np.array([(doc or 0) % (1 << 64)], np.uint64))[0] % groups)
-                home = words[:, 0] % np.uint64(shards)
-                out += [(int(s), part, doc, words[home == s].tobytes()) for s in np.unique(home)]
-            columns = list(zip(*out)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.int64(), pa.binary()))], ["shard", "part", "doc_id", "keys"])
+                home = words[:, 0] % np.uint64(len(parts))
+                salt = int(mix64(np.array([((doc or 0) ^ tie) % (1 << 64)], np.uint64))[0])
+                out += [(int(s), salt % int(parts[s]), doc, tie, words[home == s].tobytes()) for s in np.unique(home)]
+            columns = list(zip(*out)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()))], ["shard", "part", "doc_id", "tie", "keys"])
 
     return rows
 
@@ -142,8 +143,8 @@ def build_shard(lines: pa.Table) -> pa.Table:
 
 
 def probe_shard(probes: pa.Table, shards: pa.Table) -> pa.Table:
-    """(doc_id, lost): the keys that each document loses."""
-    kinds = pa.schema([("doc_id", pa.int64()), ("lost", pa.binary())])
+    """(doc_id, tie, lost): the keys that each document loses."""
+    kinds = pa.schema([("doc_id", pa.int64()), ("tie", pa.int64()), ("lost", pa.binary())])
     if not probes.num_rows or not shards.num_rows:
         return kinds.empty_table()
     index = LineIndex.load(shards["index"][0].as_py())
@@ -155,10 +156,10 @@ def probe_shard(probes: pa.Table, shards: pa.Table) -> pa.Table:
     words, doc = words[lost], doc[lost]
     rows, first = np.unique(doc, return_index=True)
     parts = [x.tobytes() for x in np.split(words, first[1:])] if len(rows) else []
-    return pa.table([probes["doc_id"].combine_chunks().take(pa.array(rows)), pa.array(parts, pa.binary())], schema=kinds)
+    return pa.table([*(probes[c].combine_chunks().take(pa.array(rows)) for c in ("doc_id", "tie")), pa.array(parts, pa.binary())], schema=kinds)
 
 
-def drop_lines(text: str, min_chars: int) -> Callable:
+def drop_lines(text: str, min_chars: int, names: tuple[str, str]) -> Callable:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept, counts = [], []
@@ -170,38 +171,46 @@ def drop_lines(text: str, min_chars: int) -> Callable:
                 counts.append((len(lines), len(lines) - len(stay)))
             n = batch.schema.get_field_index(text)
             batch = batch.set_column(n, pa.field(text, pa.string()), pa.array(kept, pa.string())).drop_columns(["__lost"])
-            for i, name in enumerate(MINE):
+            for i, name in enumerate(names):
                 batch = batch.append_column(name, pa.array([c[i] for c in counts], pa.int64()))
             yield batch
 
     return rows
 
 
-def count_lines(docs: DataFrame, *, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
-    """(a, b, n, keeper): hash, rows and largest doc_id of each line key of enough code points found in enough rows."""
+def count_lines(docs: DataFrame, *, min_chars: int = 40) -> DataFrame:
+    """(a, b, n, keeper): hash, rows and largest doc_id of each line key of enough code points."""
     lines = docs.select("doc_id", "text").mapInArrow(line_rows(min_chars), "a long, b long, doc_id long")
-    return lines.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs)
+    return lines.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keeper"))
 
 
-def dedup_lines(docs: DataFrame, *, min_chars: int = 40, min_docs: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Drop lines that many documents share from all but the one of the largest id; add n_lines and n_dropped.
+def dedup_lines(docs: DataFrame, *, min_chars: int = 40, min_docs: int = 5, doc_id: str = "doc_id", text: str = "text", names: tuple[str, str] = MINE) -> DataFrame:
+    """Drop lines that many documents share from all but the one of the largest id; add their numbers, n_lines and n_dropped.
 
     A line's key is the line without ASCII white space at its ends and with A-Z lower-cased. Keys of at least min_chars code
     points found in at least min_docs rows lose all their lines but those of the largest doc_id that holds them. Null texts
     count as empty: one empty line. Rows of a null id lose such lines unless only such rows hold them; rows that repeat an id
-    are separate documents with one fate. Columns called n_lines or n_dropped are replaced, others stay.
+    are separate documents with one fate. Columns called as `names` are replaced, others stay.
     """
-    docs = docs.drop(*MINE)
-    slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    repeated = materialize(count_lines(slim, min_chars=min_chars, min_docs=min_docs))
-    shards, groups = groups_of(repeated.count(), SHARD_LINES), groups_of(docs.count(), GROUP_DOCS)
+    docs = docs.drop(*names)
+    tie = F.xxhash64(F.col(text))  # with the id it tells rows apart, null ids too
+    slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), tie.alias("tie"), F.col(text).alias("text"))
+    seen = Observation()
+    counted = count_lines(slim, min_chars=min_chars).observe(seen, F.coalesce(F.sum("n"), F.lit(0)).alias("lines"))
+    repeated = materialize(counted.where(F.col("n") >= min_docs))
+    shards = groups_of(repeated.count(), SHARD_LINES)
     # unsigned remainder, as numpy takes it
     home = F.expr(f"cast((pmod(a, {shards}) + if(a < 0, pmod(pmod(9223372036854775807, {shards}) * 2 + 2, {shards}), 0)) % {shards} as int)")
-    index = repeated.withColumn("shard", home).groupBy("shard").applyInArrow(build_shard, "shard int, index binary")
-    index = index.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    probes = slim.mapInArrow(probe_rows(min_chars, shards, groups), "shard int, part int, doc_id long, keys binary")
-    lost = probes.groupBy("shard", "part").cogroup(index.groupBy("shard", "part")).applyInArrow(probe_shard, "doc_id long, lost binary")
-    lost = lost.groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_set("lost").alias("__lost"))
-    joined = docs.join(lost, F.col(doc_id).eqNullSafe(F.col("__doc")), "left").drop("__doc")
+    repeated = repeated.withColumn("shard", home)
+    parts = np.full(shards, groups_of(seen.get["lines"] // shards, PART_LINES), np.int64)
+    for r in repeated.groupBy("shard").agg(F.sum("n").alias("n")).where(F.col("n") > PART_LINES).collect():  # a row a shard at most
+        parts[r["shard"]] += r["n"] // PART_LINES
+    index = repeated.groupBy("shard").applyInArrow(build_shard, "shard int, index binary")
+    copies = docs.sparkSession.createDataFrame([(i, int(n)) for i, n in enumerate(parts)], "shard int, parts int")  # a row a shard
+    index = index.join(F.broadcast(copies), "shard").select("shard", "index", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    probes = slim.mapInArrow(probe_rows(min_chars, parts), "shard int, part int, doc_id long, tie long, keys binary")
+    lost = probes.groupBy("shard", "part").cogroup(index.groupBy("shard", "part")).applyInArrow(probe_shard, "doc_id long, tie long, lost binary")
+    lost = lost.groupBy(F.col("doc_id").alias("__doc"), F.col("tie").alias("__tie")).agg(F.collect_set("lost").alias("__lost"))
+    joined = docs.join(lost, F.col(doc_id).eqNullSafe(F.col("__doc")) & (tie == F.col("__tie")), "left").drop("__doc", "__tie")
     fields = ", ".join(f"`{f.name}` {'string' if f.name == text else f.dataType.simpleString()}" for f in docs.schema.fields)
-    return joined.mapInArrow(drop_lines(text, min_chars), f"{fields}, n_lines long, n_dropped long")
+    return joined.mapInArrow(drop_lines(text, min_chars, names), f"{fields}, `{names[0]}` long, `{names[1]}` long")
