@@ -1,10 +1,16 @@
 """N-gram Jaccard join: a MinHash LSH forest over five-word shingles, verified exactly.
 
 Documents of equal shingle sets form a class, which is searched once. Each tree of the forest labels a class with a sequence of
-min-hashes; classes meet where they share a prefix. Prefixes start at full depth and are shortened until the chance that a pair
-at the threshold meets in some tree reaches the target recall. Classes that meet, of like size and like signature, are chained
-into families, so that each family's texts come together once; there all pairs are compared by their whole shingle sets.
-Large meeting places and families are dealt out as pairs of blocks. Pairs are counted where they are compared, not emitted.
+DEPTH min-hashes. Classes that share a tree's shortest prefix, the longest one at which a pair at the threshold meets in some
+tree with the target recall, are the members of a trie: they are sorted by their whole sequences, so that longer prefixes are
+runs of neighbours. A class looks at those first that share all of its sequence; it shortens the prefix level by level until
+the recall estimated from the likeness of those it has met reaches the target, or down to the shortest prefix. Classes that
+meet, of like size and like signature, are chained into families, so that each family's texts come together once; there all
+pairs are compared by their whole shingle sets. Large tries and families are dealt out as pairs of blocks. Pairs are counted
+where they are compared, not emitted.
+
+Signatures come from one hash of each shingle: it falls into one of TREES * DEPTH bins, whose least value is the min-hash; an
+empty bin takes the value of the filled bin that comes first in an order of its own.
 """
 
 from __future__ import annotations
@@ -24,7 +30,7 @@ WORDS = 5
 TREES, DEPTH = 24, 8
 BLOCK = 256  # classes of a block
 CELL_ROWS = 4096  # rows of a task's cell of small groups
-LOOSE = 0.6  # share of equal min-hashes from which a pair is looked at
+SIGMAS = 5  # a pair is looked at from the share of equal min-hashes that lies so far below the threshold
 #: A list of at most so many ids is broadcast; a longer one is joined by a shuffle.
 BROADCAST_ROWS = 200_000
 KEPT = 500_000  # words whose hash a worker keeps
@@ -33,13 +39,25 @@ STEP = np.uint64(0x9E3779B97F4A7C15)
 _words: dict[bytes, int] = {}
 
 
+def meeting(likeness: np.ndarray | float, depth: int, trees: int) -> np.ndarray | float:
+    """The chance that pairs of such likeness share a prefix of `depth` in one of the trees."""
+    return 1 - (1 - likeness**depth) ** trees
+
+
 def prefix_depth(threshold: float, recall: float, trees: int = TREES, depth: int = DEPTH) -> int:
-    """The longest prefix at which a pair at the threshold meets in one of the trees with probability `recall`."""
-    while depth > 1 and 1 - (1 - threshold**depth) ** trees < recall:
+    """The longest prefix at which a pair at the threshold meets in one of the trees with probability `recall`; ValueError if there is none."""
+    while depth and meeting(threshold, depth, trees) < recall:
         depth -= 1
+    if not depth:
+        raise ValueError(f"{trees} trees can't reach a recall of {recall} at a threshold of {threshold}; take more trees")
     return depth
 
 
+def loose(threshold: float, hashes: int) -> float:
+    """The share of equal min-hashes that a pair at the threshold falls below about once in 3 million times."""
+    return threshold - SIGMAS * (threshold * (1 - threshold) / hashes) ** 0.5
+
+
 def shingles(text: bytes, width: int = WORDS) -> np.ndarray:
     """Distinct 64-bit hashes, ascending, of the runs of `width` words; a shorter text is one run, one without words none.
 
@@ -63,45 +81,55 @@ def shingles(text: bytes, width: int = WORDS) -> np.ndarray:
     return np.unique(mix64(s))
 
 
-def minhash_family(count: int) -> tuple[np.ndarray, np.ndarray]:
-    seeds = mix64(np.arange(1, 2 * count + 1, dtype=np.uint64) * STEP)
-    return seeds[:count] | np.uint64(1), seeds[count:]
+def donors(bins: int) -> np.ndarray:
+    """order[i]: the rank of each bin as a donor for bin i."""
+    grid = mix64((np.arange(bins, dtype=np.uint64)[:, None] << np.uint64(32)) + np.arange(bins, dtype=np.uint64) + np.uint64(1))
+    return np.argsort(np.argsort(grid, axis=1), axis=1).astype(np.int16)
 
 
-def signature(s: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The least of each hash function over a set that isn't empty, in 32 bits."""
-    out = np.full(len(a), np.uint64(0xFFFFFFFFFFFFFFFF))
-    with np.errstate(over="ignore"):
-        for i in range(0, len(s), 2048):
-            out = np.minimum(out, (s[i : i + 2048, None] * a + b).min(0))
-    return (out >> np.uint64(32)).astype(np.uint32)
+def signature(s: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """The min-hash of each bin over ascending hashes, in 32 bits; an empty bin takes that of its first donor."""
+    bins = len(order)
+    out, filled = np.zeros(bins, np.uint64), np.zeros(bins, bool)
+    place = (s % np.uint64(bins)).astype(np.int64)[::-1]
+    out[place] = s[::-1]  # of several values for one bin the last counts: the least
+    filled[place] = True
+    empty, full = np.flatnonzero(~filled), np.flatnonzero(filled)
+    if len(empty):
+        out[empty] = out[full[np.argmin(order[np.ix_(empty, full)], axis=1)]]
+    return (mix64(out) >> np.uint64(32)).astype(np.uint32)
 
 
 def _texts(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()]
 
 
-def signature_rows(trees: int, depth: int) -> Callable:
-    """(doc_id, shingle_set, n, keys, bytes): the set's hash and size, each tree's prefix as a key, the signature's low bytes."""
+def signature_rows(trees: int, depth: int, prefix: int) -> Callable:
+    """(doc_id, shingle_set, n, keys, bytes): the set's hash and size, each tree's shortest prefix as a key, the signature's low bytes."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = minhash_family(trees * depth)
+        order = donors(trees * depth)
         salt = mix64(np.arange(trees, dtype=np.uint64) * STEP)
         kinds = pa.schema([("doc_id", pa.int64()), ("shingle_set", pa.binary()), ("n", pa.int32()), ("keys", pa.list_(pa.int64())), ("bytes", pa.binary())])
         for batch in batches:
-            out: list[tuple] = []
-            for doc, text in zip(batch["doc_id"].to_pylist(), _texts(batch["text"])):
+            names, sizes, found = [], [], []
+            for text in _texts(batch["text"]):
                 s = shingles(text)
-                if not len(s):
-                    out.append((doc, None, 0, None, None))
-                    continue
-                sig = signature(s, a, b)
-                key = salt.copy()
-                with np.errstate(over="ignore"):
-                    for level in sig.reshape(trees, depth).T:
-                        key = mix64((key ^ level) * STEP)
-                out.append((doc, xxhash.xxh3_128_digest(s.tobytes()), len(s), key.view(np.int64).tolist(), (sig & 255).astype(np.uint8).tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*out)) or [[]] * 5, kinds)], schema=kinds)
+                sizes.append(len(s))
+                names.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
+                if len(s):
+                    found.append(signature(s, order))
+            sig = np.array(found, np.uint32).reshape(len(found), trees, depth)
+            key = np.repeat(salt[None], len(found), axis=0)
+            with np.errstate(over="ignore"):
+                for level in range(prefix):
+                    key = mix64((key ^ sig[:, :, level]) * STEP)
+            some = np.array(sizes) > 0
+            ends = np.concatenate([[0], np.cumsum(np.where(some, trees, 0))])
+            keys = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(key.view(np.int64).ravel(), pa.int64()))
+            marks = iter((sig & 255).astype(np.uint8).reshape(len(found), -1))
+            low = pa.array([next(marks).tobytes() if x else None for x in some], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(names, pa.binary()), pa.array(sizes, pa.int32()), keys, low], schema=kinds)
 
     return rows
 
@@ -144,24 +172,56 @@ def allowed(n: np.ndarray, side: np.ndarray, cross: bool, threshold: float) -> n
     return out & (side[:, None] != side[None]) if cross else out
 
 
-def chain_cell(threshold: float) -> Callable:
-    """(node, root): members of a cell's meeting places and the least id that they are chained to."""
+def chain_trie(levels: np.ndarray, marks: np.ndarray, ok: np.ndarray, shortest: int, trees: int, recall: float, least: float) -> np.ndarray:
+    """The symmetric matrix of pairs of a trie that meet and are alike.
+
+    levels: what follows the shortest prefix in each member's sequence. From the whole sequence on, members whose estimated
+    recall is below the target look at those that they share one level less with.
+    """
+    m, longest = len(levels), shortest + levels.shape[1]
+    order = np.lexsort(levels.T[::-1]) if levels.shape[1] else np.arange(m)
+    same = levels[order[1:]] == levels[order[:-1]]
+    shared = shortest + np.cumprod(same, axis=1).sum(1)  # levels that neighbours share
+    linked, open_ = np.zeros((m, m), bool), np.ones(m, bool)
+    met, weight = np.zeros(m), np.zeros(m)
+    inner = np.arange(m)
+    for depth in range(longest, shortest - 1, -1):
+        run = np.empty(m, np.int64)
+        run[order] = np.concatenate([[0], np.cumsum(shared < depth)])
+        new = (run[:, None] == run) & ((inner[:, None] != inner) if depth < longest else True) & ok & (open_[:, None] | open_)
+        inner = run
+        i, j = np.nonzero(np.triu(new))
+        if not len(i):
+            continue
+        like = np.concatenate([(marks[i[k : k + 8192]] == marks[j[k : k + 8192]]).mean(1) for k in range(0, len(i), 8192)])
+        near = like >= least
+        i, j = i[near], j[near]
+        linked[i, j] = linked[j, i] = True
+        one = 1 / np.maximum(meeting(like[near], depth, trees), 1e-9)
+        for side in (i, j):
+            met += np.bincount(side, minlength=m)
+            weight += np.bincount(side, one, m)
+        open_ = met < recall * weight if recall < 1 else open_
+        open_ |= met == 0
+    return linked
+
+
+def chain_cell(threshold: float, recall: float, trees: int, depth: int) -> Callable:
+    """(a, b): members of a cell's tries and the least id that they are chained to."""
+    shortest, least = prefix_depth(threshold, recall, trees, depth), loose(threshold, trees * depth)
 
     def chain(rows: pa.Table) -> pa.Table:
-        key, node, n, side, cross = (rows[c].to_numpy() for c in ("key", "node", "n", "side", "cross"))
-        marks = np.frombuffer(b"".join(rows["bytes"].to_pylist()), np.uint8).reshape(len(node), -1)
+        key, tree, node, n, side, cross = (rows[c].to_numpy() for c in ("key", "tree", "node", "n", "side", "cross"))
+        marks = np.frombuffer(b"".join(rows["bytes"].to_pylist()), np.uint8).reshape(len(node), trees * depth)
         found: list[np.ndarray] = []
         for at in runs_of(key):
             if len(at) < 2:
                 continue
             ok = allowed(n[at], side[at], bool(cross[at[0]]), threshold)
-            i, j = np.nonzero(np.triu(ok))
-            if not len(i):
+            if not ok.any():
                 continue
-            m = marks[at]
-            like = np.concatenate([(m[i[k : k + 8192]] == m[j[k : k + 8192]]).mean(1) for k in range(0, len(i), 8192)]) >= LOOSE
-            linked = np.zeros(ok.shape, bool)
-            linked[i[like], j[like]] = linked[j[like], i[like]] = True
+            levels = marks[at].reshape(len(at), trees, depth)[:, tree[at[0]], shortest:]
+            linked = chain_trie(levels, marks[at], ok, shortest, trees, recall, least)
             root = smallest_linked(linked, node[at])
             moved = root != node[at]
             found.append(np.stack([node[at][moved], root[moved]]))
@@ -246,27 +306,29 @@ def _few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def jaccard_join(docs: DataFrame, *, threshold: float = 0.8, recall: float = 0.9999, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def jaccard_join(docs: DataFrame, *, threshold: float = 0.8, recall: float = 0.9999, trees: int = TREES, depth: int = DEPTH, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, class_id, n_copies, n_links, n_linked_docs, group_id) for each row.
 
     class_id: the least doc_id of equal shingle sets, of n_copies rows; n_links: other classes at the threshold or above, with
     n_linked_docs rows; group_id: the least doc_id that links lead to. Rows without words or id are in no class with others: class
     and group are their own id, without links. Rows that repeat an id with different texts are in classes of their own, in one
-    group. A pair at the threshold is found with probability `recall` at least, a closer one with more.
+    group. A pair at the threshold meets with probability `recall` in a class that has met no other; one that has met closer
+    classes alone may stop at longer prefixes, at which the same pair meets with probability 0.98 (24 trees of depth 8 at 0.8).
+    ValueError if the trees can't reach the recall. Other columns of docs don't matter.
     """
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    depth = prefix_depth(threshold, recall)
-    rows = materialize(slim.mapInArrow(signature_rows(TREES, depth), "doc_id long, shingle_set binary, n int, keys array<long>, bytes binary"))
+    prefix = prefix_depth(threshold, recall, trees, depth)
+    rows = materialize(slim.mapInArrow(signature_rows(trees, depth, prefix), "doc_id long, shingle_set binary, n int, keys array<long>, bytes binary"))
     some = rows.where("doc_id is not null and shingle_set is not null")
     classes = some.groupBy("shingle_set").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("bytes").alias("bytes"))
     classes = materialize(classes)
 
-    met = classes.select("node", F.explode("keys").alias("key"))
+    met = classes.select("node", F.posexplode("keys").alias("tree", "key"))
     places = met.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     met = materialize(met.join(places, "key"))
     cells = groups_of(met.count(), CELL_ROWS)
     marked = met.join(classes.select("node", "n", "bytes"), "node")
-    chained = dealt(marked, "key", "size", "node", cells).groupBy("cell").applyInArrow(chain_cell(threshold), "a long, b long")
+    chained = dealt(marked, "key", "size", "node", cells).groupBy("cell").applyInArrow(chain_cell(threshold, recall, trees, depth), "a long, b long")
     families = components(chained)
 
     roots = families.select(F.col("root").alias("node"), F.col("root").alias("family")).distinct()
