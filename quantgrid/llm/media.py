@@ -37,7 +37,8 @@ class Track(NamedTuple):
 
 def box(kind: bytes, *parts: bytes) -> bytes:
     body = b"".join(parts)
-    return struct.pack(">I4s", len(body) + 8, kind) + body
+    size = len(body) + 8
+    return (struct.pack(">I4s", size, kind) if size < 1 << 32 else struct.pack(">I4sQ", 1, kind, size + 8)) + body
 
 
 def full(kind: bytes, *parts: bytes) -> bytes:
@@ -86,13 +87,17 @@ def container(payload: bytes) -> bytes:
         )
 
     ftyp = box(b"ftyp", b"isom", struct.pack(">I", 512), b"isomiso2")
-    base = len(ftyp) + len(moov(0)) + 8
+    base = len(ftyp) + len(moov(0)) + (8 if len(payload) + 8 < 1 << 32 else 16)
     return ftyp + moov(base) + box(b"mdat", payload)
 
 
 def walk(data: bytes, start: int, end: int) -> Iterator[tuple[bytes, int, int]]:
-    """(kind, first byte, end) of each box body from start to end, those in containers too; ValueError on a bad size."""
-    while start < end:
+    """(kind, first byte, end) of each box body from start to end, those in containers too, however deep; ValueError on a bad size."""
+    open_ = [(start, end)]
+    while open_:
+        start, end = open_.pop()
+        if start >= end:
+            continue
         if end - start < 8:
             raise ValueError("truncated box header")
         length, kind = struct.unpack_from(">I4s", data, start)
@@ -106,9 +111,9 @@ def walk(data: bytes, start: int, end: int) -> Iterator[tuple[bytes, int, int]]:
         if length < head or start + length > end:
             raise ValueError(f"bad size of box {kind!r}")
         yield kind, start + head, start + length
+        open_.append((start + length, end))
         if kind in CONTAINERS:
-            yield from walk(data, start + head, start + length)
-        start += length
+            open_.append((start + head, start + length))
 
 
 def numbers(data: bytes, at: int, end: int, kind: str, count: int) -> np.ndarray:
@@ -146,11 +151,15 @@ def decode(data: bytes, boxes: dict[bytes, tuple[int, int]]) -> Track:
     codec = data[at + 12 : at + 16].decode("latin-1")
     at, end = boxes[b"stsz"]
     one, count = (int(x) for x in numbers(data, at + 4, end, ">u4", 2))
+    if one and one * count > len(data):  # before anything of that length is made
+        raise ValueError("a sample lies beyond the end")
     sizes = np.full(count, one, np.int64) if one else numbers(data, at + 12, end, ">u4", count)
     chunk_at = rows(b"co64", 1, ">u8")[:, 0] if b"co64" in boxes else rows(b"stco", 1)[:, 0]
     runs = rows(b"stsc", 3)
     per = np.zeros(len(chunk_at), np.int64)
     for i, (first, units, _) in enumerate(runs):
+        if first < 1 or units * len(per) > 1 << 40:
+            raise ValueError("sample tables disagree")
         per[first - 1 : runs[i + 1][0] - 1 if i + 1 < len(runs) else None] = units
     if per.sum() != count or rows(b"stts", 2)[:, 0].sum() != count:
         raise ValueError("sample tables disagree")
@@ -159,6 +168,8 @@ def decode(data: bytes, boxes: dict[bytes, tuple[int, int]]) -> Track:
     chunk = np.repeat(np.arange(len(per)), per)
     offsets = chunk_at[chunk] + before - before[np.minimum(first, max(count - 1, 0))][chunk] if count else before
     keys = rows(b"stss", 1)[:, 0] - 1 if b"stss" in boxes else np.arange(count)
+    if len(keys) and (keys.min() < 0 or keys.max() >= count):
+        raise ValueError("a key frame beyond the samples")
     if count and (offsets + sizes).max() > len(data):
         raise ValueError("a sample lies beyond the end")
     return Track(codec, timescale, duration, offsets, sizes, keys)
@@ -171,7 +182,7 @@ def probe(data: bytes | None) -> tuple:
         t = next(iter(tracks(data)), None)
         if t is None:
             raise ValueError("no track")
-    except (ValueError, IndexError, struct.error) as e:
+    except (ValueError, IndexError, OverflowError, struct.error) as e:
         return None, None, None, None, None, str(e)
     starts = t.offsets[t.keys]
     ends = starts + t.sizes[t.keys]
@@ -183,7 +194,7 @@ def payload_of(data: bytes | None) -> bytes | None:
         return None
     try:
         t = next(iter(tracks(data)))
-    except (StopIteration, ValueError, IndexError, struct.error):
+    except (StopIteration, ValueError, IndexError, OverflowError, struct.error):
         return None
     ends = t.offsets + t.sizes
     if len(ends) and (t.offsets[1:] == ends[:-1]).all():
