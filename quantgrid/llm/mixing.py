@@ -23,8 +23,9 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def hash_key(doc_id: Column, seed: str) -> Column:
-    return F.md5(F.concat(F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit(""))))
+def hash_key(doc_id: Column, text: Column, seed: str) -> Column:
+    """Of the id; of the text where the id is null, so that such rows are spread too."""
+    return F.md5(F.concat(F.lit(seed), F.coalesce(doc_id.cast("string"), text, F.lit(""))))
 
 
 def water_fill(sources: DataFrame, weights: tuple[int, ...], share: float, max_epochs: int) -> DataFrame:
@@ -57,14 +58,15 @@ def _boundary(sums: DataFrame, plan: DataFrame, prefix: str, level: int) -> Data
     return joined.withColumn(f"before{level}", F.coalesce("done", F.lit(0)) + (F.col("before1") if level == 2 else 0)).drop("done")
 
 
-def mix_sources(docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, max_epochs: int = 2, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: str = "") -> DataFrame:
+def mix_sources(docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, max_epochs: int = 2, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: str = "", names: tuple[str, str, str, str] = MINE) -> DataFrame:
     """Add size, source_size, target and taken (words that the mix takes of this row, repeats counted) to each row.
 
     Each source's taken words are its target, rounded down. A null text has size 0, a null source is a source of its own,
-    last in order. Null ids share one hash; equal rows are interchangeable. Columns of the four names are replaced.
+    last in order. Rows of a null id are ordered by their texts; equal rows are interchangeable. `names` are those of the four
+    columns; columns of the same names are replaced.
     """
-    docs = docs.drop(*MINE)
-    key = hash_key(F.col(doc_id), seed)
+    docs = docs.drop(*names)
+    key = hash_key(F.col(doc_id), F.col(text), seed)
     slim = materialize(
         docs.select(F.col(source).alias("source"), word_count(F.col(text)).alias("words"), key.alias("key"))
         .select("source", F.substring("key", 1, PREFIX).alias("p1"), F.substring("key", 1 + PREFIX, PREFIX).alias("p2"), "words")
@@ -79,25 +81,26 @@ def mix_sources(docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), share:
     plan = materialize(_boundary(level1, plan, "p1", 1))
     cut = slim.join(plan.select(F.col("source").alias("of"), "cut1"), F.col("source").eqNullSafe(F.col("of")) & (F.col("p1") == F.col("cut1"))).select("source", "p2", "words")
     plan = materialize(_boundary(cut, plan, "p2", 2))
-    names = {c: F.col(c).alias(f"__{c}") for c in plan.columns}
-    small = plan.select(*names.values())
+    small = plan.select(*(F.col(c).alias(f"__{c}") for c in plan.columns))
     if plan.count() <= BROADCAST_SOURCES:
         small = F.broadcast(small)
-    rows = docs.withColumns({"size": word_count(F.col(text)), "__key": key})
+    rows = docs.withColumns({"__size": word_count(F.col(text)), "__key": key})
     rows = rows.join(small, F.col(source).eqNullSafe(F.col("__source")))
     p1, p2 = F.substring("__key", 1, PREFIX), F.substring("__key", 1 + PREFIX, PREFIX)
     cut1, cut2 = F.col("__cut1"), F.col("__cut2")
     whole = F.when(cut1.isNull(), False).otherwise((p1 < cut1) | ((p1 == cut1) & F.coalesce(p2 < cut2, F.lit(False))))
     in_leaf = F.coalesce((p1 == cut1) & (p2 == cut2), F.lit(False))
-    before = Window.partitionBy("__source").orderBy("__key", doc_id, "size").rowsBetween(Window.unboundedPreceding, -1)
-    left = F.col("__rest") - F.col("__before2") - F.coalesce(F.sum("size").over(before), F.lit(0))
-    plain = rows.where(~in_leaf).withColumn("__extra", F.when(whole, F.col("size")).otherwise(F.lit(0)))
-    leaf = rows.where(in_leaf).withColumn("__extra", F.greatest(F.lit(0), F.least("size", left)))
-    taken = F.col("__repeats") * F.col("size") + F.col("__extra")
-    return plain.unionByName(leaf).select(*docs.columns, "size", F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), taken.cast("long").alias("taken"))
+    before = Window.partitionBy("__source").orderBy("__key", doc_id, "__size").rowsBetween(Window.unboundedPreceding, -1)
+    left = F.col("__rest") - F.col("__before2") - F.coalesce(F.sum("__size").over(before), F.lit(0))
+    plain = rows.where(~in_leaf).withColumn("__extra", F.when(whole, F.col("__size")).otherwise(F.lit(0)))
+    leaf = rows.where(in_leaf).withColumn("__extra", F.greatest(F.lit(0), F.least("__size", left)))
+    taken = (F.col("__repeats") * F.col("__size") + F.col("__extra")).cast("long")
+    values = F.col("__size"), F.col("__source_size"), F.col("__target"), taken
+    return plain.unionByName(leaf).select(*docs.columns, *(v.alias(n) for v, n in zip(values, names)))
 
 
-def repeat_rows(mixed: DataFrame) -> DataFrame:
+def repeat_rows(mixed: DataFrame, names: tuple[str, str, str, str] = MINE) -> DataFrame:
     """Each row of mix_sources as often as the mix takes it; a row taken in part appears whole. Rows of no words go."""
-    times = F.ceil(F.try_divide("taken", F.col("size"))).cast("int")
-    return mixed.where("taken > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), times))).drop("__copy", *MINE)
+    size, taken = names[0], names[3]
+    times = F.ceil(F.try_divide(taken, F.col(size))).cast("int")
+    return mixed.where(F.col(taken) > 0).withColumn("__copy", F.explode(F.sequence(F.lit(1), times))).drop("__copy", *names)

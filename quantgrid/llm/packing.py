@@ -96,12 +96,13 @@ def pack_documents(docs: DataFrame, *, capacity: int = 2048, per_source: int = 2
     A row's length is its words and one end mark, so that null and empty texts have length 1. A longer row than a bin is cut into
     pieces: full ones get bins of their own, the rest is packed like a short row. Rests are taken by falling length. A bin holds
     per_source rests of a source at most (null is a source) and one of a duplicate cluster: the column `cluster`, a long, or else
-    equal texts. Equal rows are packed each.
+    equal texts. Equal rows are packed each, and dealt to groups like any others. Other columns don't matter.
     """
     kind = F.coalesce(F.col(cluster).cast("long"), F.xxhash64(doc_id)) if cluster else F.xxhash64(F.coalesce(text, F.lit("")))
-    groups = groups_of(docs.count(), GROUP_DOCS)
-    slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).alias("source"), (word_count(F.col(text)) + 1).alias("size"), kind.alias("cluster"))
-    slim = slim.withColumn("group", F.pmod(F.xxhash64("doc_id", "source", "size"), F.lit(groups)).cast("long"))
+    size = word_count(F.col(text)) + 1
+    slim = materialize(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).alias("source"), size.alias("size"), kind.alias("cluster"), F.monotonically_increasing_id().alias("row")))
+    groups = groups_of(slim.count(), GROUP_DOCS)
+    slim = slim.select("doc_id", "source", "size", "cluster", F.pmod(F.xxhash64("row"), F.lit(groups)).cast("long").alias("group"))
     return slim.groupBy("group").applyInArrow(pack_group(capacity, per_source), PACKED)
 
 
@@ -112,8 +113,8 @@ def near_clusters(docs: DataFrame, *, threshold: float = 0.8, text: str = "text"
     """
     own = F.xxhash64(F.when(word_count(F.col(text)) > 0, F.col(text)).otherwise(F.lit("")))
     rows = materialize(docs.withColumns({"__row": F.monotonically_increasing_id(), "__own": own}))
-    joined = jaccard_join(rows, threshold=threshold, doc_id="__row", text=text)
-    mates = materialize(joined.where("n_copies > 1 or n_links > 0").select(F.col("doc_id").alias("__row"), "group_id"))
+    joined = materialize(jaccard_join(rows, threshold=threshold, doc_id="__row", text=text).where("n_copies > 1 or n_links > 0"))
+    mates = joined.select(F.col("doc_id").alias("__row"), "group_id")
     mates = mates.join(rows.select("__row", "__own"), "__row")
     least = mates.groupBy("group_id").agg(F.min("__own").alias("__least"))
     shared = mates.join(least, "group_id").select("__row", "__least")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import brown_lm, jaccard_join, line_dedup, media, mixing, packing, token_codec, topk, toxicity, url_filter
-from .common import table
+from .common import materialize, table
 
 URL_RULES = [
     url_filter.Rule("allow", "org", "/"),
@@ -18,11 +18,13 @@ URL_RULES = [
 
 
 def op1_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each text's log10 probability by the class model and by word counts alone, learned from the rows that aren't held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return brown_lm.score_texts(docs, F.crc32(F.col("doc_id").cast("string")) % 5 == 1)
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of each text before dropping, lines dropped, and the hash of the text that is left."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.dedup_lines(docs, min_chars=40, min_docs=5).select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
@@ -43,13 +45,14 @@ from m group by doc_id
 
 
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of each document, and its source's size and target."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mixing.mix_sources(docs, weights=(5, 2, 1), share=1.5, max_epochs=2).select("doc_id", "size", "source_size", "target", "taken")
 
 
 OP3_SQL = r"""
 with d as (
-  select doc_id, source, cast(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as bigint) as size, md5(coalesce(cast(doc_id as varchar), '')) as k from documents
+  select doc_id, source, cast(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as bigint) as size, md5(coalesce(cast(doc_id as varchar), text, '')) as k from documents
 ), s as (
   select source, cast(sum(size) as bigint) as source_size, row_number() over (order by source nulls last) as n from d group by source
 ), w as (
@@ -73,6 +76,7 @@ select doc_id, size, source_size, target, cast(repeats * size + greatest(0, leas
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score of each text by the grammar learned from the labelled rows that aren't held out. A null id isn't held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
     model = toxicity.fit(docs.where(~held_out), table(spark, sf_dir, "labels").where(~held_out))
@@ -81,12 +85,14 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = media.pack_media(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    read = docs.withColumns({"probe": media.probe_media(F.col("media")), "payload": media.read_payload(F.col("media"))})
+    """Each text stored as a media container in a table of the shared folder, then read back from there: payload, probe, digests."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    stored = media.pack_media(docs).select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "media")
+    read = materialize(stored).withColumns({"probe": media.probe_media(F.col("media")), "payload": media.read_payload(F.col("media"))})
     ranges = F.transform("probe.keyframes", lambda k: F.concat_ws("-", k["start"], k["end"]))
     return read.select(
         "doc_id",
-        F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
+        "n_bytes",
         F.length("payload").cast("long").alias("payload_bytes"),
         F.sha2("payload", 256).alias("payload_sha256"),
         F.crc32(F.expr("substring(payload, -16, 16)")).alias("tail_crc32"),
@@ -100,40 +106,45 @@ def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class, group and number of links of each document."""
     return jaccard_join.jaccard_join(table(spark, sf_dir, "documents").select("doc_id", "text"), threshold=0.8)
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict of each page's URL, by explicit rules and else by mined ones."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return url_filter.filter_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "mined_rule", "confidence")
 
 
 def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best other rows of each query row by integer inner product."""
     vectors = table(spark, sf_dir, "embeddings")
     return topk.exact_topk(vectors, F.col("vec_id") % 50 == 0, k=5)
 
 
 OP8_SQL = """
 with v as (
-  select vec_id, [cast(floor(256 * cast(x as double)) as bigint) for x in embedding] as e
+  select row_number() over () as r, vec_id, [cast(floor(256 * cast(x as double)) as bigint) for x in embedding] as e
   from embeddings
   where vec_id is not null and embedding is not null and len(embedding) > 0
     and len([x for x in embedding if x is null or not isfinite(x)]) = 0
 ), s as (
-  select q.vec_id as query_id, c.vec_id, cast(list_sum([z[1] * z[2] for z in list_zip(q.e, c.e)]) as bigint) as score
-  from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0
+  select q.r as query, q.vec_id as query_id, c.vec_id, cast(list_sum([z[1] * z[2] for z in list_zip(q.e, c.e)]) as bigint) as score
+  from v q join v c on q.r <> c.r where q.vec_id % 50 = 0
 ), r as (
-  select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank from s
+  select *, cast(row_number() over (partition by query order by score desc, vec_id) as integer) as rank from s
 )
 select query_id, rank, vec_id, score from r where rank <= 5
 """
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each piece of each document lies; a bin holds one document of a group of near copies."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return packing.pack_documents(packing.near_clusters(docs, threshold=0.8), capacity=2048, per_source=2, cluster="cluster")
 
 
 def op10_token_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place, number and checksum of each document's ids, read back from the coded files."""
     import public_tokenizers
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")

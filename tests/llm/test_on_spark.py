@@ -48,23 +48,69 @@ def nothing(docs):
     return docs.limit(0)
 
 
+def smoothed(counts, history, word, lower):
+    """Witten-Bell: a context's count of word, and as many of the lower order as the context has kinds."""
+    seen = counts.get(history, {})
+    kinds = max(len(seen), 1)
+    return (seen.get(word, 0) + kinds * lower) / (sum(seen.values()) + kinds)
+
+
+def brute_scores(train, texts, class_of, mass, end, slots, counts):
+    """log10 P of each text, token by token: class after two classes, word in its class."""
+    three, two = {}, {}
+    for tokens in train:
+        c = [end, end, *(class_of(w) for w in tokens)]
+        for x, y, z in zip(c, c[1:], c[2:]):
+            three.setdefault((x, y), Counter())[z] += 1
+            two.setdefault(y, Counter())[z] += 1
+    out = []
+    for tokens in texts:
+        c, total = [end, end, *(class_of(w) for w in tokens)], 0.0
+        for (x, y, z), w in zip(zip(c, c[1:], c[2:]), tokens):
+            p = smoothed(three, (x, y), z, smoothed(two, y, z, mass[z]))
+            total += math.log10(p) + math.log10((counts[w] + 0.5) / slots / mass[z])
+        out.append(total)
+    return out
+
+
 def test_brown(docs, nothing):
     held = F.crc32(F.col("doc_id").cast("string")) % 5 == 1
     local = docs.collect()
     out = [0 if r["doc_id"] is None else zlib.crc32(str(r["doc_id"]).encode()) % 5 for r in local]
-    train = Counter(w for r, h in zip(local, out) if h != 1 for w in [*words(r["text"]), "\n"])
+    tokens = [[*words(r["text"]), "\n"] for r in local]
+    train = Counter(w for t, h in zip(tokens, out) if h != 1 for w in t)
     n, v = sum(train.values()), len(train)
-    for head in (10, 5000):
-        got = brown_lm.score_texts(docs, held, head=head, exchanged=8, classes=4, rounds=3).collect()
-        assert len(got) == len(local)
-        want = sorted((r["doc_id"] or -1, h == 1, len(t := [*words(r["text"]), "\n"]), sum(w in train for w in t), round(sum(math.log10((train[w] + 0.5) / (n + 0.5 * (v + 1))) for w in t), 6)) for r, h in zip(local, out))
-        assert sorted((r["doc_id"] or -1, r["held_out"], r["n_tokens"], r["n_known"], round(r["base_score"], 6)) for r in got) == want
-        assert all(r["train_tokens"] == n and math.isfinite(r["score"]) for r in got)
+    slots = n + 0.5 * (v + 1)
+    for head, least in ((10, 3), (5000, 3), (5000, 1)):
+        encoded, _, lead, *totals = brown_lm.encode(docs, held, head=head, least=least)
+        learned = brown_lm.learn(encoded, lead, *totals, classes=4, rounds=6)
+        assert all(b >= a for a, b in zip(learned.history, learned.history[1:])) and learned.history[-1] > learned.history[0]
+        known = {w.decode(): int(c) for w, c in zip(lead.words, learned.classes)}
+        assert known.keys() == {w for w, _ in sorted(((w, k) for w, k in train.items() if k >= least), key=lambda x: (-x[1], x[0]))[:head]}
+        mass = [sum((train[w] + 0.5) / slots for w, c in known.items() if c == k) for k in range(4)]
+        mass.append(max(1 - sum(mass), 0.5 / slots))
+        want = brute_scores([t for t, h in zip(tokens, out) if h != 1], tokens, lambda w: known.get(w, 4), mass, learned.end, slots, train)
+        base = [sum(math.log10((train[w] + 0.5) / slots) for w in t) for t in tokens]
+        got = brown_lm.score_texts(docs, held, head=head, least=least, classes=4, rounds=6).collect()
+        rows = lambda values: sorted(tuple(-1 if x is None else round(x, 5) if isinstance(x, float) else x for x in v) for v in values)
+        ours = rows((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"], r["score"]) for r in got)
+        assert ours == [pytest.approx(x, abs=1e-4) for x in rows((r["doc_id"], h == 1, len(t), sum(w in train for w in t), n, b, s) for r, h, t, b, s in zip(local, out, tokens, base, want))]
     assert brown_lm.score_texts(nothing, held).count() == 0
     untrained = brown_lm.score_texts(docs, F.lit(True)).first()
     assert untrained["n_known"] == 0 and untrained["score"] == pytest.approx(untrained["base_score"])
 
 
+def test_exchange_finds_classes(spark):
+    """Words of two kinds that alternate never share a class."""
+    rng = random.Random(4)
+    text = lambda: " ".join(f"{'ab'[i % 2]}{rng.randint(0, 30)}" for i in range(40))
+    table = spark.createDataFrame([(i, text()) for i in range(200)], "doc_id long, text string")
+    encoded, _, lead, *totals = brown_lm.encode(table, F.lit(False))
+    learned = brown_lm.learn(encoded, lead, *totals, classes=3, rounds=12)
+    kinds = {w.decode()[0]: {int(c) for x, c in zip(lead.words, learned.classes) if x[:1] == w[:1]} for w in lead.words}
+    assert kinds["a"].isdisjoint(kinds["b"])
+
+
 def test_brown_beats_base(spark):
     got = queries.op1_brown_lm(spark, SF).where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
     assert got["s"] > got["b"]
@@ -244,18 +290,24 @@ def test_mined_rules_brute_force(spark):
     assert got == want
 
 
-def test_topk(spark):
+def test_topk(spark, monkeypatch):
     rng = np.random.default_rng(8)
     rows = [(int(i), [float(x) for x in rng.integers(-4, 5, 6) / 4]) for i in range(120)] + [(200, [1.0] * 6), (201, [1.0] * 6), (None, [1.0] * 6), (202, None), (203, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (204, [float("nan")] * 6), (205, [])]
-    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    rows += [(7, [0.5] * 6), (7, [1.0] * 6), (100, [0.75] * 6), (200, [1.0] * 6)]  # repeated ids: rows of their own, queries too
+    table = spark.createDataFrame([(*r, "x", 1) for r in rows], "vec_id long, embedding array<float>, row string, query int")
     good = [(i, np.floor(256 * np.array(v))) for i, v in rows if i is not None and v and None not in v and not np.isnan(v).any()]
     want = []
-    for i, q in good:
+    for n, (i, q) in enumerate(good):
         if i % 50 == 0:
-            best = sorted((-int(q @ c), j) for j, c in good if j != i)[:5]
+            best = sorted((-int(q @ c), j) for m, (j, c) in enumerate(good) if m != n)[:5]
             want += [(i, n + 1, j, -s) for n, (s, j) in enumerate(best)]
     assert sorted(map(tuple, topk.exact_topk(table, F.col("vec_id") % 50 == 0).collect())) == sorted(want)
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(topk, "QUERY_ROWS", 2)
+    assert sorted(map(tuple, topk.exact_topk(table, F.col("vec_id") % 50 == 0).collect())) == sorted(want)
     assert topk.exact_topk(table.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+    with pytest.raises(ValueError):
+        topk.exact_topk(spark.createDataFrame([(0, [1e9])], "vec_id long, embedding array<double>"), F.lit(True))
 
 
 def test_packing(docs, nothing):

@@ -9,8 +9,8 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 
-from quantgrid.llm import jaccard_join, line_dedup, media, packing, token_codec, topk, toxicity
-from quantgrid.llm.brown_lm import best_moves, class_triples, transition_gain
+from quantgrid.llm import brown_lm, jaccard_join, line_dedup, media, packing, token_codec, topk, toxicity
+from quantgrid.llm.brown_lm import class_triples, transition_gain
 
 
 @pytest.mark.parametrize("size", [0, 1, 191, 192, 193, 192 * 16, 192 * 16 + 1, 100_000])
@@ -39,12 +39,21 @@ def test_threshold_search_ties():
         rows = rng.integers(-3, 4, (n, 4)).astype(float)
         ids = rng.permutation(n)
         queries = rng.integers(-2, 3, (20, 4)).astype(float)
-        own = rng.integers(0, n, 20)
-        found = topk.threshold_search(rows, ids, queries, own, k)
+        own = rng.integers(-1, n, 20)
+        found, read = topk.threshold_search(rows, ids, queries, own, k)
         for q, o, at in zip(queries, own, found):
             scores = rows @ q
-            want = sorted((-s, i) for s, i in zip(scores, ids) if i != o)[:k]
+            want = sorted((-s, i) for p, (s, i) in enumerate(zip(scores, ids)) if p != o)[:k]
             assert [(-scores[p], ids[p]) for p in at] == want
+        assert (read <= n).all()
+
+
+def test_threshold_search_stops():
+    """Where few rows stand out, a query reads few of them."""
+    rows = np.abs(np.random.default_rng(1).normal(size=(4000, 3)))
+    rows[:20] += 50
+    found, read = topk.threshold_search(np.floor(rows * 256), np.arange(4000), np.eye(3)[:1] + 1, np.array([-1]), 5)
+    assert read[0] < 400 and set(found[0].tolist()) <= set(range(20))
 
 
 def test_perfect_hash():
@@ -221,8 +230,22 @@ def test_model_parts():
     assert np.allclose((10 ** transition_gain(counts, mass) * mass).sum(-1), 1)
     two, one, c = class_triples(np.array([0, 1, 2, 0]), np.array([0, 3]), np.array([5, 6, 7]), 9)
     assert (two.tolist(), one.tolist(), c.tolist()) == ([9, 9, 5, 9], [9, 5, 6, 9], [5, 6, 7, 5])
-    word, other, right, n = np.array([0, 0]), np.array([1, 2]), np.array([True, False]), np.array([5.0, 5.0])
-    assert best_moves(word, other, right, n, np.array([0, 1, 1]), np.array([[0.0, 5], [5, 9]]))[0][0] == 0
+
+
+def test_best_moves():
+    """Gains are differences of the likelihood."""
+    rng = np.random.default_rng(7)
+    bigrams, of = rng.integers(0, 6, (9, 9)), np.array([0, 1, 2, 0, 1, 2, 0, 1, 3])  # the last word stands for the tail
+    np.fill_diagonal(bigrams, 0)
+    spread = lambda c: np.eye(4)[c].T @ bigrams @ np.eye(4)[c]
+    right, left = bigrams[:8] @ np.eye(4)[of], bigrams[:, :8].T @ np.eye(4)[of]
+    best, gain = brown_lm.best_moves(right, left, of[:8], spread(of))
+    for w in range(8):
+        other = [of.copy() for _ in range(3)]
+        for c in range(3):
+            other[c][w] = c
+        values = [brown_lm.likelihood(spread(x)) for x in other]
+        assert best[w] == np.argmax(values) and gain[w] == pytest.approx(max(values) - brown_lm.likelihood(spread(of)))
 
 
 def test_no_hidden_words():
