@@ -2,7 +2,7 @@
 
 Stages: toxic documents go; lines that many documents share go; one document of each near-duplicate group stays; sources are
 mixed to their target weights, with whole repetitions; the mix is packed into bins. All but the last return the columns of
-documents, with n_chars set to the length of the text as it then is.
+their input, whatever these are, with n_chars set to the length of the text as it then is.
 """
 
 from __future__ import annotations
@@ -19,12 +19,12 @@ REJECT = 0.3  # toxicity score from which a document goes
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learn from the labels of the rows at hand; rows of a score of REJECT or more go. Null texts hold nothing toxic."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score_texts(docs, model).where(F.col("score") < REJECT).drop("score")
+    return toxicity.score_texts(docs, model, out="__score").where(F.col("__score") < REJECT).drop("__score")
 
 
 def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of 40 characters or more in 5 documents or more stay in one of them; no document goes."""
-    kept = line_dedup.dedup_lines(docs, min_chars=40, min_docs=5).withColumn("n_chars", F.length("text").cast("long"))
+    kept = line_dedup.dedup_lines(docs, min_chars=40, min_docs=5, names=("__lines", "__dropped")).withColumn("n_chars", F.length("text").cast("long"))
     return kept.select(docs.columns)
 
 
@@ -35,7 +35,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it; the one in which a source's target falls is taken whole."""
-    return mixing.repeat_rows(mixing.mix_sources(docs, weights=(5, 2, 1), share=1.5, max_epochs=2))
+    names = ("__words", "__source_words", "__target_words", "__taken")
+    return mixing.repeat_rows(mixing.mix_sources(docs, weights=(5, 2, 1), share=1.5, max_epochs=2, names=names), names)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
