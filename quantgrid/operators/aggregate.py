@@ -16,7 +16,8 @@ from ..model import CELL, Assay, Dataset
 PROTEIN_COLUMNS = ("Protein.Group", "Protein.Ids", "PG.ProteinGroups", "PG.ProteinAccessions", "ProteinGroup", "protein_id")
 BASIC: dict[str, Callable[[str], Column]] = {"sum": F.sum, "mean": F.avg, "median": F.median, "max": F.max}
 METHODS = (*BASIC, "weighted_mean", "top_n", "maxlfq", "tmp", "ibaq")
-FITTED = "sample_id string, feature_id string, value double"
+FITTED = "sample_id string, protein string, value double"
+MAX_PROFILE = 8192  # samples of a protein in maxlfq; its task holds the square
 
 
 def protein_column(columns: list[str], name: str = "auto") -> str:
@@ -69,44 +70,51 @@ def ranked_peptides(cells: DataFrame, links: DataFrame) -> DataFrame:
     return mapped.select("feature_id", "med", F.row_number().over(order).alias("place"))
 
 
-def maxlfq(values: np.ndarray, least: int) -> np.ndarray:
-    """One protein's profile (log) from samples x peptides (log, NaN missing): median pair ratios, weighted least squares.
+def pair_ratios(logs: DataFrame, least: int) -> DataFrame:
+    """(protein, a, b, ratio, n): the median of b less a over the peptides that two samples a < b share, at least `least`.
+
+    logs is (protein, feature_id, sample_id, x). Pairs are those of samples with a peptide in common, not of all samples.
+    """
+    left = logs.select("protein", "feature_id", F.col("sample_id").alias("a"), F.col("x").alias("xa"))
+    right = logs.select("protein", "feature_id", F.col("sample_id").alias("b"), F.col("x").alias("xb"))
+    pairs = left.join(right, ["protein", "feature_id"]).where("a < b")
+    return pairs.groupBy("protein", "a", "b").agg(F.median(F.col("xb") - F.col("xa")).alias("ratio"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= max(least, 1))
+
+
+def profile(pairs: pd.DataFrame) -> pd.DataFrame:
+    """(protein, sample_id, set, level): least squares over one protein's ratios, weighted by their counts, for each connected set."""
+    names, at = np.unique(np.concatenate([pairs["a"], pairs["b"]]).astype(str), return_inverse=True)
+    if len(names) > MAX_PROFILE:
+        raise ValidationError(f"a protein with more than {MAX_PROFILE} samples")
+    i, j = at[: len(pairs)], at[len(pairs) :]
+    n, ratio = pairs["n"].to_numpy(float), pairs["ratio"].to_numpy(float)
+    group, before = np.arange(len(names)), None
+    while before is None or (group != before).any():
+        before = group.copy()
+        least = np.minimum(group[i], group[j])
+        np.minimum.at(group, i, least)
+        np.minimum.at(group, j, least)
+    normal, right = np.zeros((len(names), len(names))), np.zeros(len(names))
+    for x, y, sign in ((i, j, -1), (j, i, 1)):
+        np.add.at(normal, (x, x), n)
+        np.add.at(normal, (x, y), -n)
+        np.add.at(right, x, sign * n * ratio)
+    level = np.linalg.lstsq(normal, right, rcond=None)[0]
+    return pd.DataFrame({"protein": pairs["protein"].iloc[0], "sample_id": names, "set": names[group], "level": level})
+
+
+def maxlfq(rows: DataFrame, least: int) -> DataFrame:
+    """(protein, sample_id, value) of (protein, feature_id, sample_id, value > 0): median pair ratios, weighted least squares.
 
     Each connected set of samples is fitted on its own and lifted by the median residual of its peptides; a sample that shares
-    nothing takes its own median.
+    nothing takes its own median. A task solves one protein: its pairs of samples, for at most MAX_PROFILE samples.
     """
-    n = len(values)
-    out = np.full(n, np.nan)
-    seen = np.isfinite(values)
-    edges = []
-    for i in range(n):
-        for j in range(i + 1, n):
-            both = seen[i] & seen[j]
-            if both.sum() >= max(least, 1):
-                edges.append((i, j, np.median(values[j, both] - values[i, both]), both.sum()))
-    if not edges:
-        for i in np.flatnonzero(seen.any(1)):
-            out[i] = np.median(values[i, seen[i]])
-        return out
-    group = np.arange(n)
-    for i, j, *_ in edges:
-        group[group == group[j]] = group[i]
-    for g in np.unique(group):
-        at = np.flatnonzero((group == g) & seen.any(1))
-        if len(at) < 2:
-            for i in at:
-                out[i] = np.median(values[i, seen[i]])
-            continue
-        place = {s: k for k, s in enumerate(at)}
-        mine = [e for e in edges if e[0] in place]
-        a, b = np.zeros((len(mine), len(at))), np.zeros(len(mine))
-        for k, (i, j, ratio, count) in enumerate(mine):
-            w = np.sqrt(count)
-            a[k, place[j]], a[k, place[i]], b[k] = w, -w, w * ratio
-        x = np.concatenate([[0.0], np.linalg.lstsq(a[:, 1:], b, rcond=None)[0]])
-        rest = values[at] - x[:, None]
-        out[at] = x + np.median(rest[seen[at]])
-    return out
+    logs = rows.groupBy("protein", "feature_id", "sample_id").agg(F.log(F.max("value")).alias("x"))
+    levels = pair_ratios(logs, least).groupBy("protein").applyInPandas(profile, "protein string, sample_id string, set string, level double")
+    placed = logs.join(levels, ["protein", "sample_id"], "left").select("protein", "sample_id", "x", F.coalesce("set", "sample_id").alias("set"), F.coalesce("level", F.lit(0.0)).alias("level"))
+    lift = placed.groupBy("protein", "set").agg(F.median(F.col("x") - F.col("level")).alias("lift"))
+    each = placed.select("protein", "sample_id", "set", "level").distinct()
+    return each.join(lift, ["protein", "set"]).select("protein", "sample_id", F.exp(F.col("level") + F.col("lift")).alias("value"))
 
 
 def median_polish(values: np.ndarray, sweeps: int = 20, tol: float = 1e-6) -> np.ndarray:
@@ -131,12 +139,11 @@ def median_polish(values: np.ndarray, sweeps: int = 20, tol: float = 1e-6) -> np
     return out
 
 
-def _fit(kind: str, base: float, least: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+def _polish(base: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
         grid = rows.pivot_table(index="sample_id", columns="feature_id", values="value", aggfunc="max")
-        x = np.log(grid.where(grid > 0).to_numpy(float)) / np.log(base)
-        y = maxlfq(x, least) if kind == "maxlfq" else median_polish(x)
-        return pd.DataFrame({"sample_id": grid.index, "feature_id": rows["protein"].iloc[0], "value": base**y}).dropna()
+        y = median_polish(np.log(grid.where(grid > 0).to_numpy(float)) / np.log(base))
+        return pd.DataFrame({"sample_id": grid.index, "protein": rows["protein"].iloc[0], "value": base**y}).dropna()
 
     return fit
 
@@ -145,7 +152,7 @@ def aggregate_to_protein(cells: DataFrame, links: DataFrame, method: str = "sum"
     """Protein cells from peptide cells and links (source_id, target_id). A protein without values in a sample is null there.
 
     sum, mean, median, max; weighted_mean by each peptide's median over samples; top_n peptides by that median; maxlfq; tmp, a
-    Tukey median polish; ibaq, the sum by a number of peptides. maxlfq and tmp take one protein's cells into a task.
+    Tukey median polish; ibaq, the sum by a number of peptides. tmp takes one protein's cells into a task.
     """
     if method not in METHODS:
         raise ValidationError(f"method is one of {METHODS}, not {method!r}")
@@ -173,9 +180,11 @@ def aggregate_to_protein(cells: DataFrame, links: DataFrame, method: str = "sum"
             if known.join(size, F.col("target_id") == F.col("protein"), "left_anti").limit(1).count():
                 raise ValidationError("a protein has no iBAQ denominator")
         return _out(sums.join(size, "protein").withColumn("value", F.col("value") / F.col("size")))
-    base = tmp_log_base if method == "tmp" else float(np.e)
-    masks = rows.groupBy(*key).agg(worst)
-    fitted = rows.where("value > 0").groupBy("protein").applyInPandas(_fit(method, base, lfq_min_ratio_count), FITTED).withColumnRenamed("feature_id", "protein")
+    masks, some = rows.groupBy(*key).agg(worst), rows.where("value > 0")
+    if method == "tmp":
+        fitted = some.groupBy("protein").applyInPandas(_polish(tmp_log_base), FITTED)
+    else:
+        fitted = maxlfq(some, lfq_min_ratio_count)
     return _out(masks.join(fitted, [*key], "left"))
 
 

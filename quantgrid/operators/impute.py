@@ -1,16 +1,19 @@
 """Imputation: fill the null values of a layer and mark them IMPUTED; observed cells stay as they are.
 
-Methods on rows and columns are window expressions. Methods on the matrix (svd, softimpute, bpca) keep samples distributed and
+Methods on rows and columns join a statistic of each row or column. Methods on the matrix (svd, softimpute, bpca) keep samples distributed and
 gather only sums over samples whose size is that of the features, at most MAX_FEATURES; kNN and LLS compare blocks of entities.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+from collections.abc import Callable, Iterator
 from math import erf
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,7 +21,8 @@ from ..errors import ValidationError
 from ..functions.quantiles import quantiles
 from ..functions.special import norm_ppf
 from ..model import CELL, Dataset, MaskCode
-from .matrix import by_feature, by_sample, check_width, gram_sums, long_cells, row_arrays
+from ..storage import materialize
+from .matrix import beside, check_width, dense, gram_sums, row_arrays, summed
 from .neighbors import nearest
 
 RECOMMENDED = {"mcar": "knn", "mar": "missforest", "mnar": "qrilc"}
@@ -43,22 +47,22 @@ def impute_zero(cells: DataFrame) -> DataFrame:
 def impute_row_mean(cells: DataFrame) -> DataFrame:
     """The sample's mean; the mean of all cells for a sample without values; 0 without any."""
     overall = cells.agg(F.avg("value")).first()[0] or 0.0
-    return filled(cells, F.coalesce(F.avg("value").over(by_sample()), F.lit(overall)))
+    return filled(beside(cells, "sample_id", __x=F.avg("value")), F.coalesce("__x", F.lit(overall)))
 
 
 def impute_row_median(cells: DataFrame) -> DataFrame:
     overall = quantiles(cells, "value", [0.5])[0] or 0.0
-    return filled(cells, F.coalesce(F.median("value").over(by_sample()), F.lit(overall)))
+    return filled(beside(cells, "sample_id", __x=F.median("value")), F.coalesce("__x", F.lit(overall)))
 
 
 def impute_half_row_min(cells: DataFrame, *, fraction: float = 0.5) -> DataFrame:
     """A fraction of the sample's least value; of the least of all for a sample without values."""
     overall = cells.agg(F.min("value")).first()[0] or 0.0
-    return filled(cells, F.coalesce(F.min("value").over(by_sample()), F.lit(overall)) * fraction)
+    return filled(beside(cells, "sample_id", __x=F.min("value")), F.coalesce("__x", F.lit(overall)) * fraction)
 
 
 def impute_col_mean(cells: DataFrame) -> DataFrame:
-    return filled(cells, F.coalesce(F.avg("value").over(by_feature()), F.lit(0.0)))
+    return filled(beside(cells, "feature_id", __x=F.avg("value")), F.coalesce("__x", F.lit(0.0)))
 
 
 def impute_missforest(cells: DataFrame, **_) -> DataFrame:
@@ -78,11 +82,12 @@ def impute_minprob(cells: DataFrame, *, sigma: float = 2.0, q: float = 0.01, ran
     sd = max(sd * sigma, 1e-8)
     (low,) = quantiles(cells, "value", [q])
     least = cells.agg(F.min("value")).first()[0]
-    level = F.coalesce(F.percentile("value", F.lit(q)).over(by_sample()), F.lit(low or 0.0))
+    rows = beside(cells, "sample_id", __q=F.percentile("value", F.lit(q)), __min=F.min("value"))
+    level = F.coalesce("__q", F.lit(low or 0.0))
     # A draw depends on the cell alone, so that reruns agree however rows are dealt.
     draw = level + F.lit(sd) * gaussian(random_state)
-    nonnegative = F.coalesce(F.min("value").over(by_sample()) >= 0, F.lit(least is None or least >= 0))
-    return filled(cells, F.when(nonnegative, F.greatest(draw, F.lit(0.0))).otherwise(draw))
+    nonnegative = F.coalesce(F.col("__min") >= 0, F.lit(least is None or least >= 0))
+    return filled(rows, F.when(nonnegative, F.greatest(draw, F.lit(0.0))).otherwise(draw))
 
 
 def uniform(seed: int, salt: int = 0) -> Column:
@@ -137,85 +142,119 @@ def impute_knn(cells: DataFrame, *, k: int = 5, weights: str = "uniform", oversa
     met = met.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
     w = F.lit(1.0) if weights == "uniform" else 1 / F.greatest(F.col("distance"), F.lit(1e-12))
     new = met.groupBy("sample_id", "feature_id").agg((F.sum(F.col("v") * w) / F.sum(w)).alias("new"))
-    out = cells.join(new, ["sample_id", "feature_id"], "left").withColumn("mean", F.avg("value").over(by_feature()))
+    out = beside(cells.join(new, ["sample_id", "feature_id"], "left"), "feature_id", mean=F.avg("value"))
     return filled(out, F.coalesce("new", "mean", F.lit(0.0)))
 
 
-def impute_lls(cells: DataFrame, *, k: int = 10) -> DataFrame:
-    """Local least squares over features: a gap is predicted from the k nearest features, fitted where both are observed.
+def impute_lls(cells: DataFrame, *, k: int = 10, max_iter: int = 100, tol: float = 1e-6) -> DataFrame:
+    """Local least squares over features, again and again until the filled cells settle.
 
-    A feature with fewer neighbours than observations is fitted, else the neighbours are averaged by inverse distance. A
-    feature's own column and those of its k neighbours meet in a task.
+    A feature with gaps is predicted from the k features nearest to it over shared samples, in which gaps stand as filled so far
+    (at first by the sample's mean). With fewer neighbours than observations it is fitted to them, else their values are
+    averaged by inverse distance. A round uses the values of the one before for all features, so that the order of features
+    doesn't matter. A feature's own column and those of its k neighbours meet in a task.
     """
     flipped = cells.select(F.col("feature_id").alias("sample_id"), F.col("sample_id").alias("feature_id"), "value", "mask")
     near = nearest(row_arrays(flipped), k).select(F.col("sample_id").alias("target"), F.col("other").alias("feature_id"), "distance")
     need = cells.where("value is null").select(F.col("feature_id").alias("target")).distinct()
     own = need.select("target", F.col("target").alias("feature_id"), F.lit(-1.0).alias("distance"))
-    near = near.join(need, "target", "left_semi").unionByName(own)
-    columns = near.join(cells.select("sample_id", "feature_id", "value"), "feature_id")
+    near = materialize(near.join(need, "target", "left_semi").unionByName(own))
+    start = beside(cells.select("sample_id", "feature_id", "value"), "sample_id", __x=F.avg("value"))
+    now = materialize(start.select("sample_id", "feature_id", "value", F.coalesce("value", "__x", F.lit(0.0)).alias("now")))
 
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
         target = rows["target"].iloc[0]
-        grid = rows.pivot_table(index="sample_id", columns="feature_id", values="value", aggfunc="max", dropna=False)
-        y = grid[target].to_numpy(float)
-        others = [c for c in grid.columns if c != target]
-        far = rows.drop_duplicates("feature_id").set_index("feature_id")["distance"]
-        x = grid[others].to_numpy(float)
-        gap, mean = np.isnan(y), np.nanmean(y) if (~np.isnan(y)).any() else 0.0
-        x = np.where(np.isnan(x), np.nanmean(x, 0, where=~np.isnan(x)) if len(others) else 0.0, x)
-        x = np.nan_to_num(x)
-        if not others:
-            new = np.full(gap.sum(), mean)
-        elif (~gap).sum() > len(others):
+        mine = rows[rows["feature_id"] == target]
+        grid = rows[rows["feature_id"] != target].pivot_table(index="sample_id", columns="feature_id", values="now", aggfunc="max").reindex(mine["sample_id"])
+        x, y = np.nan_to_num(grid.to_numpy(float)), mine["value"].to_numpy(float)
+        gap = np.isnan(y)
+        if not x.shape[1]:
+            new = np.full(gap.sum(), y[~gap].mean() if (~gap).any() else 0.0)
+        elif (~gap).sum() > x.shape[1]:
             a = np.column_stack([np.ones(len(x)), x])
             new = a[gap] @ np.linalg.lstsq(a[~gap], y[~gap], rcond=None)[0]
         else:
-            w = 1 / np.maximum(far[others].to_numpy(float), 1e-12)
+            far = rows.drop_duplicates("feature_id").set_index("feature_id")["distance"]
+            w = 1 / (far[list(grid.columns)].to_numpy(float) + 1e-10)
             new = x[gap] @ w / w.sum()
-        return pd.DataFrame({"sample_id": grid.index[gap], "feature_id": target, "new": new})
-
-    new = columns.groupBy("target").applyInPandas(fit, "sample_id string, feature_id string, new double")
-    out = cells.join(new, ["sample_id", "feature_id"], "left").withColumn("mean", F.avg("value").over(by_feature()))
-    return filled(out, F.coalesce("new", "mean", F.lit(0.0)))
+        return pd.DataFrame({"sample_id": mine["sample_id"].to_numpy()[gap], "feature_id": target, "new": new})
+
+    for _ in range(max_iter):
+        new = near.join(now, "feature_id").groupBy("target").applyInPandas(fit, "sample_id string, feature_id string, new double")
+        after = now.join(new, ["sample_id", "feature_id"], "left")
+        after = materialize(after.select("sample_id", "feature_id", "value", F.col("now").alias("before"), F.coalesce("value", "new", "now").alias("now")))
+        moved, size = after.where("value is null").agg(F.max(F.abs(F.col("now") - F.col("before"))), F.avg(F.abs("now"))).first()
+        now = after.drop("before")
+        if not moved or moved / (size + 1e-10) < tol:
+            break
+    out = cells.join(now.select("sample_id", "feature_id", F.col("now").alias("new")), ["sample_id", "feature_id"], "left")
+    return filled(out, F.coalesce("new", F.lit(0.0)))
 
 
-def _refill(cells: DataFrame, step: Callable[[np.ndarray, np.ndarray, int], np.ndarray], rounds: int, tol: float) -> DataFrame:
-    """Fill gaps by column means, then by a low-rank view until little changes.
+def _refill(cells: DataFrame, step: Callable[[np.ndarray], np.ndarray], rounds: int, tol: float) -> DataFrame:
+    """Fill gaps by column means, then by a low-rank view until the filled cells settle.
 
-    Each round adds up the Gram matrix of the filled samples; `step` turns it into the projection that refills the gaps. Samples
-    are never gathered: a task rebuilds its rows from the observed values by the projections of all rounds.
+    Each round adds up the Gram matrix of the filled samples; `step` turns it into the projection that refills the gaps. The
+    filled samples are a table of the shared folder that each round writes anew, so a round ships one projection alone.
     """
-    rows = row_arrays(cells).cache()
-    width = check_width(rows)
-    n, sums, counts = gram_sums(rows, [], means_only=True, width=width)
+    seen = row_arrays(cells)
+    width = check_width(seen)
+    n, sums, counts = gram_sums(seen, means_only=True, width=width)
     means = np.divide(sums, counts, out=np.zeros(len(width)), where=counts > 0)
-    projections: list[np.ndarray] = []
-    before = None
-    for _ in range(rounds):
-        gram = gram_sums(rows, projections, means=means, width=width)[1]
-        if before is not None and np.linalg.norm(gram - before) <= tol * max(np.linalg.norm(before), 1e-12):
+    schema = "sample_id string, gaps array<boolean>, vec array<double>, moved double, size double"
+
+    def rows_of(ids: pa.Array, gaps: np.ndarray, x: np.ndarray, before: np.ndarray) -> pa.RecordBatch:
+        at = pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32())
+        change, size = (np.where(gaps, y * y, 0).sum(1) for y in (x - before, before))
+        lists = [pa.ListArray.from_arrays(at, pa.array(y.ravel())) for y in (gaps, x)]
+        return pa.RecordBatch.from_arrays([ids, *lists, pa.array(change), pa.array(size)], ["sample_id", "gaps", "vec", "moved", "size"])
+
+    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = dense(batch, width)
+            gaps = np.isnan(x)
+            x = np.where(gaps, means, x)
+            yield rows_of(batch["sample_id"], gaps, x, x)
+
+    def again(projection: np.ndarray) -> Callable:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                x, gaps = (batch[c].flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) for c in ("vec", "gaps"))
+                yield rows_of(batch["sample_id"], gaps, np.where(gaps, (x - means) @ projection + means, x), x)
+
+        return run
+
+    m = len(width)
+    gram = lambda b: (lambda x: (x.T @ x).ravel())(b["vec"].flatten().to_numpy().reshape(b.num_rows, -1) - means)
+    rows = materialize(seen.mapInArrow(begin, schema)) if m else None
+    for _ in range(rounds if m else 0):
+        projection = step(summed(rows.select("vec"), gram, m * m).reshape(m, m))
+        rows = materialize(rows.mapInArrow(again(projection), schema))
+        moved, size = rows.agg(F.sum("moved"), F.sum("size")).first()
+        if (moved or 0.0) ** 0.5 <= tol * max(size or 0.0, 1e-24) ** 0.5:
             break
-        before = gram
-        projections.append(step(gram, means, n))
-    new = long_cells(rows, means, projections)
+    if not m:
+        return filled(cells, F.lit(0.0))
+    names = F.array(*map(F.lit, width))
+    new = rows.select("sample_id", F.explode(F.arrays_zip(names.alias("f"), F.col("gaps").alias("g"), F.col("vec").alias("x"))).alias("z")).where("z.g").select("sample_id", F.col("z.f").alias("feature_id"), F.col("z.x").alias("new"))
     out = cells.join(new, ["sample_id", "feature_id"], "left")
     return filled(out, F.coalesce("new", F.lit(0.0)))
 
 
-def impute_iterative_svd(cells: DataFrame, *, n_components: int = 5, max_iter: int = 20, tol: float = 1e-5) -> DataFrame:
+def impute_iterative_svd(cells: DataFrame, *, n_components: int = 5, max_iter: int = 100, tol: float = 1e-5) -> DataFrame:
     """Gaps from the leading right singular vectors of the filled matrix, again and again."""
 
-    def step(gram: np.ndarray, means: np.ndarray, n: int) -> np.ndarray:
+    def step(gram: np.ndarray) -> np.ndarray:
         v = np.linalg.eigh(gram)[1][:, ::-1][:, :n_components]
         return v @ v.T
 
     return _refill(cells, step, max_iter, tol)
 
 
-def impute_softimpute(cells: DataFrame, *, shrinkage: float | None = None, rank: int | None = None, max_iter: int = 20, tol: float = 1e-4) -> DataFrame:
+def impute_softimpute(cells: DataFrame, *, shrinkage: float | None = None, rank: int | None = None, max_iter: int = 100, tol: float = 1e-4) -> DataFrame:
     """As above, with singular values lowered by a shrinkage (a fiftieth of the largest, if not given)."""
 
-    def step(gram: np.ndarray, means: np.ndarray, n: int) -> np.ndarray:
+    def step(gram: np.ndarray) -> np.ndarray:
         value, v = np.linalg.eigh(gram)
         s = np.sqrt(np.maximum(value, 0))
         cut = s.max() / 50 if shrinkage is None else shrinkage
@@ -227,19 +266,101 @@ def impute_softimpute(cells: DataFrame, *, shrinkage: float | None = None, rank:
     return _refill(cells, step, max_iter, tol)
 
 
-def impute_bpca(cells: DataFrame, *, n_components: int | None = None, max_iter: int = 20, tol: float = 1e-4) -> DataFrame:
-    """Bayesian PCA: components shrink by the precision of the noise against their own variance; weak ones vanish."""
-
-    def step(gram: np.ndarray, means: np.ndarray, n: int) -> np.ndarray:
-        cov = gram / max(n, 1)
-        value, v = np.linalg.eigh(cov)
-        value, v = value[::-1], v[:, ::-1]
-        q = min(n_components or len(value) - 1, len(value) - 1, max(n - 1, 1))
-        noise = max(value[q:].mean(), 1e-12) if q < len(value) else 1e-12
-        keep = np.maximum(value[:q] - noise, 0) / np.maximum(value[:q], 1e-12)
-        return (v[:, :q] * keep) @ v[:, :q].T
-
-    return _refill(cells, step, max_iter, tol)
+class Bpca(NamedTuple):
+    """Parameters of Bayesian PCA: loadings and their spread, means, noise precision, precisions of the components."""
+
+    w: np.ndarray
+    spread: np.ndarray
+    mean: np.ndarray
+    tau: float
+    alpha: np.ndarray
+
+
+#: The priors of Bayesian PCA.
+PRIOR_ALPHA, PRIOR_TAU, PRIOR_MEAN = 1e-10, 1e-10, 1e-3
+
+
+def bpca_rows(x: np.ndarray, p: Bpca) -> tuple[np.ndarray, np.ndarray, float]:
+    """Filled rows, and their part of the sums over rows that the next step needs: data by scores, squares."""
+    q = p.w.shape[1]
+    precision = np.eye(q) + p.tau * p.w.T @ p.w + p.spread
+    out, cross, square = x.copy(), np.zeros_like(p.w), 0.0
+    for row, new in zip(x, out):
+        gap = np.isnan(row)
+        known = p.w[~gap]
+        cov = np.linalg.inv(precision - p.tau * p.w[gap].T @ p.w[gap])
+        d = np.where(gap, 0.0, row - p.mean)
+        score = cov @ (p.tau * known.T @ d[~gap])
+        d[gap] = p.w[gap] @ score
+        cross += np.outer(d, score)
+        cross[gap] += p.w[gap] @ cov
+        square += d @ d + gap.sum() / p.tau + np.einsum("ij,jk,ik->", p.w[gap], cov, p.w[gap])
+        new[:] = d + p.mean
+    return out, cross, square
+
+
+def bpca_step(cross: np.ndarray, square: float, n: int, p: Bpca) -> Bpca:
+    """The parameters after one round of variational EM."""
+    d, q = p.w.shape
+    cross, square = cross / n, square / n
+    inner = np.linalg.inv(np.eye(q) + p.tau * p.w.T @ p.w + p.spread)
+    weight = np.linalg.inv(inner + p.tau * cross.T @ p.w @ inner + np.diag(p.alpha) / n)
+    w = cross @ weight
+    left = square - np.trace(cross.T @ w) + (p.mean @ p.mean * PRIOR_MEAN + 2 * PRIOR_TAU) / n
+    tau = float(np.clip((d + 2 * PRIOR_TAU / n) / max(left, 1e-12), 1e-10, 1e10))
+    spread = weight * (d / n)
+    alpha = (2 * PRIOR_ALPHA + d) / (tau * np.diag(w.T @ w) + np.diag(spread) + 2 * PRIOR_ALPHA)
+    return Bpca(w, spread, p.mean, tau, alpha)
+
+
+def bpca_begin(gram: np.ndarray, mean: np.ndarray, q: int) -> Bpca:
+    """From the covariance of the rows with gaps at 0: its first axes, and the rest of it as noise."""
+    value, v = np.linalg.eigh(gram)
+    value, v = np.maximum(value[::-1], 0), v[:, ::-1]
+    w = v[:, :q] * np.sqrt(value[:q])
+    tau = float(np.clip(1 / max(value[q:].sum(), 1e-12), 1e-10, 1e10))
+    alpha = (2 * PRIOR_ALPHA + len(mean)) / (tau * np.diag(w.T @ w) + 2 * PRIOR_ALPHA)
+    return Bpca(w, np.eye(q), mean, tau, alpha)
+
+
+def impute_bpca(cells: DataFrame, *, n_components: int = 10, max_iter: int = 100, tol: float = 1e-4) -> DataFrame:
+    """Bayesian PCA by variational EM: components that the data don't support fade through their precision.
+
+    A round is one pass over the samples, of which Spark adds up sums of features by components; it needs no table of its own.
+    Samples without any value get the features' means; with fewer than two others, all gaps do.
+    """
+    rows = row_arrays(cells)
+    width = check_width(rows)
+    n, sums, counts = gram_sums(rows, means_only=True, width=width)
+    mean = np.divide(sums, counts, out=np.zeros(len(width)), where=counts > 0)
+    m = len(width)
+    q = max(1, min(n_components, m - 1, n - 1))
+    if n < 2 or m < 2:
+        return impute_col_mean(cells)
+    zero = lambda b: (lambda x: np.concatenate([x.sum(0), (x.T @ x).ravel()]))(np.nan_to_num(dense(b, width)))
+    both = summed(rows, zero, m + m * m)
+    p = bpca_begin((both[m:].reshape(m, m) - np.outer(both[:m], both[:m]) / n) / (n - 1), mean, q)
+    last = np.inf
+    for turn in range(max_iter):
+        task = lambda b, p=p: (lambda r: np.append(r[1].ravel(), r[2]))(bpca_rows(dense(b, width), p))
+        total = summed(rows, task, m * q + 1)
+        p = bpca_step(total[:-1].reshape(m, q), total[-1], n, p)
+        if turn % 10 == 9:
+            if abs(math.log10(p.tau) - last) < tol:
+                break
+            last = math.log10(p.tau)
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = np.array(width, object)
+        for batch in batches:
+            x = dense(batch, width)
+            i, j = np.nonzero(np.isnan(x))
+            new = bpca_rows(x, p)[0][i, j]
+            yield pa.RecordBatch.from_arrays([batch["sample_id"].take(pa.array(i)), pa.array(names[j], pa.string()), pa.array(new)], ["sample_id", "feature_id", "new"])
+
+    new = rows.mapInArrow(fill, "sample_id string, feature_id string, new double")
+    out = beside(cells.join(new, ["sample_id", "feature_id"], "left"), "feature_id", __x=F.avg("value"))
+    return filled(out, F.coalesce("new", "__x", F.lit(0.0)))
 
 
 def missing_mechanism(cells: DataFrame) -> tuple[str, dict[str, float]]:

@@ -13,8 +13,13 @@ from pyspark.sql import functions as F
 from ..errors import MissingDependencyError, ValidationError
 from ..model import CELL, Dataset
 from ..storage import materialize
-from .matrix import row_arrays
+from .matrix import beside, row_arrays
 from .neighbors import nearest
+from .reduce import pca
+
+
+MAX_LEVELS = 1000  # values of a categorical covariate
+WEIGHT_BLOCK = 1024  # features of a block in nonparametric ComBat
 
 
 def check_batches(obs: DataFrame, batch: str, least: int = 2) -> None:
@@ -33,12 +38,83 @@ def integrate_none(cells: DataFrame, obs: DataFrame, *, batch: str = "batch") ->
     return cells
 
 
-def integrate_combat(cells: DataFrame, obs: DataFrame, *, batch: str = "batch", eb_mode: str = "parametric") -> DataFrame:
-    """Empirical-Bayes location and scale adjustment without covariates; needs complete cells.
+def covariate_design(obs: DataFrame, covariates: tuple[str, ...], batch: str) -> DataFrame:
+    """(sample_id, batch, x0, x1, ...): numbers as they are, other covariates as indicators of all values but the first.
+
+    Covariates must have no nulls. A categorical one may have at most MAX_LEVELS values.
+    """
+    if obs.where(" or ".join(f"`{c}` is null" for c in covariates)).limit(1).count():
+        raise ValidationError("covariates must have no missing values")
+    columns = []
+    kinds = dict(obs.dtypes)
+    for c in covariates:
+        if kinds[c] in ("double", "float", "int", "bigint", "smallint", "tinyint") or kinds[c].startswith("decimal"):
+            columns.append(F.col(c).cast("double"))
+            continue
+        levels = sorted(str(r[0]) for r in obs.select(F.col(c).cast("string")).distinct().limit(MAX_LEVELS + 1).collect())
+        if len(levels) > MAX_LEVELS:
+            raise ValidationError(f"covariate {c} has more than {MAX_LEVELS} values")
+        columns += [(F.col(c).cast("string") == v).cast("double") for v in levels[1:]]
+    return obs.select("sample_id", F.col(batch).cast("string").alias("batch"), *(x.alias(f"x{i}") for i, x in enumerate(columns)))
+
+
+def covariate_effects(cells: DataFrame, obs: DataFrame, covariates: tuple[str, ...], batch: str) -> DataFrame:
+    """(sample_id, feature_id, effect): what covariates explain of complete cells beside the batches, by least squares.
+
+    Both sides are centred within batches, after which a feature's coefficients are those of the whole design.
+    """
+    design = covariate_design(obs, covariates, batch)
+    names = [c for c in design.columns if c.startswith("x")]
+    centred = design.join(design.groupBy("batch").agg(*(F.avg(c).alias(f"m{c}") for c in names)), "batch").select("sample_id", *(F.col(c).alias(f"raw{c}") for c in names), *((F.col(c) - F.col(f"m{c}")).alias(c) for c in names))
+    gram = np.array(centred.agg(*(F.sum(F.col(a) * F.col(b)) for a in names for b in names)).first(), float).reshape(len(names), -1)
+    if np.linalg.matrix_rank(gram) < len(names):
+        raise ValidationError("batches and covariates are confounded")
+    inverse = np.linalg.inv(gram)
+    rows = cells.select("sample_id", "feature_id", "value").join(centred, "sample_id")
+    sums = rows.groupBy("feature_id").agg(*(F.sum(F.col(c) * F.col("value")).alias(f"s{c}") for c in names))
+    beta = [sum(F.col(f"s{c}") * float(w) for c, w in zip(names, line)).alias(f"b{i}") for i, line in enumerate(inverse)]
+    effect = sum(F.col(f"b{i}") * F.col(f"raw{c}") for i, c in enumerate(names))
+    return rows.join(sums.select("feature_id", *beta), "feature_id").select("sample_id", "feature_id", effect.alias("effect"))
+
+
+def neighbour_weights(part: DataFrame) -> DataFrame:
+    """Nonparametric posteriors: each feature's means of the other features' estimates of its batch, weighted by likelihood.
+
+    Features are dealt into blocks; each pair of blocks of a batch meets in a task, which returns sums scaled by their largest
+    likelihood; these are added up by feature.
+    """
+    blocks = max(1, -(-part.groupBy("batch").count().agg(F.max("count")).first()[0] // WEIGHT_BLOCK))
+    place = F.pmod(F.xxhash64("feature_id"), F.lit(blocks)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    left = part.select("batch", "feature_id", "n", "g", "d", place.alias("i"), every.alias("j"))
+    right = part.select(*(F.col(c).alias(c) for c in ("batch", "feature_id", "g", "d")), place.alias("j"), every.alias("i"))
+
+    def weigh(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if not len(x) or not len(y):
+            return pd.DataFrame({c: [] for c in ("batch", "feature_id", "top", "w", "wg", "wd")})
+        n, g, d = (x[c].to_numpy(float)[:, None] for c in ("n", "g", "d"))
+        og, od = (y[c].to_numpy(float)[None] for c in ("g", "d"))
+        like = -0.5 * n * np.log(2 * np.pi * od) - ((n - 1) * d + n * (g - og) ** 2) / (2 * od)
+        like[x["feature_id"].to_numpy()[:, None] == y["feature_id"].to_numpy()[None]] = -np.inf
+        top = like.max(1)
+        w = np.exp(like - np.where(np.isfinite(top), top, 0)[:, None])
+        return pd.DataFrame({"batch": x["batch"], "feature_id": x["feature_id"], "top": top, "w": w.sum(1), "wg": w @ og[0], "wd": w @ od[0]})
+
+    key = ["batch", "i", "j"]
+    sums = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(weigh, "batch string, feature_id string, top double, w double, wg double, wd double").where("w > 0")
+    best = sums.groupBy("batch", "feature_id").agg(F.max("top").alias("best"))
+    scaled = sums.join(best, ["batch", "feature_id"])
+    by = F.exp(F.col("top") - F.col("best"))
+    mean = lambda c: (F.sum(F.col(c) * by) / F.sum(F.col("w") * by))
+    return scaled.groupBy("batch", "feature_id").agg(mean("wg").alias("g_new"), mean("wd").alias("d_new")).join(part.select("batch", "feature_id", "grand", "sd"), ["batch", "feature_id"])
+
+
+def integrate_combat(cells: DataFrame, obs: DataFrame, *, batch: str = "batch", covariates: tuple[str, ...] = (), eb_mode: str = "parametric") -> DataFrame:
+    """Empirical-Bayes location and scale adjustment; needs complete cells. What covariates explain is kept.
 
     Each (feature, batch) has two moments; the priors of a batch are moments of these over the features. The posterior of each
     feature is found on its own. Features that don't vary within batches stay as they are. nonparametric weighs the other
-    features' estimates, a batch's being gathered in one task.
+    features' estimates, whose number squared it looks at, in blocks.
     """
     check_batches(obs, batch)
     if eb_mode not in ("parametric", "nonparametric"):
@@ -46,6 +122,10 @@ def integrate_combat(cells: DataFrame, obs: DataFrame, *, batch: str = "batch",
     if cells.where("value is null").limit(1).count():
         raise ValidationError("ComBat needs cells without missing values")
     rows = _batched(cells, obs, batch)
+    if covariates:
+        rows = rows.join(covariate_effects(cells, obs, covariates, batch), ["sample_id", "feature_id"]).withColumn("value", F.col("value") - F.col("effect"))
+    else:
+        rows = rows.withColumn("effect", F.lit(0.0))
     part = rows.groupBy("feature_id", "batch").agg(F.count("value").alias("n"), F.avg("value").alias("m"), F.var_pop("value").alias("v"))
     whole = part.groupBy("feature_id").agg((F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("grand"), F.sqrt(F.sum(F.col("n") * F.col("v")) / F.sum("n")).alias("sd"))
     part = part.join(whole, "feature_id").where("sd > 0")
@@ -69,23 +149,12 @@ def integrate_combat(cells: DataFrame, obs: DataFrame, *, batch: str = "batch",
                     break
             yield x.assign(g_new=g_new, d_new=d_new)[["feature_id", "batch", "grand", "sd", "g_new", "d_new"]]
 
-    def weighted(x: pd.DataFrame) -> pd.DataFrame:
-        n, g, d = (x[c].to_numpy(float) for c in ("n", "g", "d"))
-        g_new, d_new = np.empty(len(x)), np.empty(len(x))
-        for i in range(len(x)):
-            ss = (n[i] - 1) * d[i] + n[i] * (g[i] - g) ** 2
-            like = -0.5 * n[i] * np.log(2 * np.pi * d) - ss / (2 * d)
-            like[i] = -np.inf
-            w = np.exp(like - like.max())
-            g_new[i], d_new[i] = (w @ g) / w.sum(), (w @ d) / w.sum()
-        return x.assign(g_new=g_new, d_new=d_new)[["feature_id", "batch", "grand", "sd", "g_new", "d_new"]]
-
     schema = "feature_id string, batch string, grand double, sd double, g_new double, d_new double"
     part = part.withColumn("batch", F.col("batch").cast("string"))
-    found = part.mapInPandas(posterior, schema) if eb_mode == "parametric" else part.groupBy("batch").applyInPandas(weighted, schema)
+    found = part.mapInPandas(posterior, schema) if eb_mode == "parametric" else neighbour_weights(materialize(part))
     out = rows.withColumn("batch", F.col("batch").cast("string")).join(found, ["feature_id", "batch"], "left")
     z = (F.col("value") - F.col("grand")) / F.col("sd")
-    return out.withColumn("value", F.coalesce((z - F.col("g_new")) / F.sqrt("d_new") * F.col("sd") + F.col("grand"), F.col("value"))).select(*CELL)
+    return out.withColumn("value", F.coalesce((z - F.col("g_new")) / F.sqrt("d_new") * F.col("sd") + F.col("grand"), F.col("value")) + F.col("effect")).select(*CELL)
 
 
 def integrate_limma(cells: DataFrame, obs: DataFrame, *, batch: str = "batch", covariates: tuple[str, ...] = (), reference_batch: str | None = None) -> DataFrame:
@@ -129,27 +198,107 @@ def mutual_neighbors(left: DataFrame, right: DataFrame, k: int) -> DataFrame:
     return there.join(back, ["a", "b"])
 
 
-def integrate_mnn(cells: DataFrame, obs: DataFrame, *, batch: str = "batch", k: int = 20, sigma: float = 1.0, order: list[str] | None = None) -> DataFrame:
-    """Merge batches one by one, the largest first: shift each new sample by Gaussian-weighted differences of mutual neighbours."""
+def cosine_normalized(cells: DataFrame) -> DataFrame:
+    """Each sample's values by the root of their squares' sum."""
+    return beside(cells, "sample_id", __norm=F.sqrt(F.sum(F.col("value") ** 2))).withColumn("value", F.try_divide("value", "__norm")).select(*CELL)
+
+
+def search_space(left: DataFrame, right: DataFrame, n_pcs: int | None) -> tuple[DataFrame, DataFrame]:
+    """The two sides as (sample_id, names, vec), over principal components of both if n_pcs is given."""
+    if n_pcs is None:
+        return row_arrays(left), row_arrays(right)
+    scores = materialize(pca(left.unionByName(right), n_pcs)["scores"])
+    names = F.transform(F.sequence(F.lit(1), F.size("vec")), lambda i: F.concat(F.lit("PC"), i.cast("string")))
+    rows = scores.select("sample_id", names.alias("names"), "vec")
+    return tuple(rows.join(side.select("sample_id").distinct(), "sample_id", "left_semi") for side in (left, right))
+
+
+def span_of(cells: DataFrame, dims: int) -> DataFrame:
+    """(feature_id, vec): the leading axes of some samples, which stand for biology."""
+    return pca(cells, dims)["loadings"]
+
+
+def without_span(shift: DataFrame, span: DataFrame) -> DataFrame:
+    """(b, feature_id, shift) less its part along the axes of `span`."""
+    long = span.select("feature_id", F.posexplode("vec").alias("axis", "w"))
+    along = shift.join(long, "feature_id").groupBy("b", "axis").agg(F.sum(F.col("shift") * F.col("w")).alias("s"))
+    part = along.join(long, "axis").groupBy("b", "feature_id").agg(F.sum(F.col("s") * F.col("w")).alias("part"))
+    return shift.join(part, ["b", "feature_id"], "left").select("b", "feature_id", (F.col("shift") - F.coalesce("part", F.lit(0.0))).alias("shift"))
+
+
+def adjusted_variance(smooth: DataFrame, new: DataFrame, merged: DataFrame) -> DataFrame:
+    """Shifts lengthened so that a sample's place along its shift, among its own batch, becomes the same place among the merged.
+
+    Places are the shares of samples with a smaller projection on the shift's direction; a factor is never below 1. Every sample
+    is projected on every shift of the batch, whose number is that of the batch's samples.
+    """
+    norm = beside(smooth.withColumnRenamed("sample_id", "b"), "b", length=F.sqrt(F.sum(F.col("shift") ** 2))).where("length > 0")
+    unit = norm.select("b", "feature_id", (F.col("shift") / F.col("length")).alias("u"), "length")
+    project = lambda cells: unit.join(cells, "feature_id").groupBy("b", "sample_id").agg(F.sum(F.col("u") * F.col("value")).alias("at"))
+    own = project(new)
+    mine = own.where("b = sample_id").select("b", F.col("at").alias("here"))
+    share = own.join(mine, "b").groupBy("b").agg(F.avg((F.col("at") <= F.col("here")).cast("int")).alias("share"), F.first("here").alias("here"))
+    there = project(merged).groupBy("b").agg(F.array_sort(F.collect_list("at")).alias("all"))
+    place = F.element_at("all", F.greatest(F.lit(1), F.least(F.size("all"), F.ceil(F.col("share") * F.size("all")).cast("int"))))
+    lengths = unit.select("b", "length").distinct()
+    scale = share.join(there, "b").join(lengths, "b").select("b", F.greatest(F.lit(1.0), (place - F.col("here")) / F.col("length")).alias("scale"))
+    return smooth.join(scale.withColumnRenamed("b", "sample_id"), "sample_id", "left").select("sample_id", "feature_id", (F.col("shift") * F.coalesce("scale", F.lit(1.0))).alias("shift"))
+
+
+def integrate_mnn(
+    cells: DataFrame, obs: DataFrame, *, batch: str = "batch", k: int = 20, sigma: float = 1.0, order: list[str] | None = None,
+    n_pcs: int | None = None, cos_norm_in: bool = True, cos_norm_out: bool = True, svd_dim: int = 0, var_adj: bool = True, use_anchor_correction: bool = True,
+) -> DataFrame:
+    """Merge batches one by one, the largest first: shift each new sample by differences of mutual neighbours.
+
+    Neighbours are looked for among samples of unit length (cos_norm_in), in n_pcs principal components if given; the values
+    that are shifted are of unit length too (cos_norm_out). Differences are smoothed by Gaussian weights, or averaged over
+    all pairs without use_anchor_correction, freed of the svd_dim leading axes of the paired samples of both sides, and
+    lengthened by var_adj. PCA needs complete cells.
+    """
     check_batches(obs, batch)
+    if svd_dim < 0 or k < 1 or sigma <= 0:
+        raise ValidationError("k and sigma must be positive, svd_dim not negative")
     names = order or [r[0] for r in obs.groupBy(F.col(batch).cast("string").alias("b")).count().orderBy(F.desc("count"), "b").collect()]
-    rows = materialize(_batched(cells, obs, batch).withColumn("batch", F.col("batch").cast("string")))
-    merged = rows.where(F.col("batch") == names[0]).select(*CELL)
+    known = {r[0] for r in obs.select(F.col(batch).cast("string")).distinct().collect()}
+    if set(names) != known:
+        raise ValidationError(f"order must name the batches {sorted(known)}")
+    rows = _batched(cells, obs, batch).withColumn("batch", F.col("batch").cast("string"))
+    of = obs.select("sample_id", F.col(batch).cast("string").alias("batch"))
+    normal = lambda on: cosine_normalized(rows) if on else rows.select(*CELL)
+    inside, outside = (materialize(normal(on).join(of, "sample_id")) for on in (cos_norm_in, cos_norm_out))
+    part = lambda df, name: df.where(F.col("batch") == name).select(*CELL)
+    merged_in, merged = part(inside, names[0]), part(outside, names[0])
     for name in names[1:]:
-        new = rows.where(F.col("batch") == name).select(*CELL)
-        left, right = materialize(row_arrays(merged)), materialize(row_arrays(new))
+        new_in, new = part(inside, name), part(outside, name)
+        left, right = map(materialize, search_space(merged_in, new_in, n_pcs))
         pairs = materialize(mutual_neighbors(left, right, k))
-        a = merged.select(F.col("sample_id").alias("a"), "feature_id", F.col("value").alias("x"))
-        b = new.select(F.col("sample_id").alias("b"), "feature_id", F.col("value").alias("y"))
-        shift = pairs.join(a, "a").join(b, ["b", "feature_id"]).groupBy("b", "feature_id").agg(F.avg(F.col("x") - F.col("y")).alias("shift"))
-        shift = materialize(shift)
-        anchors = right.join(shift.select(F.col("b").alias("sample_id")).distinct(), "sample_id", "left_semi")
-        own = anchors.select("sample_id", F.col("sample_id").alias("other"), F.lit(0.0).alias("distance"))
-        near = nearest(right, k, anchors).select("sample_id", "other", "distance").unionByName(own).groupBy("sample_id", "other").agg(F.min("distance").alias("distance"))
-        weight = F.exp(-F.col("distance") ** 2 / (2 * sigma**2))
-        smooth = near.withColumn("w", weight).join(shift.withColumnRenamed("b", "other"), "other").groupBy("sample_id", "feature_id").agg(F.try_divide(F.sum(F.col("w") * F.col("shift")), F.sum("w")).alias("shift"))
-        moved = new.join(smooth, ["sample_id", "feature_id"], "left").withColumn("value", F.col("value") + F.coalesce("shift", F.lit(0.0))).select(*CELL)
-        merged = materialize(merged.unionByName(moved))
+        if not pairs.limit(1).count():
+            merged_in, merged = materialize(merged_in.unionByName(new_in)), materialize(merged.unionByName(new))
+            continue
+        shifted = []
+        for ours, theirs in ((merged_in, new_in), (merged, new)):
+            a = ours.select(F.col("sample_id").alias("a"), "feature_id", F.col("value").alias("x"))
+            b = theirs.select(F.col("sample_id").alias("b"), "feature_id", F.col("value").alias("y"))
+            shift = pairs.join(a, "a").join(b, ["b", "feature_id"]).groupBy("b", "feature_id").agg(F.avg(F.col("x") - F.col("y")).alias("shift"))
+            if svd_dim:
+                for side, column in ((ours, "a"), (theirs, "b")):
+                    some = side.join(pairs.select(F.col(column).alias("sample_id")).distinct(), "sample_id", "left_semi")
+                    shift = without_span(shift, span_of(some, svd_dim))
+            shift = materialize(shift)
+            anchors = right.join(shift.select(F.col("b").alias("sample_id")).distinct(), "sample_id", "left_semi")
+            if use_anchor_correction:
+                own = anchors.select("sample_id", F.col("sample_id").alias("other"), F.lit(0.0).alias("distance"))
+                near = nearest(right, k, anchors).select("sample_id", "other", "distance").unionByName(own).groupBy("sample_id", "other").agg(F.min("distance").alias("distance"))
+                weight = F.exp(-F.col("distance") ** 2 / (2 * sigma**2))
+                smooth = near.withColumn("w", weight).join(shift.withColumnRenamed("b", "other"), "other").groupBy("sample_id", "feature_id").agg(F.try_divide(F.sum(F.col("w") * F.col("shift")), F.sum("w")).alias("shift"))
+            else:
+                smooth = theirs.select("sample_id", "feature_id").join(shift.groupBy("feature_id").agg(F.avg("shift").alias("shift")), "feature_id")
+            if var_adj:
+                smooth = adjusted_variance(materialize(smooth), theirs, ours)
+            moved = theirs.join(smooth, ["sample_id", "feature_id"], "left").withColumn("value", F.col("value") + F.coalesce("shift", F.lit(0.0))).select(*CELL)
+            shifted.append(materialize(ours.unionByName(moved)))
+        merged_in, merged = shifted
     return merged
 
 
@@ -178,6 +327,13 @@ INTEGRATORS = {
 }
 
 
+def register_integrator(name: str, apply: Callable[..., DataFrame], *, level: str = "matrix", for_de: bool = False) -> None:
+    """Add a method of one's own, called as apply(cells, obs, batch=...)."""
+    if name in INTEGRATORS:
+        raise ValidationError(f"there is a method {name!r} already")
+    INTEGRATORS[name] = Method(apply, level, for_de)
+
+
 def integrate(ds: Dataset, method: str = "combat", *, assay: str = "protein", source_layer: str = "imputed", new_layer: str | None = None, batch: str = "batch", **params) -> Dataset:
     if method not in INTEGRATORS:
         raise ValidationError(f"method is one of {sorted(INTEGRATORS)}, not {method!r}")

@@ -6,11 +6,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..errors import ValidationError
 
+CHUNK = 16_384  # numbers of a sum that travel together
 MAX_FEATURES = 4096  # the sums hold its square; the driver sees one such matrix at a time
 
 
@@ -22,6 +23,14 @@ def by_feature() -> WindowSpec:
     return Window.partitionBy("feature_id")
 
 
+def beside(cells: DataFrame, key: str, **stats: Column) -> DataFrame:
+    """cells with columns of statistics of each value of key: grouped, then joined, so that no task holds a key's cells.
+
+    The grouped side has one row a key; Spark broadcasts it where it turns out small.
+    """
+    return cells.join(cells.groupBy(key).agg(*(c.alias(n) for n, c in stats.items())), key)
+
+
 def row_arrays(cells: DataFrame) -> DataFrame:
     """(sample_id, names, vec): each sample's observed features, ascending, and their values."""
     seen = cells.where("value is not null")
@@ -50,15 +59,6 @@ def dense(batch: pa.RecordBatch, features: list[str]) -> np.ndarray:
     return out
 
 
-def refilled(x: np.ndarray, means: np.ndarray, projections: list[np.ndarray]) -> np.ndarray:
-    """Gaps by means, then by each projection in turn; observed values stay."""
-    gap = np.isnan(x)
-    out = np.where(gap, means, x)
-    for p in projections:
-        out = np.where(gap, (out - means) @ p + means, x)
-    return out
-
-
 def summed(rows: DataFrame, task: Callable[[pa.RecordBatch], np.ndarray], size: int) -> np.ndarray:
     """The sum over all batches of an array of `size` numbers: each task adds its own, then they are added by Spark."""
 
@@ -66,41 +66,29 @@ def summed(rows: DataFrame, task: Callable[[pa.RecordBatch], np.ndarray], size:
         total = np.zeros(size)
         for batch in batches:
             total += task(batch)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at])], ["at", "x"])
+        for i in range(0, size, CHUNK):
+            yield pa.RecordBatch.from_arrays([pa.array([i // CHUNK], pa.int32()), pa.array([total[i : i + CHUNK].tobytes()], pa.binary())], ["part", "x"])
+
+    def add(rows: pa.Table) -> pa.Table:
+        total = np.sum([np.frombuffer(x) for x in rows["x"].to_pylist()], axis=0)
+        return pa.table({"part": rows["part"][:1], "x": pa.array([total.tobytes()], pa.binary())})
 
     out = np.zeros(size)
-    found = rows.mapInArrow(run, "at long, x double").groupBy("at").agg(F.sum("x").alias("x")).toPandas()
-    out[found["at"].to_numpy(int)] = found["x"]
+    for r in rows.mapInArrow(run, "part int, x binary").groupBy("part").applyInArrow(add, "part int, x binary").collect():
+        out[r["part"] * CHUNK : r["part"] * CHUNK + len(r["x"]) // 8] = np.frombuffer(r["x"])
     return out
 
 
-def gram_sums(rows: DataFrame, projections: list[np.ndarray], *, means: np.ndarray | None = None, means_only: bool = False, width: list[str]) -> tuple:
-    """(samples, sums, counts) per feature; or (samples, Gram matrix of the refilled samples less the means)."""
+def gram_sums(rows: DataFrame, *, means: np.ndarray | None = None, means_only: bool = False, width: list[str]) -> tuple:
+    """(samples, sums, counts) per feature; or (samples, Gram matrix of complete samples less the means)."""
     m = len(width)
     if means_only:
         both = summed(rows, lambda b: np.concatenate([[b.num_rows], np.nansum(x := dense(b, width), 0), (~np.isnan(x)).sum(0)]), 2 * m + 1)
         return int(both[0]), both[1 : m + 1], both[m + 1 :]
 
     def task(batch: pa.RecordBatch) -> np.ndarray:
-        x = refilled(dense(batch, width), means, projections) - means
+        x = dense(batch, width) - means
         return np.concatenate([[len(x)], (x.T @ x).ravel()])
 
     both = summed(rows, task, m * m + 1)
     return int(both[0]), both[1:].reshape(m, m)
-
-
-def long_cells(rows: DataFrame, means: np.ndarray, projections: list[np.ndarray]) -> DataFrame:
-    """(sample_id, feature_id, new): the refilled gaps of each sample."""
-    width = feature_list(rows)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = np.array(width, object)
-        for batch in batches:
-            x = dense(batch, width)
-            i, j = np.nonzero(np.isnan(x))
-            new = refilled(x, means, projections)[i, j]
-            ids = batch["sample_id"].take(pa.array(i))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(names[j], pa.string()), pa.array(new)], ["sample_id", "feature_id", "new"])
-
-    return rows.select("sample_id", "names", "vec").mapInArrow(run, "sample_id string, feature_id string, new double")

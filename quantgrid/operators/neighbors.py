@@ -1,4 +1,8 @@
-"""Nearest neighbours between samples: blocks of samples meet pairwise, each task keeps the best k."""
+"""Nearest neighbours between samples: blocks of samples meet pairwise, each task keeps the best k.
+
+A feature travels as the 64-bit hash of its name, and values as one array of doubles, so that a block is laid out by numpy
+alone. Where samples are compared among themselves, two blocks meet once and serve both.
+"""
 
 from __future__ import annotations
 
@@ -10,10 +14,21 @@ from pyspark.sql import functions as F
 BLOCK = 1024
 
 
-def _dense(table: pa.Table, place: dict[str, int]) -> np.ndarray:
-    out = np.full((table.num_rows, len(place)), np.nan)
-    for i, (names, vec) in enumerate(zip(table["names"].to_pylist(), table["vec"].to_pylist())):
-        out[i, [place[n] for n in names]] = vec
+def _lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """All elements of a list column, and how many each row has."""
+    whole = column.combine_chunks()
+    return whole.flatten().to_numpy(zero_copy_only=False), np.diff(whole.offsets.to_numpy())
+
+
+def _dense(*tables: pa.Table) -> list[np.ndarray]:
+    """The rows of tables over all features that any of them has."""
+    lists = [_lists(t["features"]) for t in tables]
+    names = np.unique(np.concatenate([x for x, _ in lists]))
+    out = []
+    for t, (features, n) in zip(tables, lists):
+        x = np.full((t.num_rows, len(names)), np.nan)
+        x[np.repeat(np.arange(t.num_rows), n), np.searchsorted(names, features)] = _lists(t["vec"])[0]
+        out.append(x)
     return out
 
 
@@ -27,35 +42,40 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(shared > 0, np.sqrt(square / np.maximum(shared, 1)), np.inf)
 
 
+def _best(own: np.ndarray, ids: np.ndarray, d: np.ndarray, k: int) -> list[np.ndarray]:
+    """The k nearest of each row: its id, the other's and the distance; ties by id."""
+    by_id = np.argsort(ids, kind="stable")
+    order = by_id[np.argsort(d[:, by_id], axis=1, kind="stable")[:, :k]]
+    i, j = np.repeat(np.arange(len(own)), order.shape[1]), order.ravel()
+    good = np.isfinite(d[i, j])
+    return [own[i[good]], ids[j[good]], d[i, j][good]]
+
+
 def nearest(rows: DataFrame, k: int, others: DataFrame | None = None) -> DataFrame:
     """(sample_id, other, distance, place): the k nearest of `others` (or of rows, less itself) for each row; ties by id.
 
     rows and others are (sample_id, names, vec). Each sample is sent to one block and to each block of the other side.
     """
     same = others is None
-    others = rows if same else others
-    n, m = rows.count(), others.count()
-    deal = lambda df, count: df.withColumn("mine", F.pmod(F.xxhash64("sample_id"), F.lit(count)).cast("int"))
-    every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    n, m = rows.count(), rows.count() if same else others.count()
     a, b = max(1, -(-n // BLOCK)), max(1, -(-m // BLOCK))
-    left = deal(rows.select("sample_id", "names", "vec"), a).withColumnRenamed("mine", "i").withColumn("j", every(b))
-    right = deal(others.select(*(F.col(c).alias(c) for c in ("sample_id", "names", "vec"))), b).withColumnRenamed("mine", "j").withColumn("i", every(a))
+    slim = lambda df: df.select(F.col("sample_id").alias("sample_id"), F.transform("names", lambda x: F.xxhash64(x)).alias("features"), F.col("vec").alias("vec"))
+    mine = lambda count: F.pmod(F.xxhash64("sample_id"), F.lit(count)).cast("int")
+    left = slim(rows).withColumn("i", mine(a)).withColumn("j", F.explode(F.sequence(F.col("i") if same else F.lit(0), F.lit(b - 1))))
+    right = slim(rows if same else others).withColumn("j", mine(b)).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("j") if same else F.lit(a - 1))))
     kinds = pa.schema([("sample_id", pa.string()), ("other", pa.string()), ("distance", pa.float64())])
 
     def best(x: pa.Table, y: pa.Table) -> pa.Table:
         if not x.num_rows or not y.num_rows:
             return kinds.empty_table()
-        place = {f: i for i, f in enumerate(sorted({f for t in (x, y) for names in t["names"].to_pylist() for f in names}))}
-        d = distances(_dense(x, place), _dense(y, place))
-        own, ids = np.array(x["sample_id"].to_pylist(), object), np.array(y["sample_id"].to_pylist(), object)
+        d = distances(*_dense(x, y))
+        own, ids = (np.array(t["sample_id"].to_pylist(), object) for t in (x, y))
         if same:
             d[own[:, None] == ids[None]] = np.inf
-        by_id = np.argsort(ids, kind="stable")
-        order = by_id[np.argsort(d[:, by_id], axis=1, kind="stable")[:, :k]]
-        i = np.repeat(np.arange(len(own)), order.shape[1])
-        j = order.ravel()
-        good = np.isfinite(d[i, j])
-        return pa.table([pa.array(own[i[good]], pa.string()), pa.array(ids[j[good]], pa.string()), pa.array(d[i, j][good])], schema=kinds)
+        found = [_best(own, ids, d, k)]
+        if same and x["i"][0].as_py() != x["j"][0].as_py():
+            found.append(_best(ids, own, d.T, k))
+        return pa.table([pa.array(np.concatenate(c), f.type) for c, f in zip(zip(*found), kinds)], schema=kinds)
 
     found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(best, "sample_id string, other string, distance double")
     order = Window.partitionBy("sample_id").orderBy("distance", "other")

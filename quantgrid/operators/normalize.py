@@ -5,13 +5,13 @@ from __future__ import annotations
 import math
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import ValidationError
 from ..functions.quantiles import quantiles
 from ..model import Dataset
-from .matrix import by_feature, by_sample
+from .matrix import beside
 
 LOGGED = re.compile(r"(^|[_\-])(log|log2|log10|ln)([_\-]|$)")
 
@@ -23,12 +23,12 @@ def norm_none(cells: DataFrame) -> DataFrame:
 def norm_median(cells: DataFrame, *, add_global_median: bool = False) -> DataFrame:
     """Subtract each sample's median; then add the median of all cells, if asked."""
     add = (quantiles(cells, "value", [0.5])[0] or 0.0) if add_global_median else 0.0
-    return cells.withColumn("value", F.col("value") - F.median("value").over(by_sample()) + F.lit(add))
+    return beside(cells, "sample_id", __m=F.median("value")).withColumn("value", F.col("value") - F.col("__m") + F.lit(add)).select(*cells.columns)
 
 
 def norm_mean(cells: DataFrame, *, add_global_mean: bool = False) -> DataFrame:
     add = (cells.agg(F.avg("value")).first()[0] or 0.0) if add_global_mean else 0.0
-    return cells.withColumn("value", F.col("value") - F.avg("value").over(by_sample()) + F.lit(add))
+    return beside(cells, "sample_id", __m=F.avg("value")).withColumn("value", F.col("value") - F.col("__m") + F.lit(add)).select(*cells.columns)
 
 
 def norm_quantile(cells: DataFrame, *, by: str = "sample_id") -> DataFrame:
@@ -37,19 +37,18 @@ def norm_quantile(cells: DataFrame, *, by: str = "sample_id") -> DataFrame:
     The reference at place r is the mean of the r-th smallest values of the samples that have so many. A value takes the
     reference at its place; equal values take that at their mean place, between two entries if need be.
     """
-    infinite = F.count_if(F.abs("value") == float("inf"))
-    if cells.agg(infinite).first()[0]:
-        raise ValidationError("infinite values can't be quantile-normalized")
-    other = "feature_id" if by == "sample_id" else "sample_id"
-    some = cells.where("value is not null").withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy("value", other)) - 1)
-    reference = some.groupBy("place").agg(F.avg("value").alias("level"))
-    ties = Window.partitionBy(by, "value")
-    mean_place = (F.min("place").over(ties) + F.max("place").over(ties)) / 2
-    some = some.withColumn("at", mean_place).drop("place").withColumns({"low": F.floor("at").cast("int"), "high": F.ceil("at").cast("int")})
-    low, high = (reference.select(F.col("place").alias(s), F.col("level").alias(f"{s}_level")) for s in ("low", "high"))
-    value = F.col("low_level") + (F.col("at") - F.col("low")) * (F.col("high_level") - F.col("low_level"))
-    done = some.join(low, "low").join(high, "high").withColumn("value", value).select(*cells.columns)
-    return done.unionByName(cells.where("value is null"))
+    refused = F.raise_error(F.lit("infinite values can't be quantile-normalized")).cast("double")
+    x = F.when(F.abs("value") == float("inf"), refused).otherwise(F.col("value"))
+    order = Window.partitionBy(by).orderBy("value")
+    ties = F.count(F.lit(1)).over(order.rangeBetween(0, 0))
+    # One sort: places of their own for the reference, and the mean place of equal values.
+    some = cells.where("value is not null").withColumns({"value": x}).withColumns({"place": F.row_number().over(order) - 1, "at": F.rank().over(order) - 1 + (ties - 1) / 2})
+    level = some.groupBy("place").agg(F.avg("value").alias("level"))
+    near = level.select(F.explode(F.array(F.struct(F.col("place").alias("low"), F.col("level").alias("mine"), F.lit(None).cast("double").alias("next")), F.struct((F.col("place") - 1).alias("low"), F.lit(None).cast("double").alias("mine"), F.col("level").alias("next")))).alias("x"))
+    near = near.groupBy("x.low").agg(F.max("x.mine").alias("mine"), F.max("x.next").alias("next"))
+    done = some.withColumn("low", F.floor("at").cast("int")).join(near, "low")
+    value = F.col("mine") + F.when(F.col("at") > F.col("low"), (F.col("at") - F.col("low")) * (F.col("next") - F.col("mine"))).otherwise(F.lit(0.0))
+    return done.withColumn("value", value).select(*cells.columns).unionByName(cells.where("value is null"))
 
 
 def rank_invariance(cells: DataFrame) -> DataFrame:
@@ -70,7 +69,7 @@ def norm_trqn(cells: DataFrame, *, low_thr: float = 0.5, balance_stat: str = "me
     plain = norm_quantile(cells)
     chosen = (rank_invariance(plain).where(F.col("frequency") >= low_thr) if features is None else features).select("feature_id").distinct()
     stat = F.median if balance_stat == "median" else F.avg
-    subset = cells.join(chosen, "feature_id", "left_semi").withColumn("__level", stat("value").over(by_feature()))
+    subset = beside(cells.join(chosen, "feature_id", "left_semi"), "feature_id", __level=stat("value"))
     level = subset.select("sample_id", "feature_id", "__level")
     balanced = norm_quantile(subset.withColumn("value", F.col("value") - F.col("__level")).drop("__level"))
     balanced = balanced.join(level, ["sample_id", "feature_id"]).withColumn("value", F.col("value") + F.col("__level")).drop("__level")
@@ -90,28 +89,23 @@ def normalize(ds: Dataset, method: str, *, assay: str = "protein", source_layer:
 
 def zscore(cells: DataFrame, *, axis: int = 0, ddof: int = 1) -> DataFrame:
     """(x - mean) / deviation per feature (axis 0) or sample (axis 1); a deviation of 0 counts as 1. Needs complete cells."""
-    w, key = (by_feature(), "feature_id") if axis == 0 else (by_sample(), "sample_id")
+    key = "feature_id" if axis == 0 else "sample_id"
     if cells.where("value is null").limit(1).count():
         raise ValidationError("zscore needs cells without missing values")
     if cells.groupBy(key).count().where(F.col("count") <= ddof).limit(1).count():
         raise ValidationError("too few values for this ddof")
-    return cells.withColumn("value", standard_score(F.col("value"), w, ddof))
-
-
-def standard_score(x: Column, w, ddof: int = 1) -> Column:
-    sd = F.stddev_samp(x).over(w) if ddof == 1 else F.stddev_pop(x).over(w)
-    return (x - F.avg(x).over(w)) / F.when(sd == 0, 1.0).otherwise(sd)
+    sd = F.stddev_samp("value") if ddof == 1 else F.stddev_pop("value")
+    rows = beside(cells, key, __mean=F.avg("value"), __sd=sd)
+    return rows.withColumn("value", (F.col("value") - F.col("__mean")) / F.when(F.col("__sd") == 0, 1.0).otherwise(F.col("__sd"))).select(*cells.columns)
 
 
 def robust_scale(cells: DataFrame, *, axis: int = 0, center: bool = True, scale: bool = True) -> DataFrame:
     """(x - median) / interquartile range per feature (axis 0) or sample; a range of 0 counts as 1."""
-    w = by_feature() if axis == 0 else by_sample()
-    q = F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).over(w)
-    out = cells.withColumn("__q", q)
+    out = beside(cells, "feature_id" if axis == 0 else "sample_id", __q=F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))))
     span = F.element_at("__q", 3) - F.element_at("__q", 1)
     value = F.col("value") - (F.element_at("__q", 2) if center else F.lit(0.0))
     value = value / F.when(span == 0, 1.0).otherwise(span) if scale else value
-    return out.withColumn("value", value).drop("__q")
+    return out.withColumn("value", value).select(*cells.columns)
 
 
 def log_transform(cells: DataFrame, *, base: float = 2.0, offset: float = 1.0) -> DataFrame:

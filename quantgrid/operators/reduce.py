@@ -25,9 +25,9 @@ def pca(cells: DataFrame, n_components: int = 50, *, center: bool = True, scale:
     features = feature_list(rows)
     if rows.where(F.size("vec") < len(features)).limit(1).count():
         raise ValidationError("PCA needs cells without missing values")
-    n, sums, _ = gram_sums(rows, [], means_only=True, width=features)
+    n, sums, _ = gram_sums(rows, means_only=True, width=features)
     means = sums / n if center else np.zeros(len(features))
-    gram = gram_sums(rows, [], means=means, width=features)[1]
+    gram = gram_sums(rows, means=means, width=features)[1]
     sd = np.sqrt(np.maximum(np.diag(gram) / max(n - 1, 1), 0)) if scale else np.ones(len(features))
     sd[sd == 0] = 1
     value, vector = np.linalg.eigh(gram / np.outer(sd, sd) / max(n - 1, 1))
