@@ -19,6 +19,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,6 +35,7 @@ SIGMAS = 5  # a pair is looked at from the share of equal min-hashes that lies s
 #: A list of at most so many ids is broadcast; a longer one is joined by a shuffle.
 BROADCAST_ROWS = 200_000
 KEPT = 500_000  # words whose hash a worker keeps
+TOGETHER = 4 << 20  # bytes of text whose shingles are made together
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 _words: dict[bytes, int] = {}
@@ -64,13 +66,49 @@ def shingles(text: bytes, width: int = WORDS) -> np.ndarray:
     Words are runs of non-space, A-Z lower-cased.
     """
     words = text.lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
     if len(_words) > KEPT:
         _words.clear()
     for w in {*words}.difference(_words):
         _words[w] = xxhash.xxh3_64_intdigest(w)
-    h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    return joined(np.fromiter(map(_words.__getitem__, words), np.uint64, len(words)), width)
+
+
+def word_hashes(words: pa.Array) -> np.ndarray:
+    """The 64-bit hash of each word; a worker remembers those of words that it has met."""
+    coded = words.dictionary_encode()
+    if len(_words) > KEPT:
+        _words.clear()
+    names = coded.dictionary.cast(pa.binary()).to_pylist()
+    for w in {*names}.difference(_words):
+        _words[w] = xxhash.xxh3_64_intdigest(w)
+    return np.fromiter(map(_words.__getitem__, names), np.uint64, len(names))[coded.indices.to_numpy()]
+
+
+def shingle_sets(texts: pa.Array, width: int = WORDS) -> list[np.ndarray]:
+    """As `shingles` for each text, none of them null; words are hashed and joined for all texts at once."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    flat = lists.flatten()
+    real = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)
+    h = word_hashes(flat)[real]
+    offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    ends = np.concatenate([[0], np.cumsum(real)])[offsets]
+    n = max(len(h) - width + 1, 0)
+    s = np.full(n, np.uint64(width))
+    with np.errstate(over="ignore"):
+        for i in range(width):
+            s = (s ^ h[i : i + n]) * STEP
+            s ^= s >> np.uint64(29)
+    s = mix64(s)
+    out = []
+    for start, end in zip(ends[:-1].tolist(), ends[1:].tolist()):
+        out.append(np.unique(s[start : end - width + 1]) if end - start >= width else joined(h[start:end]))
+    return out
+
+
+def joined(h: np.ndarray, width: int = WORDS) -> np.ndarray:
+    """The distinct hashes, ascending, of the runs of `width` words; of fewer words as one run."""
+    if not len(h):
+        return np.zeros(0, np.uint64)
     width = min(width, len(h))
     n = len(h) - width + 1
     s = np.full(n, np.uint64(width))
@@ -87,16 +125,19 @@ def donors(bins: int) -> np.ndarray:
     return np.argsort(np.argsort(grid, axis=1), axis=1).astype(np.int16)
 
 
-def signature(s: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """The min-hash of each bin over ascending hashes, in 32 bits; an empty bin takes that of its first donor."""
+def signatures(sets: list[np.ndarray], order: np.ndarray) -> np.ndarray:
+    """The min-hash of each bin, in 32 bits, of sets of ascending hashes that aren't empty; an empty bin takes that of its first donor."""
     bins = len(order)
-    out, filled = np.zeros(bins, np.uint64), np.zeros(bins, bool)
-    place = (s % np.uint64(bins)).astype(np.int64)[::-1]
-    out[place] = s[::-1]  # of several values for one bin the last counts: the least
+    whole = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+    place = np.repeat(np.arange(len(sets)) * bins, [len(s) for s in sets]) + (whole % np.uint64(bins)).astype(np.int64)
+    out, filled = np.zeros(len(sets) * bins, np.uint64), np.zeros(len(sets) * bins, bool)
+    out[place[::-1]] = whole[::-1]  # of several values for one bin the last counts: the least
     filled[place] = True
-    empty, full = np.flatnonzero(~filled), np.flatnonzero(filled)
-    if len(empty):
-        out[empty] = out[full[np.argmin(order[np.ix_(empty, full)], axis=1)]]
+    out, filled = out.reshape(-1, bins), filled.reshape(-1, bins)
+    for row, has in zip(out, filled):
+        empty, full = np.flatnonzero(~has), np.flatnonzero(has)
+        if len(empty):
+            row[empty] = row[full[order[empty][:, full].argmin(1)]]
     return (mix64(out) >> np.uint64(32)).astype(np.uint32)
 
 
@@ -104,6 +145,16 @@ def _texts(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()]
 
 
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about TOGETHER bytes of text, one row at least."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < batch.num_rows:
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + TOGETHER, "right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 def signature_rows(trees: int, depth: int, prefix: int) -> Callable:
     """(doc_id, shingle_set, n, keys, bytes): the set's hash and size, each tree's shortest prefix as a key, the signature's low bytes."""
 
@@ -111,15 +162,12 @@ def signature_rows(trees: int, depth: int, prefix: int) -> Callable:
         order = donors(trees * depth)
         salt = mix64(np.arange(trees, dtype=np.uint64) * STEP)
         kinds = pa.schema([("doc_id", pa.int64()), ("shingle_set", pa.binary()), ("n", pa.int32()), ("keys", pa.list_(pa.int64())), ("bytes", pa.binary())])
-        for batch in batches:
-            names, sizes, found = [], [], []
-            for text in _texts(batch["text"]):
-                s = shingles(text)
-                sizes.append(len(s))
-                names.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                if len(s):
-                    found.append(signature(s, order))
-            sig = np.array(found, np.uint32).reshape(len(found), trees, depth)
+        for batch in (some for b in batches for some in slices(b)):
+            sets = shingle_sets(pc.fill_null(batch["text"], ""))
+            sizes = [len(s) for s in sets]
+            names = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
+            found = [s for s in sets if len(s)]
+            sig = signatures(found, order).reshape(len(found), trees, depth)
             key = np.repeat(salt[None], len(found), axis=0)
             with np.errstate(over="ignore"):
                 for level in range(prefix):
