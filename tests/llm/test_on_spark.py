@@ -1,5 +1,6 @@
 """The text operators on small tables, against brute force; nulls, empty texts, ties, repeated rows and clashing columns."""
 
+import itertools
 import math
 import random
 import re
@@ -263,31 +264,63 @@ def test_components(spark):
     assert got == {i: 0 for i in range(1, 31)} | {75: 50, 100: 50}
 
 
-def test_url_filter(spark):
+def brute_url(url):
+    """Host, path, rule and its verdict, and the tokens of a URL."""
+    at = (url or "").find("://")
+    rest = url[at + 3 :] if at >= 0 else ""
+    host = re.match(r"[^/?#]*", rest)[0]
+    path = re.match(r"[^?#]*", rest[len(host) :])[0]
+    host = lower(host)
+    fit = max((r for r in queries.URL_RULES if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)), key=lambda r: len(r.host + r.path), default=None)
+    tokens = {f"host={x}" for x in host.split(".") if x} | {f"path={x}" for x in path.split("/") if x}
+    return host, path, fit and fit.host + fit.path, fit and fit.verdict, tokens
+
+
+def brute_rules(rows, least, confidence):
+    """(antecedent, verdict) -> (confidence, support) of all token sets that enough rows hold."""
+    sets = Counter(frozenset(c) for tokens, v in rows if v and tokens for n in range(1, len(tokens) + 1) for c in itertools.combinations(sorted(tokens), n))
+    known = [(t, v) for t, v in rows if v and t]
+    out = {}
+    for ante in (a for a, n in sets.items() if n >= least):
+        for verdict in ("allow", "block"):
+            n = sum(v == verdict and ante <= t for t, v in known)
+            if n >= least and n / sets[ante] >= confidence:
+                out[ante, verdict] = n / sets[ante], n / len(known)
+    return out
+
+
+def test_url_filter(spark, monkeypatch):
     urls = [None, "", "no scheme", "http://Example.ORG/es/1?x", "https://a.example.org/en/12#t", "http://x.com/fr/2", "http://com/de/", "http://xcom/de/1", "http://a.net", "a://b://c/d", "http://example.org?q"]
     urls += [f"http://blog{i % 3}.site.com/{'de' if i % 2 else 'fr'}/p{i}" for i in range(60)] + ["http://blog1.site.net/de/9", "http://blog1.site.net/fr/9"]
+    urls += ["http://long.example.org/" + "/".join(f"s{i}" for i in range(40))] * 7 + ["http://other.net/" + "/".join(f"s{i}" for i in range(40))]
     pages = spark.createDataFrame([(i, u, "mine") for i, u in enumerate(urls)], "page_id long, url string, host string")
     got = {r["page_id"]: r for r in url_filter.filter_urls(pages, queries.URL_RULES).collect()}
-    view = [(got[i]["host"], got[i]["path"], got[i]["rule"], got[i]["verdict"]) for i in range(len(urls))]
-    assert view[:3] == [("", "", None, "allow")] * 3
-    assert view[3] == ("example.org", "/es/1", "example.org/es/", "block") and view[4] == ("a.example.org", "/en/12", "example.org/en/1", "block")
-    assert view[5] == ("x.com", "/fr/2", "com/fr/", "allow") and view[6] == ("com", "/de/", "com/de/", "block") and view[7][2] is None
-    assert view[8][:3] == ("a.net", "", None) and view[9][:2] == ("b:", "//c/d") and view[10] == ("example.org", "", None, "allow")
-    assert view[-2][2:] == (None, "block") and view[-1][2:] == (None, "allow")  # by mined rules
+    brute = [brute_url(u) for u in urls]
+    assert [(got[i]["host"], got[i]["path"], got[i]["rule"]) for i in range(len(urls))] == [b[:3] for b in brute]
+    assert brute[3][2:4] == ("example.org/es/", "block") and brute[4][2:4] == ("example.org/en/1", "block") and brute[5][2:4] == ("com/fr/", "allow") and brute[7][2] is None and brute[10][:3] == ("example.org", "", None)
+    rules = brute_rules([(b[4], b[3]) for b in brute if len(b[4]) < 20] , 5, 0.9)
+    for i, (_, _, rule, verdict, tokens) in enumerate(brute):
+        if rule is None and len(tokens) < 20:
+            held = {v for (ante, v) in rules if ante <= tokens}
+            assert got[i]["verdict"] == "allow" if not held else got[i]["verdict"] in held
+        elif rule:
+            assert got[i]["verdict"] == verdict
+    assert got[10]["verdict"] == "allow" or got[10]["confidence"] >= 0.9
+    assert got[71]["verdict"] == "block" and got[72]["verdict"] == "allow"  # by mined rules
+    assert got[len(urls) - 1]["verdict"] == "allow" and got[len(urls) - 1]["mined_rule"]  # as the other URL of 40 segments
     empty = url_filter.filter_urls(pages.limit(0), queries.URL_RULES)
     assert empty.count() == 0 and empty.columns.count("host") == 1
 
 
-def test_mined_rules_brute_force(spark):
-    rows = [(["a", "b"], "block")] * 8 + [(["a"], "allow")] * 6 + [(["b", "c"], "block")] * 3 + [(["c"], "allow")] * 2
-    got = {r["rule_id"]: (round(r["confidence"], 6), round(r["support"], 6)) for r in url_filter.mine_rules(spark.createDataFrame(rows, "tokens array<string>, verdict string"), min_support=0.1, min_confidence=0.6).collect()}
-    want = {}
-    for ante in ({"a"}, {"b"}, {"c"}, {"a", "b"}, {"b", "c"}):
-        base = [v for t, v in rows if ante <= {*t}]
-        for v in ("allow", "block"):
-            if base.count(v) >= 0.1 * len(rows) and base.count(v) / len(base) >= 0.6:
-                want[" ".join(sorted(ante)) + f" verdict={v}"] = (round(base.count(v) / len(base), 6), round(base.count(v) / len(rows), 6))
-    assert got == want
+def test_mined_rules_brute_force(spark, monkeypatch):
+    rows = [(["a", "b"], "block")] * 8 + [(["a"], "allow")] * 6 + [(["b", "c"], "block")] * 5 + [(["c"], "allow")] * 2 + [(["d", "e", "f", "g"], "allow")] * 6 + [([], "allow"), (["a"], None)]
+    table = spark.createDataFrame(rows, "tokens array<string>, verdict string")
+    want = {" ".join(sorted(a)) + f" verdict={v}": (round(c, 6), round(n, 6)) for (a, v), (c, n) in brute_rules([({*t}, v) for t, v in rows], 5, 0.6).items()}
+    found = lambda: {r["rule_id"]: (round(r["confidence"], 6), round(r["support"], 6)) for r in url_filter.mine_rules(table, min_support=0.1, min_confidence=0.6).collect()}
+    assert found() == want and len(want) > 15
+    monkeypatch.setattr(url_filter, "MAX_ITEMS", 2)  # rules of fewer tokens, but counted over all
+    some = found()
+    assert some == {k: want[k] for k in some} and {"a b verdict=block", "d verdict=allow"} <= some.keys()
 
 
 def test_topk(spark, monkeypatch):
