@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import materialize
+from .quantiles import running_counts
+
 
 def group_table(cells: DataFrame, groups: DataFrame, a: str, b: str) -> DataFrame:
     """(feature_id, mean_a, mean_b, log2_fc, cv_a, cv_b, mean_cv): log2 of mean A by mean B where both are positive."""
@@ -88,10 +91,13 @@ def group_metrics(cells: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def reconstruction(pairs: DataFrame) -> DataFrame:
-    """(n, coverage, mae, rmse, nrmse, median_error, pearson) of (truth, imputed)."""
+    """(n, coverage, mae, rmse, nrmse, median_error, pearson, spearman) of (truth, imputed)."""
     e = F.col("imputed") - F.col("truth")
     rmse = F.sqrt(F.avg(e**2))
-    return pairs.agg(F.count("truth").alias("n"), (F.count("imputed") / F.count("truth")).alias("coverage"), F.avg(F.abs(e)).alias("mae"), rmse.alias("rmse"), (rmse / F.stddev_samp("truth")).alias("nrmse"), F.median(F.abs(e)).alias("median_error"), F.corr("truth", "imputed").alias("pearson"))
+    both = pairs.where("truth is not null and imputed is not null").select("truth", "imputed")
+    rho = ranked(ranked(both, "truth", "a"), "imputed", "b").agg(F.corr("a", "b").alias("spearman"))
+    out = pairs.agg(F.count("truth").alias("n"), (F.count("imputed") / F.count("truth")).alias("coverage"), F.avg(F.abs(e)).alias("mae"), rmse.alias("rmse"), (rmse / F.stddev_samp("truth")).alias("nrmse"), F.median(F.abs(e)).alias("median_error"), F.corr("truth", "imputed").alias("pearson"))
+    return out.join(F.broadcast(rho))
 
 
 def within_group_cv(cells: DataFrame, groups: DataFrame) -> DataFrame:
@@ -100,15 +106,103 @@ def within_group_cv(cells: DataFrame, groups: DataFrame) -> DataFrame:
     return x.where("n >= 2").agg(F.median(F.abs("cv")).alias("cv"))
 
 
+def contrasts(cells: DataFrame, groups: DataFrame) -> DataFrame:
+    """(feature_id, a, b, n_a, n_b, log2_fc): mean of a less that of b on a log scale, for each two groups a < b."""
+    m = cells.where("value is not null").join(groups, "sample_id").groupBy("feature_id", "group").agg(F.avg("value").alias("m"), F.count(F.lit(1)).alias("n"))
+    x, y = (m.select("feature_id", F.col("group").alias(g), F.col("m").alias(f"m{g}"), F.col("n").alias(f"n_{g}")) for g in "ab")
+    return x.join(y, "feature_id").where("a < b").select("feature_id", "a", "b", "n_a", "n_b", (F.col("ma") - F.col("mb")).alias("log2_fc"))
+
+
+def ranked(df: DataFrame, column: str, rank: str) -> DataFrame:
+    """Add the rank of a column over all rows, equal values sharing their mean; nulls have none. No task sees all rows."""
+    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("__v")).agg(F.count(F.lit(1)).alias("n"))
+    places = running_counts(counts, "__v").select("__v", (F.col("upto") - (F.col("n") - 1) / 2).alias(rank))
+    return df.join(places, df[column] == F.col("__v"), "left").drop("__v")
+
+
+def _by_score(df: DataFrame, label: Column, score: Column) -> DataFrame:
+    """(s, n1, n0, above1, above0): rows of either label at each score, and above it."""
+    counts = df.where(score.isNotNull()).groupBy((-score).alias("s")).agg(F.count_if(label).alias("n1"), F.count_if(~label).alias("n0"))
+    one = running_counts(counts.select("s", "n1", "n0"), "s", "n1").withColumnRenamed("upto", "above1")
+    two = running_counts(counts.select("s", "n0"), "s", "n0").select("s", F.col("upto").alias("above0"))
+    return one.join(two, "s").select("s", "n1", "n0", (F.col("above1") - F.col("n1")).alias("above1"), (F.col("above0") - F.col("n0")).alias("above0"))
+
+
+def auc(df: DataFrame, label: Column, score: Column) -> DataFrame:
+    """(auc): the chance that a row of the label has a larger score than one without; null if one kind is missing."""
+    x = _by_score(df, label, score)
+    won = F.sum(F.col("n0") * (F.col("above1") + F.col("n1") / 2))
+    return x.agg(F.try_divide(won, F.sum("n1") * F.sum("n0")).alias("auc"))
+
+
+def partial_auc(df: DataFrame, label: Column, score: Column, max_fpr: float) -> DataFrame:
+    """(pauc): the area up to a false positive rate, scaled so that chance has 0.5 and the best 1."""
+    x = _by_score(df, label, score)
+    total = x.agg(F.sum("n1").alias("all1"), F.sum("n0").alias("all0"))
+    x = x.join(F.broadcast(total)).where("all1 > 0 and all0 > 0").withColumns({"x0": F.col("above0") / F.col("all0"), "x1": (F.col("above0") + F.col("n0")) / F.col("all0"), "y0": F.col("above1") / F.col("all1"), "y1": (F.col("above1") + F.col("n1")) / F.col("all1")}).where(F.col("x0") < max_fpr)
+    end = F.least("x1", F.lit(max_fpr))
+    height = F.col("y0") + F.when(F.col("x1") > F.col("x0"), (F.col("y1") - F.col("y0")) * (end - F.col("x0")) / (F.col("x1") - F.col("x0"))).otherwise(F.lit(0.0))
+    low = max_fpr * max_fpr / 2
+    return x.agg((0.5 * (1 + (F.sum((end - F.col("x0")) * (F.col("y0") + height) / 2) - low) / (max_fpr - low))).alias("pauc"))
+
+
+def ratio_metrics(table: DataFrame, expected: DataFrame, background: str) -> DataFrame:
+    """(n, mae, rmse, bias, pairwise_auc, changed_auc) of (species, log2_fc) on a log scale, against expected (species, fc).
+
+    changed_auc: how well the distance from the background's expected change tells other species from the background.
+    """
+    x = table.join(expected, "species").where("log2_fc is not null").withColumn("e", F.col("log2_fc") - F.col("fc"))
+    errors = x.agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs("e")).alias("mae"), F.sqrt(F.avg(F.col("e") ** 2)).alias("rmse"), F.avg("e").alias("bias"))
+    pairwise = pairwise_auc(x).agg(F.avg("auc").alias("pairwise_auc"))
+    base = expected.where(F.col("species") == background).select(F.col("fc").alias("base"))
+    far = x.join(F.broadcast(base))
+    changed = auc(far, F.col("species") != background, F.abs(F.col("log2_fc") - F.col("base"))).withColumnRenamed("auc", "changed_auc")
+    return errors.join(F.broadcast(pairwise)).join(F.broadcast(changed))
+
+
+def guess_groups(samples: DataFrame) -> DataFrame:
+    """(sample_id, group) by a token that several ids share: of those that start with S or "group", the most common.
+
+    Ids are cut at - and _; ids without the token are UNKNOWN. Empty if there is no such token, or if all ids have it.
+    """
+    tokens = F.filter(F.split(F.replace("sample_id", F.lit("-"), F.lit("_")), "_"), lambda t: t != "")
+    x = samples.select("sample_id", tokens.alias("tokens"))
+    each = x.select(F.explode("tokens").alias("token")).where((F.length("token") >= 2) & (F.col("token").startswith("S") | F.lower("token").startswith("group")))
+    best = each.groupBy("token").count().where("count >= 2").orderBy(F.desc("count"), "token").limit(1).select("token")
+    marked = x.join(F.broadcast(best)).withColumn("hit", F.array_contains("tokens", F.col("token")))
+    some = marked.agg(F.count_if("hit").alias("in"), F.count_if(~F.col("hit")).alias("out"))
+    return marked.join(F.broadcast(some)).where("in >= 2 and out >= 1").select("sample_id", F.when(F.col("hit"), F.col("token")).otherwise("UNKNOWN").alias("group"))
+
+
+def nmi(pairs: DataFrame) -> DataFrame:
+    """(nmi) of two labellings (a, b): shared information by the mean of both entropies; 1 if neither varies."""
+    cell = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    total = pairs.agg(F.count(F.lit(1)).alias("t"))
+    part = lambda c: cell.groupBy(c).agg(F.sum("n").alias("n"))
+    entropy = lambda df, name: df.join(F.broadcast(total)).agg((-F.sum(F.col("n") / F.col("t") * F.log(F.col("n") / F.col("t")))).alias(name))
+    x = entropy(part("a"), "ha").join(F.broadcast(entropy(part("b"), "hb"))).join(F.broadcast(entropy(cell, "hab")))
+    mean = (F.col("ha") + F.col("hb")) / 2
+    return x.select(F.when(mean < 1e-12, 1.0).otherwise((F.col("ha") + F.col("hb") - F.col("hab")) / F.when(mean >= 1e-12, mean)).alias("nmi"))
+
+
 def topk_agreement(a: DataFrame, b: DataFrame, k: int = 100) -> DataFrame:
-    """(r, jaccard, f1, sign_share) of two tables (feature_id, log2_fc): all features, and the k largest changes of each."""
-    top = lambda t: t.where("log2_fc is not null").orderBy(F.desc(F.abs("log2_fc")), "feature_id").limit(k).select("feature_id", F.lit(1).alias("in"))
-    x = a.select("feature_id", F.col("log2_fc").alias("x")).join(b.select("feature_id", F.col("log2_fc").alias("y")), "feature_id")
-    x = x.join(top(a).withColumnRenamed("in", "ia"), "feature_id", "left").join(top(b).withColumnRenamed("in", "ib"), "feature_id", "left")
-    both, any_ = F.count_if((F.col("ia") == 1) & (F.col("ib") == 1)), F.count_if((F.col("ia") == 1) | (F.col("ib") == 1))
-    sizes = F.count("ia") + F.count("ib")
-    sign = F.avg(F.when(F.col("ia") == 1, (F.signum("x") == F.signum("y")).cast("int")))
-    return x.agg(F.corr("x", "y").alias("r"), F.try_divide(both, any_).alias("jaccard"), F.try_divide(both * 2, sizes).alias("f1"), sign.alias("sign_share"))
+    """(r, jaccard, f1, sign_share, pauc_01, pauc_05, pauc_10) of two tables (feature_id, log2_fc).
+
+    r over all features that both have; the others compare the k largest changes of each, at most all but one of the shared.
+    The partial areas ask how well the second's changes find the k largest of the first.
+    """
+    x = a.where("log2_fc is not null").select("feature_id", F.col("log2_fc").alias("x")).join(b.where("log2_fc is not null").select("feature_id", F.col("log2_fc").alias("y")), "feature_id")
+    x = materialize(x)
+    k = max(1, min(k, x.count() - 1))
+    top = lambda c: x.orderBy(F.desc(F.abs(c)), "feature_id").limit(k).select("feature_id", F.lit(1).alias(f"in_{c}"))
+    x = x.join(top("x"), "feature_id", "left").join(top("y"), "feature_id", "left")
+    x = materialize(x)
+    both, any_ = F.count_if((F.col("in_x") == 1) & (F.col("in_y") == 1)), F.count_if((F.col("in_x") == 1) | (F.col("in_y") == 1))
+    sign = F.avg(F.when(F.col("in_x") == 1, (F.signum("x") == F.signum("y")).cast("int")))
+    out = x.agg(F.corr("x", "y").alias("r"), F.try_divide(both, any_).alias("jaccard"), (both / k).alias("f1"), sign.alias("sign_share"))
+    for name, most in (("pauc_01", 0.01), ("pauc_05", 0.05), ("pauc_10", 0.1)):
+        out = out.join(F.broadcast(partial_auc(x, F.coalesce(F.col("in_x") == 1, F.lit(False)), F.abs("y"), most).withColumnRenamed("pauc", name)))
+    return out
 
 
 def method_scores(long: DataFrame) -> DataFrame:

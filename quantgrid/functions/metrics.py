@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -38,14 +40,12 @@ def lisi(rows: DataFrame, labels: DataFrame, k: int = 30) -> DataFrame:
 
 def kbet(rows: DataFrame, labels: DataFrame, k: int = 30, alpha: float = 0.05) -> float:
     """The share of neighbourhoods whose labels a chi-square test finds like those of all."""
-    sizes = {r["label"]: r["count"] for r in labels.groupBy("label").count().collect()}
-    total = sum(sizes.values())
-    near = labelled_neighbors(rows, labels, k)
-    expected = F.create_map(*(x for name, n in sizes.items() for x in (F.lit(name), F.lit(n / total))))
-    k_real = F.sum("n").over(Window.partitionBy("sample_id"))
-    e = expected[F.col("label")] * k_real
-    stat = near.withColumn("c", F.col("n") ** 2 / e).withColumn("k", k_real).groupBy("sample_id").agg((F.sum("c") - F.first("k")).alias("x"))
-    p = F.pandas_udf(_chi2(len(sizes) - 1), "double")
+    sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
+    kinds, total = sizes.agg(F.count(F.lit(1)), F.sum("size")).first()
+    near = labelled_neighbors(rows, labels, k).join(sizes, "label")
+    terms = near.groupBy("sample_id").agg(F.sum("n").alias("k"), F.sum(F.col("n") ** 2 / F.col("size")).alias("c"))
+    stat = terms.select((F.col("c") * total / F.col("k") - F.col("k")).alias("x"))
+    p = F.pandas_udf(_chi2(kinds - 1), "double")
     return stat.select((p("x") >= alpha).cast("int").alias("ok")).agg(F.avg("ok")).first()[0]
 
 
@@ -149,6 +149,40 @@ def adjusted_rand(pairs: DataFrame) -> DataFrame:
     return x.select(F.when(top == 0, 1.0).otherwise((F.col("ij") - e) / F.when(top != 0, top)).alias("ari"))
 
 
+def knn_purity(rows: DataFrame, labels: DataFrame, k: int = 10) -> DataFrame:
+    """(score): the mean share of a sample's k nearest that have its own label."""
+    near = labelled_neighbors(rows, labels, k)
+    return near.groupBy("sample_id").agg((F.sum(F.when(F.col("label") == F.col("own"), F.col("n")).otherwise(0)) / F.sum("n")).alias("p")).agg(F.avg("p").alias("score"))
+
+
+def knn_jaccard(a: DataFrame, b: DataFrame, k: int = 10) -> DataFrame:
+    """(sample_id, jaccard) of the k nearest in two spaces, both (sample_id, names, vec)."""
+    one, two = (nearest(rows, k).select("sample_id", "other", F.lit(1).alias(name)) for rows, name in ((a, "x"), (b, "y")))
+    both = one.join(two, ["sample_id", "other"], "full_outer")
+    return both.groupBy("sample_id").agg((F.count_if((F.col("x") == 1) & (F.col("y") == 1)) / F.count(F.lit(1))).alias("jaccard"))
+
+
+def distance_agreement(a: DataFrame, b: DataFrame, k: int = 30) -> DataFrame:
+    """(r): the rank correlation, within each sample's k nearest in the first space, of distances in both, on average."""
+    near = nearest(a, k).select("sample_id", "other", F.col("distance").alias("d"))
+    left = b.select("sample_id", F.col("vec").alias("p"))
+    right = b.select(F.col("sample_id").alias("other"), F.col("vec").alias("q"))
+    gap = F.sqrt(F.aggregate(F.zip_with("p", "q", lambda x, y: (x - y) ** 2), F.lit(0.0), lambda s, v: s + v))
+    x = near.join(left, "sample_id").join(right, "other").withColumn("e", gap)
+    order = lambda c: F.rank().over(Window.partitionBy("sample_id").orderBy(c)).cast("double")
+    return x.withColumns({"rd": order("d"), "re": order("e")}).groupBy("sample_id").agg(F.corr("rd", "re").alias("r")).agg(F.avg("r").alias("r"))
+
+
+def clustering_stability(points: DataFrame, cluster: Callable[[DataFrame], DataFrame], *, subsamples: int = 10, share: float = 0.8, seed: int = 42) -> float:
+    """The mean adjusted Rand index, 0 at least, of (sample_id, label, vec) against clusterings of hashed shares of the samples."""
+    found = []
+    for i in range(subsamples):
+        hit = F.pmod(F.xxhash64("sample_id", F.lit(seed + i)), F.lit(1000)) < int(share * 1000)
+        new = cluster(points.where(hit).select("sample_id", "vec")).withColumnRenamed("label", "b")
+        found.append(adjusted_rand(new.join(points.select("sample_id", F.col("label").alias("a")), "sample_id")).first()[0])
+    return max(0.0, float(np.mean([x for x in found if x is not None] or [0.0])))
+
+
 def layer_quality(cells: DataFrame) -> DataFrame:
     """(skewness, kurtosis, dynamic_range, outlier_ratio): population moments, log10 of max by min, share outside 1.5 IQR by feature."""
     q = F.percentile("value", F.array(F.lit(0.25), F.lit(0.75))).over(Window.partitionBy("feature_id"))

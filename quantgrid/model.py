@@ -13,7 +13,7 @@ from dataclasses import dataclass, field, replace
 from datetime import datetime, timezone
 from enum import IntEnum
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .errors import AssayNotFoundError, DimensionError, LayerNotFoundError, MaskCodeError, StructureError, ValidationError
@@ -56,6 +56,41 @@ def complete(layer: DataFrame, samples: DataFrame | None = None, features: DataF
     return grid.join(layer, ["sample_id", "feature_id"], "left").select("sample_id", "feature_id", "value", F.coalesce("mask", F.lit(int(code))).alias("mask"))
 
 
+Criteria = Column | DataFrame | list
+
+
+def chosen(rows: DataFrame, key: str, keep: Criteria) -> DataFrame:
+    """The rows that a condition, a DataFrame of keys, or a list picks; keys must be distinct.
+
+    A list holds ids, whose order the result takes; booleans, one for each row by ascending key; or places in that order, from 0
+    on, negative ones from the end. ValidationError for ids and places that aren't there, and for a mask of another length.
+    """
+    if isinstance(keep, Column):
+        return rows.where(keep)
+    if isinstance(keep, DataFrame):
+        return rows.join(keep.select(key), key, "left_semi")
+    spark, keep = rows.sparkSession, list(keep)
+    if not keep:
+        return rows.limit(0)
+    if all(isinstance(x, str) for x in keep):
+        wanted = spark.createDataFrame([(x, i) for i, x in enumerate(dict.fromkeys(keep))], f"`{key}` string, __at int")
+        if unknown := [r[0] for r in wanted.join(rows, key, "left_anti").select(key).limit(5).collect()]:
+            raise ValidationError(f"no such {key}: {unknown}")
+        return rows.join(wanted, key).orderBy("__at").drop("__at")
+    n = rows.count()
+    if all(isinstance(x, bool) for x in keep):
+        if len(keep) != n:
+            raise ValidationError(f"a mask of {len(keep)} for {n} rows")
+        places = [i for i, x in enumerate(keep) if x]
+    else:
+        places = [int(x) + n * (x < 0) for x in keep]
+        if any(not 0 <= x < n for x in places):
+            raise ValidationError(f"places must lie within {n} rows")
+    ids = rows.select(key, (F.row_number().over(Window.orderBy(key)) - 1).alias("__place"))  # one id a row, in one task
+    wanted = spark.createDataFrame([(x, i) for i, x in enumerate(dict.fromkeys(places))], "__place int, __at int")
+    return rows.join(ids.join(wanted, "__place"), key).orderBy("__at").select(*rows.columns)
+
+
 @dataclass(frozen=True)
 class Record:
     action: str
@@ -116,19 +151,19 @@ class Dataset:
         """Add the layer that op makes of another one."""
         return self.with_layer(assay, new, op(self.layer(assay, source), **params), op.__name__, source_layer=source, **{k: v for k, v in params.items() if not isinstance(v, (DataFrame, Column))})
 
-    def filter_samples(self, keep: DataFrame | Column) -> Dataset:
-        """Keep samples by a condition on obs, or by a DataFrame of sample_id; cells of all layers follow."""
-        obs = self.obs.where(keep) if isinstance(keep, Column) else self.obs.join(keep.select("sample_id"), "sample_id", "left_semi")
+    def filter_samples(self, keep: Criteria) -> Dataset:
+        """Keep samples by criteria as `chosen` takes them; cells of all layers follow."""
+        obs = chosen(self.obs, "sample_id", keep)
         ids = obs.select("sample_id")
         assays = {n: replace(a, layers={k: c.join(ids, "sample_id", "left_semi") for k, c in a.layers.items()}) for n, a in self.assays.items()}
         return replace(self, obs=obs, assays=assays).log("filter_samples", {})
 
-    def filter_features(self, assay: str, keep: DataFrame | Column) -> Dataset:
-        """Keep features of one assay, its exact name given; its cells and the links follow."""
+    def filter_features(self, assay: str, keep: Criteria) -> Dataset:
+        """Keep features of one assay, its exact name given, by criteria as `chosen` takes them; its cells and the links follow."""
         if assay not in self.assays:
             raise AssayNotFoundError(f"no assay {assay!r}")
         old = self.assays[assay]
-        var = old.var.where(keep) if isinstance(keep, Column) else old.var.join(keep.select("feature_id"), "feature_id", "left_semi")
+        var = chosen(old.var, "feature_id", keep)
         ids = var.select("feature_id")
         new = self.with_assay(assay, Assay(var, {k: c.join(ids, "feature_id", "left_semi") for k, c in old.layers.items()}))
         if self.links is not None:
@@ -139,6 +174,11 @@ class Dataset:
             new = replace(new, links=links)
         return new.log("filter_features", {"assay": assay})
 
+    def subset(self, assay: str, *, features: Criteria, layers: list[str] | None = None) -> Assay:
+        """One assay with some features and layers; the data set stays as it is."""
+        old = self.filter_features(self.resolve(assay), features).assay(assay)
+        return replace(old, layers={k: v for k, v in old.layers.items() if layers is None or k in layers})
+
     def keep_layers(self, assay: str, names: list[str]) -> Dataset:
         old = self.assay(assay)
         return self.with_assay(self.resolve(assay), replace(old, layers={k: v for k, v in old.layers.items() if k in names}))

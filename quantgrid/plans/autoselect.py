@@ -9,9 +9,10 @@ import json
 import math
 import time
 from collections.abc import Callable
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 from pathlib import Path
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +36,9 @@ class Result:
     seconds: float = 0.0
     selection: float = 0.0
     error: str = ""
+    repeats: int = 1
+    low: float = 0.0  # bounds of the quality over repeats
+    high: float = 0.0
 
 
 @dataclass
@@ -42,6 +46,7 @@ class StageReport:
     stage: str
     best: str
     results: list[Result]
+    note: str = ""
 
 
 @dataclass
@@ -49,8 +54,8 @@ class Report:
     stages: list[StageReport]
 
     def rows(self, spark: SparkSession) -> DataFrame:
-        found = [(s.stage, r.method, r.method == s.best, r.quality, r.seconds, r.selection, json.dumps(r.scores), r.error) for s in self.stages for r in s.results]
-        return spark.createDataFrame(found, "stage string, method string, best boolean, quality double, seconds double, selection double, scores string, error string")
+        found = [(s.stage, r.method, r.method == s.best, float(r.quality), r.seconds, float(r.selection), json.dumps(r.scores), r.error, r.repeats, float(r.low), float(r.high)) for s in self.stages for r in s.results]
+        return spark.createDataFrame(found, "stage string, method string, best boolean, quality double, seconds double, selection double, scores string, error string, repeats int, low double, high double")
 
     def save(self, path: str, form: str = "json") -> None:
         """Write json, csv or markdown."""
@@ -98,16 +103,27 @@ def integration_scores(before: DataFrame, after: DataFrame, obs: DataFrame, batc
     return {"batch_asw": _one(metrics.asw(points, batch=True)), "batch_mixing": _one(metrics.batch_mixing(rows, labels, 10)), "variance_preserved": kept}
 
 
-def cluster_scores(points: DataFrame) -> dict[str, float]:
-    return {"silhouette": _one(metrics.asw(points, batch=False)), "calinski_harabasz": _one(metrics.calinski_harabasz(points)), "davies_bouldin": _one(metrics.davies_bouldin(points))}
+def reduction_scores(cells: DataFrame, scores: DataFrame) -> dict[str, float]:
+    """How much variance, distances and neighbours the scores keep."""
+    rows = row_arrays(cells)
+    names = F.transform(F.sequence(F.lit(1), F.size("vec")), lambda i: i.cast("string"))
+    low = scores.select("sample_id", names.alias("names"), "vec")
+    total = _one(cells.groupBy("feature_id").agg(F.var_samp("value").alias("v")).agg(F.sum("v")))
+    kept = _one(scores.select(F.posexplode("vec").alias("i", "x")).groupBy("i").agg(F.var_samp("x").alias("v")).agg(F.sum("v")))
+    return {"variance_explained": min(1.0, kept / max(total, 1e-12) / 0.8), "distances": (_one(metrics.distance_agreement(rows, low)) + 1) / 2, "local_structure": _one(metrics.knn_jaccard(rows, low).agg(F.avg("jaccard")))}
+
+
+def cluster_scores(points: DataFrame, cluster: Callable[[DataFrame], DataFrame]) -> dict[str, float]:
+    """points (sample_id, vec, label); cluster repeats the clustering on other points."""
+    return {"stability": metrics.clustering_stability(points, cluster, subsamples=3), "silhouette": _one(metrics.asw(points, batch=False)), "calinski_harabasz": _one(metrics.calinski_harabasz(points)), "davies_bouldin": _one(metrics.davies_bouldin(points))}
 
 
 WEIGHTS = {
     "normalize": {"intragroup": 0.4, "loading_bias": 0.3, "signal": 0.3},
     "impute": {"rmse": 0.4, "pearson": 0.3, "completeness": 0.3},
     "integrate": {"batch_asw": 0.25, "batch_mixing": 0.25, "variance_preserved": 0.5},
-    "reduce": {"variance_explained": 1.0},
-    "cluster": {"silhouette": 0.4, "calinski_harabasz": 0.33, "davies_bouldin": 0.27},
+    "reduce": {"variance_explained": 0.4, "distances": 0.3, "local_structure": 0.3},
+    "cluster": {"silhouette": 0.3, "calinski_harabasz": 0.25, "davies_bouldin": 0.2, "stability": 0.25},
 }
 
 
@@ -127,54 +143,129 @@ def choose(results: list[Result], strategy: str) -> str:
     return max(good, key=lambda x: (x.selection, x.quality, x.method)).method
 
 
+Evaluator = Callable[[DataFrame, DataFrame, DataFrame], dict[str, float]]
+EVALUATORS: dict[str, tuple[Evaluator, dict[str, float]]] = {}
+
+
+def register_evaluator(stage: str, scores: Evaluator, weights: dict[str, float]) -> None:
+    """Score a stage's layers by a function of one's own: (cells before, after, obs) -> scores, which `weights` weigh."""
+    if stage not in STAGES[:3]:
+        raise ValidationError(f"stage is one of {STAGES[:3]}, not {stage!r}")
+    EVALUATORS[stage] = scores, weights
+
+
+def is_logged(ds: Dataset, assay: str, layer: str) -> bool:
+    """Whether a layer is on a log scale, by its name or those it was made of."""
+    made = {r.params.get("new_layer") for r in ds.history if r.action in ("log_transform", "log_transform_skipped")}
+    return any(normalize.LOGGED.search(name.lower()) or name in made for name in ds.lineage(assay, layer))
+
+
+def adaptive_trqn(cells: DataFrame) -> DataFrame:
+    """TRQN with the default threshold, or with the largest frequency that there is, if that is lower: so that some feature is rank-invariant."""
+    top = normalize.rank_invariance(cells).agg(F.max("frequency")).first()[0]
+    return normalize.norm_trqn(cells, low_thr=max(min(0.5, top or 0.5), 1e-9))
+
+
+#: Methods that only make sense on a log scale.
+LOG_ONLY = ("quantile", "trqn")
+
+
 class AutoSelector:
-    """Runs stages one after the other; each passes its best layer to the next."""
+    """Runs stages one after the other; each passes its best layer to the next.
+
+    A method that fails is reported with its error and the others go on. With repeats, each method is scored as often, with seeds of
+    its own where it hides cells; the report has the mean and the bounds that hold `confidence` of the repeats. Methods
+    for log scales are compared only on layers that are logged by their name or history.
+    """
 
-    def __init__(self, *, strategy: str = "balanced", group: str = "group", batch: str = "batch", methods: dict[str, list[str]] | None = None):
+    def __init__(self, *, strategy: str = "balanced", group: str = "group", batch: str = "batch", methods: dict[str, list[str]] | None = None, repeats: int = 1, confidence: float = 0.95, include_embedding: bool = False):
         if strategy not in STRATEGIES:
             raise ValidationError(f"strategy is one of {sorted(STRATEGIES)}, not {strategy!r}")
-        self.strategy, self.group, self.batch = strategy, group, batch
-        self.methods = {"normalize": ["none", "median", "mean"], "impute": ["row_mean", "row_median", "half_row_min"], "integrate": ["none", "combat", "limma"], "reduce": ["pca"], "cluster": ["3", "5", "8"]} | (methods or {})
-
-    def candidates(self, stage: str, cells: DataFrame, obs: DataFrame) -> dict[str, tuple[Callable[[], DataFrame], Callable[[DataFrame], dict[str, float]]]]:
+        if repeats < 1 or not 0 < confidence < 1:
+            raise ValidationError("repeats must be 1 or more, confidence in (0, 1)")
+        self.strategy, self.group, self.batch, self.repeats, self.confidence = strategy, group, batch, repeats, confidence
+        first = {"normalize": ["none", "median", "mean", "quantile", "trqn"], "impute": ["row_mean", "row_median", "half_row_min"], "integrate": ["none", "combat", "limma", *(["mnn"] if include_embedding else [])], "reduce": ["pca"], "cluster": ["3", "5", "8"]}
+        self.methods = first | (methods or {})
+
+    def candidates(self, stage: str, cells: DataFrame, obs: DataFrame, logged: bool) -> dict[str, tuple[Callable[[], DataFrame], Callable[[DataFrame, int], dict[str, float]]]]:
+        """For each method how to make its layer and how to score it, given the layer and a seed."""
+        own = EVALUATORS.get(stage)
         if stage == "normalize":
-            return {m: (lambda m=m: normalize.NORMALIZERS[m](cells), lambda out: normalization_scores(cells, out, obs, self.group)) for m in self.methods[stage]}
-        if stage == "impute":
-            return {m: (lambda m=m: impute.IMPUTERS[m](cells), lambda out, m=m: imputation_scores(cells, impute.IMPUTERS[m])) for m in self.methods[stage]}
-        if stage == "integrate":
-            return {m: (lambda m=m: integrate.INTEGRATORS[m].apply(cells, obs, batch=self.batch), lambda out: integration_scores(cells, out, obs, self.batch)) for m in self.methods[stage]}
-        raise ValidationError(f"stage is one of {STAGES}, not {stage!r}")
-
-    def run_stage(self, stage: str, cells: DataFrame, obs: DataFrame) -> tuple[DataFrame, StageReport]:
-        results, layers = [], {}
-        if stage in ("reduce", "cluster"):
-            found = pca(cells, 10) if stage == "reduce" else None
-            for m in self.methods[stage]:
-                start = time.monotonic()
-                if stage == "reduce":
-                    layers[m] = found["scores"]
-                    scores = {"variance_explained": min(1.0, _one(found["variance"].agg(F.sum("ratio"))) / 0.8)}
-                else:
-                    layers[m] = kmeans(cells, int(m))
-                    scores = cluster_scores(cells.join(layers[m], "sample_id"))
-                results.append(Result(m, scores, weighted(scores, WEIGHTS[stage]), time.monotonic() - start))
+            methods = {m: f for m, f in (normalize.NORMALIZERS | {"trqn": adaptive_trqn}).items() if logged or m not in LOG_ONLY}
+            score = lambda m: lambda out, seed: normalization_scores(cells, out, obs, self.group)
+            make = lambda m: lambda: methods[m](cells)
+        elif stage == "impute":
+            methods = impute.IMPUTERS
+            score = lambda m: lambda out, seed: imputation_scores(cells, methods[m], seed=seed)
+            make = lambda m: lambda: methods[m](cells)
+        elif stage == "integrate":
+            methods = integrate.INTEGRATORS
+            score = lambda m: lambda out, seed: integration_scores(cells, out, obs, self.batch)
+            make = lambda m: lambda: methods[m].apply(cells, obs, batch=self.batch)
+        elif stage == "reduce":
+            methods = {"pca": None}
+            score = lambda m: lambda out, seed: reduction_scores(cells, out)
+            make = lambda m: lambda: pca(cells, 10)["scores"]
+        elif stage == "cluster":
+            methods = {m: int(m) for m in self.methods[stage]}
+            score = lambda m: lambda out, seed: cluster_scores(cells.join(out, "sample_id"), lambda p: kmeans(p, int(m)))
+            make = lambda m: lambda: kmeans(cells, int(m))
         else:
-            for m, (make, score) in self.candidates(stage, cells, obs).items():
-                start = time.monotonic()
-                layers[m] = make()
-                scores = score(layers[m])
-                results.append(Result(m, scores, weighted(scores, WEIGHTS[stage]), time.monotonic() - start))
+            raise ValidationError(f"stage is one of {STAGES}, not {stage!r}")
+        if own:
+            score = lambda m: lambda out, seed: own[0](cells, out, obs)
+        return {m: (make(m), score(m)) for m in self.methods[stage] if m in methods}
+
+    def run_method(self, stage: str, method: str, make: Callable[[], DataFrame], score: Callable[[DataFrame, int], dict[str, float]]) -> tuple[DataFrame | None, Result]:
+        weights = EVALUATORS[stage][1] if stage in EVALUATORS else WEIGHTS[stage]
+        found, layer, start = [], None, time.monotonic()
+        try:
+            for i in range(self.repeats):
+                layer = make()
+                found.append(score(layer, 42 + i))
+        except Exception as e:  # any failure of a method is part of the report
+            return None, Result(method, seconds=time.monotonic() - start, error=f"{type(e).__name__}: {e}"[:500])
+        values = [weighted(s, weights) for s in found]
+        tail = (1 - self.confidence) / 2
+        low, high = np.quantile(values, [tail, 1 - tail])
+        mean = {k: float(np.mean([s[k] for s in found])) for k in found[0]}
+        return layer, Result(method, mean, float(np.mean(values)), (time.monotonic() - start) / self.repeats, repeats=self.repeats, low=float(low), high=float(high))
+
+    def run_stage(self, stage: str, cells: DataFrame, obs: DataFrame, logged: bool = False) -> tuple[DataFrame, StageReport]:
+        """cells are those of a layer; for cluster, points (sample_id, vec)."""
+        layers, results = {}, []
+        for m, (make, score) in self.candidates(stage, cells, obs, logged).items():
+            layers[m], result = self.run_method(stage, m, make, score)
+            results.append(result)
         best = choose(results, self.strategy)
-        return layers[best], StageReport(stage, best, results)
+        note = "" if stage != "normalize" or logged else f"not known to be logged: {', '.join(LOG_ONLY)} left out"
+        return layers[best], StageReport(stage, best, results, note)
 
     def run(self, ds: Dataset, *, assay: str = "protein", source_layer: str = "raw", stages: tuple[str, ...] = STAGES[:3]) -> tuple[Dataset, Report]:
-        """Add a layer named after each stage's choice; reduction and clustering results come in the report's last layers."""
-        cells, reports = ds.layer(assay, source_layer), []
-        name = source_layer
+        """Add a layer named after each stage's choice; scores of a reduction and labels go to obs as columns `vec` and `cluster`."""
+        cells, reports, name = ds.layer(assay, source_layer), [], source_layer
         for stage in stages:
-            cells, report = self.run_stage(stage, cells, ds.obs)
+            if stage == "cluster" and "vec" not in cells.columns:
+                cells = row_arrays(cells).select("sample_id", "vec")
+            cells, report = self.run_stage(stage, cells, ds.obs, stage == "normalize" and is_logged(ds, assay, name))
             reports.append(report)
             if stage in STAGES[:3]:
                 ds = ds.with_layer(assay, f"auto_{stage}", cells, f"auto_{stage}", source_layer=name, method=report.best)
                 name = f"auto_{stage}"
+            else:
+                column = cells if stage == "reduce" else cells.withColumnRenamed("label", "cluster")
+                ds = replace(ds, obs=ds.obs.drop(*column.columns[1:]).join(column, "sample_id", "left")).log(f"auto_{stage}", {"method": report.best})
         return ds, Report(reports)
+
+
+def _auto(stage: str) -> Callable[..., tuple[Dataset, StageReport]]:
+    def run(ds: Dataset, *, assay: str = "protein", source_layer: str = "raw", **options) -> tuple[Dataset, StageReport]:
+        out, report = AutoSelector(**options).run(ds, assay=assay, source_layer=source_layer, stages=(stage,))
+        return out, report.stages[0]
+
+    run.__doc__ = f"The best method of the stage {stage}: the data set with its result, and the report. Options are those of AutoSelector."
+    run.__name__ = f"auto_{stage}"
+    return run
+
+
+auto_normalize, auto_impute, auto_integrate, auto_reduce, auto_cluster = map(_auto, STAGES)

@@ -5,8 +5,10 @@ Doubles are rounded alike on both sides, so that sums taken in another order com
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,8 +17,13 @@ from .functions import benchmarks, metrics, stats
 from .operators import aggregate, impute, integrate, masks, normalize, qc, reduce
 from .operators.matrix import by_sample, row_arrays
 from .operators.neighbors import nearest
+from .functions import custom
+from .model import chosen
 from .plans import autoselect, plots
 from .plans import matrices as m
+from .sources import tables
+from .storage import delete_at_exit, shared_dir
+from .streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -115,7 +122,10 @@ protein("weighted_mean", "select sample_id, protein as feature_id, sum(value * m
 protein("top_n", "select sample_id, protein as feature_id, median(value) as value, max(mask) as mask from j join (select feature_id, row_number() over (partition by target_id order by med desc, feature_id desc) as place from med join links on feature_id = source_id) using (feature_id) where place <= 3 group by 1, 2")
 protein("ibaq", "select sample_id, protein as feature_id, sum(value) / max(n) as value, max(mask) as mask from j join (select target_id, count(*) as n from links group by 1) on target_id = protein group by 1, 2")
 query("aggregate_tmp")(lambda s, d: aggregate.aggregate_to_protein(m.peptides(s, d), m.links(s, d), "tmp"))
-query("aggregate_maxlfq")(lambda s, d: aggregate.aggregate_to_protein(m.cells(s, d), m.cells(s, d).select(F.col("feature_id").alias("source_id"), F.split("feature_id", "#")[0].alias("target_id")).distinct(), "maxlfq"))
+query("aggregate_maxlfq")(lambda s, d: aggregate.aggregate_to_protein(m.peptides(s, d), m.links(s, d), "maxlfq"))
+query("pair_ratios", "protein a b ratio:d n", "select x.protein, x.sample_id as a, y.sample_id as b, median(ln(y.value) - ln(x.value)) as ratio, count(*) as n from j x join j y on x.protein = y.protein and x.feature_id = y.feature_id and x.sample_id < y.sample_id group by 1, 2, 3 having count(*) >= 2", "peptides links", "j as (select sample_id, target_id as protein, feature_id, value from peptides join links on feature_id = source_id)")(
+    lambda s, d: aggregate.pair_ratios(m.peptides(s, d).join(m.links(s, d).toDF("feature_id", "protein"), "feature_id").select("protein", "feature_id", "sample_id", F.log("value").alias("x")), 2)
+)
 
 # quality control
 _SAMPLES = "metrics as (select sample_id, count(*) filter (mask = 0 and value is not null) as n_features, coalesce(sum(value), 0.0) as total_intensity, ln(1 + coalesce(sum(value), 0.0)) as log1p_total_intensity from cells group by 1)"
@@ -305,17 +315,19 @@ def method_scores(spark: SparkSession, sf: str) -> DataFrame:
     return benchmarks.method_scores(long)
 
 
-@query("bench_reconstruction", "n coverage:d mae:d rmse:d nrmse:d median_error:d pearson:d", "select count(x) as n, count(y) / count(x) as coverage, avg(abs(y - x)) as mae, sqrt(avg((y - x) * (y - x))) as rmse, sqrt(avg((y - x) * (y - x))) / stddev_samp(x) as nrmse, median(abs(y - x)) as median_error, corr(x, y) as pearson from (select value as x, median(value) over (partition by sample_id) as y from cells)", "cells")
+@query("bench_reconstruction", "n coverage:d mae:d rmse:d nrmse:d median_error:d pearson:d spearman:d", "select count(x) as n, count(y) / count(x) as coverage, avg(abs(y - x)) as mae, sqrt(avg((y - x) * (y - x))) as rmse, sqrt(avg((y - x) * (y - x))) / stddev_samp(x) as nrmse, median(abs(y - x)) as median_error, corr(x, y) as pearson, corr(rx, ry) as spearman from (select *, rank() over (order by x) + (count(*) over (partition by x) - 1) / 2 as rx, rank() over (order by y) + (count(*) over (partition by y) - 1) / 2 as ry from (select value as x, median(value) over (partition by sample_id) as y from cells))", "cells")
 def reconstruction(spark: SparkSession, sf: str) -> DataFrame:
     return benchmarks.reconstruction(m.cells(spark, sf).select(F.col("value").alias("truth"), F.median("value").over(by_sample()).alias("imputed")))
 
 
 # tests between groups, integration, reduction
-query("welch_tests")(lambda s, d: stats.welch_tests(m.cells(s, d), m.obs(s, d), "g0", "g1"))
-query("rank_sum_tests")(lambda s, d: stats.rank_sum_tests(m.cells(s, d), m.obs(s, d), "g0", "g1"))
+_MOMENTS = "g as (select feature_id, grp, count(value) as n, avg(value) as m, var_samp(value) as v from cells join obs using (sample_id) group by 1, 2), ab as (select a.feature_id, a.n as na, b.n as nb, a.m - b.m as d, a.v / a.n as ea, b.v / b.n as eb from g a join g b on a.feature_id = b.feature_id and a.grp = 'g0' and b.grp = 'g1' where a.n > 1 and b.n > 1)"
+query("welch_tests", "feature_id t:d df:d", "select feature_id, d / nullif(sqrt(ea + eb), 0) as t, (ea + eb) * (ea + eb) / nullif(ea * ea / (na - 1) + eb * eb / (nb - 1), 0) as df from ab", "cells obs", _MOMENTS)(lambda s, d: stats.welch_tests(m.cells(s, d), m.obs(s, d), "g0", "g1"))
+query("rank_sum_tests", "feature_id u:d", "select a.feature_id, sum(case when a.value > b.value then 1.0 when a.value = b.value then 0.5 else 0.0 end) as u from x a join x b on a.feature_id = b.feature_id and a.grp = 'g0' and b.grp = 'g1' group by 1", "cells obs", "x as (select feature_id, grp, value from cells join obs using (sample_id))")(lambda s, d: stats.rank_sum_tests(m.cells(s, d), m.obs(s, d), "g0", "g1"))
 query("integrate_limma", CELL_COLUMNS, "select sample_id, feature_id, value - (m - avg_m) as value, mask from logged join obs using (sample_id) join e using (feature_id, batch)", "cells logged obs", "e as (select *, avg(m) over (partition by feature_id) as avg_m from (select feature_id, batch, avg(value) as m from logged join obs using (sample_id) group by 1, 2))")(lambda s, d: integrate.integrate_limma(SOURCES["logged"](s, d), m.obs(s, d)))
 query("integrate_limma_covariates")(lambda s, d: integrate.integrate_limma(normalize.log_transform(proteins(s, d)), m.obs(s, d), covariates=("group",)))
 query("integrate_combat")(lambda s, d: integrate.integrate_combat(normalize.log_transform(proteins(s, d)), m.obs(s, d)))
+query("integrate_combat_covariates")(lambda s, d: integrate.integrate_combat(normalize.log_transform(proteins(s, d)), m.obs(s, d), covariates=("group",)))
 query("integrate_combat_nonparametric")(lambda s, d: integrate.integrate_combat(normalize.log_transform(proteins(s, d)), m.obs(s, d), eb_mode="nonparametric"))
 query("integrate_mnn")(lambda s, d: integrate.integrate_mnn(normalize.log_transform(proteins(s, d)), m.obs(s, d), k=5))
 query("pca_variance")(lambda s, d: reduce.pca(normalize.log_transform(proteins(s, d)), 5)["variance"])
@@ -338,9 +350,8 @@ query("plot_feature_mean_variance", "feature_id mean:d variance:d", "select feat
 # windows of events by time, as the streaming query computes them
 @query("events_windowed", "start key n mean:d", "select time_bucket(interval '1 hour', ts) as start, event_type as key, count(*) as n, avg(value) as mean from events group by 1, 2")
 def events_windowed(spark: SparkSession, sf: str) -> DataFrame:
-    events = m.read(spark, sf, "events").select(F.col("ts").cast("timestamp_ntz").alias("ts"), F.col("event_type").alias("key"), "value")
-    w = F.window("ts", "1 hour")
-    return events.groupBy(w.alias("w"), "key").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean")).select(F.col("w.start").alias("start"), "key", "n", "mean")
+    events = m.read(spark, sf, "events").select("ts", F.col("event_type").alias("key"), "value")
+    return ingest.windowed_means(events).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 @query("autoselect")
@@ -349,4 +360,79 @@ def autoselect_report(spark: SparkSession, sf: str) -> DataFrame:
 
     cells = sparse_proteins(spark, sf)
     ds = Dataset(m.obs(spark, sf), {"proteins": Assay(cells.select("feature_id").distinct(), {"log": cells})})
-    return autoselect.AutoSelector().run(ds, source_layer="log", stages=("normalize", "impute"))[1].rows(spark)
+    return autoselect.AutoSelector(methods={"normalize": ["none", "median", "quantile"]}).run(ds, source_layer="log", stages=("normalize", "impute"))[1].rows(spark)
+
+
+# contrasts, ratios and neighbourhoods
+_CONTRASTS = "mg as (select feature_id, grp, avg(value) as m, count(*) as n from logged join obs using (sample_id) group by 1, 2), ct as (select x.feature_id, x.grp as a, y.grp as b, x.n as n_a, y.n as n_b, x.m - y.m as log2_fc from mg x join mg y on x.feature_id = y.feature_id and x.grp < y.grp)"
+
+
+def log_contrasts(spark: SparkSession, sf: str) -> DataFrame:
+    return benchmarks.contrasts(SOURCES["logged"](spark, sf), m.obs(spark, sf))
+
+
+query("group_contrasts", "feature_id a b n_a n_b log2_fc:d", "select * from ct", "cells logged obs", _CONTRASTS)(log_contrasts)
+_RATIO = f"{_CONTRASTS}, r as (select feature_id, log2_fc, case when feature_id like 'Brand#1%' then 'one' else 'other' end as species from ct where a = 'g0' and b = 'g1'), e as (select *, log2_fc - case species when 'one' then 0.0 else 0.5 end as e from r)"
+query(
+    "bench_ratio_metrics",
+    "n mae:d rmse:d bias:d pairwise_auc:d changed_auc:d",
+    "select count(*) as n, avg(abs(e)) as mae, sqrt(avg(e * e)) as rmse, avg(e) as bias, (select greatest(u, 1 - u) from (select avg(case when x.log2_fc > y.log2_fc then 1.0 when x.log2_fc = y.log2_fc then 0.5 else 0.0 end) as u from r x join r y on x.species = 'one' and y.species = 'other')) as pairwise_auc, (select avg(case when abs(x.log2_fc) > abs(y.log2_fc) then 1.0 when abs(x.log2_fc) = abs(y.log2_fc) then 0.5 else 0.0 end) from r x join r y on x.species = 'other' and y.species = 'one') as changed_auc from e",
+    "cells logged obs",
+    _RATIO,
+)(lambda s, d: benchmarks.ratio_metrics(log_contrasts(s, d).where("a = 'g0' and b = 'g1'").withColumn("species", F.when(F.col("feature_id").startswith("Brand#1"), "one").otherwise("other")), expected(s), "one"))
+_TOP = f"{_CONTRASTS}, x as (select feature_id, p.log2_fc as x, q.log2_fc as y from ct p join ct q using (feature_id) where p.a = 'g0' and p.b = 'g1' and q.a = 'g0' and q.b = 'g2'), t as (select *, row_number() over (order by abs(x) desc, feature_id) <= 50 as ix, row_number() over (order by abs(y) desc, feature_id) <= 50 as iy from x)"
+query(
+    "bench_topk_agreement",
+    "r:d jaccard:d f1:d sign_share:d",
+    "select corr(x, y) as r, count(*) filter (ix and iy) / count(*) filter (ix or iy) as jaccard, count(*) filter (ix and iy) / 50 as f1, avg(case when sign(x) = sign(y) then 1.0 else 0.0 end) filter (ix) as sign_share from t",
+    "cells logged obs",
+    _TOP,
+)(lambda s, d: benchmarks.topk_agreement(*(log_contrasts(s, d).where(f"a = 'g0' and b = '{g}'").select("feature_id", "log2_fc") for g in ("g1", "g2")), k=50))
+query("normalized_mutual_information", "nmi:d", "select (ha + hb - hab) / ((ha + hb) / 2) as nmi from (select (select -sum(n / t * ln(n / t)) from (select count(*) as n from embeddings group by label)) as ha, (select -sum(n / t * ln(n / t)) from (select count(*) as n from embeddings group by vec_id % 3)) as hb, (select -sum(n / t * ln(n / t)) from (select count(*) as n from embeddings group by label, vec_id % 3)) as hab from (select 1)), (select count(*) as t from embeddings) limit 1".replace("n / t", "n / (select count(*) from embeddings)"))(
+    lambda s, d: benchmarks.nmi(vectors(s, d).select(F.col("label").alias("a"), (F.col("vec_id") % 3).alias("b")))
+)
+query("knn_purity", "score:d", "select avg(p) as score from (select sample_id, avg(case when n.label = o.label then 1.0 else 0.0 end) as p from n join embeddings o on cast(o.vec_id as varchar) = sample_id group by 1)", "", _NEAR)(lambda s, d: metrics.knn_purity(vector_rows(s, d), vector_rows(s, d).select("sample_id", "label"), 30))
+_TWO = "near as (select * from (select *, row_number() over (partition by part, sample_id order by d, other) as place from (select part, cast(p.vec_id as varchar) as sample_id, cast(q.vec_id as varchar) as other, sqrt(list_sum([(z[1] - z[2]) * (z[1] - z[2]) for z in list_zip(cast(p.embedding[part[1]:part[2]] as double[]), cast(q.embedding[part[1]:part[2]] as double[]))]) / (part[2] - part[1] + 1)) as d from embeddings p join embeddings q on p.vec_id <> q.vec_id cross join (select unnest([[1, 32], [1, 64]]) as part))) where place <= 10)"
+query("knn_jaccard", "sample_id jaccard:d", "select sample_id, count(*) filter (n = 2) / count(*) as jaccard from (select sample_id, other, count(*) as n from near group by 1, 2) group by 1", "", _TWO)(lambda s, d: metrics.knn_jaccard(vector_rows(s, d).select("sample_id", F.slice("names", 1, 32).alias("names"), F.slice("vec", 1, 32).alias("vec")), vector_rows(s, d), 10))
+
+# criteria, functions of one's own, vendor tables
+query("filter_by_places", "sample_id batch grp", "select sample_id, batch, grp from (select *, row_number() over (order by sample_id) - 1 as place, count(*) over () as n from obs) where place in (0, 3, n - 1)", "obs")(lambda s, d: chosen(m.obs(s, d), "sample_id", [3, 0, -1]).withColumnRenamed("group", "grp"))
+query("custom_range", "feature_id value:d", "select feature_id, max(value) - min(value) as value from cells group by 1", "cells")(lambda s, d: custom.reduce_axis(m.cells(s, d), "feature_id", np.ptp))
+query("custom_map", CELL_COLUMNS, "select sample_id, feature_id, value - max(value) over (partition by sample_id) as value, mask from proteins", "peptides links proteins")(lambda s, d: custom.map_samples(proteins(s, d), lambda x: x - np.nanmax(x, 1, keepdims=True)))
+
+
+def written(table: DataFrame) -> str:
+    """The path of a tab-separated table in the shared folder, deleted when the session ends."""
+    spark = table.sparkSession
+    path = f"{shared_dir(spark)}/vendor-{uuid.uuid4().hex}.tsv"
+    delete_at_exit(spark, path)
+    table.write.csv(path, sep="\t", header=True)
+    return path
+
+
+_DIANN = "k as (select 'S' || sample_id as sample_id, feature_id, value from cells where mask <> 2), cut as (select 'S' || sample_id as sample_id, feature_id from cells where mask = 2)"
+
+
+def diann_report(spark: SparkSession, sf: str) -> str:
+    """A long report of DIA-NN's columns: runs end in .raw, a tenth of a percent passes, five percent doesn't."""
+    c = m.cells(spark, sf)
+    q = F.when(F.col("mask") == 2, 0.05).otherwise(0.001)
+    columns = {"Run": F.concat(F.lit("S"), "sample_id", F.lit(".raw")), "Protein.Group": F.col("feature_id"), "Genes": F.concat(F.lit("G"), "feature_id"), "PG.MaxLFQ": F.col("value"), "PG.Q.Value": q}
+    return written(c.select(*(v.alias(k) for k, v in columns.items())))
+
+
+@query("source_long_report", CELL_COLUMNS, "select s.sample_id, f.feature_id, k.value, case when k.value is not null then 0 when cut.sample_id is not null then 3 else 6 end as mask from (select distinct sample_id from k) s cross join (select distinct feature_id from k) f left join k on k.sample_id = s.sample_id and k.feature_id = f.feature_id left join cut on cut.sample_id = s.sample_id and cut.feature_id = f.feature_id", "cells", _DIANN)
+def long_report(spark: SparkSession, sf: str) -> DataFrame:
+    return tables.load_diann(spark, diann_report(spark, sf)).layer("proteins", "raw")
+
+
+@query("source_features", "feature_id genes", "select distinct feature_id, 'G' || feature_id as genes from k", "cells", _DIANN)
+def long_report_features(spark: SparkSession, sf: str) -> DataFrame:
+    return tables.load_quant_table(spark, diann_report(spark, sf)).assay("proteins").var.select("feature_id", F.col("Genes").alias("genes"))
+
+
+@query("source_wide_report", CELL_COLUMNS, "select 'run' || s as sample_id, f.feature_id, value, case when value is null then 6 else 0 end as mask from (select distinct feature_id from proteins) f cross join (select unnest(range(1, 9)) as s) left join proteins p on p.feature_id = f.feature_id and p.sample_id = cast(s as varchar)", "peptides links proteins")
+def wide_report(spark: SparkSession, sf: str) -> DataFrame:
+    p = proteins(spark, sf)
+    wide = p.groupBy(F.col("feature_id").alias("Protein.Group")).agg(*(F.max(F.when(F.col("sample_id") == str(i), F.col("value"))).alias(f"run{i}.raw") for i in range(1, 9)))
+    return tables.load_quant_table(spark, written(wide), software="diann").layer("protein", "raw")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import warnings
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -87,9 +88,7 @@ def detect_software(columns: list[str]) -> str | None:
     if "Run" in have:
         return "diann"
     for software in ("spectronaut", "diann"):
-        own = {f for (s, _), p in PROFILES.items() if s == software for f in p.features}
-        other = {f for (s, _), p in PROFILES.items() if s != software for f in p.features}
-        if have & (own - other):
+        if have & {f for (s, _), p in PROFILES.items() if s == software for f in p.features}:
             return software
     if any(PRECURSOR.match(c) for c in columns):
         return "diann"
@@ -165,7 +164,9 @@ def load_long(table: DataFrame, profile: Profile, *, quantity: str = "auto", sam
     rejected = rejected_pairs(rows, fdr_threshold) if metric and fdr_threshold is not None else None
     kept = rows.where(fdr_pass(F.col("fdr"), fdr_threshold)) if rejected is not None else rows
     best = kept.groupBy("sample_id", "feature_id").agg(F.max("value").alias("value"))
-    first = kept.groupBy("feature_id").agg(*(F.min(name(c)).alias(c) for c in meta)) if meta else kept.select("feature_id").distinct()
+    # One row's metadata for each feature: that of its first sample.
+    whole = F.min_by(F.struct(*map(name, meta)), F.struct("sample_id", *map(name, meta))) if meta else None
+    first = kept.groupBy("feature_id").agg(whole.alias("m")).select("feature_id", *(F.col("m")[c].alias(c) for c in meta)) if meta else kept.select("feature_id").distinct()
     samples = kept.select("sample_id").distinct()
     grid = samples.crossJoin(first.select("feature_id")).join(best, ["sample_id", "feature_id"], "left")
     return coded(grid, rejected), first
@@ -229,7 +230,10 @@ def load_quant_table(spark: SparkSession, path: str, *, software: str = "auto",
     name = assay_name or f"{level}s"
     ds = Dataset(cells.select("sample_id").distinct(), {name: Assay(var, {layer_name: cells.select("sample_id", "feature_id", "value", "mask")})})
     column = quantity_column if quantity_column != "auto" else pick(table.columns, profile.quantities, needed=False)
-    return ds.log("load_quant_table", {"assay": name, "new_layer": layer_name, "software": found, "level": level, "quantity": column, "vendor_normalized": bool(re.search("normali[sz]ed", column or "", re.IGNORECASE))})
+    normalized = bool(re.search("normali[sz]ed", column or "", re.IGNORECASE))
+    if normalized:
+        warnings.warn(f"{column} holds values that the vendor's software has normalized", UserWarning, stacklevel=2)
+    return ds.log("load_quant_table", {"assay": name, "new_layer": layer_name, "software": found, "level": level, "quantity": column, "vendor_normalized": normalized})
 
 
 def load_diann(spark: SparkSession, path: str, **options) -> Dataset:
