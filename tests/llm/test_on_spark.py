@@ -1,5 +1,6 @@
 """The text operators on small tables, against brute force; nulls, empty texts, ties, repeated rows and clashing columns."""
 
+import hashlib
 import itertools
 import math
 import random
@@ -117,48 +118,63 @@ def test_brown_beats_base(spark):
     assert got["s"] > got["b"]
 
 
-def test_line_dedup(docs, nothing):
-    local = docs.collect()
+def brute_lines(rows):
+    """(doc_id, text left, lines, lines dropped) of each row."""
     key = lambda x: lower(x.strip(" \t\n\x0b\x0c\r"))
     held = {}
-    for r in local:
+    for r in rows:
         for k in {key(x) for x in (r["text"] or "").split("\n")}:
             if len(k) >= 40:
                 held.setdefault(k, []).append(r["doc_id"])
     keeper = {k: max(d for d in ids if d is not None) for k, ids in held.items() if len(ids) >= 5}
-    want = []
-    for r in local:
+    out = []
+    for r in rows:
         lines = (r["text"] or "").split("\n")
         kept = [x for x in lines if keeper.get(key(x), r["doc_id"]) == r["doc_id"]]
-        want.append((r["doc_id"] or -1, "\n".join(kept), len(lines), len(lines) - len(kept)))
+        out.append((r["doc_id"] or -1, "\n".join(kept), len(lines), len(lines) - len(kept)))
+    return out
+
+
+def test_line_dedup(docs, nothing, monkeypatch):
+    want = brute_lines(docs.collect())
     got = line_dedup.dedup_lines(docs)
     assert got.columns == [*docs.columns, "n_lines", "n_dropped"]
     assert sorted((r["doc_id"] or -1, r["text"], r["n_lines"], r["n_dropped"]) for r in got.collect()) == sorted(want)
     assert sum(w[3] for w in want) >= 6
+    monkeypatch.setattr(line_dedup, "SHARD_LINES", 1)
+    monkeypatch.setattr(line_dedup, "PART_LINES", 3)  # shards in parts
+    assert sorted((r["doc_id"] or -1, r["text"], r["n_lines"], r["n_dropped"]) for r in line_dedup.dedup_lines(docs).collect()) == sorted(want)
     assert line_dedup.dedup_lines(nothing).count() == 0
 
 
-def test_mixing(docs, nothing):
-    got = mixing.mix_sources(docs).collect()
-    assert len(got) == docs.count()
+def brute_targets(rows):
+    """Each source's target: weights share what is left, sources at twice their size stay there."""
     sizes = Counter()
-    for r in got:
-        assert r["size"] == len(words(r["text"])) and 0 <= r["taken"] <= 2 * r["size"]
-        sizes[r["source"]] += r["size"]
-    names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [None]
+    for r in rows:
+        sizes[r["source"]] += len(words(r["text"]))
+    names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [None] * (None in sizes)
     weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
     goal, full = 1.5 * sum(sizes.values()), set()
     while True:
         left = goal - sum(2 * sizes[s] for s in full)
-        level = left / sum(weight[s] for s in names if s not in full)
+        level = left / max(sum(weight[s] for s in names if s not in full), 1)
         over = {s for s in names if s not in full and level * weight[s] > 2 * sizes[s]}
         if not over:
-            break
+            return {s: 2 * sizes[s] if s in full else level * weight[s] for s in names}
         full |= over
+
+
+def test_mixing(docs, nothing):
+    got = mixing.mix_sources(docs).collect()
+    assert len(got) == docs.count()
+    sizes = Counter()
+    for r in got:
+        assert r["size"] == len(words(r["text"])) and 0 <= r["taken"] <= 2 * r["size"]
+        sizes[r["source"]] += r["size"]
+    goals = brute_targets(docs.collect())
     taken = Counter()
     for r in got:
-        want = 2 * sizes[r["source"]] if r["source"] in full else level * weight[r["source"]]
-        assert r["target"] == pytest.approx(want) and r["source_size"] == sizes[r["source"]]
+        assert r["target"] == pytest.approx(goals[r["source"]]) and r["source_size"] == sizes[r["source"]]
         taken[r["source"]] += r["taken"]
     for r in got:
         assert taken[r["source"]] == math.floor(r["target"] + 1e-9)
@@ -219,10 +235,21 @@ def test_toxicity_held_out(spark):
     assert n[1, 1] >= 0.9 * (n[1, 1] + n.get((1, 0), 0)) and n.get((0, 1), 0) <= 0.05 * n[0, 0]
 
 
-def test_media(docs, nothing):
-    packed = media.pack_media(docs)
-    for r in packed.withColumns({"probe": media.probe_media(F.col("media")), "payload": media.read_payload(F.col("media"))}).collect():
-        assert bytes(r["payload"]) == media.pad((r["text"] or "").encode()) and r["probe"]["codec"] == "raw "
+def test_media(spark, docs, nothing, tmp_path):
+    """Every column of the query, from the text by plain Python."""
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    want = []
+    for r in docs.collect():
+        raw = (r["text"] or "").encode()
+        payload = raw + b" " * (max(192, -(-len(raw) // 192) * 192) - len(raw))
+        data = media.container(payload)
+        start = data.index(b"mdat") + 4
+        assert data[start : start + len(payload)] == payload
+        ranges = ",".join(f"{start + i}-{start + i + 192}" for i in range(0, len(payload), 192 * 16))
+        sha = lambda x: hashlib.sha256(x).hexdigest()
+        want.append((r["doc_id"], len(raw), len(payload), sha(payload), zlib.crc32(payload[-16:]), len(data), sha(data), f"raw ;{len(payload) / 8000};{ranges}", "raw ", len(payload) / 8000, len(range(0, len(payload), 192 * 16))))
+    got = queries.op5_media_columns(spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got), key=lambda x: (x[0] is not None, x[0] or 0, x[3])) == sorted(want, key=lambda x: (x[0] is not None, x[0] or 0, x[3]))
     assert media.pack_media(nothing).count() == 0
 
 

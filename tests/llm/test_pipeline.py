@@ -1,11 +1,13 @@
 """The corpus pipeline, stage by stage, on the smallest tables."""
 
+import math
 from collections import Counter
 
 import corpus_pipeline
+import pytest
 from quantgrid.llm import jaccard_join
 
-from .test_on_spark import SF, brute_jaccard, words
+from .test_on_spark import SF, brute_jaccard, brute_lines, brute_targets, words
 
 
 def test_stages(spark, tmp_path):
@@ -22,12 +24,20 @@ def test_stages(spark, tmp_path):
     gone = {r["doc_id"] for r in before} - {r["doc_id"] for r in after}
     assert len(gone - toxic) <= 0.05 * len(before)
     before, after = held["line_dedup"]
-    assert len(before) == len(after) and all(r["n_chars"] == len(r["text"]) for r in after)
+    want = {d: text for d, text, _, _ in brute_lines(before)}
+    assert len(before) == len(after) and all(r["n_chars"] == len(r["text"]) and r["text"] == want[r["doc_id"] or -1] for r in after)
     before, after = held["jaccard_join"]
     assert {r["doc_id"] for r in after} == {g for *_, g in brute_jaccard(before)}
     before, after = held["source_mix"]
     copies = Counter(r["doc_id"] for r in after)
     assert max(copies.values()) <= 2 and {*copies} <= {r["doc_id"] for r in before}
+    size = {r["doc_id"]: len(words(r["text"])) for r in before}
+    taken, goal, longest = Counter(), brute_targets(before), {}
+    for r in after:
+        taken[r["source"]] += size[r["doc_id"]]
+    for r in before:
+        longest[r["source"]] = max(longest.get(r["source"], 0), size[r["doc_id"]])
+    assert all(math.floor(t) <= taken[s] <= t + longest[s] for s, t in goal.items())  # the last one is taken whole
     before, after = held["best_fit_packing"]
     total, want = Counter(), Counter()
     for r in after:
@@ -37,9 +47,22 @@ def test_stages(spark, tmp_path):
     assert total == want
 
 
+def test_columns_stay(spark):
+    """Columns called as those that the operators add stay as they are."""
+    names = "score n_lines n_dropped size source_size target taken group_id __id2".split()
+    docs = spark.createDataFrame([(i, f"one two three four five six {i} seven\nline {i}", "en", "ab"[i % 2], 9, *([i] * len(names))) for i in range(12)], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} int" for n in names))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, SF)
+        assert got.columns == docs.columns, name
+        assert all(r[n] == r["doc_id"] for r in got.collect() for n in names)
+
+
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).columns[:3] == ["doc_id", "source", "piece"]
 
 
 def test_prefix():
     assert jaccard_join.prefix_depth(0.8, 0.0) == jaccard_join.DEPTH
+    with pytest.raises(ValueError):
+        jaccard_join.prefix_depth(0.2, 0.9999)
+    assert jaccard_join.prefix_depth(0.2, 0.9999, trees=48) == 1

@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+import struct
 
 import numpy as np
 import public_tokenizers
@@ -33,6 +34,20 @@ def test_media_damage():
     assert media.probe(wide)[0] == "raw "  # payloads are never looked at
 
 
+def test_media_hostile():
+    """Deep nesting and huge counts are errors, not crashes."""
+    deep = b"".join(struct.pack(">I4s", 8 * (3000 - i), b"moov") for i in range(3000))
+    assert media.probe(deep)[5] == "no track"
+    data = media.container(media.pad(b"x" * 5000))
+    for kind, skip in ((b"stsz", 12), (b"stts", 8), (b"stsc", 8), (b"stco", 8), (b"stss", 8)):
+        at = data.index(kind) + skip
+        assert media.probe(data[:at] + b"\xff" * 4 + data[at + 4 :])[5], kind
+    at = data.index(b"stsc") + 16  # units of the first run of chunks
+    assert media.probe(data[:at] + b"\xff" * 4 + data[at + 4 :])[5]
+    wide = struct.pack(">I4sQ", 1, b"free", 16) + data  # a 64-bit size before the others; offsets are then wrong by 16
+    assert media.probe(wide)[0] == "raw "
+
+
 def test_threshold_search_ties():
     rng = np.random.default_rng(0)
     for n, k in ((1, 5), (40, 5), (400, 3)):
