@@ -29,8 +29,9 @@ BLOCK_IDS = 1 << 18
 STEP = 64
 BROADCAST_PARTS = 100_000
 LIMIT = 16
-KEPT = 200_000  # pieces of a generation that a worker remembers
+KEPT = 300_000  # pieces of a generation that a worker remembers
 TOGETHER = 6 << 20  # bytes of text that are cut up together
+GROUPS = 16  # strings of 512 pieces that the library encodes in one call
 FEW = 8  # added tokens that are looked for in each text
 FIRST, WHOLE = "\0", "\0\0"
 NO_IDS = b""  # of a part that shows that its text is cut otherwise
@@ -158,14 +159,15 @@ class PieceEncoder:
         """Encode parts in long strings and cut the ids apart by the bytes of their tokens."""
         column = pa.array(parts, pa.string())
         sizes = pc.binary_length(column).to_numpy() + ~pc.starts_with(column, "\n").to_numpy(zero_copy_only=False)
-        groups = [parts[i : i + 512] for i in range(0, len(parts), 512)]
-        texts = [(" " + " ".join(g)).replace(" \n", "\n") for g in groups]
-        for n, (group, e) in enumerate(zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False))):
-            ids = np.array(e.ids, "<u4")
-            ends = np.cumsum(sizes[512 * n : 512 * n + 512])
-            at = (4 * np.searchsorted(np.cumsum(self.width[ids]), ends) + 4).tolist()
-            raw = ids.tobytes()
-            out.update(zip(group, map(raw.__getitem__, map(slice, [0, *at[:-1]], at))))
+        for first in range(0, len(parts), 512 * GROUPS):
+            groups = [parts[i : i + 512] for i in range(first, min(len(parts), first + 512 * GROUPS), 512)]
+            texts = [(" " + " ".join(g)).replace(" \n", "\n") for g in groups]
+            for n, (group, e) in enumerate(zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False))):
+                ids = np.array(e.ids, "<u4")
+                ends = np.cumsum(sizes[first + 512 * n : first + 512 * n + 512])
+                at = (4 * np.searchsorted(np.cumsum(self.width[ids]), ends) + 4).tolist()
+                raw = ids.tobytes()
+                out.update(zip(group, map(raw.__getitem__, map(slice, [0, *at[:-1]], at))))
 
 
 def slices(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
