@@ -23,7 +23,7 @@ def group_table(cells: DataFrame, groups: DataFrame, a: str, b: str) -> DataFram
 def fold_change_errors(table: DataFrame, expected: DataFrame) -> DataFrame:
     """(species, n, coverage, mae, median_error, rmse, bias, sd_error); table has species and log2_fc, expected (species, fc)."""
     e = F.col("log2_fc") - F.col("fc")
-    x = table.join(F.broadcast(expected), "species").withColumn("e", e)
+    x = table.join(expected, "species").withColumn("e", e)
     return x.groupBy("species").agg(F.count(F.lit(1)).alias("n"), (F.count("e") / F.count(F.lit(1))).alias("coverage"), F.avg(F.abs("e")).alias("mae"), F.median(F.abs("e")).alias("median_error"), F.sqrt(F.avg(F.col("e") ** 2)).alias("rmse"), F.avg("e").alias("bias"), F.stddev_samp("e").alias("sd_error"))
 
 
@@ -48,7 +48,7 @@ def mapping_burden(assignments: Column, df: DataFrame) -> DataFrame:
 
 def de_consistency(table: DataFrame, expected: DataFrame, near: float = 0.5) -> DataFrame:
     """(sign_share, background_share, score): changed species with the expected sign, unchanged ones near 0."""
-    x = table.where("log2_fc is not null").join(F.broadcast(expected), "species")
+    x = table.where("log2_fc is not null").join(expected, "species")
     sign = F.avg(F.when(F.col("fc") != 0, (F.signum("log2_fc") == F.signum("fc")).cast("int")))
     calm = F.avg(F.when(F.col("fc") == 0, (F.abs("log2_fc") <= near).cast("int")))
     return x.agg(sign.alias("sign_share"), calm.alias("background_share")).withColumn("score", (F.col("sign_share") + F.col("background_share")) / 2)

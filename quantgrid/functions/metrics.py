@@ -94,7 +94,7 @@ def silhouette(points: DataFrame) -> DataFrame:
     mean = long.groupBy("label", "i").agg(F.avg("x").alias("m"), F.avg(F.col("x") ** 2).alias("q"))
     sizes = points.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
     center = mean.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda z: z["m"]).alias("center"), F.sum("q").alias("square")).join(sizes, "label")
-    near = points.select("sample_id", F.col("label").alias("own"), "vec").join(F.broadcast(center))
+    near = points.select("sample_id", F.col("label").alias("own"), "vec").crossJoin(center)
     dot = F.aggregate(F.zip_with("vec", "center", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
     norm = F.aggregate(F.transform("vec", lambda a: a * a), F.lit(0.0), lambda s, v: s + v)
     d = norm + F.col("square") - 2 * dot
