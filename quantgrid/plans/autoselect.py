@@ -103,6 +103,16 @@ def integration_scores(before: DataFrame, after: DataFrame, obs: DataFrame, batc
     return {"batch_asw": _one(metrics.asw(points, batch=True)), "batch_mixing": _one(metrics.batch_mixing(rows, labels, 10)), "variance_preserved": kept}
 
 
+def integration_report(cells: DataFrame, obs: DataFrame, batch: str = "batch", k: int = 30) -> dict[str, float]:
+    """All five diagnostics of batch mixing: silhouette, neighbourhood mixing, LISI, kBET and iLISI."""
+    rows, labels = row_arrays(cells), obs.select("sample_id", F.col(batch).alias("label"))
+    points = rows.select("sample_id", "vec").join(labels, "sample_id")
+    return {
+        "batch_asw": _one(metrics.asw(points, batch=True)), "batch_mixing": _one(metrics.batch_mixing(rows, labels, k)),
+        "lisi": _one(metrics.lisi(rows, labels, k).agg(F.avg("lisi"))), "kbet": float(metrics.kbet(rows, labels, k)), "ilisi": float(metrics.ilisi(rows, labels, k / 3)),
+    }
+
+
 def reduction_scores(cells: DataFrame, scores: DataFrame) -> dict[str, float]:
     """How much variance, distances and neighbours the scores keep."""
     rows = row_arrays(cells)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -156,3 +158,42 @@ def feature_mean_variance(cells: DataFrame) -> DataFrame:
 def report(cells: DataFrame, obs: DataFrame) -> dict[str, DataFrame]:
     """The panels of a one-page report."""
     return {"overview": cells.agg(F.countDistinct("sample_id").alias("n_samples"), F.countDistinct("feature_id").alias("n_features"), F.count("value").alias("n_values")), "qc": sensitivity(cells, obs), "missing": codes_per_sample(cells), "feature": feature_mean_variance(cells), "batch": cv_comparison(cells, obs)}
+
+
+def missing_pattern(grid: DataFrame, features: int = 50, samples: int = 100) -> DataFrame:
+    """(sample_id, feature_id, missing) of a complete grid: its most missing features, in a hashed choice of samples."""
+    top = missing_rates(grid, "feature_id", features).select("feature_id")
+    some = grid.select("sample_id").distinct().orderBy(F.md5("sample_id")).limit(samples)
+    return grid.join(top, "feature_id", "left_semi").join(some, "sample_id", "left_semi").select("sample_id", "feature_id", F.col("value").isNull().cast("int").alias("missing"))
+
+
+def data_overview(cells: DataFrame, obs: DataFrame, group: str = "group") -> DataFrame:
+    """(group, n_samples, n_values, mean, median, detection_rate) of each group of samples."""
+    x = cells.join(obs.select("sample_id", F.col(group).alias("group")), "sample_id")
+    return x.groupBy("group").agg(F.countDistinct("sample_id").alias("n_samples"), F.count("value").alias("n_values"), F.avg("value").alias("mean"), F.median("value").alias("median"), F.avg(F.coalesce(is_detected(), F.lit(False)).cast("int")).alias("detection_rate"))
+
+
+def batch_dispersion(cells: DataFrame, obs: DataFrame, batch: str = "batch") -> DataFrame:
+    """(score): the deviation of batch means over that of all values, on average over features; less is better mixed."""
+    x = cells.where("value is not null").join(obs.select("sample_id", F.col(batch).alias("batch")), "sample_id")
+    part = x.groupBy("feature_id", "batch").agg(F.avg("value").alias("m"), F.count(F.lit(1)).alias("n"), F.sum("value").alias("s"), F.sum(F.col("value") ** 2).alias("q"))
+    f = part.groupBy("feature_id").agg(F.stddev_pop("m").alias("between"), F.sqrt(F.greatest(F.sum("q") / F.sum("n") - (F.sum("s") / F.sum("n")) ** 2, F.lit(0.0))).alias("sd"))
+    return f.where("sd > 0").agg(F.avg(F.col("between") / F.col("sd")).alias("score"))
+
+
+def integration_summary(layers: dict[str, DataFrame], obs: DataFrame, batch: str = "batch") -> DataFrame:
+    """(layer, score): batch_dispersion of each layer, such as those before and after integration."""
+    each = [batch_dispersion(cells, obs, batch).select(F.lit(name).alias("layer"), "score") for name, cells in layers.items()]
+    return functools.reduce(DataFrame.unionByName, each)
+
+
+def reduction_summary(variance: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The variance of `pca` with its running sum by falling eigenvalue, and the sizes of clusters (sample_id, label)."""
+    run = Window.orderBy(F.desc("eigenvalue"), "component").rowsBetween(Window.unboundedPreceding, 0)  # a row a component
+    return variance.withColumn("cumulative", F.sum("ratio").over(run)), labels.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+
+
+def saturation(runs: DataFrame, share: float = 0.95) -> DataFrame:
+    """(group, place): the first place of a cumulative sensitivity at which that share of its last count is reached."""
+    last = runs.groupBy("group").agg(F.max("n_union").alias("all"))
+    return runs.join(last, "group").where(F.col("n_union") >= share * F.col("all")).groupBy("group").agg(F.min("place").alias("place"))

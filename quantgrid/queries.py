@@ -436,3 +436,9 @@ def wide_report(spark: SparkSession, sf: str) -> DataFrame:
     p = proteins(spark, sf)
     wide = p.groupBy(F.col("feature_id").alias("Protein.Group")).agg(*(F.max(F.when(F.col("sample_id") == str(i), F.col("value"))).alias(f"run{i}.raw") for i in range(1, 9)))
     return tables.load_quant_table(spark, written(wide), software="diann").layer("protein", "raw")
+
+query("plot_missing_pattern", "sample_id feature_id missing", "select sample_id, feature_id, (value is null)::int as missing from grid where feature_id in (select feature_id from grid group by 1 order by avg((value is null)::int) desc, 1 limit 20) and sample_id in (select sample_id from (select distinct sample_id from grid) order by md5(sample_id) limit 5)", "cells grid")(lambda s, d: plots.missing_pattern(grid(s, d), 20, 5))
+query("plot_data_overview", "grp n_samples n_values mean:d median:d detection_rate:d", "select grp, count(distinct sample_id) as n_samples, count(value) as n_values, avg(value) as mean, median(value) as median, avg((mask = 0)::int) as detection_rate from cells join obs using (sample_id) group by 1", "cells obs")(lambda s, d: plots.data_overview(m.cells(s, d), m.obs(s, d)).withColumnRenamed("group", "grp"))
+_DISPERSION = "select '{0}' as layer, avg(b / sd) as score from (select feature_id, stddev_pop(m) as b from (select feature_id, batch, avg(value) as m from {0} join obs using (sample_id) group by 1, 2) group by 1) join (select feature_id, stddev_pop(value) as sd from {0} join obs using (sample_id) group by 1) using (feature_id) where sd > 1e-9"
+query("plot_integration_summary", "layer score:d", f"{_DISPERSION.format('cells')} union all {_DISPERSION.format('logged')}", "cells logged obs")(lambda s, d: plots.integration_summary({"cells": m.cells(s, d), "logged": SOURCES["logged"](s, d)}, m.obs(s, d)))
+query("plot_saturation", "grp place", 'select grp, min(place) as place from (select *, max(n_union) over (partition by grp) as top from (select o.grp, cast(o.place as integer) as place, sum(coalesce(new, 0)) over (partition by o.grp order by o.place) as n_union from o left join n on o.grp = n.grp and o.place = n.place)) where n_union >= 0.95 * top group by 1', "cells obs", _RUN)(lambda s, d: plots.saturation(qc.cumulative_sensitivity(m.cells(s, d), m.obs(s, d))).withColumnRenamed("group", "grp"))

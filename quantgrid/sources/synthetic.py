@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import math
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..errors import ValidationError
+from ..functions.quantiles import quantiles
 from ..model import Assay, Dataset, MaskCode
 
 
@@ -44,3 +47,30 @@ def generate(spark: SparkSession, *, n_samples: int = 100, n_features: int = 100
     value = F.col("x") if shape == "normal" else F.exp(F.col("x"))
     cells: DataFrame = grid.withColumn("mask", state).select("sample_id", "feature_id", F.when(F.col("mask") == 0, value).alias("value"), "mask")
     return Dataset(samples, {"proteins": Assay(features, {"raw": cells})}).log("generate", {"assay": "proteins", "new_layer": "raw", "seed": seed})
+
+
+def benchmark_data(spark: SparkSession, *, mechanism: str = "mnar", rate: float = 0.3, confounded: float = 0.0, **options) -> Dataset:
+    """Complete data as layer `truth`, and `raw` with a share of the values missing.
+
+    mcar: at random; mar: rather in samples of later batches; mnar: rather low values. confounded, 0 to 1: the share of
+    samples whose group is that of their batch. Other options are those of `generate`.
+    """
+    if mechanism not in ("mcar", "mar", "mnar") or not 0 <= rate < 1 or not 0 <= confounded <= 1:
+        raise ValidationError("mechanism is mcar, mar or mnar, rate in [0, 1), confounded in [0, 1]")
+    ds = generate(spark, missing_rate=0.0, **options)
+    seed = options.get("seed", 42)
+    obs = ds.obs.withColumn("group", F.when(uniform(seed + 20, "sample_id") < confounded, F.replace("batch", F.lit("batch"), F.lit("group"))).otherwise(F.col("group")))
+    truth = ds.layer("proteins", "raw")
+    n = truth.count()
+    if mechanism == "mcar":
+        ranked = truth.withColumn("x", uniform(seed + 21, "sample_id", "feature_id"))
+    elif mechanism == "mar":
+        ranked = truth.join(obs.select("sample_id", "batch"), "sample_id").withColumn("x", uniform(seed + 21, "sample_id", "feature_id") - 0.3 * F.regexp_extract("batch", r"(\d+)$", 1).cast("int")).drop("batch")
+    else:
+        spread = truth.agg(F.stddev_samp("value")).first()[0] or 1.0
+        ranked = truth.withColumn("x", F.col("value") + 0.3 * spread * noise(seed + 21, "sample_id", "feature_id"))
+    cut = quantiles(ranked, "x", [rate])[0] if n else 0.0
+    lost = F.col("x") < F.lit(cut)
+    code = int(MaskCode.LOD if mechanism == "mnar" else MaskCode.UNCERTAIN)
+    raw = ranked.select("sample_id", "feature_id", F.when(~lost, F.col("value")).alias("value"), F.when(lost, code).otherwise(F.col("mask")).alias("mask"))
+    return replace(ds, obs=obs).with_layer("proteins", "truth", truth).with_layer("proteins", "raw", raw, "benchmark_data", mechanism=mechanism, rate=rate)

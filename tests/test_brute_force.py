@@ -13,7 +13,7 @@ from quantgrid.model import Assay, Dataset, chosen
 from quantgrid.operators import aggregate, impute, integrate, masks, normalize, qc, reduce  # noqa: F401
 from quantgrid.operators.matrix import row_arrays
 from quantgrid.plans import autoselect
-from quantgrid.sources import tables
+from quantgrid.sources import synthetic, tables
 
 
 def cells_of(spark, x):
@@ -346,3 +346,41 @@ def test_vendor_columns(spark, tmp_path):
         ds = tables.load_diann(spark, f"file://{path}")
     assert any("normalized" in str(w.message) for w in seen)
     assert [(r["Genes"], r["Protein.Names"]) for r in ds.assay("proteins").var.collect()] == [("G1", "N2")]  # one row's, the first sample's
+
+
+def test_communities(spark):
+    """Two clouds are two communities; modularity is that of the formula; a larger resolution splits more."""
+    rng = np.random.default_rng(13)
+    x = np.concatenate([rng.normal(size=(12, 3)), rng.normal(size=(12, 3)) + 8])
+    rows = row_arrays(cells_of(spark, x))
+    found = {r["sample_id"]: r["label"] for r in reduce.graph_communities(rows, 4, resolution=0.2).collect()}
+    assert len({found[f"S{i:02d}"] for i in range(12)}) == 1 == len({found[f"S{i:02d}"] for i in range(12, 24)}) and len(set(found.values())) == 2
+    assert reduce.graph_communities(rows, 4, resolution=3.0).select("label").distinct().count() > 2
+    w = rng.integers(0, 3, (6, 6))
+    w = w + w.T
+    label = [0, 0, 1, 1, 2, 2]
+    edges = spark.createDataFrame([(str(i), str(j), float(w[i, j])) for i in range(6) for j in range(6) if w[i, j]], "a string, b string, w double")
+    k, two = w.sum(1), w.sum()
+    want = sum((w[i, j] - 0.7 * k[i] * k[j] / two) / two for i in range(6) for j in range(6) if label[i] == label[j])
+    assert reduce.modularity(edges, spark.createDataFrame([(str(i), str(v)) for i, v in enumerate(label)], "node string, label string"), 0.7) == pytest.approx(want)
+
+
+def test_stability_and_report(spark, batches):
+    x, *_, obs = batches
+    rng = np.random.default_rng(14)
+    y = np.concatenate([rng.normal(size=(10, 2)), rng.normal(size=(10, 2)) + 20])
+    points = row_arrays(cells_of(spark, y)).select("sample_id", "vec").withColumn("label", F.when(F.col("sample_id") < "S10", "a").otherwise("b"))
+    assert metrics.clustering_stability(points, lambda p: reduce.kmeans(p, 2), subsamples=2) == pytest.approx(1.0)
+    report = autoselect.integration_report(cells_of(spark, x), obs, k=6)
+    assert set(report) == {"batch_asw", "batch_mixing", "lisi", "kbet", "ilisi"} and all(np.isfinite(v) for v in report.values())
+
+
+@pytest.mark.parametrize("mechanism", ["mcar", "mar", "mnar"])
+def test_benchmark_data(spark, mechanism):
+    ds = synthetic.benchmark_data(spark, mechanism=mechanism, rate=0.25, confounded=1.0, n_samples=20, n_features=30, n_batches=2)
+    raw, truth = ds.layer("proteins", "raw"), ds.layer("proteins", "truth")
+    both = raw.select("sample_id", "feature_id", F.col("value").alias("x")).join(truth, ["sample_id", "feature_id"]).collect()
+    lost = [r["value"] for r in both if r["x"] is None]
+    assert len(lost) == pytest.approx(150, abs=2) and all(r["x"] in (None, r["value"]) for r in both)
+    assert (np.median(lost) < 0.7 * np.median([r["value"] for r in both])) == (mechanism == "mnar")
+    assert ds.obs.where("group <> replace(batch, 'batch', 'group')").count() == 0
