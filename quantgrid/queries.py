@@ -208,8 +208,8 @@ _KNN = (
     "w as (select sample_id, feature_id, avg(v) as new from h where i <= 5 group by 1, 2)"
 )
 simple("impute_knn", impute.impute_knn, CELL_COLUMNS, "select sample_id, feature_id, coalesce(g.value, new, avg(g.value) over (partition by feature_id)) as value, case when g.value is null then 5 else mask end as mask from grid g left join w using (sample_id, feature_id)", "cells grid", _KNN, "grid")
-for _name in ("minprob", "qrilc", "iterative_svd", "softimpute", "bpca", "lls"):
-    query(f"impute_{_name}")(lambda s, d, fn=impute.IMPUTERS[_name]: fn(sparse_proteins(s, d)))
+for _name, _rounds in (("minprob", {}), ("qrilc", {}), ("iterative_svd", {"max_iter": 20}), ("softimpute", {"max_iter": 20}), ("bpca", {"max_iter": 30}), ("lls", {"max_iter": 5})):
+    query(f"impute_{_name}")(lambda s, d, fn=impute.IMPUTERS[_name], o=_rounds: fn(sparse_proteins(s, d), **o))
 
 
 @query("missing_mechanism")
