@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from .common import SPACES, groups_of, materialize
 
-SHARD_LINES = 200_000
-PART_LINES = 500_000  # hashes that probe one copy of a shard
+SHARD_LINES = 50_000
+PART_LINES = 100_000  # hashes that probe one copy of a shard
 NOBODY = -(1 << 63)  # stands for a null doc_id
 MINE = ("n_lines", "n_dropped")
 
