@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import brown_lm, jaccard_join, line_dedup, media, mixing, packing, token_codec, topk, toxicity, url_filter
+from . import brown_lm, fill_middle, jaccard_join, line_dedup, media, mixing, packing, token_codec, topk, toxicity, url_filter, vector_codes
 from .common import materialize, table
 
 URL_RULES = [
@@ -151,5 +151,74 @@ def op10_token_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_codec.encode_corpus(docs, public_tokenizers.path("byte_bpe_50k.json"), end=0).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES = {"op1_brown_lm": op1_brown_lm, "op2_line_dedup": op2_line_dedup, "op3_source_mix": op3_source_mix, "op4_toxicity": op4_toxicity,  "op6_jaccard_join": op6_jaccard_join, "op9_best_fit_packing": op9_best_fit_packing, "op10_token_codec": op10_token_codec, "op5_media_columns": op5_media_columns, "op7_url_filter": op7_url_filter, "op8_exact_topk": op8_exact_topk}
-ORACLES = {"op2_line_dedup": OP2_SQL, "op3_source_mix": OP3_SQL, "op8_exact_topk": OP8_SQL}
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The code of each vector by codebooks of 64 entries for 16 parts, and its error."""
+    return vector_codes.compress_vectors(table(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2).drop("label")
+
+
+def _op11_sql(rounds: int = 2) -> str:
+    """Entries are rows (part, entry, e); every round assigns all parts and replaces the entries in use."""
+    assigned = """
+a{n} as (
+  select part, r, arg_min(entry, d * 64 + entry) as entry, min(d) as d, any_value(p) as p from (
+    select v.part, v.r, c.entry, v.p, list_sum([(z[1] - z[2]) * (z[1] - z[2]) for z in list_zip(v.p, c.e)])::bigint as d from parts v join c{n} c using (part)
+  ) group by part, r
+)"""
+    update = """
+c{m} as (
+  select c.part, c.entry, coalesce(u.e, c.e) as e from c{n} c left join (
+    select part, entry, list(cast((s - ((s % n) + n) % n) // n as bigint) order by i) as e from (
+      select part, entry, i, sum(p[i]) as s, count(*) as n from a{n}, range(1, 5) t(i) group by part, entry, i
+    ) group by part, entry
+  ) u using (part, entry)
+)"""
+    steps = ",".join(assigned.format(n=n) + (("," + update.format(n=n, m=n + 1)) if n < rounds else "") for n in range(rounds + 1))
+    return f"""
+with v as (
+  select row_number() over (order by vec_id nulls last, embedding) as r, vec_id, label, [cast(floor(256 * cast(x as double)) as bigint) for x in embedding] as e
+  from embeddings where embedding is not null and len([x for x in embedding if x is null or not isfinite(x)]) = 0
+), parts as (
+  select r, part, e[4 * part + 1 : 4 * part + 4] as p from v, range(16) t(part)
+), c0 as (select part, cast(r - 1 as bigint) as entry, p as e from parts where r <= 64), {steps}, f as (
+  select r, string_agg(lpad(lower(to_hex(entry)), 2, '0'), '' order by part) as code, cast(sum(d) as bigint) as error from a{rounds} group by r
+), t as (
+  select label, cast(sum(error) as bigint) as label_error from v join f using (r) group by label
+)
+select v.vec_id, f.code, f.error, t.label_error,
+  (select sha256(string_agg(array_to_string(e, ','), ',' order by part, entry)) from c{rounds}) as codebooks_sha256
+from v join f using (r) join t on v.label is not distinct from t.label
+"""
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of each text cut at two seeded lines, and of the text made of that again."""
+    cut = fill_middle.fill_middle(table(spark, sf_dir, "documents"), seed=7, rate=100, spm=50)
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(fill_middle.restored(F.col("output"), F.col("form"))).alias("restored_sha256"))
+
+
+OP13_SQL = """
+with d as (
+  select doc_id, coalesce(text, '') as text, string_split(coalesce(text, ''), chr(10)) as u, sha256('7:' || coalesce(cast(doc_id as varchar), '')) as x from documents
+), h as (
+  select *, len(u) - cast(u[-1] = '' as bigint) as n, cast('0x' || x[1:8] as bigint) as h1, cast('0x' || x[9:16] as bigint) as h2, cast('0x' || x[17:24] as bigint) as h3, cast('0x' || x[25:32] as bigint) as h4 from d
+), c as (
+  select *, least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as b,
+    case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or h3 % 100 >= 100 then 'plain' when h4 % 100 < 50 then 'spm' else 'psm' end as form
+  from h
+), e as (
+  select *, case when a = 0 then 0 when a = len(u) then length(text) else length(array_to_string(u[1:a], chr(10))) + 1 end as i,
+    case when b = 0 then 0 when b = len(u) then length(text) else length(array_to_string(u[1:b], chr(10))) + 1 end as j
+  from c
+), p as (
+  select *, substring(text, 1, i) as prefix, substring(text, i + 1, j - i) as middle, substring(text, j + 1) as suffix from e
+)
+select doc_id, cast(n as bigint) as n, form, case when form <> 'plain' then cast(i as bigint) end as prefix_chars, case when form <> 'plain' then cast(j - i as bigint) end as middle_chars,
+  sha256(case form when 'plain' then text when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle else '<S>' || suffix || '<P>' || prefix || '<M>' || middle end) as output_sha256,
+  sha256(case form when 'plain' then text else prefix || middle || suffix end) as restored_sha256
+from p
+"""
+
+
+QUERIES = {"op1_brown_lm": op1_brown_lm, "op2_line_dedup": op2_line_dedup, "op3_source_mix": op3_source_mix, "op4_toxicity": op4_toxicity, "op6_jaccard_join": op6_jaccard_join, "op9_best_fit_packing": op9_best_fit_packing, "op10_token_codec": op10_token_codec, "op5_media_columns": op5_media_columns, "op7_url_filter": op7_url_filter, "op8_exact_topk": op8_exact_topk, "op11_vector_codes": op11_vector_codes, "op13_fill_middle": op13_fill_middle}
+ORACLES = {"op2_line_dedup": OP2_SQL, "op3_source_mix": OP3_SQL, "op8_exact_topk": OP8_SQL, "op11_vector_codes": _op11_sql(), "op13_fill_middle": OP13_SQL}
