@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import brown_lm, fill_middle, jaccard_join, line_dedup, media, mixing, packing, token_codec, topk, toxicity, url_filter, vector_codes
+from . import brown_lm, fill_middle, jaccard_join, line_dedup, media, mixing, packing, pii, token_codec, topk, toxicity, url_filter, vector_codes
 from .common import materialize, table
 
 URL_RULES = [
@@ -190,6 +190,14 @@ from v join f using (r) join t on v.label is not distinct from t.label
 """
 
 
+def op12_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and digest of the patterns' spans of each text, and all spans with those that the field adds."""
+    found = pii.find_spans(table(spark, sf_dir, "documents").select("doc_id", "text"), pii.fit(pii.example_table(spark)))
+    base = F.filter("spans", lambda s: s["method"] == "base")
+    count = lambda k: F.size(F.filter(base, lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    return found.select("doc_id", *map(count, pii.KINDS), F.sha2(pii.joined(base).cast("binary"), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
+
+
 def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of each text cut at two seeded lines, and of the text made of that again."""
     cut = fill_middle.fill_middle(table(spark, sf_dir, "documents"), seed=7, rate=100, spm=50)
@@ -220,5 +228,5 @@ from p
 """
 
 
-QUERIES = {"op1_brown_lm": op1_brown_lm, "op2_line_dedup": op2_line_dedup, "op3_source_mix": op3_source_mix, "op4_toxicity": op4_toxicity, "op6_jaccard_join": op6_jaccard_join, "op9_best_fit_packing": op9_best_fit_packing, "op10_token_codec": op10_token_codec, "op5_media_columns": op5_media_columns, "op7_url_filter": op7_url_filter, "op8_exact_topk": op8_exact_topk, "op11_vector_codes": op11_vector_codes, "op13_fill_middle": op13_fill_middle}
+QUERIES = {"op1_brown_lm": op1_brown_lm, "op2_line_dedup": op2_line_dedup, "op3_source_mix": op3_source_mix, "op4_toxicity": op4_toxicity, "op6_jaccard_join": op6_jaccard_join, "op9_best_fit_packing": op9_best_fit_packing, "op10_token_codec": op10_token_codec, "op5_media_columns": op5_media_columns, "op7_url_filter": op7_url_filter, "op8_exact_topk": op8_exact_topk, "op11_vector_codes": op11_vector_codes, "op12_pii_spans": op12_pii_spans, "op13_fill_middle": op13_fill_middle}
 ORACLES = {"op2_line_dedup": OP2_SQL, "op3_source_mix": OP3_SQL, "op8_exact_topk": OP8_SQL, "op11_vector_codes": _op11_sql(), "op13_fill_middle": OP13_SQL}
