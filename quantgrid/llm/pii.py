@@ -29,6 +29,8 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
+CARD_LIKE = re.compile("[0-9](?:[ ./_-]{0,3}[0-9])+")
+PHONE_LIKE = re.compile("[+]?[(]?[0-9][ ().0-9/-]*[0-9]")
 HAS_DIGIT = re.compile("[0-9]")
 LOCAL_CHARS = [bool(re.match("[A-Za-z0-9._%+-]", chr(i))) for i in range(128)]
 ANCHOR = re.compile("[0-9@]+")
@@ -319,7 +321,9 @@ def plausible(kind: int, text: str) -> bool:
     if kind == 1:
         parts = re.findall("[0-9]+", text)
         return len(parts) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts)
-    return 14 <= len(digits) <= 19 and luhn(digits) if kind == 2 else 7 <= len(digits) <= 15
+    if kind == 2:
+        return bool(CARD_LIKE.fullmatch(text)) and 14 <= len(digits) <= 19 and luhn(digits)
+    return bool(PHONE_LIKE.fullmatch(text)) and 9 <= len(digits) <= 15
 
 
 def spans_of(t: Tokens, labels: np.ndarray) -> Iterator[tuple[int, int, int]]:
@@ -368,7 +372,7 @@ FORMS = {
     "ip": ["B.B.B.B", "B.B.B.B", "B[.]B[.]B[.]B", "B(.)B(.)B(.)B", "B . B . B . B", "B dot B dot B dot B", "B [dot] B [dot] B [dot] B"],
     "card": ["C", "C", "CCCC-CCCC-CCCC-CCCC", "CCCC CCCC CCCC CCCC", "CCCC.CCCC.CCCC.CCCC", "CCCC/CCCC/CCCC/CCCC", "CCCC_CCCC_CCCC_CCCC"],
     "phone": ["+1 (999) 555-9999", "+9 (999) 999-9999", "+99 999 9999999", "+99-999-999-9999", "(999) 555-9999", "(999) 999-9999", "999-555-9999", "999-999-9999", "999.999.9999", "0099 99 9999 9999", "00 99 999 9999999", "1-999-999-9999", "+1.999.555.9999", "(0999) 999999", "+99 (0) 999 999999", "+1/999/555/9999", "1 (999) 555-9999", "0999 999 9999", "0999/9999999"],
-    "": ["9999-09-19", "19.09.2099", "09/19/1999", "19:39", "9.9.9", "9.99", "$99.99", "99%", "9999", "99", "999", "99999", "999999", "9999999", "99999999", "999999999", "9999999999", "99999999999", "999999999999", "9999999999999999", "9999999999999999", "9999999999999999", "978-9-99-999999-9", "#999999", "@w", "http://w.example.com/w9", "w9", "99 w", "1999-2009", "9,999,999", "99 x 99", 'token = "9a9b99c9d99e9f9a99b"', "key = 'a99bb9c99d9e9f99'", "v9.9", "(9)", "[99]", "9.9", "999.999.99.999", "999.999.9.99", "w at w", "a w dot", "dot w", "w at 9 w", "w at 99 dot", "999 w 99", "9.", "AA999999", "9e-99", "999-99-9999x", "p. 999", "99-99", "9/9", "| 999 | 99 | 9999 |", "w dot w dot w", "look at the w dot", "9999999999999999 999"],
+    "": ["9999-09-19", "19.09.2099", "09/19/1999", "19:39", "9.9.9", "9.99", "$99.99", "99%", "9999", "99", "999", "99999", "999999", "9999999", "99999999", "999999999", "9999999999", "99999999999", "999999999999", "9999999999999999", "9999999999999999", "9999999999999999", "978-9-99-999999-9", "#999999", "@w", "http://w.example.com/w9", "w9", "99 w", "1999-2009", "9,999,999", "99 x 99", 'token = "9a9b99c9d99e9f9a99b"', "key = 'a99bb9c99d9e9f99'", "v9.9", "(9)", "[99]", "9.9", "999.999.99.999", "999.999.9.99", "w at w", "a w dot", "dot w", "w at 9 w", "w at 99 dot", "999 w 99", "9.", "AA999999", "9e-99", "999-99-9999x", "p. 999", "99-99", "9/9", "| 999 | 99 | 9999 |", "w dot w dot w", "look at the w dot", "(c) 1999-2009", "(9999)", "1999-2009, 99.9.9", "9999999999999999 999"],
 }
 BEFORE = {"email": ["mail", "write to", "contact", "E-Mail:", "from", ""], "ip": ["host", "from", "server", "IP", "", ""], "card": ["card", "visa", "paid with", "", ""], "phone": ["call", "tel.", "phone:", "fax", "Tel", "", ""], "": ["order", "page", "in", "on", "version", "no.", "", "", ""]}
 
