@@ -2,9 +2,8 @@
 
 Texts travel compressed (zstandard; equal texts give equal bytes). They are grouped by SHA-256 and compared within the group,
 so that the index holds each content once, with the ends of its lines as an Elias-Fano list. Documents (id and digest alone)
-are joined to the index, and each selects its two seeded cuts from the list. Texts of few copies are joined where they were
-grouped, so that a text travels once. A text of more than COPIES is dealt: its documents go to as many cells as they need at
-COPIES a cell, and its index row to each of these.
+are joined to the index, and each selects its two seeded cuts from the list. A text of many copies is dealt: its documents go
+to as many cells as they need at COPIES a cell, and its index row to each of these.
 """
 
 from __future__ import annotations
@@ -22,10 +21,11 @@ from pyspark.sql.types import BinaryType, LongType, StringType, StructField, Str
 
 from .common import materialize
 
-LINES = "struct<n: long, shift: int, low: binary, high: binary>"
+LEVEL = 6  # of compression: texts travel twice, to be grouped and to meet their documents
 COPIES = 4096  # documents of one text that a cell holds
 MARKS = ("<P>", "<S>", "<M>")  # before prefix, suffix and middle
 SCAN = 1 << 24  # bytes searched for line ends at once
+INDEX = "digest binary, cells int, packed binary, n long, shift int, low binary, high binary"
 ONES = np.array([bin(i).count("1") for i in range(256)], np.int64)
 
 
@@ -64,19 +64,20 @@ def select(i: int, shift: int, low: bytes, high: bytes) -> int:
 
 def pack_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(digest, packed) of (digest, text)."""
-    press = zstandard.ZstdCompressor(level=3)
+    press = zstandard.ZstdCompressor(level=LEVEL)
     for batch in batches:
         packed = [press.compress(t.as_buffer()) for t in batch.column(1)]
         yield pa.record_batch([batch.column(0), pa.array(packed, pa.binary())], names=["digest", "packed"])
 
 
-def list_lines(packed: pa.Array) -> pa.Array:
-    """The lines of packed texts: how many, and their ends as an Elias-Fano list."""
+def index_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds the lines of each distinct text, as an Elias-Fano list."""
     unpack = zstandard.ZstdDecompressor()
-    ends = [line_ends(unpack.decompress(p.as_buffer())) for p in packed]
-    lists = [elias_fano(e) for e in ends]
-    columns = [pa.array([len(e) for e in ends], pa.int64()), pa.array([x[0] for x in lists], pa.int32()), *(pa.array([x[i] for x in lists], pa.binary()) for i in (1, 2))]
-    return pa.StructArray.from_arrays(columns, ["n", "shift", "low", "high"])
+    for batch in batches:
+        ends = [line_ends(unpack.decompress(p.as_buffer())) for p in batch.column(2)]
+        lists = [elias_fano(e) for e in ends]
+        new = [pa.array([len(e) for e in ends], pa.int64()), pa.array([x[0] for x in lists], pa.int32()), *(pa.array([x[i] for x in lists], pa.binary()) for i in (1, 2))]
+        yield pa.record_batch([*batch.columns, *new], names=[*batch.schema.names, "n", "shift", "low", "high"])
 
 
 def cut_texts(batches: Iterator[pa.RecordBatch], seed: int, rate: int, spm: int) -> Iterator[pa.RecordBatch]:
@@ -124,22 +125,16 @@ def fill_middle(docs: DataFrame, *, seed: int = 7, rate: int = 100, spm: int = 5
     null id is cut as an empty one. Rows that repeat an id have a row each. Other columns don't matter; chars are code points.
     """
     source = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text")).withColumn("digest", F.unhex(F.sha2("text", 256)))
+    slim = source.select("doc_id", "digest")
     # Of known size once written, so that Spark can choose how to join it; at most one row for every `copies` documents.
-    hot = materialize(source.groupBy("digest").count().where(F.col("count") > copies).select("digest", F.ceil(F.col("count") / copies).cast("int").alias("cells")))
-    dealt = source.join(hot, "digest", "left")
-    asked = materialize(dealt.select("doc_id", "digest", "cells", F.pmod(F.monotonically_increasing_id(), F.col("cells")).cast("int").alias("cell")))
-
-    def index(part: DataFrame) -> DataFrame:
-        packed = part.select("digest", "text").mapInArrow(pack_texts, "digest binary, packed binary")
-        # collect_set compares contents; equal digests of unlike contents would stop the job instead of giving one the other's text.
-        alike = packed.groupBy("digest").agg(F.collect_set("packed").alias("texts"))
-        only = F.when(F.size("texts") == 1, F.col("texts")[0]).otherwise(F.raise_error(F.lit("two texts of one SHA-256")).cast("binary"))
-        return alike.select("digest", only.alias("packed")).withColumn("lines", F.arrow_udf(list_lines, LINES)("packed"))
-
-    few = asked.where("cells is null").join(index(dealt.where("cells is null")), "digest")
-    cells = index(dealt.where("cells is not null")).join(hot, "digest").withColumn("cell", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
-    many = asked.where("cells is not null").drop("cells").join(cells.drop("cells"), ["digest", "cell"])
-    columns = ["doc_id", F.col("doc_id").cast("string").alias("seeded"), "packed", "lines.n", "lines.shift", "lines.low", "lines.high"]
-    met = few.select(*columns).unionByName(many.select(*columns))
+    hot = materialize(slim.groupBy("digest").count().where(F.col("count") > copies).select("digest", F.ceil(F.col("count") / copies).cast("int").alias("cells")))
+    asked = slim.join(hot, "digest", "left").withColumn("cell", F.coalesce(F.pmod(F.monotonically_increasing_id(), F.col("cells")).cast("int"), F.lit(0))).select("doc_id", "digest", "cell")
+    packed = source.select("digest", "text").mapInArrow(pack_texts, "digest binary, packed binary")
+    # collect_set compares contents; equal digests of unlike contents would stop the job instead of giving one the other's text.
+    alike = packed.groupBy("digest").agg(F.collect_set("packed").alias("texts"), F.count(F.lit(1)).alias("count"))
+    only = F.when(F.size("texts") == 1, F.col("texts")[0]).otherwise(F.raise_error(F.lit("two texts of one SHA-256")).cast("binary"))
+    index = alike.select("digest", F.ceil(F.col("count") / copies).cast("int").alias("cells"), only.alias("packed")).mapInArrow(index_texts, INDEX)
+    dealt = index.withColumn("cell", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
+    met = asked.join(dealt, ["digest", "cell"]).select("doc_id", F.col("doc_id").cast("string").alias("seeded"), "packed", "n", "shift", "low", "high")
     fields = [StructField("doc_id", source.schema["doc_id"].dataType), StructField("n", LongType()), StructField("form", StringType()), StructField("prefix_chars", LongType()), StructField("middle_chars", LongType()), StructField("output", BinaryType())]
     return met.mapInArrow(partial(cut_texts, seed=seed, rate=rate, spm=spm), StructType(fields)).withColumn("output", F.col("output").cast("string"))
