@@ -1,17 +1,34 @@
-"""Nearest neighbours between samples: blocks of samples meet pairwise, each task keeps the best k.
+"""Nearest neighbours between samples, exact over shared features, without comparing all pairs.
 
-A feature travels as the 64-bit hash of its name, and values as one array of doubles, so that a block is laid out by numpy
-alone. Where samples are compared among themselves, two blocks meet once and serve both.
+Samples are dealt to the nearest of a few pivots (Voronoi cells), a cell is cut into shells by the distance from its pivot, and
+a shell into blocks of bounded size. Each sample first searches the block where it would lie. That gives a kth distance, and it is
+sent on only to the blocks that could hold a nearer one, by the triangle inequality. The inequality is made to hold for missing
+values too: a sum of squares over shared features is at most that over all observed ones, and at least that less the largest
+squares, as many as features can be missing on the other side.
+
+A feature travels as the 64-bit hash of its name, and values as one array of doubles, so that numpy alone lays out a block.
 """
 
 from __future__ import annotations
 
+import math
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
+
+from ..storage import materialize
 
-BLOCK = 1024
+BLOCK = 1024  # samples of a block, and of those that meet it in a task
+PIVOTS, PIVOT_CELLS = 256, 1 << 22  # pivots, and numbers in all of them
+SHELLS = 64  # of a cell
+SLACK = 1e-9  # relative, for sums in another order
+
+FOUND = "sample_id string, other string, distance double"
+KINDS = pa.schema([("sample_id", pa.string()), ("other", pa.string()), ("distance", pa.float64())])
 
 
 def _lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -51,32 +68,182 @@ def _best(own: np.ndarray, ids: np.ndarray, d: np.ndarray, k: int) -> list[np.nd
     return [own[i[good]], ids[j[good]], d[i, j][good]]
 
 
-def nearest(rows: DataFrame, k: int, others: DataFrame | None = None) -> DataFrame:
-    """(sample_id, other, distance, place): the k nearest of `others` (or of rows, less itself) for each row; ties by id.
-
-    rows and others are (sample_id, names, vec). Each sample is sent to one block and to each block of the other side.
-    """
-    same = others is None
-    n, m = rows.count(), rows.count() if same else others.count()
-    a, b = max(1, -(-n // BLOCK)), max(1, -(-m // BLOCK))
-    slim = lambda df: df.select(F.col("sample_id").alias("sample_id"), F.transform("names", lambda x: F.xxhash64(x)).alias("features"), F.col("vec").alias("vec"))
-    mine = lambda count: F.pmod(F.xxhash64("sample_id"), F.lit(count)).cast("int")
-    left = slim(rows).withColumn("i", mine(a)).withColumn("j", F.explode(F.sequence(F.col("i") if same else F.lit(0), F.lit(b - 1))))
-    right = slim(rows if same else others).withColumn("j", mine(b)).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("j") if same else F.lit(a - 1))))
-    kinds = pa.schema([("sample_id", pa.string()), ("other", pa.string()), ("distance", pa.float64())])
+class Shells(NamedTuple):
+    """Of each shell its cell, number and blocks; the nearest and farthest distance of its samples, what they miss and hold."""
+
+    features: np.ndarray
+    pivots: np.ndarray
+    cell: np.ndarray
+    shell: np.ndarray
+    deals: np.ndarray
+    near: np.ndarray
+    far: np.ndarray
+    missing: np.ndarray
+    most: np.ndarray
+
+
+def _residuals(batch: pa.RecordBatch, features: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows, present, pivots) of a batch over all features that it or a pivot has; a pivot is 0 where it has no value."""
+    names, n = _lists(pa.chunked_array([batch.column("features")]))
+    every = np.union1d(features, names)
+    x = np.full((batch.num_rows, len(every)), np.nan)
+    x[np.repeat(np.arange(batch.num_rows), n), np.searchsorted(every, names)] = _lists(pa.chunked_array([batch.column("vec")]))[0]
+    p = np.zeros((len(pivots), len(every)))
+    p[:, np.searchsorted(every, features)] = pivots
+    present = ~np.isnan(x)
+    return np.where(present, x, 0.0), present, p
+
+
+def _squares(x: np.ndarray, present: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Sums of squared differences between rows and pivots over the rows' own features."""
+    return np.maximum((x * x).sum(1)[:, None] - 2 * x @ p.T + present @ (p * p).T, 0)
+
+
+def _largest(x: np.ndarray, present: np.ndarray, p: np.ndarray, count: int) -> np.ndarray:
+    """For each row the sum of the `count` largest squared differences from one pivot (a row each, or one for all)."""
+    r = np.where(present, (x - p) ** 2, 0.0)
+    if count <= 0:
+        return np.zeros(len(x))
+    return np.partition(r, -count, axis=1)[:, -count:].sum(1) if count < r.shape[1] else r.sum(1)
+
+
+def _assign(features: np.ndarray, pivots: np.ndarray, missing: int):
+    """Adds each sample's cell, its distance from the pivot, and the least that this is over any features it could share."""
+
+    def run(batches):
+        for batch in batches:
+            x, present, p = _residuals(batch, features, pivots)
+            square = _squares(x, present, p)
+            cell = square.argmin(1) if len(p) else np.zeros(len(x), np.int64)
+            own = square[np.arange(len(x)), cell] if len(p) else (x * x).sum(1)
+            less = np.maximum(own - _largest(x, present, p[cell] if len(p) else 0.0, missing), 0)
+            new = [pa.array(cell.astype(np.int32)), pa.array(np.sqrt(own)), pa.array(np.sqrt(less))]
+            yield pa.record_batch([*batch.columns, *new], names=[*batch.schema.names, "cell", "far", "near"])
+
+    return run
+
+
+def _visits(shells: Shells):
+    """The blocks that could hold a nearer sample than the kth found so far, each with the asking sample."""
+    columns = ["sample_id", "features", "vec"]
+
+    def run(batches):
+        of_cell = [np.flatnonzero(shells.cell == c) for c in range(len(shells.pivots))]
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, present, p = _residuals(batch, shells.features, shells.pivots)
+            outer = np.sqrt(_squares(x, present, p))
+            held, limit = present.sum(1), batch.column("limit").to_numpy(zero_copy_only=False)
+            rows, found = [], []
+            for c, own in enumerate(of_cell):
+                if not len(own):
+                    continue
+                missing = int(shells.missing[own].max())
+                inner = np.sqrt(np.maximum(outer[:, c] ** 2 - _largest(x, present, p[c], missing), 0)) if 2 * missing < x.shape[1] else np.zeros(len(x))
+                shared = np.minimum(held[:, None], shells.most[own])
+                bound = np.maximum(np.maximum(inner[:, None] - shells.far[own], shells.near[own] - outer[:, c][:, None]), 0) / np.sqrt(np.maximum(shared, 1))
+                i, j = np.nonzero(bound * (1 - SLACK) - SLACK <= limit[:, None])
+                rows.append(i)
+                found.append(own[j])
+            i, s = np.concatenate(rows), np.concatenate(found)
+            n = shells.deals[s]
+            i, s, deal = np.repeat(i, n), np.repeat(s, n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            home = [batch.column(name).to_numpy(zero_copy_only=False)[i] for name in ("cell", "shell", "deal")]
+            new = ~((shells.cell[s] == home[0]) & (shells.shell[s] == home[1]) & (deal == home[2]))
+            i, s, deal = i[new], s[new], deal[new]
+            for at in range(0, len(i), BLOCK):
+                part = slice(at, at + BLOCK)
+                taken = [batch.column(name).take(pa.array(i[part])) for name in columns]
+                yield pa.record_batch([*taken, *(pa.array(v[part].astype(np.int32)) for v in (shells.cell[s], shells.shell[s], deal))], names=[*columns, "cell", "shell", "deal"])
+
+    return run
+
+
+def _search(asked: DataFrame, held: DataFrame, k: int, same: bool, key: list[str]) -> DataFrame:
+    """The k best of each block for the samples that are sent to it. Many of these are dealt, and the block goes to each deal."""
+    chunks = materialize(asked.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("chunks")))
+    columns = lambda: [F.col(c).alias(c) for c in ("sample_id", "features", "vec", *key)]
+    left = asked.join(chunks, key).select(*columns(), F.pmod(F.xxhash64("sample_id", F.lit(7)), F.col("chunks")).cast("int").alias("chunk"))
+    right = held.join(chunks, key).select(*columns(), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
 
     def best(x: pa.Table, y: pa.Table) -> pa.Table:
         if not x.num_rows or not y.num_rows:
-            return kinds.empty_table()
+            return KINDS.empty_table()
         d = distances(*_dense(x, y))
         own, ids = (np.array(t["sample_id"].to_pylist(), object) for t in (x, y))
         if same:
             d[own[:, None] == ids[None]] = np.inf
-        found = [_best(own, ids, d, k)]
-        if same and x["i"][0].as_py() != x["j"][0].as_py():
-            found.append(_best(ids, own, d.T, k))
-        return pa.table([pa.array(np.concatenate(c), f.type) for c, f in zip(zip(*found), kinds)], schema=kinds)
-
-    found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(best, "sample_id string, other string, distance double")
-    order = Window.partitionBy("sample_id").orderBy("distance", "other")
-    return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+        return pa.table([pa.array(c, f.type) for c, f in zip(_best(own, ids, d, k), KINDS)], schema=KINDS)
+
+    return left.groupBy(*key, "chunk").cogroup(right.groupBy(*key, "chunk")).applyInArrow(best, FOUND)
+
+
+def nearest(rows: DataFrame, k: int, others: DataFrame | None = None, *, block: int = BLOCK, report: dict | None = None) -> DataFrame:
+    """(sample_id, other, distance, place): the k nearest of `others` (or of rows, less itself) for each row; ties by id.
+
+    rows and others are (sample_id, names, vec). The distance is the root mean square of the differences over shared features;
+    samples that share none aren't neighbours. `report` takes the number of pairs compared, and that of all pairs.
+    """
+    same = others is None
+    slim = lambda df: df.select(F.col("sample_id").alias("sample_id"), F.transform("names", lambda x: F.xxhash64(x)).alias("features"), F.col("vec").alias("vec"))
+    asked, held = slim(rows), slim(rows if same else others)
+    place = F.row_number().over(Window.partitionBy("sample_id").orderBy("distance", "other"))
+    ranked = lambda found: found.withColumn("place", place).where(F.col("place") <= k)
+    n = held.count()
+    if report is not None:
+        report["all"] = n * (n if same else asked.count())
+    if n <= block:
+        if report is not None:
+            report["compared"] = report["all"]
+        one = F.lit(0).alias("block")
+        return ranked(_search(asked.withColumn("block", one), held.withColumn("block", one), k, same, ["block"]))
+
+    size = F.size("features")
+    width = held.select(F.explode("features").alias("f")).distinct().count()
+    first = held.orderBy(F.xxhash64("sample_id", F.lit(3)), "sample_id").limit(max(1, min(PIVOTS, 2 * math.isqrt(n // block) + 2))).collect()
+    names = np.unique(np.concatenate([r["features"] for r in first])) if first else np.zeros(0, np.int64)
+    first = first[: max(1, PIVOT_CELLS // max(1, len(names)))]
+    pivots = np.full((len(first), len(names)), np.nan)
+    for i, r in enumerate(first):
+        pivots[i, np.searchsorted(names, r["features"])] = r["vec"]
+    count = (~np.isnan(pivots)).sum(0)
+    pivots = np.where(np.isnan(pivots), np.nansum(pivots, 0) / np.maximum(count, 1), pivots)
+    # What can be missing on the side that asks, where it meets a sample that is held.
+    gap = max(0, width - ((held if same else asked).agg(F.min(size)).first()[0] or 0))
+    gap = width if 2 * gap >= width else gap
+    kinds = lambda df: StructType([*df.schema.fields, StructField("cell", IntegerType()), StructField("far", DoubleType()), StructField("near", DoubleType())])
+    held = materialize(held.mapInArrow(_assign(names, pivots, gap), kinds(held)))
+    steps = [(i + 1) / SHELLS for i in range(SHELLS - 1)]
+    cells = held.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("far", steps).alias("steps")).collect()
+    table = []
+    for r in cells:
+        shells = min(SHELLS, -(-r["n"] // block))
+        table.append((r["cell"], sorted({r["steps"][SHELLS * i // shells - 1] for i in range(1, shells)})))
+    bounds = F.broadcast(held.sparkSession.createDataFrame(table, "cell int, steps array<double>"))  # a row for each pivot
+    shelled = lambda df: df.join(bounds, "cell").withColumn("shell", F.size(F.filter("steps", lambda x: x < F.col("far")))).drop("steps")
+    held = shelled(held)
+    sums = held.groupBy("cell", "shell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("deals"), F.min("near").alias("near"), F.max("far").alias("far"), F.max(F.lit(width) - size).alias("missing"), F.max(size).alias("most"))
+    sums = materialize(sums)  # at most SHELLS rows for each pivot
+    deals = F.broadcast(sums.select("cell", "shell", "deals"))
+    dealt = lambda df: df.join(deals, ["cell", "shell"], "left").withColumn("deal", F.pmod(F.xxhash64("sample_id"), F.coalesce("deals", F.lit(1))).cast("int")).drop("deals", "near", "far")
+    found = sums.collect()
+    column = lambda name: np.array([r[name] for r in found])
+    shells = Shells(names, pivots, *(column(c) for c in ("cell", "shell", "deals", "near", "far", "missing", "most")))
+
+    held = dealt(held)
+    if same:
+        home = held
+    else:
+        home = dealt(shelled(asked.mapInArrow(_assign(names, pivots, 0), kinds(asked))))
+    key = ["cell", "shell", "deal"]
+    seeds = materialize(_search(home, held, k, same, key))
+    limit = seeds.groupBy("sample_id").agg(F.when(F.count(F.lit(1)) >= k, F.max("distance")).alias("limit"))
+    asking = home.join(limit, "sample_id", "left").select("sample_id", "features", "vec", *key, F.coalesce("limit", F.lit(float("inf"))).alias("limit"))
+    kind = StructType([StructField("sample_id", StringType()), StructField("features", ArrayType(LongType())), StructField("vec", ArrayType(DoubleType())), *(StructField(c, IntegerType()) for c in key)])
+    visits = materialize(asking.mapInArrow(_visits(shells), kind))
+    if report is not None:
+        sizes = materialize(held.groupBy(*key).agg(F.count(F.lit(1)).alias("n")))
+        pairs = lambda df: df.groupBy(*key).agg(F.count(F.lit(1)).alias("m")).join(sizes, key).agg(F.sum(F.col("m") * F.col("n"))).first()[0] or 0
+        report["compared"] = pairs(home) + pairs(visits)
+    return ranked(seeds.unionByName(_search(visits, held, k, same, key)))
