@@ -21,7 +21,7 @@ from ..errors import ValidationError
 from ..functions.quantiles import quantiles
 from ..functions.special import norm_ppf
 from ..model import CELL, Dataset, MaskCode
-from ..storage import materialize
+from ..storage import materialize, once
 from .matrix import beside, check_width, dense, gram_sums, row_arrays, summed
 from .neighbors import nearest
 
@@ -46,17 +46,22 @@ def impute_zero(cells: DataFrame) -> DataFrame:
 
 def impute_row_mean(cells: DataFrame) -> DataFrame:
     """The sample's mean; the mean of all cells for a sample without values; 0 without any."""
+    cells = once(cells)
     overall = cells.agg(F.avg("value")).first()[0] or 0.0
     return filled(beside(cells, "sample_id", __x=F.avg("value")), F.coalesce("__x", F.lit(overall)))
 
 
 def impute_row_median(cells: DataFrame) -> DataFrame:
-    overall = quantiles(cells, "value", [0.5])[0] or 0.0
+    """The sample's median; the median of all cells, which is looked for only then, for a sample without values; 0 without any."""
+    cells = once(cells)
+    bare = cells.groupBy("sample_id").agg(F.count("value").alias("n")).where("n = 0").limit(1).count()
+    overall = (quantiles(cells, "value", [0.5])[0] or 0.0) if bare else 0.0
     return filled(beside(cells, "sample_id", __x=F.median("value")), F.coalesce("__x", F.lit(overall)))
 
 
 def impute_half_row_min(cells: DataFrame, *, fraction: float = 0.5) -> DataFrame:
     """A fraction of the sample's least value; of the least of all for a sample without values."""
+    cells = once(cells)
     overall = cells.agg(F.min("value")).first()[0] or 0.0
     return filled(beside(cells, "sample_id", __x=F.min("value")), F.coalesce("__x", F.lit(overall)) * fraction)
 
@@ -134,15 +139,39 @@ def impute_knn(cells: DataFrame, *, k: int = 5, weights: str = "uniform", oversa
     """
     if weights not in ("uniform", "distance"):
         raise ValidationError("weights is uniform or distance")
-    near = nearest(row_arrays(cells), k * oversample + 1)
-    gaps = cells.where("value is null").select("sample_id", "feature_id")
-    known = cells.where("value is not null").select(F.col("sample_id").alias("other"), "feature_id", F.col("value").alias("v"))
-    met = gaps.join(near, "sample_id").join(known, ["other", "feature_id"])
-    order = Window.partitionBy("sample_id", "feature_id").orderBy("distance", "other")
-    met = met.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
-    w = F.lit(1.0) if weights == "uniform" else 1 / F.greatest(F.col("distance"), F.lit(1e-12))
-    new = met.groupBy("sample_id", "feature_id").agg((F.sum(F.col("v") * w) / F.sum(w)).alias("new"))
-    out = beside(cells.join(new, ["sample_id", "feature_id"], "left"), "feature_id", mean=F.avg("value"))
+    cells = once(cells)
+    rows = once(row_arrays(cells))
+    near = nearest(rows, k * oversample + 1)
+    hashed = lambda x: F.transform(x, lambda f: F.xxhash64(f))
+    theirs = rows.select(F.col("sample_id").alias("other"), hashed("names").alias("features"), "vec")
+    met = near.select("sample_id", "other", "distance").join(theirs, "other")
+    wanted = cells.where("value is null").groupBy("sample_id").agg(F.collect_list("feature_id").alias("names")).select("sample_id", "names", hashed("names").alias("features"))
+
+    def fill(gaps: pa.Table, others: pa.Table) -> pa.Table:
+        """The mean of the first k values of each wanted feature in the order of distance; a group is one sample and its neighbours."""
+        kinds = pa.schema([("sample_id", pa.string()), ("names", pa.list_(pa.string())), ("new", pa.list_(pa.float64()))])
+        if not gaps.num_rows or not others.num_rows:
+            return kinds.empty_table()
+        others = others.sort_by([("distance", "ascending"), ("other", "ascending")])
+        want = np.asarray(gaps["features"][0].values)
+        order = np.argsort(want)
+        values = np.full((others.num_rows, len(want)), np.nan)
+        for row, features, vec in zip(values, others["features"], others["vec"]):
+            have = np.asarray(features.values)
+            at = np.minimum(np.searchsorted(want[order], have), len(want) - 1)
+            hit = want[order][at] == have
+            row[order[at[hit]]] = np.asarray(vec.values)[hit]
+        seen = ~np.isnan(values)
+        use = seen & (np.cumsum(seen, 0) <= k)
+        w = np.ones(others.num_rows) if weights == "uniform" else 1 / np.maximum(others["distance"].to_numpy(), 1e-12)
+        total = (use * w[:, None]).sum(0)
+        new = (np.where(use, values, 0.0) * w[:, None]).sum(0) / np.maximum(total, 1e-300)
+        return pa.table([gaps["sample_id"], gaps["names"], pa.array([[float(v) if t > 0 else None for v, t in zip(new, total)]], pa.list_(pa.float64()))], schema=kinds)
+
+    found = wanted.groupBy("sample_id").cogroup(met.groupBy("sample_id")).applyInArrow(fill, "sample_id string, names array<string>, new array<double>")
+    new = found.select("sample_id", F.explode(F.arrays_zip("names", "new")).alias("x")).select("sample_id", F.col("x.names").alias("feature_id"), F.col("x.new").alias("new"))
+    mean = cells.groupBy("feature_id").agg(F.avg("value").alias("mean"))
+    out = cells.join(new, ["sample_id", "feature_id"], "left").join(mean, "feature_id")
     return filled(out, F.coalesce("new", "mean", F.lit(0.0)))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..errors import ValidationError
+from ..storage import once
 
 CHUNK = 16_384  # numbers of a sum that travel together
 MAX_FEATURES = 4096  # the sums hold its square; the driver sees one such matrix at a time
@@ -26,8 +27,9 @@ def by_feature() -> WindowSpec:
 def beside(cells: DataFrame, key: str, **stats: Column) -> DataFrame:
     """cells with columns of statistics of each value of key: grouped, then joined, so that no task holds a key's cells.
 
-    The grouped side has one row a key; Spark broadcasts it where it turns out small.
+    The grouped side has one row a key; Spark broadcasts it where it turns out small. cells are computed once for both sides.
     """
+    cells = once(cells)
     return cells.join(cells.groupBy(key).agg(*(c.alias(n) for n, c in stats.items())), key)
 
 

@@ -1,6 +1,7 @@
 """Registered queries of the quantification operators, each with its SQL where SQL can express it.
 
-Doubles are rounded alike on both sides, so that sums taken in another order compare equal.
+Doubles are rounded alike on both sides, so that sums taken in another order compare equal. Means of prices are often exact
+halves of the last digit, which such sums put on either side; ASIDE moves both sides off that edge.
 """
 
 from __future__ import annotations
@@ -32,8 +33,11 @@ CTES = {"cells": m.CELLS_SQL, "peptides": m.PEPTIDES_SQL, "links": m.LINKS_SQL,
 CELL_COLUMNS = "sample_id feature_id value:d mask"
 
 
+ASIDE = 1e-8
+
+
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    return df.select(*((F.round(c, digits) + F.lit(0.0)).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes))
+    return df.select(*((F.round(F.col(c) + ASIDE, digits) + F.lit(0.0)).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes))
 
 
 def query(name: str, columns: str = "", sql: str = "", uses: str = "", more: str = "") -> Callable[[Query], Query]:
@@ -47,7 +51,7 @@ def query(name: str, columns: str = "", sql: str = "", uses: str = "", more: str
         QUERIES[name] = run
         if sql:
             tables = [CTES[u] for u in uses.split()] + ([more] if more else [])
-            picked = ", ".join(f"round({c[:-2]}, 6) + 0.0 as {c[:-2]}" if c.endswith(":d") else c for c in columns.split())
+            picked = ", ".join(f"round({c[:-2]} + {ASIDE}, 6) + 0.0 as {c[:-2]}" if c.endswith(":d") else c for c in columns.split())
             head = f"with {', '.join(tables)} " if tables else ""
             ORACLES[name] = f"{head}select {picked} from ({sql}) as result"
         return fn

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -35,3 +36,13 @@ def materialize(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     delete_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Nodes of a plan that take more than reading rows once more.
+COSTLY = re.compile(r"\b(Aggregate|Join|Window|Sort|Distinct|Repartition\w*|Generate|Deduplicate|MapIn\w+|FlatMap\w+)\b")
+
+
+def once(df: DataFrame) -> DataFrame:
+    """df for several readers: as it is where its rows come straight from files, else written, so that it is computed once."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return materialize(df) if COSTLY.search(plan) else df
