@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import materialize
-from .quantiles import running_counts
+from .quantiles import order_statistic, running_counts
 
 
 def group_table(cells: DataFrame, groups: DataFrame, a: str, b: str) -> DataFrame:
@@ -214,10 +214,36 @@ def method_scores(long: DataFrame) -> DataFrame:
     return long.withColumn("s", F.when(F.col("value").isNotNull(), s)).groupBy("block", "method").agg(F.avg("s").alias("score"))
 
 
-def holdout(cells: DataFrame, share: float, seed: int = 42) -> DataFrame:
-    """Cells with a column `held`: of each state, that share of the observed cells, by a hash of ids and seed."""
-    hit = F.pmod(F.xxhash64("sample_id", "feature_id", F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000)
-    return cells.withColumn("held", F.col("value").isNotNull() & hit)
+def holdout(cells: DataFrame, share: float, seed: int = 42, *, state: int | None = None, least: int = 0, most: int | None = None) -> DataFrame:
+    """Cells with a column `held`: an exact number of the observed cells, dealt to states by their shares.
+
+    The number is `share` of the observed cells (of those of `state`, if given), at least `least` and at most `most`. A state's
+    part is rounded by largest remainders. In each state the cells of the least hash of ids and seed are held, found by counts
+    of ranges; only cells that share the last hash are told apart by their ids.
+    """
+    key = F.pmod(F.xxhash64("sample_id", "feature_id", F.lit(seed)), F.lit(1 << 50))
+    x = cells.withColumn("__hash", key)
+    mine = x.where(F.col("value").isNotNull() & (F.lit(True) if state is None else F.col("mask") == state))
+    counts = {r["mask"]: r["n"] for r in mine.groupBy("mask").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a state
+    total = sum(counts.values())
+    goal = min(max(least, int(share * total)), total if most is None else most, total)
+    part = {m: goal * n // max(total, 1) for m, n in counts.items()}
+    for m in sorted(counts, key=lambda m: (-(goal * counts[m] % max(total, 1)), m))[: goal - sum(part.values())]:
+        part[m] += 1
+    held, edge = F.lit(False), None
+    observed = F.col("value").isNotNull()
+    for m, n in part.items():
+        if not n:
+            continue
+        own = mine.where(F.col("mask") == m)
+        last = order_statistic(own, "__hash", n - 1)
+        below = own.where(F.col("__hash") < last).count()
+        ties = own.where(F.col("__hash") == last).orderBy("sample_id", "feature_id").limit(n - below).select("sample_id", "feature_id", F.lit(True).alias("__edge"))
+        held = held | (observed & (F.col("mask") == m) & (F.col("__hash") < last))
+        edge = ties if edge is None else edge.unionByName(ties)
+    if edge is None:
+        return x.drop("__hash").withColumn("held", F.lit(False))
+    return x.join(edge, ["sample_id", "feature_id"], "left").withColumn("held", held | F.coalesce("__edge", F.lit(False))).select(*cells.columns, "held")
 
 
 def state_profile(held: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.neighbors import nearest
+from ..storage import materialize
 from .special import chi2_sf
 
 
@@ -173,6 +174,35 @@ def distance_agreement(a: DataFrame, b: DataFrame, k: int = 30) -> DataFrame:
     return x.withColumns({"rd": order("d"), "re": order("e")}).groupBy("sample_id").agg(F.corr("rd", "re").alias("r")).agg(F.avg("r").alias("r"))
 
 
+def sampled_pairs(rows: DataFrame, pairs: int = 1000, samples: int = 1000, seed: int = 42) -> DataFrame:
+    """(a, b): seeded pairs of samples: those of the least hashes in a ring, each with ones at hashed offsets. No pair is formed in vain."""
+    first = rows.select("sample_id").orderBy(F.xxhash64("sample_id", F.lit(seed)), "sample_id").limit(samples)
+    ids = [r[0] for r in first.collect()]  # at most `samples`
+    n = len(ids)
+    draw = np.random.default_rng(seed)
+    rounds = -(-min(pairs, n * (n - 1) // 2) // max(n, 1))
+    offsets = draw.permutation(np.arange(1, n // 2 + 1))[:rounds] if n > 1 else []
+    found = sorted({tuple(sorted((i, (i + int(o)) % n))) for o in offsets for i in range(n)})[: min(pairs, n * (n - 1) // 2)]
+    return rows.sparkSession.createDataFrame([(ids[i], ids[j]) for i, j in found], "a string, b string")
+
+
+def pair_distances(rows: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
+    """(a, b, name): the root of the summed squares over features that both samples of (sample_id, names, vec) have."""
+    long = lambda side, x: rows.select(F.col("sample_id").alias(side), F.explode(F.arrays_zip("names", "vec")).alias("c")).select(side, F.col("c.names").alias("f"), F.col("c.vec").alias(x))
+    met = pairs.join(long("a", "x"), "a").join(long("b", "y"), ["b", "f"])
+    return met.groupBy("a", "b").agg(F.sqrt(F.sum((F.col("x") - F.col("y")) ** 2)).alias(name))
+
+
+def pair_agreement(a: DataFrame, b: DataFrame, pairs: int = 1000, samples: int = 1000, seed: int = 42) -> float:
+    """(1 + r) / 2 of the distances of sampled pairs in two spaces; 0 for fewer than ten samples or without spread."""
+    drawn = materialize(sampled_pairs(a, pairs, samples, seed))
+    both = pair_distances(a, drawn, "d").join(pair_distances(b, drawn, "e"), ["a", "b"])
+    n, r, sd, se = both.agg(F.count(F.lit(1)), F.corr("d", "e"), F.stddev_pop("d"), F.stddev_pop("e")).first()
+    if a.limit(10).count() < 10 or not n or min(sd, se) < 1e-10 or r is None:
+        return 0.0
+    return float(np.clip((1 + r) / 2, 0, 1))
+
+
 def clustering_stability(points: DataFrame, cluster: Callable[[DataFrame], DataFrame], *, subsamples: int = 10, share: float = 0.8, seed: int = 42) -> float:
     """The mean adjusted Rand index, 0 at least, of (sample_id, label, vec) against clusterings of hashed shares of the samples."""
     found = []

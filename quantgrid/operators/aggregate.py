@@ -17,7 +17,6 @@ PROTEIN_COLUMNS = ("Protein.Group", "Protein.Ids", "PG.ProteinGroups", "PG.Prote
 BASIC: dict[str, Callable[[str], Column]] = {"sum": F.sum, "mean": F.avg, "median": F.median, "max": F.max}
 METHODS = (*BASIC, "weighted_mean", "top_n", "maxlfq", "tmp", "ibaq")
 FITTED = "sample_id string, protein string, value double"
-MAX_PROFILE = 8192  # samples of a protein in maxlfq; its task holds the square
 
 
 def protein_column(columns: list[str], name: str = "auto") -> str:
@@ -81,25 +80,45 @@ def pair_ratios(logs: DataFrame, least: int) -> DataFrame:
     return pairs.groupBy("protein", "a", "b").agg(F.median(F.col("xb") - F.col("xa")).alias("ratio"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= max(least, 1))
 
 
+def laplacian_solve(i: np.ndarray, j: np.ndarray, n: np.ndarray, ratio: np.ndarray, size: int, tol: float = 1e-12) -> np.ndarray:
+    """Levels x of least squares n * (x[j] - x[i] - ratio)**2, by conjugate gradients on the pairs alone.
+
+    Scaled by the diagonal; no matrix is formed, so that a step takes time and room in proportion to the pairs.
+    """
+    def times(x: np.ndarray) -> np.ndarray:
+        flow = n * (x[j] - x[i])
+        return np.bincount(j, flow, size) - np.bincount(i, flow, size)
+
+    degree = np.maximum(np.bincount(i, n, size) + np.bincount(j, n, size), 1e-300)
+    rest = np.bincount(j, n * ratio, size) - np.bincount(i, n * ratio, size)
+    x, goal = np.zeros(size), tol * max(np.abs(rest).max(initial=0.0), 1e-300)
+    z = rest / degree
+    step, dot = z.copy(), rest @ z
+    for _ in range(10 * size + 100):
+        if np.abs(rest).max(initial=0.0) <= goal or dot <= 0:
+            break
+        image = times(step)
+        a = dot / max(step @ image, 1e-300)
+        x, rest = x + a * step, rest - a * image
+        z = rest / degree
+        new = rest @ z
+        step, dot = z + new / dot * step, new
+    return x
+
+
 def profile(pairs: pd.DataFrame) -> pd.DataFrame:
     """(protein, sample_id, set, level): least squares over one protein's ratios, weighted by their counts, for each connected set."""
     names, at = np.unique(np.concatenate([pairs["a"], pairs["b"]]).astype(str), return_inverse=True)
-    if len(names) > MAX_PROFILE:
-        raise ValidationError(f"a protein with more than {MAX_PROFILE} samples")
     i, j = at[: len(pairs)], at[len(pairs) :]
-    n, ratio = pairs["n"].to_numpy(float), pairs["ratio"].to_numpy(float)
     group, before = np.arange(len(names)), None
     while before is None or (group != before).any():
         before = group.copy()
         least = np.minimum(group[i], group[j])
         np.minimum.at(group, i, least)
         np.minimum.at(group, j, least)
-    normal, right = np.zeros((len(names), len(names))), np.zeros(len(names))
-    for x, y, sign in ((i, j, -1), (j, i, 1)):
-        np.add.at(normal, (x, x), n)
-        np.add.at(normal, (x, y), -n)
-        np.add.at(right, x, sign * n * ratio)
-    level = np.linalg.lstsq(normal, right, rcond=None)[0]
+        group = group[group]
+    level = laplacian_solve(i, j, pairs["n"].to_numpy(float), pairs["ratio"].to_numpy(float), len(names))
+    level = level - (np.bincount(group, level, len(names)) / np.maximum(np.bincount(group, minlength=len(names)), 1))[group]
     return pd.DataFrame({"protein": pairs["protein"].iloc[0], "sample_id": names, "set": names[group], "level": level})
 
 
@@ -107,7 +126,7 @@ def maxlfq(rows: DataFrame, least: int) -> DataFrame:
     """(protein, sample_id, value) of (protein, feature_id, sample_id, value > 0): median pair ratios, weighted least squares.
 
     Each connected set of samples is fitted on its own and lifted by the median residual of its peptides; a sample that shares
-    nothing takes its own median. A task solves one protein: its pairs of samples, for at most MAX_PROFILE samples.
+    nothing takes its own median. A protein is solved in one group, in room in proportion to its pairs of samples.
     """
     logs = rows.groupBy("protein", "feature_id", "sample_id").agg(F.log(F.max("value")).alias("x"))
     levels = pair_ratios(logs, least).groupBy("protein").applyInPandas(profile, "protein string, sample_id string, set string, level double")

@@ -157,11 +157,55 @@ def integrate_combat(cells: DataFrame, obs: DataFrame, *, batch: str = "batch",
     return out.withColumn("value", F.coalesce((z - F.col("g_new")) / F.sqrt("d_new") * F.col("sd") + F.col("grand"), F.col("value")) + F.col("effect")).select(*CELL)
 
 
+def pivoted_solve(gram: np.ndarray, right: np.ndarray, tol: float = 1e-9) -> tuple[np.ndarray, int]:
+    """(coefficients, rank) of a least-squares problem from its Gram matrix; columns that others give already get 0.
+
+    Columns are taken by the largest length that is left of them (pivoted Cholesky), the first of equals, until nothing is left.
+    """
+    left, taken = gram.astype(float).copy(), []
+    top = max(float(np.diag(left).max(initial=0.0)), 1e-300)
+    while len(taken) < len(left):
+        d = np.diag(left).copy()
+        d[taken] = -1.0
+        at = int(np.argmax(d >= d.max() * (1 - 1e-9)))
+        if d[at] <= tol * top:
+            break
+        taken.append(at)
+        left -= np.outer(left[:, at], left[at]) / left[at, at]
+    out, keep = np.zeros(len(gram)), sorted(taken)
+    if keep:
+        out[keep] = np.linalg.solve(gram[np.ix_(keep, keep)], right[keep])
+    return out, len(keep)
+
+
+def limma_design(obs: DataFrame, batch: str, covariates: tuple[str, ...]) -> tuple[DataFrame, list[str], int]:
+    """(sample_id, batch, design), the batches, and how many columns come before theirs.
+
+    The design is an intercept, the covariates (numbers as they are, other values as indicators without the first), and sum
+    contrasts of the batches. Its width is that of the distinct values, which the driver holds.
+    """
+    columns, kinds = [F.lit(1.0)], dict(obs.dtypes)
+    for c in covariates:
+        numeric = kinds[c].split("(")[0] in ("double", "float", "int", "bigint", "smallint", "tinyint", "decimal")
+        if obs.where(F.col(c).isNull() | (F.isnan(F.col(c).cast("double")) if numeric else F.lit(False))).limit(1).count():
+            raise ValidationError(f"covariate {c} has missing values")
+        if numeric:
+            columns.append(F.col(c).cast("double"))
+        else:
+            levels = sorted(r[0] for r in obs.select(F.col(c).cast("string")).distinct().collect())
+            columns += [(F.col(c).cast("string") == v).cast("double") for v in levels[1:]]
+    names = sorted(r[0] for r in obs.select(F.col(batch).cast("string")).distinct().collect())
+    at = F.col(batch).cast("string")
+    contrasts = [F.when(at == names[-1], -1.0).otherwise((at == v).cast("double")) for v in names[:-1]]
+    return obs.select("sample_id", at.alias("batch"), F.array(*columns, *contrasts).alias("design")), names, len(columns)
+
+
 def integrate_limma(cells: DataFrame, obs: DataFrame, *, batch: str = "batch", covariates: tuple[str, ...] = (), reference_batch: str | None = None) -> DataFrame:
     """Subtract each feature's batch effects, as sum contrasts of a linear model on its observed samples; nulls stay.
 
-    Without covariates the model's effects are batch means less their mean. With them a feature's small design is solved in its
-    own group, from the samples of that feature.
+    Without covariates the model's effects are batch means less their mean. With them, sums of products of the design's columns
+    are added up for each feature, and a task solves many features' small systems; what a feature's samples cannot tell apart
+    is left to the columns taken first. A design that is confounded as a whole is an error.
     """
     check_batches(obs, batch)
     rows = _batched(cells, obs, batch)
@@ -169,17 +213,31 @@ def integrate_limma(cells: DataFrame, obs: DataFrame, *, batch: str = "batch", c
         mean = rows.groupBy("feature_id", "batch").agg(F.avg("value").alias("m")).where("m is not null")
         effect = mean.withColumn("effect", F.col("m") - F.avg("m").over(Window.partitionBy("feature_id"))).drop("m")
     else:
-        extra = obs.select("sample_id", *(F.col(c).cast("string").alias(c) for c in covariates))
-
-        def solve(x: pd.DataFrame) -> pd.DataFrame:
-            names = sorted(x["batch"].astype(str).unique())
-            coded = np.array([[(b == n) - (b == names[-1]) for n in names[:-1]] for b in x["batch"].astype(str)], float).reshape(len(x), -1)
-            dummies = pd.get_dummies(x[list(covariates)], drop_first=True).to_numpy(float)
-            design = np.column_stack([np.ones(len(x)), coded, dummies])
-            beta = np.linalg.lstsq(design, x["value"].to_numpy(float), rcond=None)[0][1 : len(names)]
-            return pd.DataFrame({"feature_id": x["feature_id"].iloc[0], "batch": names, "effect": np.append(beta, -beta.sum())})
-
-        effect = rows.where("value is not null").join(extra, "sample_id").groupBy("feature_id").applyInPandas(solve, "feature_id string, batch string, effect double")
+        design, names, ahead = limma_design(obs, batch, covariates)
+        design = materialize(design)
+        width = ahead + len(names) - 1
+        pairs = [(i, j) for i in range(width) for j in range(i, width)]
+        x = lambda i: F.element_at("design", i + 1)
+        sums = lambda: F.array(*(F.sum(x(i) * x(j)) for i, j in pairs)).alias("gram")
+
+        def square(values) -> np.ndarray:
+            out = np.zeros((width, width))
+            for (i, j), v in zip(pairs, values):
+                out[i, j] = out[j, i] = v
+            return out
+
+        if pivoted_solve(square(design.agg(sums()).first()[0]), np.zeros(width))[1] < width:
+            raise ValidationError("batches and covariates are confounded")
+        contrast = np.vstack([np.eye(len(names) - 1), -np.ones(len(names) - 1)])
+
+        def solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for part in frames:
+                found = [contrast @ pivoted_solve(square(g), np.asarray(r, float))[0][ahead:] for g, r in zip(part["gram"], part["right"])]
+                yield pd.DataFrame({"feature_id": part["feature_id"].repeat(len(names)), "batch": names * len(part), "effect": np.concatenate(found) if found else []})
+
+        met = cells.where("value is not null").select("sample_id", "feature_id", "value").join(design, "sample_id")
+        moments = met.groupBy("feature_id").agg(sums(), F.array(*(F.sum(x(i) * F.col("value")) for i in range(width))).alias("right"))
+        effect = moments.mapInPandas(solve, "feature_id string, batch string, effect double")
     rows = rows.withColumn("batch", F.col("batch").cast("string"))
     effect = effect.withColumn("batch", F.col("batch").cast("string"))
     out = rows.join(effect, ["feature_id", "batch"], "left")

@@ -18,10 +18,12 @@ from pyspark.sql import functions as F
 
 from ..errors import ValidationError
 from ..functions import benchmarks, metrics
+from ..functions.quantiles import quantiles
 from ..model import Dataset
 from ..operators import impute, integrate, normalize
 from ..operators.matrix import row_arrays
 from ..operators.reduce import kmeans, pca
+from ..storage import materialize
 
 #: Weight of quality and of run time.
 STRATEGIES = {"quality": (1.0, 0.0), "balanced": (0.85, 0.15), "speed": (0.65, 0.35)}
@@ -86,8 +88,8 @@ def normalization_scores(before: DataFrame, after: DataFrame, obs: DataFrame, gr
 
 
 def imputation_scores(cells: DataFrame, method: Callable[[DataFrame], DataFrame], share: float = 0.05, seed: int = 42) -> dict[str, float]:
-    """Hide a share of the observed cells, impute, and compare."""
-    held = benchmarks.holdout(cells, share, seed)
+    """Hide a share of the observed cells of each state, 128 to 50,000 of them in all, impute, and compare."""
+    held = materialize(benchmarks.holdout(cells, share, seed, least=128, most=50_000))
     hidden = held.withColumns({"value": F.when(~F.col("held"), F.col("value")), "mask": F.when(F.col("held"), 2).otherwise(F.col("mask"))}).drop("held")
     truth = held.where("held").select("sample_id", "feature_id", F.col("value").alias("truth"))
     pairs = truth.join(method(hidden).select("sample_id", "feature_id", F.col("value").alias("imputed")), ["sample_id", "feature_id"])
@@ -113,14 +115,30 @@ def integration_report(cells: DataFrame, obs: DataFrame, batch: str = "batch", k
     }
 
 
-def reduction_scores(cells: DataFrame, scores: DataFrame) -> dict[str, float]:
-    """How much variance, distances and neighbours the scores keep."""
+def clustering_potential(points: DataFrame, counts: tuple[int, ...] = (3, 5, 7, 10), seed: int = 42) -> float:
+    """The best mean silhouette of (sample_id, vec) over k-means of several sizes, 0 at least."""
+    n, best = points.count(), 0.0
+    for k in counts:
+        if k < n:
+            labelled = points.join(kmeans(points, k, seed=seed), "sample_id")
+            best = max(best, _one(metrics.silhouette(labelled).agg(F.avg("s"))))
+    return min(1.0, best)
+
+
+def reduction_scores(cells: DataFrame, scores: DataFrame, seed: int = 42) -> dict[str, float]:
+    """How much variance, distances (of 1000 drawn pairs of samples), neighbours and clusters the scores keep."""
     rows = row_arrays(cells)
     names = F.transform(F.sequence(F.lit(1), F.size("vec")), lambda i: i.cast("string"))
+    scores = materialize(scores)
     low = scores.select("sample_id", names.alias("names"), "vec")
     total = _one(cells.groupBy("feature_id").agg(F.var_samp("value").alias("v")).agg(F.sum("v")))
     kept = _one(scores.select(F.posexplode("vec").alias("i", "x")).groupBy("i").agg(F.var_samp("x").alias("v")).agg(F.sum("v")))
-    return {"variance_explained": min(1.0, kept / max(total, 1e-12) / 0.8), "distances": (_one(metrics.distance_agreement(rows, low)) + 1) / 2, "local_structure": _one(metrics.knn_jaccard(rows, low).agg(F.avg("jaccard")))}
+    return {
+        "variance_explained": min(1.0, kept / max(total, 1e-12) / 0.8),
+        "reconstruction_error": metrics.pair_agreement(rows, low, seed=seed),
+        "local_structure": _one(metrics.knn_jaccard(rows, low, 15).agg(F.avg("jaccard"))),
+        "clustering_potential": clustering_potential(scores, seed=seed),
+    }
 
 
 def cluster_scores(points: DataFrame, cluster: Callable[[DataFrame], DataFrame]) -> dict[str, float]:
@@ -132,7 +150,7 @@ WEIGHTS = {
     "normalize": {"intragroup": 0.4, "loading_bias": 0.3, "signal": 0.3},
     "impute": {"rmse": 0.4, "pearson": 0.3, "completeness": 0.3},
     "integrate": {"batch_asw": 0.25, "batch_mixing": 0.25, "variance_preserved": 0.5},
-    "reduce": {"variance_explained": 0.4, "distances": 0.3, "local_structure": 0.3},
+    "reduce": {"variance_explained": 0.3, "reconstruction_error": 0.25, "local_structure": 0.25, "clustering_potential": 0.2},
     "cluster": {"silhouette": 0.3, "calinski_harabasz": 0.25, "davies_bouldin": 0.2, "stability": 0.25},
 }
 
@@ -170,10 +188,16 @@ def is_logged(ds: Dataset, assay: str, layer: str) -> bool:
     return any(normalize.LOGGED.search(name.lower()) or name in made for name in ds.lineage(assay, layer))
 
 
+def adaptive_threshold(cells: DataFrame) -> float:
+    """The 95 % quantile of the features' rank frequencies, or two samples' share if that is more, within 0.01 and 0.5."""
+    (high,) = quantiles(normalize.rank_invariance(cells), "frequency", [0.95])
+    n = cells.select("sample_id").distinct().count()
+    return 0.5 if high is None or n < 2 else min(0.5, max(0.01, high, 2 / n))
+
+
 def adaptive_trqn(cells: DataFrame) -> DataFrame:
-    """TRQN with the default threshold, or with the largest frequency that there is, if that is lower: so that some feature is rank-invariant."""
-    top = normalize.rank_invariance(cells).agg(F.max("frequency")).first()[0]
-    return normalize.norm_trqn(cells, low_thr=max(min(0.5, top or 0.5), 1e-9))
+    """TRQN with a threshold that suits the layer."""
+    return normalize.norm_trqn(cells, low_thr=adaptive_threshold(cells))
 
 
 #: Methods that only make sense on a log scale.
@@ -214,7 +238,7 @@ class AutoSelector:
             make = lambda m: lambda: methods[m].apply(cells, obs, batch=self.batch)
         elif stage == "reduce":
             methods = {"pca": None}
-            score = lambda m: lambda out, seed: reduction_scores(cells, out)
+            score = lambda m: lambda out, seed: reduction_scores(cells, out, seed)
             make = lambda m: lambda: pca(cells, 10)["scores"]
         elif stage == "cluster":
             methods = {m: int(m) for m in self.methods[stage]}

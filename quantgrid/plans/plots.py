@@ -193,7 +193,6 @@ def reduction_summary(variance: DataFrame, labels: DataFrame) -> tuple[DataFrame
     return variance.withColumn("cumulative", F.sum("ratio").over(run)), labels.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 
-def saturation(runs: DataFrame, share: float = 0.95) -> DataFrame:
-    """(group, place): the first place of a cumulative sensitivity at which that share of its last count is reached."""
-    last = runs.groupBy("group").agg(F.max("n_union").alias("all"))
-    return runs.join(last, "group").where(F.col("n_union") >= share * F.col("all")).groupBy("group").agg(F.min("place").alias("place"))
+def saturation(runs: DataFrame, n_features: int, share: float = 0.95) -> DataFrame:
+    """(group, place): the first place of a cumulative sensitivity at which that share of all features is reached, if it is."""
+    return runs.where(F.col("n_union") >= share * n_features).groupBy("group").agg(F.min("place").alias("place"))

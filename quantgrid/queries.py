@@ -212,7 +212,7 @@ _KNN = (
     "w as (select sample_id, feature_id, avg(v) as new from h where i <= 5 group by 1, 2)"
 )
 simple("impute_knn", impute.impute_knn, CELL_COLUMNS, "select sample_id, feature_id, coalesce(g.value, new, avg(g.value) over (partition by feature_id)) as value, case when g.value is null then 5 else mask end as mask from grid g left join w using (sample_id, feature_id)", "cells grid", _KNN, "grid")
-for _name, _rounds in (("minprob", {}), ("qrilc", {}), ("iterative_svd", {"max_iter": 20}), ("softimpute", {"max_iter": 20}), ("bpca", {"max_iter": 30}), ("lls", {"max_iter": 5})):
+for _name, _rounds in (("minprob", {}), ("qrilc", {}), ("iterative_svd", {}), ("softimpute", {}), ("bpca", {}), ("lls", {})):
     query(f"impute_{_name}")(lambda s, d, fn=impute.IMPUTERS[_name], o=_rounds: fn(sparse_proteins(s, d), **o))
 
 
@@ -445,4 +445,4 @@ query("plot_missing_pattern", "sample_id feature_id missing", "select sample_id,
 query("plot_data_overview", "grp n_samples n_values mean:d median:d detection_rate:d", "select grp, count(distinct sample_id) as n_samples, count(value) as n_values, avg(value) as mean, median(value) as median, avg((mask = 0)::int) as detection_rate from cells join obs using (sample_id) group by 1", "cells obs")(lambda s, d: plots.data_overview(m.cells(s, d), m.obs(s, d)).withColumnRenamed("group", "grp"))
 _DISPERSION = "select '{0}' as layer, avg(b / sd) as score from (select feature_id, stddev_pop(m) as b from (select feature_id, batch, avg(value) as m from {0} join obs using (sample_id) group by 1, 2) group by 1) join (select feature_id, stddev_pop(value) as sd from {0} join obs using (sample_id) group by 1) using (feature_id) where sd > 1e-9"
 query("plot_integration_summary", "layer score:d", f"{_DISPERSION.format('cells')} union all {_DISPERSION.format('logged')}", "cells logged obs")(lambda s, d: plots.integration_summary({"cells": m.cells(s, d), "logged": SOURCES["logged"](s, d)}, m.obs(s, d)))
-query("plot_saturation", "grp place", 'select grp, min(place) as place from (select *, max(n_union) over (partition by grp) as top from (select o.grp, cast(o.place as integer) as place, sum(coalesce(new, 0)) over (partition by o.grp order by o.place) as n_union from o left join n on o.grp = n.grp and o.place = n.place)) where n_union >= 0.95 * top group by 1', "cells obs", _RUN)(lambda s, d: plots.saturation(qc.cumulative_sensitivity(m.cells(s, d), m.obs(s, d))).withColumnRenamed("group", "grp"))
+query("plot_saturation", "grp place", 'select grp, min(place) as place from (select o.grp, cast(o.place as integer) as place, sum(coalesce(new, 0)) over (partition by o.grp order by o.place) as n_union from o left join n on o.grp = n.grp and o.place = n.place) where n_union >= 0.95 * (select count(distinct feature_id) from cells) group by 1', "cells obs", _RUN)(lambda s, d: plots.saturation(qc.cumulative_sensitivity(m.cells(s, d), m.obs(s, d)), m.cells(s, d).select("feature_id").distinct().count()).withColumnRenamed("group", "grp"))
