@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..errors import MissingDependencyError, ValidationError
 from ..model import CELL, Dataset
 from ..storage import materialize
+from .harmony import integrate_harmony
 from .matrix import beside, row_arrays
 from .neighbors import nearest
 from .reduce import pca
@@ -380,7 +381,7 @@ INTEGRATORS = {
     "combat": Method(integrate_combat, "matrix", True),
     "limma": Method(integrate_limma, "matrix", True),
     "mnn": Method(integrate_mnn, "matrix", False),
-    "harmony": Method(_external("harmony"), "embedding", False),
+    "harmony": Method(integrate_harmony, "embedding", False),
     "scanorama": Method(_external("scanorama"), "matrix", False),
 }
 
