@@ -239,7 +239,7 @@ def refined(edges: DataFrame, labels: DataFrame, resolution: float, rounds: int)
     """(node, label): communities found anew inside the given ones, from single nodes, each of them connected."""
     degrees = edges.groupBy(F.col("a").alias("node")).agg(F.sum("w").alias("k"))
     within = materialize(inside(edges, labels))
-    return split(within, moved_labels(within, resolution, rounds, degrees=degrees))
+    return split(within, moved_labels(within, resolution, max(2, rounds // 2), degrees=degrees))
 
 
 def leiden(edges: DataFrame, *, resolution: float = 1.0, rounds: int = 8, levels: int = 10, report: list | None = None) -> DataFrame:

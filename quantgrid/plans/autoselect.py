@@ -218,7 +218,7 @@ class AutoSelector:
         if repeats < 1 or not 0 < confidence < 1:
             raise ValidationError("repeats must be 1 or more, confidence in (0, 1)")
         self.strategy, self.group, self.batch, self.repeats, self.confidence = strategy, group, batch, repeats, confidence
-        first = {"normalize": ["none", "median", "mean", "quantile", "trqn"], "impute": ["row_mean", "row_median", "half_row_min"], "integrate": ["none", "combat", "limma", *(["mnn"] if include_embedding else [])], "reduce": ["pca"], "cluster": ["3", "5", "8"]}
+        first = {"normalize": ["none", "median", "mean", "quantile", "trqn"], "impute": ["row_mean", "row_median", "half_row_min"], "integrate": ["none", "combat", "limma", *(["mnn", "harmony"] if include_embedding else [])], "reduce": ["pca"], "cluster": ["3", "5", "8"]}
         self.methods = first | (methods or {})
 
     def candidates(self, stage: str, cells: DataFrame, obs: DataFrame, logged: bool) -> dict[str, tuple[Callable[[], DataFrame], Callable[[DataFrame, int], dict[str, float]]]]:

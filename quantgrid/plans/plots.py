@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.stats import correlation_pairs, paired
 from ..model import Record
 from ..operators.masks import is_detected
+from ..operators.linkage import leaf_order, linkage
 
 
 def completeness(cells: DataFrame, obs: DataFrame, group: str = "group") -> DataFrame:
@@ -196,3 +197,13 @@ def reduction_summary(variance: DataFrame, labels: DataFrame) -> tuple[DataFrame
 def saturation(runs: DataFrame, n_features: int, share: float = 0.95) -> DataFrame:
     """(group, place): the first place of a cumulative sensitivity at which that share of all features is reached, if it is."""
     return runs.where(F.col("n_union") >= share * n_features).groupBy("group").agg(F.min("place").alias("place"))
+
+
+def clustered_heatmap(cells: DataFrame, obs: DataFrame, group: str = "group", method: str = "average") -> tuple[DataFrame, DataFrame]:
+    """(group, sample_id, place, feature_id, value) with samples in the order of a dendrogram's leaves, and its merges.
+
+    Samples without a feature in common with any other one, which no distance places, come last.
+    """
+    merges = linkage(dendrogram(cells), method)
+    order = leaf_order(merges).select(F.col("name").alias("sample_id"), "place")
+    return heatmap(cells, obs, group).join(order, "sample_id", "left").select("group", "sample_id", F.coalesce("place", F.lit(2**31 - 1)).alias("place"), "feature_id", "value"), merges

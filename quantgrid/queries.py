@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .model import complete
 from .functions import benchmarks, metrics, stats
-from .operators import aggregate, impute, integrate, masks, normalize, qc, reduce
+from .operators import aggregate, impute, integrate, linkage, masks, normalize, qc, reduce
 from .operators.matrix import by_sample, row_arrays
 from .operators.neighbors import nearest
 from .functions import custom
@@ -335,9 +335,30 @@ query("integrate_combat_covariates")(lambda s, d: integrate.integrate_combat(nor
 query("integrate_combat_nonparametric")(lambda s, d: integrate.integrate_combat(normalize.log_transform(proteins(s, d)), m.obs(s, d), eb_mode="nonparametric"))
 query("integrate_mnn")(lambda s, d: integrate.integrate_mnn(normalize.log_transform(proteins(s, d)), m.obs(s, d), k=5))
 query("pca_variance")(lambda s, d: reduce.pca(normalize.log_transform(proteins(s, d)), 5)["variance"])
+query("pca_randomized")(lambda s, d: reduce.pca(normalize.log_transform(proteins(s, d)), 5, svd_solver="randomized")["variance"])
 query("kmeans")(lambda s, d: reduce.kmeans(vector_rows(s, d).select("sample_id", "vec"), 5))
 query("graph_communities")(lambda s, d: reduce.graph_communities(vector_rows(s, d).select("sample_id", "names", "vec")))
 
+# hierarchical clustering: heights of single linkage are the lengths of the spanning tree, here in SQL by adding the nearest sample
+query("linkage_single", "place height:d")(lambda s, d: linkage.linkage(plots.dendrogram(m.cells(s, d)), "single").select(F.col("step").alias("place"), "height"))
+ORACLES["linkage_single"] = f"""with recursive {m.CELLS_SQL}, {_PAIRS}, pair as (select a, b, sqrt(avg((x - y) * (x - y))) as distance from pairs group by 1, 2),
+both_ways as (select * from pair union all select b, a, distance from pair),
+grown as (
+  select 1 as n, [(select min(sample_id) from cells)] as seen, cast(null as double) as height
+  union all
+  select n + 1, list_append(seen, arg_min(b, distance)), min(distance) from grown join both_ways on list_contains(seen, a) and not list_contains(seen, b) group by n, seen
+)
+select cast(row_number() over (order by height) as integer) as place, round(height + {ASIDE}, 6) + 0.0 as height from grown where height is not null"""
+query("linkage_average", "step a b height:d n")(lambda s, d: linkage.linkage(plots.dendrogram(m.cells(s, d)), "average"))
+query("linkage_ward", "step a b height:d n")(lambda s, d: linkage.linkage(plots.dendrogram(m.cells(s, d)), "ward"))
+query("integrate_harmony", CELL_COLUMNS)(lambda s, d: integrate.INTEGRATORS["harmony"].apply(normalize.log_transform(proteins(s, d)), m.obs(s, d), batch="batch"))
+query(
+    "bench_holdout_states",
+    "mask n_observed n_held",
+    "select mask, n as n_observed, cast(g * n // t + (row_number() over (order by g * n % t desc, mask) <= g - sum(g * n // t) over ())::int as bigint) as n_held from (select mask, n, sum(n) over () as t, least(greatest(128, cast(floor(0.05 * sum(n) over ()) as bigint)), 50000, sum(n) over ()) as g from (select mask, count(value) as n from cells where value is not null group by 1))",
+    "cells",
+)(lambda s, d: benchmarks.state_profile(benchmarks.holdout(m.cells(s, d), 0.05, least=128, most=50_000)))
+
 # tables behind plots
 query("plot_completeness", "sample_id grp n_valid", "select sample_id, grp, count(mask) filter (mask = 0) as n_valid from obs left join cells using (sample_id) group by 1, 2", "cells obs")(lambda s, d: plots.completeness(m.cells(s, d), m.obs(s, d)).withColumnRenamed("group", "grp"))
 simple("plot_missing_features", lambda g: plots.missing_rates(g, "feature_id", 50), "feature_id missing_rate:d", "select feature_id, avg(case when value is null then 1.0 else 0.0 end) as missing_rate from grid group by 1 order by 2 desc, 1 limit 50", "cells grid", source="grid")
