@@ -7,32 +7,52 @@ their input, whatever these are, with n_chars set to the length of the text as i
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantgrid.llm import jaccard_join, line_dedup, mixing, packing, toxicity
 from quantgrid.llm.common import materialize
 
+KNOWN = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def any_columns(stage):
+    """The stage on columns of plain names, whatever the others are called; these come back afterwards, in their places."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        plain = [c if c in KNOWN else f"column_{i}" for i, c in enumerate(docs.columns)]
+        return stage(spark, docs.toDF(*plain), sf_dir).toDF(*docs.columns)
+
+    return run
+
+
 REJECT = 0.3  # toxicity score from which a document goes
 
 
+@any_columns
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learn from the labels of the rows at hand; rows of a score of REJECT or more go. Null texts hold nothing toxic."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.score_texts(docs, model, out="__score").where(F.col("__score") < REJECT).drop("__score")
 
 
+@any_columns
 def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of 40 characters or more in 5 documents or more stay in one of them; no document goes."""
     kept = line_dedup.dedup_lines(docs, min_chars=40, min_docs=5, names=("__lines", "__dropped")).withColumn("n_chars", F.length("text").cast("long"))
     return kept.select(docs.columns)
 
 
+@any_columns
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that links of Jaccard 0.8 or more join, the one of the least doc_id stays."""
     return jaccard_join.keep_one(docs, jaccard_join.jaccard_join(docs, threshold=0.8))
 
 
+@any_columns
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it; the one in which a source's target falls is taken whole."""
     names = ("__words", "__source_words", "__target_words", "__taken")

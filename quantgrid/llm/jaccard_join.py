@@ -383,7 +383,10 @@ def jaccard_join(docs: DataFrame, *, threshold: float = 0.8, recall: float = 0.9
     members = materialize(families.select(F.col("a").alias("node"), F.col("root").alias("family")).unionByName(roots))
     sizes = members.groupBy("family").agg(F.count(F.lit(1)).alias("size"))
     members = materialize(members.join(sizes, "family").join(classes.select("node", "shingle_set", "copies"), "node"))
-    texts = slim.join(_few(members), slim["doc_id"] == F.col("node")).drop("doc_id")
+    # A row that repeats an id and a text is read once, or a family would hold it as often.
+    again = materialize(rows.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    single = slim if again.isEmpty() else slim.join(again, "doc_id", "left_anti").unionByName(slim.join(again, "doc_id", "left_semi").dropDuplicates())
+    texts = single.join(_few(members), single["doc_id"] == F.col("node")).drop("doc_id")
     cells = groups_of(members.count(), CELL_ROWS // 8)
     links = dealt(texts, "family", "size", "node", cells).groupBy("cell").applyInArrow(verify_cell(threshold), "shingle_set binary, node long, root long, links long, linked_docs long")
     links = materialize(links)

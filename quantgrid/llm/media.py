@@ -170,7 +170,7 @@ def decode(data: bytes, boxes: dict[bytes, tuple[int, int]]) -> Track:
     keys = rows(b"stss", 1)[:, 0] - 1 if b"stss" in boxes else np.arange(count)
     if len(keys) and (keys.min() < 0 or keys.max() >= count):
         raise ValueError("a key frame beyond the samples")
-    if count and (offsets + sizes).max() > len(data):
+    if count and (offsets.min() < 0 or (offsets + sizes).max() > len(data)):
         raise ValueError("a sample lies beyond the end")
     return Track(codec, timescale, duration, offsets, sizes, keys)
 

@@ -100,9 +100,12 @@ def pack_documents(docs: DataFrame, *, capacity: int = 2048, per_source: int = 2
     """
     kind = F.coalesce(F.col(cluster).cast("long"), F.xxhash64(doc_id)) if cluster else F.xxhash64(F.coalesce(text, F.lit("")))
     size = word_count(F.col(text)) + 1
-    slim = materialize(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).alias("source"), size.alias("size"), kind.alias("cluster"), F.monotonically_increasing_id().alias("row")))
+    slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).alias("source"), size.alias("size"), kind.alias("cluster"), F.xxhash64(text).alias("own"))
+    # Equal rows are counted and numbered, so that groups depend on the rows alone, not on how they are dealt out.
+    slim = slim.groupBy("doc_id", "source", "size", "cluster", "own").agg(F.count(F.lit(1)).cast("int").alias("count"))
+    slim = materialize(slim.select("doc_id", "source", "size", "cluster", "own", F.explode(F.sequence(F.lit(1), F.col("count"))).alias("again")))
     groups = groups_of(slim.count(), GROUP_DOCS)
-    slim = slim.select("doc_id", "source", "size", "cluster", F.pmod(F.xxhash64("row"), F.lit(groups)).cast("long").alias("group"))
+    slim = slim.select("doc_id", "source", "size", "cluster", F.pmod(F.xxhash64("doc_id", "source", "own", "again"), F.lit(groups)).cast("long").alias("group"))
     return slim.groupBy("group").applyInArrow(pack_group(capacity, per_source), PACKED)
 
 

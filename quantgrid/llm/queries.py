@@ -30,17 +30,19 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP2_SQL = """
-with l as (
-  select doc_id, n, line, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key
-  from (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) as n from documents)
+with d as (
+  select row_number() over () as r, doc_id, coalesce(text, '') as text from documents
+), l as (
+  select r, doc_id, n, line, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key
+  from (select r, doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as n from d)
 ), k as (
-  select key, max(doc_id) as keeper from l where length(key) >= 40 group by key having count(distinct doc_id) >= 5
+  select key, max(doc_id) as keeper from l where length(key) >= 40 group by key having count(distinct r) >= 5
 ), m as (
-  select l.doc_id, l.n, l.line, k.keeper is not null and k.keeper <> l.doc_id as dropped from l left join k using (key)
+  select l.r, l.doc_id, l.n, l.line, k.keeper is not null and k.keeper <> l.doc_id as dropped from l left join k using (key)
 )
 select doc_id, count(*) as n_lines, cast(count(*) filter (dropped) as bigint) as n_dropped,
   sha256(coalesce(string_agg(line, chr(10) order by n) filter (not dropped), '')) as kept_sha256
-from m group by doc_id
+from m group by r, doc_id
 """
 
 

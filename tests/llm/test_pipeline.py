@@ -5,7 +5,7 @@ from collections import Counter
 
 import corpus_pipeline
 import pytest
-from quantgrid.llm import jaccard_join
+from quantgrid.llm import jaccard_join, packing
 
 from .test_on_spark import SF, brute_jaccard, brute_lines, brute_targets, words
 
@@ -49,8 +49,8 @@ def test_stages(spark, tmp_path):
 
 def test_columns_stay(spark):
     """Columns called as those that the operators add stay as they are."""
-    names = "score n_lines n_dropped size source_size target taken group_id __id2".split()
-    docs = spark.createDataFrame([(i, f"one two three four five six {i} seven\nline {i}", "en", "ab"[i % 2], 9, *([i] * len(names))) for i in range(12)], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} int" for n in names))
+    names = "score n_lines n_dropped size source_size target taken group_id __id2 __lost __score __size a.b `c text.x".split()
+    docs = spark.createDataFrame([(i, f"one two three four five six {i} seven\nline {i}", "en", "ab"[i % 2], 9, *([i] * len(names))) for i in range(12)], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n.replace('`', '``')}` int" for n in names))
     for name, stage in corpus_pipeline.STAGES[:-1]:
         got = stage(spark, docs, SF)
         assert got.columns == docs.columns, name
@@ -66,3 +66,19 @@ def test_prefix():
     with pytest.raises(ValueError):
         jaccard_join.prefix_depth(0.2, 0.9999)
     assert jaccard_join.prefix_depth(0.2, 0.9999, trees=48) == 1
+
+
+def test_bins_whatever_the_partitions(spark):
+    """Bins depend on the rows alone: other partitions, the same placements, repeated rows among them."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "source", "text")
+    docs = docs.unionByName(docs.where("doc_id < 20")).unionByName(docs.where("doc_id < 20"))
+    one, two = ({tuple(r): 0 for r in packing.pack_documents(d).collect()} for d in (docs.repartition(3), docs.repartition(11, "text")))
+    assert one == two
+
+
+def test_rows_that_repeat(spark):
+    """A row repeated 3000 times and a near copy of it: linked, and verified from one text."""
+    words = " ".join(f"w{i}" for i in range(60))
+    docs = spark.range(3000).selectExpr("cast(1 as long) as doc_id", f"'{words}' as text").unionByName(spark.createDataFrame([(2, words + " more")], "doc_id long, text string"))
+    got = {(r["doc_id"], r["group_id"], r["n_links"]): 0 for r in jaccard_join.jaccard_join(docs).collect()}
+    assert set(got) == {(1, 1, 1), (2, 1, 1)}
