@@ -205,10 +205,11 @@ PACKED = "block int, words binary, word binary, other binary, n binary"
 def pack_block(rows: pa.Table) -> pa.Table:
     """One row of a block's bigrams: its words, and the word (its place in the block; of right neighbours, negative less 1), neighbour and count of each."""
     press = zstandard.ZstdCompressor(level=1)
-    words, word = np.unique(rows["word"].to_numpy(), return_inverse=True)
-    word = np.where(rows["right"].to_numpy(), -word - 1, word)
+    pair = rows["pair"].to_numpy()
+    words, word = np.unique(pair >> 32, return_inverse=True)
+    word, other = np.where(pair & 1, -word - 1, word), (pair & 0xFFFFFFFF) >> 1
     order = np.argsort(word, kind="stable")
-    columns = [x[order].astype("<i4").tobytes() for x in (word, rows["other"].to_numpy())] + [rows["n"].to_numpy()[order].astype("<i8").tobytes()]
+    columns = [x[order].astype("<i4").tobytes() for x in (word, other)] + [rows["n"].to_numpy()[order].astype("<i8").tobytes()]
     return pa.table({"block": pa.array([rows["block"][0].as_py()], pa.int32()), "words": [words.astype("<i4").tobytes()], **{k: [press.compress(x)] for k, x in zip(("word", "other", "n"), columns)}})
 
 
@@ -275,11 +276,12 @@ def exchange(pairs: DataFrame, words: int, classes: int, rounds: int) -> tuple[n
     moves and one table of classes. Half of the words may move in a round, fewer after one that lost.
     """
     spark, size = pairs.sparkSession, classes + 1
-    near = pairs.select(F.col("left").alias("word"), F.col("right").alias("other"), F.lit(True).alias("right"), "n").unionByName(
-        pairs.select(F.col("right").alias("word"), F.col("left").alias("other"), F.lit(False).alias("right"), "n")
-    )
+    # A pair travels as one number: the word whose block it goes to, the neighbour, and 1 where that is to the right.
+    pair = lambda word, other, right: (F.shiftleft(F.col(word).cast("long"), 32).bitwiseOR(F.shiftleft(F.col(other).cast("long"), 1)).bitwiseOR(F.lit(right).cast("long"))).alias("pair")
+    near = pairs.select(pair("left", "right", 1), "n").unionByName(pairs.select(pair("right", "left", 0), "n"))
     blocks = groups_of(2 * pairs.count(), PACKED_ROWS)
-    near = near.where(F.col("word") < words).withColumn("block", F.pmod(F.xxhash64("word"), F.lit(blocks)).cast("int"))
+    word = F.shiftright("pair", 32).cast("int")
+    near = near.where(word < words).withColumn("block", F.pmod(F.xxhash64(word), F.lit(blocks)).cast("int"))
     packed = materialize(near.groupBy("block").applyInArrow(pack_block, PACKED))
     of = np.append(np.arange(words) % classes, classes)
     table = class_pairs(packed, of, size)
