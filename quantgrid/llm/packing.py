@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import groups_of, materialize
@@ -60,6 +60,7 @@ def best_fit(sizes: list[int], sources: list[int], clusters: list[int], capacity
 
 def pack_group(capacity: int, per_source: int) -> Callable:
     def pack(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([(c, "ascending") for c in ("doc_id", "size", "cluster", "source")])  # whatever order they came in
         group, docs = rows["group"][0].as_py(), rows["doc_id"].to_pylist()
         size, names = rows["size"].to_numpy(), rows["source"].to_pylist()
         cluster = rows["cluster"].to_numpy()
@@ -90,17 +91,27 @@ def pack_group(capacity: int, per_source: int) -> Callable:
     return pack
 
 
-def pack_documents(docs: DataFrame, *, capacity: int = 2048, per_source: int = 2, doc_id: str = "doc_id", text: str = "text", source: str = "source", cluster: str | None = None) -> DataFrame:
+def length_of(text: str) -> Column:
+    """Words and one end mark."""
+    return word_count(F.col(text)) + 1
+
+
+def hash_of(text: str) -> Column:
+    return F.xxhash64(text)
+
+
+def pack_documents(docs: DataFrame, *, capacity: int = 2048, per_source: int = 2, doc_id: str = "doc_id", text: str = "text", source: str = "source", cluster: str | None = None, size: Column | None = None, own: Column | None = None) -> DataFrame:
     """(doc_id, source, piece, n_pieces, bin, start, length): where each piece of each row lies.
 
     A row's length is its words and one end mark, so that null and empty texts have length 1. A longer row than a bin is cut into
     pieces: full ones get bins of their own, the rest is packed like a short row. Rests are taken by falling length. A bin holds
     per_source rests of a source at most (null is a source) and one of a duplicate cluster: the column `cluster`, a long, or else
-    equal texts. Equal rows are packed each, and dealt to groups like any others. Other columns don't matter.
+    equal texts. Equal rows are packed each, and dealt to groups like any others. Other columns don't matter. size and own take the
+    place of `length_of` and `hash_of` the text, for docs that have these as columns and no text.
     """
     kind = F.coalesce(F.col(cluster).cast("long"), F.xxhash64(doc_id)) if cluster else F.xxhash64(F.coalesce(text, F.lit("")))
-    size = word_count(F.col(text)) + 1
-    slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).alias("source"), size.alias("size"), kind.alias("cluster"), F.xxhash64(text).alias("own"))
+    size, own = length_of(text) if size is None else size, hash_of(text) if own is None else own
+    slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).alias("source"), size.alias("size"), kind.alias("cluster"), own.alias("own"))
     # Equal rows are counted and numbered, so that groups depend on the rows alone, not on how they are dealt out.
     slim = slim.groupBy("doc_id", "source", "size", "cluster", "own").agg(F.count(F.lit(1)).cast("int").alias("count"))
     slim = materialize(slim.select("doc_id", "source", "size", "cluster", "own", F.explode(F.sequence(F.lit(1), F.col("count"))).alias("again")))
@@ -109,10 +120,11 @@ def pack_documents(docs: DataFrame, *, capacity: int = 2048, per_source: int = 2
     return slim.groupBy("group").applyInArrow(pack_group(capacity, per_source), PACKED)
 
 
-def near_clusters(docs: DataFrame, *, threshold: float = 0.8, text: str = "text", cluster: str = "cluster") -> DataFrame:
+def near_clusters(docs: DataFrame, *, threshold: float = 0.8, text: str = "text", cluster: str = "cluster", keep: dict[str, Column] | None = None) -> DataFrame:
     """Add `cluster`: rows that links of Jaccard `threshold` or more join share it, whatever their ids; so do rows without words.
 
-    It is the least hash of the texts of the group, so that it doesn't depend on how rows are dealt out.
+    It is the least hash of the texts of the group, so that it doesn't depend on how rows are dealt out. `keep`, if given, is
+    what stays of docs: columns that are computed before the last join, so that texts don't take part in it.
     """
     own = F.xxhash64(F.when(word_count(F.col(text)) > 0, F.col(text)).otherwise(F.lit("")))
     rows = materialize(docs.withColumns({"__row": F.monotonically_increasing_id(), "__own": own}))
@@ -121,4 +133,6 @@ def near_clusters(docs: DataFrame, *, threshold: float = 0.8, text: str = "text"
     mates = mates.join(rows.select("__row", "__own"), "__row")
     least = mates.groupBy("group_id").agg(F.min("__own").alias("__least"))
     shared = mates.join(least, "group_id").select("__row", "__least")
+    if keep is not None:
+        rows = rows.select("__row", "__own", *(c.alias(n) for n, c in keep.items()))
     return rows.join(shared, "__row", "left").withColumn(cluster, F.coalesce("__least", "__own")).drop("__row", "__own", "__least")

@@ -142,7 +142,9 @@ select query_id, rank, vec_id, score from r where rank <= 5
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where each piece of each document lies; a bin holds one document of a group of near copies."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return packing.pack_documents(packing.near_clusters(docs, threshold=0.8), capacity=2048, per_source=2, cluster="cluster")
+    slim = {"doc_id": F.col("doc_id"), "source": F.col("source"), "size": packing.length_of("text"), "own": packing.hash_of("text")}
+    marked = packing.near_clusters(docs, threshold=0.8, keep=slim)
+    return packing.pack_documents(marked, capacity=2048, per_source=2, cluster="cluster", size=F.col("size"), own=F.col("own"))
 
 
 def op10_token_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
