@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import groups_of, materialize
+from .common import WORD, groups_of, materialize
 from .jaccard_join import jaccard_join
 from .mixing import word_count
 
@@ -124,15 +124,17 @@ def near_clusters(docs: DataFrame, *, threshold: float = 0.8, text: str = "text"
     """Add `cluster`: rows that links of Jaccard `threshold` or more join share it, whatever their ids; so do rows without words.
 
     It is the least hash of the texts of the group, so that it doesn't depend on how rows are dealt out. `keep`, if given, is
-    what stays of docs: columns that are computed before the last join, so that texts don't take part in it.
+    what stays of docs: columns that are computed where the texts are first read, and stored with them.
     """
-    own = F.xxhash64(F.when(word_count(F.col(text)) > 0, F.col(text)).otherwise(F.lit("")))
-    rows = materialize(docs.withColumns({"__row": F.monotonically_increasing_id(), "__own": own}))
-    joined = materialize(jaccard_join(rows, threshold=threshold, doc_id="__row", text=text).where("n_copies > 1 or n_links > 0"))
-    mates = joined.select(F.col("doc_id").alias("__row"), "group_id")
+    some = F.col(text).rlike(WORD)
+    kept = {f"__keep_{i}": c for i, c in enumerate((keep or {}).values())}
+    marks = {"__row": F.monotonically_increasing_id(), "__own": F.xxhash64(F.when(some, F.col(text)).otherwise(F.lit("")))}
+    rows = materialize(docs.withColumns(marks | kept))
+    joined = jaccard_join(rows.select("__row", text), threshold=threshold, doc_id="__row", text=text)
+    mates = materialize(joined.where("n_copies > 1 or n_links > 0")).select(F.col("doc_id").alias("__row"), "group_id")
     mates = mates.join(rows.select("__row", "__own"), "__row")
     least = mates.groupBy("group_id").agg(F.min("__own").alias("__least"))
     shared = mates.join(least, "group_id").select("__row", "__least")
     if keep is not None:
-        rows = rows.select("__row", "__own", *(c.alias(n) for n, c in keep.items()))
+        rows = rows.select("__row", "__own", *(F.col(c).alias(n) for c, n in zip(kept, keep)))
     return rows.join(shared, "__row", "left").withColumn(cluster, F.coalesce("__least", "__own")).drop("__row", "__own", "__least")
