@@ -17,13 +17,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import ValidationError
-from ..functions import benchmarks, metrics
+from ..functions import benchmarks, metrics, preservation
 from ..functions.quantiles import quantiles
 from ..model import Dataset
 from ..operators import impute, integrate, normalize
 from ..operators.matrix import row_arrays
 from ..operators.reduce import kmeans, pca
-from ..storage import materialize
+from ..storage import materialize, once
 
 #: Weight of quality and of run time.
 STRATEGIES = {"quality": (1.0, 0.0), "balanced": (0.85, 0.15), "speed": (0.65, 0.35)}
@@ -79,12 +79,52 @@ def _one(df: DataFrame) -> float:
     return 0.0 if value is None or math.isnan(value) else float(value)
 
 
-def normalization_scores(before: DataFrame, after: DataFrame, obs: DataFrame, group: str) -> dict[str, float]:
-    """Tightness within groups, evenness of sample medians, and signal kept."""
-    groups = obs.select("sample_id", F.col(group).alias("group"))
-    spread = benchmarks.distribution_metrics(after).first()
-    w, w0 = benchmarks.group_metrics(after, groups).first(), benchmarks.group_metrics(before, groups).first()
-    return {"intragroup": math.exp(-(w["within_sd"] or 0.0)), "loading_bias": math.exp(-(spread["median_mad"] or 0.0)), "signal": min(1.0, (w["eta2"] or 0.0) / max(w0["eta2"] or 0.0, 1e-9))}
+def labels_of(obs: DataFrame, column: str | None) -> DataFrame | None:
+    """(sample_id, label) of a column, or None where it isn't there or hasn't two values."""
+    if column is None or column not in obs.columns:
+        return None
+    labels = obs.select("sample_id", F.col(column).cast("string").alias("label")).where("label is not null")
+    return labels if labels.select("label").distinct().limit(2).count() == 2 else None
+
+
+def _mean(*values: float) -> float:
+    return float(np.clip(np.mean(values), 0, 1))
+
+
+def normalization_scores(before: DataFrame, after: DataFrame, obs: DataFrame, group: str | None = "group", batch: str | None = "batch") -> dict[str, float]:
+    """Four scores that select, batches removed, biology kept, technical quality and the balance of the first two, and the nine they are of.
+
+    Without batches their removal is 0; without groups the evenness of CVs and the likeness of samples stand for what needs them, and
+    k-means for their clusters.
+    """
+    groups, batches = labels_of(obs, group), labels_of(obs, batch)
+    before, after = once(before), once(after)
+    points = materialize(preservation.filled_points(after))
+    names = F.transform(F.sequence(F.lit(1), F.size("vec")), lambda i: i.cast("string"))
+    signal = preservation.signal_preservation(before, after)
+    s = {"signal_preservation": signal, "loading_bias_reduction": _one(preservation.loading_bias_reduction(before, after))}
+    if batches is None:
+        s |= {"technical_variance": 0.0, "batch_asw": 0.0, "batch_mixing": 0.0}
+    else:
+        rows = points.select("sample_id", names.alias("names"), "vec")
+        s["technical_variance"] = _one(preservation.technical_variance(before, after, batches))
+        s["batch_asw"] = 1 - preservation.label_width(points.join(batches, "sample_id"))
+        s["batch_mixing"] = _one(preservation.label_variety(rows, batches, 30))
+    if groups is None:
+        n = points.count()
+        k = min(max(2, int(math.sqrt(n / 2))), n - 1)
+        found = points.join(kmeans(points, k), "sample_id") if k >= 2 else None
+        quality = 0.0 if found is None else (preservation.label_width(found) + _one(metrics.calinski_harabasz(found))) / 2
+        s |= {"intragroup_variation": _one(preservation.even_variation(after)), "intergroup_preservation": signal, "bio_asw": 0.0, "clustering_quality": quality}
+    else:
+        own = points.join(groups, "sample_id")
+        s["intragroup_variation"] = _one(preservation.intragroup_variation(after, groups))
+        s["intergroup_preservation"] = _one(preservation.intergroup_preservation(before, after, groups))
+        s |= {"bio_asw": preservation.label_width(own), "clustering_quality": preservation.separation(own)}
+    removed = 0.0 if batches is None else _mean(s["technical_variance"], s["batch_asw"], s["batch_mixing"])
+    kept = _mean(s["intergroup_preservation"], s["bio_asw"], s["clustering_quality"])
+    quality = _mean(s["intragroup_variation"], s["signal_preservation"], s["loading_bias_reduction"])
+    return {"batch_removal": removed, "bio_conservation": kept, "technical_quality": quality, "balance_score": float(np.clip(1 - abs(removed - kept), 0, 1))} | s
 
 
 def imputation_scores(cells: DataFrame, method: Callable[[DataFrame], DataFrame], share: float = 0.05, seed: int = 42) -> dict[str, float]:
@@ -97,12 +137,15 @@ def imputation_scores(cells: DataFrame, method: Callable[[DataFrame], DataFrame]
     return {"rmse": math.exp(-(r["nrmse"] if r["nrmse"] is not None else 10.0)), "pearson": ((r["pearson"] or 0.0) + 1) / 2, "completeness": r["coverage"] or 0.0}
 
 
-def integration_scores(before: DataFrame, after: DataFrame, obs: DataFrame, batch: str) -> dict[str, float]:
+def integration_scores(before: DataFrame, after: DataFrame, obs: DataFrame, batch: str, bio: str | None = None) -> dict[str, float]:
+    """Batch silhouette and mixing, agreement of the features' variances, and the silhouette of groups if `bio` names their column."""
     rows, labels = row_arrays(after), obs.select("sample_id", F.col(batch).alias("label"))
-    points = rows.select("sample_id", "vec").join(labels, "sample_id")
-    var = lambda c: c.groupBy("feature_id").agg(F.var_samp("value").alias("v")).agg(F.sum("v"))
-    kept = min(1.0, _one(var(after)) / max(_one(var(before)), 1e-12))
-    return {"batch_asw": _one(metrics.asw(points, batch=True)), "batch_mixing": _one(metrics.batch_mixing(rows, labels, 10)), "variance_preserved": kept}
+    points = rows.select("sample_id", "vec")
+    scores = {"batch_asw": _one(metrics.asw(points.join(labels, "sample_id"), batch=True)), "batch_mixing": _one(metrics.batch_mixing(rows, labels, 30)), "variance_preserved": _one(preservation.variance_agreement(before, after))}
+    if bio is not None:
+        groups = labels_of(obs, bio)
+        scores["bio_asw"] = 0.0 if groups is None else _one(metrics.asw(points.join(groups, "sample_id"), batch=False))
+    return scores
 
 
 def integration_report(cells: DataFrame, obs: DataFrame, batch: str = "batch", k: int = 30) -> dict[str, float]:
@@ -147,7 +190,7 @@ def cluster_scores(points: DataFrame, cluster: Callable[[DataFrame], DataFrame])
 
 
 WEIGHTS = {
-    "normalize": {"intragroup": 0.4, "loading_bias": 0.3, "signal": 0.3},
+    "normalize": {"batch_removal": 0.3, "bio_conservation": 0.3, "technical_quality": 0.2, "balance_score": 0.2},
     "impute": {"rmse": 0.4, "pearson": 0.3, "completeness": 0.3},
     "integrate": {"batch_asw": 0.25, "batch_mixing": 0.25, "variance_preserved": 0.5},
     "reduce": {"variance_explained": 0.3, "reconstruction_error": 0.25, "local_structure": 0.25, "clustering_potential": 0.2},
@@ -155,6 +198,10 @@ WEIGHTS = {
 }
 
 
+#: Weights where the column of biological groups is named.
+BIO_WEIGHTS = {"batch_asw": 0.25, "batch_mixing": 0.25, "variance_preserved": 0.25, "bio_asw": 0.25}
+
+
 def weighted(scores: dict[str, float], weights: dict[str, float]) -> float:
     return sum(weights[k] * scores[k] for k in weights) / sum(weights.values())
 
@@ -212,12 +259,12 @@ class AutoSelector:
     for log scales are compared only on layers that are logged by their name or history.
     """
 
-    def __init__(self, *, strategy: str = "balanced", group: str = "group", batch: str = "batch", methods: dict[str, list[str]] | None = None, repeats: int = 1, confidence: float = 0.95, include_embedding: bool = False):
+    def __init__(self, *, strategy: str = "balanced", group: str = "group", batch: str = "batch", bio: str | None = None, methods: dict[str, list[str]] | None = None, repeats: int = 1, confidence: float = 0.95, include_embedding: bool = False):
         if strategy not in STRATEGIES:
             raise ValidationError(f"strategy is one of {sorted(STRATEGIES)}, not {strategy!r}")
         if repeats < 1 or not 0 < confidence < 1:
             raise ValidationError("repeats must be 1 or more, confidence in (0, 1)")
-        self.strategy, self.group, self.batch, self.repeats, self.confidence = strategy, group, batch, repeats, confidence
+        self.strategy, self.group, self.batch, self.bio, self.repeats, self.confidence = strategy, group, batch, bio, repeats, confidence
         first = {"normalize": ["none", "median", "mean", "quantile", "trqn"], "impute": ["row_mean", "row_median", "half_row_min"], "integrate": ["none", "combat", "limma", *(["mnn", "harmony"] if include_embedding else [])], "reduce": ["pca"], "cluster": ["3", "5", "8"]}
         self.methods = first | (methods or {})
 
@@ -226,7 +273,7 @@ class AutoSelector:
         own = EVALUATORS.get(stage)
         if stage == "normalize":
             methods = {m: f for m, f in (normalize.NORMALIZERS | {"trqn": adaptive_trqn}).items() if logged or m not in LOG_ONLY}
-            score = lambda m: lambda out, seed: normalization_scores(cells, out, obs, self.group)
+            score = lambda m: lambda out, seed: normalization_scores(cells, out, obs, self.group, self.batch)
             make = lambda m: lambda: methods[m](cells)
         elif stage == "impute":
             methods = impute.IMPUTERS
@@ -234,7 +281,7 @@ class AutoSelector:
             make = lambda m: lambda: methods[m](cells)
         elif stage == "integrate":
             methods = integrate.INTEGRATORS
-            score = lambda m: lambda out, seed: integration_scores(cells, out, obs, self.batch)
+            score = lambda m: lambda out, seed: integration_scores(cells, out, obs, self.batch, self.bio)
             make = lambda m: lambda: methods[m].apply(cells, obs, batch=self.batch)
         elif stage == "reduce":
             methods = {"pca": None}
@@ -251,7 +298,7 @@ class AutoSelector:
         return {m: (make(m), score(m)) for m in self.methods[stage] if m in methods}
 
     def run_method(self, stage: str, method: str, make: Callable[[], DataFrame], score: Callable[[DataFrame, int], dict[str, float]]) -> tuple[DataFrame | None, Result]:
-        weights = EVALUATORS[stage][1] if stage in EVALUATORS else WEIGHTS[stage]
+        weights = EVALUATORS[stage][1] if stage in EVALUATORS else BIO_WEIGHTS if stage == "integrate" and self.bio is not None else WEIGHTS[stage]
         found, layer, start = [], None, time.monotonic()
         try:
             for i in range(self.repeats):

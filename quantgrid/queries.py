@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .model import complete
-from .functions import benchmarks, metrics, stats
+from .functions import benchmarks, metrics, preservation, stats
 from .operators import aggregate, impute, integrate, linkage, masks, normalize, qc, reduce
 from .operators.matrix import by_sample, row_arrays
 from .operators.neighbors import nearest
@@ -379,6 +379,44 @@ def events_windowed(spark: SparkSession, sf: str) -> DataFrame:
     return ingest.windowed_means(events).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
+# what centring by sample means keeps of the logged values
+CENTRED = "centred as (select sample_id, feature_id, value - avg(value) over (partition by sample_id) + (select avg(value) from logged) as value from logged)"
+
+
+def keeps(name: str, op: Callable[[DataFrame, DataFrame, DataFrame], DataFrame], sql: str, more: str = "", label: str = "group") -> None:
+    """A score of layers before and after, with the samples' labels."""
+
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        before = normalize.log_transform(m.cells(spark, sf))
+        return op(before, normalize.norm_mean(before, add_global_mean=True), m.obs(spark, sf).select("sample_id", F.col(label).alias("label")))
+
+    query(name, "score:d", sql, "cells logged obs", f"{CENTRED}, {more}" if more else CENTRED)(run)
+
+
+def effects_sql(label: str, least: int) -> str:
+    return (
+        f"l as (select {label} as label from obs group by 1 having count(*) >= {least}), mean as (select feature_id, {label} as label, avg(b.value) as x, avg(c.value) as y from logged b join centred c using (sample_id, feature_id) join obs using (sample_id) group by 1, 2), "
+        "full_means as (select f.feature_id, l.label, coalesce(x, 0) as x, coalesce(y, 0) as y from (select distinct feature_id from mean) f cross join l left join mean using (feature_id, label)), "
+        "effects as (select p.label as a, q.label as b, p.x - q.x as e, p.y - q.y as f from full_means p join full_means q on p.feature_id = q.feature_id and p.label < q.label), "
+        "pairs as (select a, b, count(*) as n, avg(abs(e)) as strength, avg(abs(f)) as gap, corr(e, f) as r, sqrt(sum(e * e)) as le, sqrt(sum(f * f)) as lf from effects group by 1, 2)"
+    )
+
+
+keeps("keep_intergroup", preservation.intergroup_preservation, "select coalesce(avg(0.6 * (r + 1) / 2 + 0.4 * exp(-abs(ln(lf / (le + 1e-10))))), 0) as score from pairs where n >= 10 and strength >= 0.08 * (select avg(sd) from (select stddev_pop(value) as sd from logged group by feature_id))", effects_sql("grp", 2))
+keeps("keep_technical", preservation.technical_variance, "select 0.5 + 0.5 * greatest(-1, least(1, 1 - avg(gap) / avg(strength))) as score from pairs", effects_sql("batch", 1), "batch")
+keeps("keep_loading_bias", lambda b, a, _: preservation.loading_bias_reduction(b, a), "select 0.5 + 0.5 * greatest(-1, least(1, 1 - mad(y) / mad(x))) as score from (select median(b.value) as x, median(c.value) as y from logged b join centred c using (sample_id, feature_id) group by sample_id)")
+keeps("keep_intragroup", lambda _, a, g: preservation.intragroup_variation(a, g), "select exp(-avg(cv)) as score from (select grp, median(sd / m) as cv from (select grp, feature_id, count(*) as n, avg(value) as m, stddev_pop(value) as sd from centred join obs using (sample_id) group by 1, 2) where n >= 2 and m > 1e-10 group by 1)")
+keeps("keep_even_variation", lambda _, a, __: preservation.even_variation(a), "select 1 - least(1, stddev_pop(sd / m) / avg(sd / m)) as score from (select count(*) as n, avg(value) as m, stddev_pop(value) as sd from centred group by feature_id) where n >= 2 and m > 1e-10")
+keeps("keep_variance", lambda b, a, _: preservation.variance_agreement(b, a), "select (1 + corr(x, y)) / 2 as score from (select var_samp(b.value) as x, var_samp(c.value) as y from logged b join centred c using (sample_id, feature_id) group by feature_id) where x > 0 and y > 0")
+
+
+@query("normalization_scores")
+def normalization_scores(spark: SparkSession, sf: str) -> DataFrame:
+    before = normalize.log_transform(proteins(spark, sf))
+    found = autoselect.normalization_scores(before, normalize.norm_median(before), m.obs(spark, sf))
+    return spark.createDataFrame([(k, float(v)) for k, v in found.items()], "name string, score double")
+
+
 @query("autoselect")
 def autoselect_report(spark: SparkSession, sf: str) -> DataFrame:
     from .model import Assay, Dataset
