@@ -1,6 +1,6 @@
 """Automatic selection of methods: run candidates of a stage, score them, pass the best layer on.
 
-Each candidate is a lazy layer; its score is a few Spark jobs. A stage's choice weighs quality against run time by a strategy.
+Each candidate's layer is computed once and written; its scores are Spark jobs that read it. A stage's choice weighs quality against run time by a strategy.
 """
 
 from __future__ import annotations
@@ -247,6 +247,13 @@ def adaptive_trqn(cells: DataFrame) -> DataFrame:
     return normalize.norm_trqn(cells, low_thr=adaptive_threshold(cells))
 
 
+#: Candidates that differ from the method's default: centred layers stay where their input lies.
+ADAPTED = {
+    "trqn": adaptive_trqn,
+    "mean": lambda cells: normalize.norm_mean(cells, add_global_mean=True),
+    "median": lambda cells: normalize.norm_median(cells, add_global_median=True),
+}
+
 #: Methods that only make sense on a log scale.
 LOG_ONLY = ("quantile", "trqn")
 
@@ -272,7 +279,7 @@ class AutoSelector:
         """For each method how to make its layer and how to score it, given the layer and a seed."""
         own = EVALUATORS.get(stage)
         if stage == "normalize":
-            methods = {m: f for m, f in (normalize.NORMALIZERS | {"trqn": adaptive_trqn}).items() if logged or m not in LOG_ONLY}
+            methods = {m: f for m, f in (normalize.NORMALIZERS | ADAPTED).items() if logged or m not in LOG_ONLY}
             score = lambda m: lambda out, seed: normalization_scores(cells, out, obs, self.group, self.batch)
             make = lambda m: lambda: methods[m](cells)
         elif stage == "impute":
@@ -302,7 +309,7 @@ class AutoSelector:
         found, layer, start = [], None, time.monotonic()
         try:
             for i in range(self.repeats):
-                layer = make()
+                layer = once(make())
                 found.append(score(layer, 42 + i))
         except Exception as e:  # any failure of a method is part of the report
             return None, Result(method, seconds=time.monotonic() - start, error=f"{type(e).__name__}: {e}"[:500])
@@ -314,7 +321,7 @@ class AutoSelector:
 
     def run_stage(self, stage: str, cells: DataFrame, obs: DataFrame, logged: bool = False) -> tuple[DataFrame, StageReport]:
         """cells are those of a layer; for cluster, points (sample_id, vec)."""
-        layers, results = {}, []
+        cells, layers, results = once(cells), {}, []
         for m, (make, score) in self.candidates(stage, cells, obs, logged).items():
             layers[m], result = self.run_method(stage, m, make, score)
             results.append(result)

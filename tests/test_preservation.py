@@ -113,3 +113,14 @@ def test_evaluators(layers):
     full = cells_of(before.sparkSession, filled)
     scores = autoselect.integration_scores(full, full, obs, "batch", "group")
     assert scores["variance_preserved"] == pytest.approx(1) and set(scores) == set(autoselect.BIO_WEIGHTS) and scores["bio_asw"] > 0
+
+
+def test_candidates_stay_in_place(layers):
+    """The selection compares centred layers that keep the overall level, and passes the layer it scored."""
+    x, *_, before, _, obs = layers
+    s = autoselect.AutoSelector(methods={"normalize": ["median", "mean"]})
+    made = {m: make() for m, (make, _) in s.candidates("normalize", before, obs, False).items()}
+    for name, middle in (("median", np.nanmedian), ("mean", np.nanmean)):
+        want = x - middle(x, 1)[:, None] + middle(x)
+        got = {(r["sample_id"], r["feature_id"]): r["value"] for r in made[name].collect()}
+        assert all((np.isnan(want[i, j]) and v is None) or v == pytest.approx(want[i, j]) for (i, j), v in (((int(a[1:]), int(b[1:])), v) for (a, b), v in got.items()))
