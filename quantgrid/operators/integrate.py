@@ -10,13 +10,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..errors import MissingDependencyError, ValidationError
+from ..errors import ValidationError
 from ..model import CELL, Dataset
 from ..storage import materialize
 from .harmony import integrate_harmony
-from .matrix import beside, row_arrays
-from .neighbors import nearest
+from .matrix import beside, cosine_normalized, row_arrays
+from .neighbors import mutual_neighbors, nearest
 from .reduce import pca
+from .scanorama import integrate_scanorama
 
 
 MAX_LEVELS = 1000  # values of a categorical covariate
@@ -250,18 +251,6 @@ def integrate_limma(cells: DataFrame, obs: DataFrame, *, batch: str = "batch", c
     return out.withColumn("value", value).select(*CELL)
 
 
-def mutual_neighbors(left: DataFrame, right: DataFrame, k: int) -> DataFrame:
-    """(a, b): samples of two (sample_id, names, vec) that are among each other's k nearest."""
-    there = nearest(left, k, right).select(F.col("sample_id").alias("a"), F.col("other").alias("b"))
-    back = nearest(right, k, left).select(F.col("other").alias("a"), F.col("sample_id").alias("b"))
-    return there.join(back, ["a", "b"])
-
-
-def cosine_normalized(cells: DataFrame) -> DataFrame:
-    """Each sample's values by the root of their squares' sum."""
-    return beside(cells, "sample_id", __norm=F.sqrt(F.sum(F.col("value") ** 2))).withColumn("value", F.try_divide("value", "__norm")).select(*CELL)
-
-
 def search_space(left: DataFrame, right: DataFrame, n_pcs: int | None) -> tuple[DataFrame, DataFrame]:
     """The two sides as (sample_id, names, vec), over principal components of both if n_pcs is given."""
     if n_pcs is None:
@@ -361,14 +350,6 @@ def integrate_mnn(
     return merged
 
 
-def _external(name: str) -> Callable[..., DataFrame]:
-    def run(cells: DataFrame, obs: DataFrame, **_) -> DataFrame:
-        raise MissingDependencyError(f"{name} needs a package that isn't part of this one")
-
-    run.__name__ = f"integrate_{name}"
-    return run
-
-
 @dataclass(frozen=True)
 class Method:
     apply: Callable[..., DataFrame]
@@ -382,7 +363,7 @@ INTEGRATORS = {
     "limma": Method(integrate_limma, "matrix", True),
     "mnn": Method(integrate_mnn, "matrix", False),
     "harmony": Method(integrate_harmony, "embedding", False),
-    "scanorama": Method(_external("scanorama"), "matrix", False),
+    "scanorama": Method(integrate_scanorama, "embedding", False),
 }
 
 

@@ -247,3 +247,30 @@ def nearest(rows: DataFrame, k: int, others: DataFrame | None = None, *, block:
         pairs = lambda df: df.groupBy(*key).agg(F.count(F.lit(1)).alias("m")).join(sizes, key).agg(F.sum(F.col("m") * F.col("n"))).first()[0] or 0
         report["compared"] = pairs(home) + pairs(visits)
     return ranked(seeds.unionByName(_search(visits, held, k, same, key)))
+
+
+def mutual_neighbors(left: DataFrame, right: DataFrame, k: int) -> DataFrame:
+    """(a, b): samples of two (sample_id, names, vec) that are among each other's k nearest."""
+    there = nearest(left, k, right).select(F.col("sample_id").alias("a"), F.col("other").alias("b"))
+    back = nearest(right, k, left).select(F.col("other").alias("a"), F.col("sample_id").alias("b"))
+    return there.join(back, ["a", "b"])
+
+
+def mutual_between(rows: DataFrame, k: int, sizes: dict[str, int]) -> DataFrame:
+    """(a, b): samples of (sample_id, names, vec, batch) that are among each other's k nearest in the other's batch; both ways.
+
+    sizes: the samples of each batch. Pairs of batches of BLOCK samples at most are searched at once, larger ones pair by pair.
+    """
+    small = sorted(b for b, n in sizes.items() if n <= BLOCK)
+    slim = rows.where(F.col("batch").isin(small)).select("sample_id", F.transform("names", lambda x: F.xxhash64(x)).alias("features"), "vec", "batch")
+    others = F.explode(F.array_except(F.array(*map(F.lit, small)).cast("array<string>"), F.array("batch")))
+    asked, held = slim.select("*", others.alias("there")).withColumnRenamed("batch", "here"), slim.select("*", others.alias("here")).withColumnRenamed("batch", "there")
+    near = materialize(_search(asked, held, k, False, ["here", "there"]).select(F.col("sample_id").alias("a"), F.col("other").alias("b")))
+    found = near.join(near.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"])
+    part = lambda name: rows.where(F.col("batch") == name).select("sample_id", "names", "vec")
+    for i, x in enumerate(sorted(sizes)):
+        for y in sorted(sizes)[i + 1 :]:
+            if max(sizes[x], sizes[y]) > BLOCK:
+                pairs = materialize(mutual_neighbors(part(x), part(y), k))
+                found = found.unionByName(pairs).unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    return found

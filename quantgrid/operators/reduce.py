@@ -282,7 +282,3 @@ def graph_communities(rows: DataFrame, k: int = 15, *, resolution: float = 1.0,
 
 def tsne(*_, **__) -> DataFrame:
     raise MissingDependencyError("t-SNE needs a package that isn't part of this one")
-
-
-def umap(*_, **__) -> DataFrame:
-    raise MissingDependencyError("UMAP needs a package that isn't part of this one")

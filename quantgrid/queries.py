@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .model import complete
 from .functions import benchmarks, metrics, preservation, stats
-from .operators import aggregate, impute, integrate, linkage, masks, normalize, qc, reduce
+from .operators import aggregate, impute, integrate, linkage, masks, normalize, qc, reduce, umap
 from .operators.matrix import by_sample, row_arrays
 from .operators.neighbors import nearest
 from .functions import custom
@@ -272,6 +272,11 @@ def vector_rows(spark: SparkSession, sf: str) -> DataFrame:
     return labelled(spark, sf).select("sample_id", names.alias("names"), "vec", "label")
 
 
+def vector_cells(spark: SparkSession, sf: str) -> DataFrame:
+    pair = F.explode(F.arrays_zip("names", "vec")).alias("x")
+    return vector_rows(spark, sf).select("sample_id", pair).select("sample_id", F.col("x.names").alias("feature_id"), F.col("x.vec").alias("value"), F.lit(0).alias("mask"))
+
+
 _NEAR = "n as (select * from (select *, row_number() over (partition by sample_id order by d, other) as place from (select cast(p.vec_id as varchar) as sample_id, cast(q.vec_id as varchar) as other, q.label, sqrt(list_sum([(z[1] - z[2]) * (z[1] - z[2]) for z in list_zip(cast(p.embedding as double[]), cast(q.embedding as double[]))]) / 64) as d from embeddings p join embeddings q on p.vec_id <> q.vec_id)) where place <= 30), p as (select sample_id, sum(c * c) / 900.0 as s from (select sample_id, label, count(*) as c from n group by 1, 2) group by 1)"
 query("lisi", "sample_id lisi:d", "select sample_id, 1 / s as lisi from p", "", _NEAR)(lambda s, d: metrics.lisi(vector_rows(s, d), vector_rows(s, d).select("sample_id", "label")))
 query("batch_mixing", "score:d", "select avg(1 - s) / (1 - 1.0 / (select count(distinct label) from embeddings)) as score from p", "", _NEAR)(lambda s, d: metrics.batch_mixing(vector_rows(s, d), vector_rows(s, d).select("sample_id", "label")))
@@ -333,10 +338,12 @@ query("integrate_limma_covariates")(lambda s, d: integrate.integrate_limma(norma
 query("integrate_combat")(lambda s, d: integrate.integrate_combat(normalize.log_transform(proteins(s, d)), m.obs(s, d)))
 query("integrate_combat_covariates")(lambda s, d: integrate.integrate_combat(normalize.log_transform(proteins(s, d)), m.obs(s, d), covariates=("group",)))
 query("integrate_combat_nonparametric")(lambda s, d: integrate.integrate_combat(normalize.log_transform(proteins(s, d)), m.obs(s, d), eb_mode="nonparametric"))
+query("integrate_scanorama", CELL_COLUMNS)(lambda s, d: integrate.INTEGRATORS["scanorama"].apply(normalize.log_transform(proteins(s, d)), m.obs(s, d)))
 query("integrate_mnn")(lambda s, d: integrate.integrate_mnn(normalize.log_transform(proteins(s, d)), m.obs(s, d), k=5))
 query("pca_variance")(lambda s, d: reduce.pca(normalize.log_transform(proteins(s, d)), 5)["variance"])
 query("pca_randomized")(lambda s, d: reduce.pca(normalize.log_transform(proteins(s, d)), 5, svd_solver="randomized")["variance"])
 query("kmeans")(lambda s, d: reduce.kmeans(vector_rows(s, d).select("sample_id", "vec"), 5))
+query("umap_layout")(lambda s, d: umap.umap(vector_cells(s, d)).select("sample_id", F.get("vec", F.lit(0)).alias("x"), F.get("vec", F.lit(1)).alias("y")))
 query("graph_communities")(lambda s, d: reduce.graph_communities(vector_rows(s, d).select("sample_id", "names", "vec")))
 
 # hierarchical clustering: heights of single linkage are the lengths of the spanning tree, here in SQL by adding the nearest sample
