@@ -22,7 +22,8 @@ from .common import ascii_lower, materialize
 #: An index of at most so many rows is broadcast; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 20_000
 LABEL = "verdict="
-MAX_ITEMS = 12  # tokens of a row that are mined
+MAX_ITEMS = 12  # tokens of a row that FP-growth lists all subsets of
+LONGEST = 2  # tokens of an antecedent that is found in rows of any length
 LEAST_ROWS = 5  # rows that hold a rule, whatever min_support says
 
 
@@ -63,16 +64,23 @@ def url_tokens(host: Column, path: Column) -> Column:
     return F.array_distinct(F.concat(tag("host=", F.split(host, r"\.")), tag("path=", F.split(path, "/"))))
 
 
-def mined_items(labelled: DataFrame, least: int) -> DataFrame:
-    """(items): the verdict and the frequent tokens of each row; of more than MAX_ITEMS, the most frequent ones.
+def mined_items(labelled: DataFrame, least: int, max_items: int, longest: int) -> DataFrame:
+    """(items): the verdict and the frequent tokens of each row.
 
+    A row of more than max_items frequent tokens gives one of its max_items most frequent tokens, and one of each `longest` of its
+    tokens. So any `longest` of its tokens meet in a row, often in more than one: counts of sets are too high, never too low.
     Only tokens of `least` rows or more come to the driver, at most (tokens of a row) / min_support of them.
     """
     counts = labelled.select(F.explode("tokens").alias("token")).groupBy("token").count().where(F.col("count") >= least)
     frequent = [r["token"] for r in counts.orderBy(F.desc("count"), "token").select("token").collect()]
-    ranked = F.slice(F.array_intersect(F.lit(frequent) if frequent else F.array().cast("array<string>"), "tokens"), 1, MAX_ITEMS)
-    tokens = F.when(F.size("tokens") > MAX_ITEMS, ranked).otherwise(F.col("tokens"))
-    return labelled.select(F.concat(tokens, F.array(F.concat(F.lit(LABEL), "verdict"))).alias("items"))
+    inside = F.array_intersect(F.lit(frequent) if frequent else F.array().cast("array<string>"), "tokens")
+    rows = labelled.select(inside.alias("tokens"), F.array(F.concat(F.lit(LABEL), "verdict")).alias("label"))
+    first = rows.select(F.concat(F.slice("tokens", 1, max_items), "label").alias("items"))
+    cut = rows.where(F.size("tokens") > max_items).withColumn("n", F.size("tokens"))
+    for i in range(longest):
+        start = F.col(f"at{i - 1}") + 1 if i else F.lit(0)
+        cut = cut.withColumn(f"at{i}", F.explode(F.sequence(start, F.col("n") - (longest - i))))
+    return first.unionByName(cut.select(F.concat(F.array(*(F.get("tokens", F.col(f"at{i}")) for i in range(longest))), "label").alias("items")))
 
 
 def with_rarest(rules: DataFrame, counts: DataFrame) -> DataFrame:
@@ -81,17 +89,21 @@ def with_rarest(rules: DataFrame, counts: DataFrame) -> DataFrame:
     return rules.join(rare.select("rule_id", F.col("x.token").alias("rare")), "rule_id")
 
 
-def mine_rules(labelled: DataFrame, *, min_support: float, min_confidence: float) -> DataFrame:
+def mine_rules(labelled: DataFrame, *, min_support: float, min_confidence: float, least_rows: int = LEAST_ROWS, max_items: int = MAX_ITEMS, longest: int = LONGEST) -> DataFrame:
     """(rule_id, antecedent, rare, confidence, support, verdict) from (tokens, verdict); `rare` is its rarest token.
 
-    A rule is held by min_support of the rows and LEAST_ROWS of them at least. Rows without tokens or verdict are left out; no
-    rows give no rules.
+    A rule is held by min_support of the rows and least_rows of them at least; support and confidence are counted over all rows.
+    All rules of up to `longest` tokens are found; longer ones as far as rows hold them often enough among their max_items most
+    frequent tokens. Rows without tokens or verdict are left out; no rows give no rules.
     """
+    if not 1 <= longest <= max_items:
+        raise ValueError("longest is between 1 and max_items")
     labelled = materialize(labelled.where("verdict is not null and size(tokens) > 0").select("tokens", "verdict"))
     total = labelled.count()
-    least = max(LEAST_ROWS, math.ceil(min_support * total))
-    items = mined_items(labelled, least)
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, least / max(total, 1)), minConfidence=min_confidence).fit(items)
+    least = max(least_rows, math.ceil(min_support * total), 1)
+    items = materialize(mined_items(labelled, least, max_items, longest))
+    # Half a row less, so that rounding never asks for one more.
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, (least - 0.5) / max(items.count(), 1)), minConfidence=min_confidence).fit(items)
     found = model.freqItemsets.where(F.exists("items", lambda x: x.startswith(LABEL)) & (F.size("items") > 1))
     ante = materialize(found.select(F.array_sort(F.filter("items", lambda x: ~x.startswith(LABEL))).alias("antecedent")).distinct())
     ones = labelled.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("base"))
@@ -122,16 +134,16 @@ def match_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
     return met.groupBy("url").agg(best.alias("x")).select("url", F.col("x.verdict").alias("mined"), F.col("x.rule_id").alias("mined_rule"), F.col("x.confidence").alias("confidence"))
 
 
-def filter_urls(pages: DataFrame, rules: list[Rule], *, url: str = "url", default: str = "allow", min_support: float = 0.002, min_confidence: float = 0.9) -> DataFrame:
+def filter_urls(pages: DataFrame, rules: list[Rule], *, url: str = "url", default: str = "allow", min_support: float = 0.002, min_confidence: float = 0.9, **mining: int) -> DataFrame:
     """Add host, path, rule, verdict, mined_rule and confidence to each row of pages; columns of these names are replaced.
 
     The longest explicit rule that fits decides; else the most confident mined rule; else `default`. Null urls and such
-    without :// have empty host and path and get `default`. Repeated rows get equal values.
+    without :// have empty host and path and get `default`. Repeated rows get equal values. `mining` are options of mine_rules.
     """
     pages = pages.drop("host", "path", "rule", "verdict", "mined_rule", "confidence")
     judged = pages.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))}).withColumn("fit", fitting_rule(F.col("host"), F.col("path"), rules))
     tokens = url_tokens(F.col("host"), F.col("path"))
-    mined = mine_rules(judged.select(tokens.alias("tokens"), "fit.verdict"), min_support=min_support, min_confidence=min_confidence)
+    mined = mine_rules(judged.select(tokens.alias("tokens"), "fit.verdict"), min_support=min_support, min_confidence=min_confidence, **mining)
     open_urls = judged.where("fit is null").select(F.col(url).alias("url"), "host", "path").distinct().select("url", tokens.alias("tokens"))
     found = match_rules(open_urls, mined).withColumnRenamed("url", "mined_url")
     joined = judged.join(found, (F.col(url) == F.col("mined_url")) & F.col("fit").isNull(), "left")

@@ -316,7 +316,7 @@ def brute_rules(rows, least, confidence):
     return out
 
 
-def test_url_filter(spark, monkeypatch):
+def test_url_filter(spark):
     urls = [None, "", "no scheme", "http://Example.ORG/es/1?x", "https://a.example.org/en/12#t", "http://x.com/fr/2", "http://com/de/", "http://xcom/de/1", "http://a.net", "a://b://c/d", "http://example.org?q"]
     urls += [f"http://blog{i % 3}.site.com/{'de' if i % 2 else 'fr'}/p{i}" for i in range(60)] + ["http://blog1.site.net/de/9", "http://blog1.site.net/fr/9"]
     urls += ["http://long.example.org/" + "/".join(f"s{i}" for i in range(40))] * 7 + ["http://other.net/" + "/".join(f"s{i}" for i in range(40))]
@@ -339,15 +339,29 @@ def test_url_filter(spark, monkeypatch):
     assert empty.count() == 0 and empty.columns.count("host") == 1
 
 
-def test_mined_rules_brute_force(spark, monkeypatch):
+def test_mined_rules_brute_force(spark):
     rows = [(["a", "b"], "block")] * 8 + [(["a"], "allow")] * 6 + [(["b", "c"], "block")] * 5 + [(["c"], "allow")] * 2 + [(["d", "e", "f", "g"], "allow")] * 6 + [([], "allow"), (["a"], None)]
     table = spark.createDataFrame(rows, "tokens array<string>, verdict string")
     want = {" ".join(sorted(a)) + f" verdict={v}": (round(c, 6), round(n, 6)) for (a, v), (c, n) in brute_rules([({*t}, v) for t, v in rows], 5, 0.6).items()}
-    found = lambda: {r["rule_id"]: (round(r["confidence"], 6), round(r["support"], 6)) for r in url_filter.mine_rules(table, min_support=0.1, min_confidence=0.6).collect()}
+    found = lambda **o: {r["rule_id"]: (round(r["confidence"], 6), round(r["support"], 6)) for r in url_filter.mine_rules(table, min_support=0.1, min_confidence=0.6, **o).collect()}
     assert found() == want and len(want) > 15
-    monkeypatch.setattr(url_filter, "MAX_ITEMS", 2)  # rules of fewer tokens, but counted over all
-    some = found()
-    assert some == {k: want[k] for k in some} and {"a b verdict=block", "d verdict=allow"} <= some.keys()
+    few = lambda n: {k: v for k, v in want.items() if len(k.split()) <= n + 1}
+    for longest in (1, 2, 3):  # all rules of so many tokens, in rows of any length, counted over all
+        assert found(max_items=longest, longest=longest) == few(longest)
+    some = found(max_items=3, longest=1)
+    assert some.keys() >= few(1).keys() and some == {k: want[k] for k in some}
+    assert found(least_rows=8).keys() == {k for k in want if round(want[k][1] * 27) >= 8}
+    with pytest.raises(ValueError):
+        found(max_items=2, longest=3)
+
+
+def test_rules_of_rare_tokens_in_long_urls(spark):
+    """Rows of 30 frequent tokens, the least frequent pair of which decides."""
+    common = [f"c{i:02d}" for i in range(28)]
+    rows = [([*common, "x", "y"], "block")] * 6 + [([*common, "x"], "allow")] * 6 + [([*common, "y"], "allow")] * 6 + [(common, "allow")] * 9
+    rules = url_filter.mine_rules(spark.createDataFrame(rows, "tokens array<string>, verdict string"), min_support=0.1, min_confidence=0.9)
+    got = {r["rule_id"]: r["confidence"] for r in rules.where("verdict = 'block'").collect()}
+    assert got == {"x y verdict=block": 1.0}
 
 
 def test_topk(spark, monkeypatch):
