@@ -84,3 +84,15 @@ def test_few_rows(spark):
     assert nearest(rows.limit(0), 3).count() == 0 and nearest(rows, 3, rows.limit(0)).count() == 0
     first = nearest(rows, 1, block=2).where("sample_id = 's0003'").first()
     assert first["other"] == "s0000"  # a tie goes to the lesser id
+
+
+def test_copies_are_at_no_distance(spark):
+    """Copies of samples of large values with many gaps are at distance 0, lesser ids first, and each row is sent once a block."""
+    rng = np.random.default_rng(3)
+    x = np.repeat(np.round(rng.uniform(1e3, 1e5, (60, 40)), 2), 5, 0)
+    x[np.repeat(rng.random((60, 40)) < 0.6, 5, 0)] = np.nan
+    names, report = [f"f{i:02d}" for i in range(40)], {}
+    got = nearest(rows_of(spark, x, names), 4, block=30, report=report).orderBy("sample_id", "place").collect()
+    assert [r["distance"] for r in got] == [0.0] * 1200
+    assert [r["other"] for r in got] == [f"s{j:04d}" for i in range(300) for j in range(i // 5 * 5, i // 5 * 5 + 5) if j != i]
+    assert report["sent"] == 300 * 10
