@@ -1,6 +1,7 @@
 """Operators that SQL can't express, against plain numpy on small matrices."""
 
 import math
+import tracemalloc
 import warnings
 
 import numpy as np
@@ -100,6 +101,44 @@ def test_median_polish(spark):
     assert np.allclose(got, total + effect)
 
 
+def test_median_polish_goes_by_values(spark):
+    """Each of 20,000 samples has its own peptide beside a shared one: a table of samples by peptides would take 3.2 GB in one task."""
+    n = 20_000
+    ids = spark.range(n).select(F.concat(F.lit("S"), "id").alias("sample_id"), "id")
+    value = lambda c: F.pow(F.lit(2.0), c).alias("value")
+    own = ids.select("sample_id", F.concat(F.lit("F"), F.col("id") + 1).alias("feature_id"), value(F.col("id") % 7 + 3), F.lit(0).alias("mask"))
+    shared = ids.select("sample_id", F.lit("F0").alias("feature_id"), value(F.col("id") % 7 + 1), F.lit(0).alias("mask"))
+    links = spark.range(n + 1).select(F.concat(F.lit("F"), "id").alias("source_id"), F.lit("P").alias("target_id"))
+    tracemalloc.start()
+    data = shared.unionByName(own).select(F.lit("P").alias("protein"), F.regexp_extract("sample_id", r"\d+", 0).cast("long").alias("sample"), F.regexp_extract("feature_id", r"\d+", 0).cast("long").alias("feature"), "value").toArrow()
+    fitted = aggregate._polish(2.0)(data)
+    assert tracemalloc.get_traced_memory()[1] < 100e6
+    tracemalloc.stop()
+    got = {r["sample_id"]: r["value"] for r in aggregate.aggregate_to_protein(shared.unionByName(own), links, "tmp").collect()}
+    assert len(got) == n
+    level = [np.log2(got[f"S{i}"]) for i in range(7)]
+    assert np.allclose(np.diff(level), 1) and np.allclose(np.log2([got[f"S{i}"] for i in range(n)]), [level[i % 7] for i in range(n)])
+    assert fitted.num_rows == n
+
+
+def test_pair_ratios_in_parts(spark, monkeypatch):
+    """Proteins in several parts: pairs by rising name, medians of even and odd counts, each pair once."""
+    monkeypatch.setattr(aggregate, "PAIRS", 16)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(12, 9))
+    x[rng.random(x.shape) < 0.4] = np.nan
+    rows = [("P", f"F{j}", f"S{i}", float(x[i, j])) for i in range(12) for j in range(9) if not np.isnan(x[i, j])]
+    found = aggregate.pair_ratios(spark.createDataFrame(rows, "protein string, feature_id string, sample_id string, x double"), 2).collect()
+    got = {(r["a"], r["b"]): (r["ratio"], r["n"]) for r in found}
+    want = {}
+    for i in range(12):
+        for j in range(12):
+            d = (x[j] - x[i])[~np.isnan(x[j] - x[i])]
+            if f"S{i}" < f"S{j}" and len(d) > 1:
+                want[f"S{i}", f"S{j}"] = (pytest.approx(np.median(d)), len(d))
+    assert got == want and len(found) == len(want)
+
+
 def brute_combat(x, batch, design, nonparametric):
     """ComBat by its design matrix: batch indicators, then covariates."""
     n, kinds = len(x), np.unique(batch)
