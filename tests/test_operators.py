@@ -1,8 +1,9 @@
 """Hand-computed cases and invariants of the operators."""
 
 import pytest
+from pyspark.sql import functions as F
 
-from quantgrid.operators import aggregate, impute, normalize
+from quantgrid.operators import aggregate, impute, normalize, qc
 from quantgrid.model import MaskCode
 from quantgrid.sources import tables
 from quantgrid.streaming import ingest
@@ -89,3 +90,19 @@ def test_streamed_windows_equal_the_batch(spark, tmp_path):
     ingest.windowed_means(stream).writeStream.format("memory").queryName("windows").outputMode("complete").trigger(availableNow=True).start().awaitTermination()
     key = lambda df: sorted((str(r["start"]), r["key"], r["n"]) for r in df.collect())
     assert key(spark.table("windows")) == key(ingest.windowed_means(events))
+
+
+@pytest.mark.parametrize("name", ["preflight", "doublets", "low_quality_samples"])
+def test_filters_compute_their_input_once(spark, name):
+    """Thresholds need several passes; the table under them is computed once."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(x):
+        seen.add(1)
+        return x
+
+    rows = [(f"S{i}", f"F{j}", float(10 + i + j), 0) for i in range(12) for j in range(12)]
+    given = spark.createDataFrame(rows, "sample_id string, feature_id string, value double, mask int").withColumn("value", F.udf(count, "double")("value")).repartition(3)
+    out = getattr(qc, name)(given)
+    assert (out["cells"] if name == "preflight" else out).toArrow().num_rows > 0
+    assert seen.value == 144
