@@ -1,97 +1,234 @@
-"""Hierarchical clustering of a table of distances, round by round in Spark.
+"""Hierarchical clustering of a table of distances, whose pairs stay in Spark.
 
-Single linkage is the minimum spanning tree, found by Boruvka's rounds: every part takes its shortest edge outwards, and parts
-that are joined become one. Average, complete and Ward linkage merge all pairs of clusters that are each other's nearest at
-once, which gives the same tree as merging the nearest pair one by one. Clusters are named after their least member.
+Single linkage is the minimum spanning tree: every task keeps the spanning forest of the pairs that pass it, which is all that the
+tree can need of them, and forests are put together in the same way. Average, complete and Ward linkage merge all pairs of
+clusters that are each other's nearest at once, which gives the same tree as merging the nearest pair one by one. Rounds are passes
+over the table of pairs until at most TAIL clusters are left; one task makes the rounds that remain, on their matrix. Clusters
+are named after their least member.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import ValidationError
 from ..storage import materialize
-from .reduce import connected
 
 METHODS = ("single", "average", "complete", "ward")
 MAX_LEAVES = 1 << 17  # items whose merges are numbered and ordered, which the driver does
+TAIL = 1 << 12  # clusters whose matrix one task holds
+TOGETHER = 1 << 18  # pairs that are added to a forest at a time
+FORESTS = 8  # tasks that put forests together, before one does
 
 MERGES = "a string, b string, height double, n long"
 
 
-def _both(pairs: DataFrame, *values: str) -> DataFrame:
-    """Pairs (a, b) and (b, a)."""
-    return pairs.select("a", "b", *values).unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), *values))
+def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """Which edges between nodes below n, listed by rising length, are in their minimum spanning forest (Boruvka's rounds)."""
+    part, keep, live, every = np.arange(n), np.zeros(len(a), bool), np.arange(len(a)), np.arange(n)
+    while True:
+        left, right = part[a[live]], part[b[live]]
+        outward = left != right
+        live, left, right = live[outward], left[outward], right[outward]
+        if not len(live):
+            return keep
+        first = np.full(n, len(a))
+        np.minimum.at(first, left, live)
+        np.minimum.at(first, right, live)
+        own = np.flatnonzero(first < len(a))
+        taken = first[own]
+        keep[taken] = True
+        to = every.copy()
+        to[own] = part[a[taken]] + part[b[taken]] - own  # the part at the other end
+        to = np.where((to[to] == every) & (every < to), every, to)
+        while (to[to] != to).any():
+            to = to[to]
+        part = to[part]
+
+
+def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The spanning forest of all pairs of a task, in room in proportion to its items; ties by names."""
+    kept, waiting, rows = [], [], 0
 
+    def joined() -> list[pa.RecordBatch]:
+        table = pa.Table.from_batches(kept + waiting)
+        names = pa.chunked_array([*table["a"].chunks, *table["b"].chunks]).combine_chunks().dictionary_encode()
+        words = np.array(names.dictionary.to_pylist(), object)
+        rank = np.empty(len(words), np.int64)
+        rank[np.argsort(words, kind="stable")] = np.arange(len(words))
+        a, b = np.split(rank[names.indices.to_numpy()], 2)
+        order = np.lexsort((b, a, table["distance"].to_numpy()))
+        order = order[forest(a[order], b[order], len(words))]
+        return table.take(pa.array(order)).combine_chunks().to_batches()
 
-def _nearest(both: DataFrame, distance: Column) -> DataFrame:
-    """For each a the pair of the least distance, ties to the lesser names of the pair as a whole, so that a nearest pair is mutual."""
-    order = F.struct(distance.alias("d"), F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
-    return both.groupBy("a").agg(F.min(order).alias("e"))
+    for batch in batches:
+        waiting.append(batch)
+        rows += batch.num_rows
+        if rows >= TOGETHER:
+            kept, waiting, rows = joined(), [], 0
+    if rows:
+        kept = joined()
+    yield from kept
 
 
 def spanning_tree(distances: DataFrame) -> DataFrame:
-    """(a, b, distance): the edges of the minimum spanning forest of pairs (a, b, distance), each pair listed once; ties by names."""
-    edges = materialize(distances.where("distance is not null and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "distance").distinct())
-    labels = materialize(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().select("node", F.col("node").alias("part")))
-    tree = []
-    while True:
-        of = lambda side: labels.select(F.col("node").alias(side), F.col("part").alias(f"p{side}"))  # noqa: B023, E731
-        edges = materialize(edges.join(of("a"), "a").join(of("b"), "b").where("pa <> pb").select("a", "b", "distance"))
-        open_ = edges.join(of("a"), "a").join(of("b"), "b")
-        out = F.struct("distance", "a", "b")
-        sides = open_.select(F.col("pa").alias("part"), out.alias("e")).unionByName(open_.select(F.col("pb").alias("part"), out.alias("e")))
-        taken = materialize(sides.groupBy("part").agg(F.min("e").alias("e")).select("e.a", "e.b", "e.distance").distinct())
-        if not taken.limit(1).count():
-            break
-        tree.append(taken)
-        joins = taken.join(of("a"), "a").join(of("b"), "b").select(F.col("pa").alias("a"), F.col("pb").alias("b"))
-        parts = connected(_both(joins), labels.select(F.col("part").alias("node")).distinct())
-        labels = materialize(labels.join(parts.select(F.col("node").alias("part"), F.col("part").alias("to")), "part").select("node", F.col("to").alias("part")))
-    out = distances.sparkSession.createDataFrame([], "a string, b string, distance double")
-    for t in tree:
-        out = out.unionByName(t.select(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"), F.col("distance").cast("double").alias("distance")))
+    """(a, b, distance): the edges of the minimum spanning forest of pairs (a, b, distance); ties by names."""
+    a, b = F.col("a").cast("string"), F.col("b").cast("string")
+    tree = distances.where("distance is not null and a <> b").select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), F.col("distance").cast("double").alias("distance"))
+    kind = "a string, b string, distance double"
+    return tree.mapInArrow(_forests, kind).repartition(FORESTS).mapInArrow(_forests, kind).repartition(1).mapInArrow(_forests, kind)
+
+
+def heights(v: np.ndarray, na: np.ndarray, nb: np.ndarray, wa: np.ndarray, wb: np.ndarray, method: str) -> np.ndarray:
+    """The heights at which clusters of sizes na and nb merge, of the values between them and, for Ward, those within."""
+    if method == "complete":
+        return v
+    cross = v / (na * nb)
+    if method == "average":
+        return cross
+    centre = cross - wa / na**2 - wb / nb**2  # the squared distance of the centres, from sums of squares
+    return np.sqrt(np.maximum(2 * na * nb / (na + nb) * centre, 0.0))
+
+
+def _nearest(size: np.ndarray, within: np.ndarray, method: str):
+    """Of a task's pairs (a, b, v) the nearest of each cluster, ties to the lesser names of the pair as a whole, so that a nearest pair is mutual."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = tuple(np.zeros(0, t) for t in (np.int32, float, np.int32, np.int32, float))
+        for batch in batches:
+            a, b, v = (batch[c].to_numpy() for c in ("a", "b", "v"))
+            d = heights(v, size[a], size[b], within[a], within[b], method)
+            new = np.concatenate([a, b]), np.tile(d, 2), np.tile(a, 2), np.tile(b, 2), np.tile(v, 2)
+            c, d, x, y, v = (np.concatenate(both) for both in zip(held, new))
+            order = np.lexsort((y, x, d, c))
+            order = order[np.diff(c[order], prepend=-1) != 0]
+            held = tuple(values[order] for values in (c, d, x, y, v))
+        yield pa.record_batch([pa.array(h) for h in held], names=["c", "d", "x", "y", "v"])
+
+    return run
+
+
+def _renamed(to: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = to[batch["a"].to_numpy()], to[batch["b"].to_numpy()]
+            use = a != b
+            yield pa.record_batch([pa.array(np.minimum(a, b)[use]), pa.array(np.maximum(a, b)[use]), pa.array(batch["v"].to_numpy()[use])], names=["a", "b", "v"])
+
+    return run
+
+
+def _added(x: np.ndarray, y: np.ndarray, method: str) -> np.ndarray:
+    """Values of two clusters beside the same others; NaN where there is none."""
+    return np.fmax(x, y) if method == "complete" else np.where(np.isnan(x), y, np.where(np.isnan(y), x, x + y))
+
+
+def merged_rounds(v: np.ndarray, n: np.ndarray, w: np.ndarray, method: str) -> list[tuple[int, int, float, int]]:
+    """(a, b, height, n): all merges of clusters from the matrix of values between them (NaN on its diagonal and where there are none).
+
+    Heights and each cluster's nearest are kept; a round looks again at what it merged, and at those whose nearest it merged.
+    """
+    ids, out = np.arange(len(n)), []
+    while len(n) > 1:  # rounds until half of the clusters are gone
+        h = heights(v, n[:, None], n, w[:, None], w, method)
+        h = np.where(np.isnan(h), np.inf, h)
+        alive, every = np.ones(len(n), bool), np.arange(len(n))
+        best = h.argmin(1)
+        low = h[every, best]
+        while 2 * alive.sum() > len(n) or len(n) <= 2:
+            x = np.flatnonzero(alive & np.isfinite(low) & (best[best] == every) & (every < best))
+            if not len(x):
+                return out
+            y = best[x]
+            out += zip(ids[x].tolist(), ids[y].tolist(), low[x].tolist(), (n[x] + n[y]).tolist())
+            w[x] += w[y] + v[x, y]
+            n[x] += n[y]
+            alive[y] = False
+            v[x] = _added(v[x], v[y], method)
+            v[:, x] = _added(v[:, x], v[:, y], method)
+            v[x, x] = np.nan
+            h[y] = h[:, y] = np.inf
+            v[y] = v[:, y] = np.nan
+            new = heights(v[x], n[x][:, None], n, w[x][:, None], w, method)
+            h[x] = np.where(np.isnan(new), np.inf, new)
+            h[:, x] = h[x].T
+            gone = np.zeros(len(n), bool)
+            gone[x] = gone[y] = True
+            again = np.flatnonzero(alive & (gone | gone[best]))
+            for i in range(0, len(again), 256):
+                some = again[i : i + 256]
+                best[some] = h[some].argmin(1)
+            low[again] = h[again, best[again]]
+            rest = np.flatnonzero(alive & ~gone)
+            near = x[h[np.ix_(rest, x)].argmin(1)]
+            d = h[rest, near]
+            less = (d < low[rest]) | ((d == low[rest]) & (near < best[rest]))
+            best[rest[less]], low[rest[less]] = near[less], d[less]
+        left = np.flatnonzero(alive)
+        v, n, w, ids = v[np.ix_(left, left)], n[left], w[left], ids[left]
     return out
 
 
+def _rest(left: np.ndarray, size: np.ndarray, within: np.ndarray, method: str):
+    """All merges of the clusters that are left, at most TAIL."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = np.full((len(left), len(left)), np.nan)
+        for batch in batches:
+            i, j = (np.searchsorted(left, batch[c].to_numpy()) for c in ("a", "b"))
+            v[i, j] = v[j, i] = batch["v"].to_numpy()
+        found = np.array(merged_rounds(v, size[left], within[left], method)).reshape(-1, 4)
+        a, b = (pa.array(left[found[:, i].astype(np.int64)].astype(np.int32)) for i in (0, 1))
+        yield pa.record_batch([a, b, pa.array(found[:, 2]), pa.array(found[:, 3].astype(np.int64))], names=["a", "b", "height", "n"])
+
+    return run
+
+
 def mutual_merges(distances: DataFrame, method: str) -> DataFrame:
     """(a, b, height, n): the merges of average, complete or Ward linkage; a and b are the least members, n the size after it.
 
     Between clusters stay sums (average), largest values (complete) or sums of squares (Ward, which also keeps those within), so
-    that merging is renaming and grouping. A round has as many pairs as clusters have; rounds are few unless one cluster takes
-    up the others one by one.
+    that merging is renaming and grouping. The driver holds names, sizes and merges. A round of Spark has as many pairs as
+    clusters have, and its rounds are few unless one cluster takes up the others one by one.
     """
+    spark = distances.sparkSession
     d = F.col("distance").cast("double")
     value = d * d if method == "ward" else d
-    pairs = materialize(distances.where("distance is not null and a <> b").select(F.least("a", "b").cast("string").alias("a"), F.greatest("a", "b").cast("string").alias("b"), value.alias("v")).groupBy("a", "b").agg(F.min("v").alias("v")))
-    names = pairs.select(F.col("a").alias("name")).union(pairs.select("b")).distinct()
-    sizes = materialize(names.select("name", F.lit(1).cast("long").alias("n"), F.lit(0.0).alias("within")))
+    pairs = materialize(distances.where("distance is not null and a <> b").select(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"), value.alias("v")))
+    names = sorted(r[0] for r in pairs.select("a").union(pairs.select("b")).distinct().limit(MAX_LEAVES + 1).collect())
+    if len(names) > MAX_LEAVES:
+        raise ValidationError(f"more than {MAX_LEAVES} items")
+    table = spark.createDataFrame(list(zip(names, range(len(names)))), "name string, i int")
+    number = lambda c: F.broadcast(table.select(F.col("name").alias(c), F.col("i").alias(f"i{c}")))
+    pairs = pairs.join(number("a"), "a").join(number("b"), "b")
+    pairs = materialize(pairs.groupBy(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b")).agg(F.min("v").alias("v")))
+    size, within, left = np.ones(len(names)), np.zeros(len(names)), np.arange(len(names))
     found = []
-    while pairs.limit(1).count():
-        side = lambda c: sizes.select(F.col("name").alias(c), F.col("n").alias(f"n{c}"), F.col("within").alias(f"w{c}"))  # noqa: B023, E731
-        full = pairs.join(side("a"), "a").join(side("b"), "b")
-        cross = F.col("v") / (F.col("na") * F.col("nb"))
-        if method == "ward":  # the squared distance of the centres, from sums of squares
-            centre = cross - F.col("wa") / F.col("na") ** 2 - F.col("wb") / F.col("nb") ** 2
-            height = F.sqrt(F.greatest(2 * F.col("na") * F.col("nb") / (F.col("na") + F.col("nb")) * centre, F.lit(0.0)))
-        else:
-            height = cross if method == "average" else F.col("v")
-        full = materialize(full.withColumn("height", height))
-        best = _nearest(_both(full, "height"), F.col("height"))
-        mutual = best.groupBy("e").agg(F.count(F.lit(1)).alias("times")).where("times = 2").select(F.col("e.x").alias("a"), F.col("e.y").alias("b"), F.col("e.d").alias("height"))
-        merges = materialize(mutual.join(full.select("a", "b", "v", "na", "nb", "wa", "wb"), ["a", "b"]).select("a", "b", "height", (F.col("na") + F.col("nb")).alias("n"), (F.col("wa") + F.col("wb") + F.col("v")).alias("within")))
-        found.append(merges.select("a", "b", "height", "n"))
-        rename = merges.select(F.col("b").alias("name"), F.col("a").alias("to"))
-        sizes = materialize(sizes.join(rename, "name", "left_anti").join(merges.select(F.col("a").alias("name"), F.col("n").alias("n2"), F.col("within").alias("w2")), "name", "left").select("name", F.coalesce("n2", "n").alias("n"), F.coalesce("w2", "within").alias("within")))
-        to = lambda c: rename.select(F.col("name").alias(c), F.col("to").alias(f"t{c}"))  # noqa: B023, E731
-        moved = pairs.join(to("a"), "a", "left").join(to("b"), "b", "left").select(F.coalesce("ta", "a").alias("x"), F.coalesce("tb", "b").alias("y"), "v").where("x <> y")
+    while len(left) > TAIL:
+        best = pairs.mapInArrow(_nearest(size, within, method), "c int, d double, x int, y int, v double")
+        best = best.groupBy("c").agg(F.min(F.struct("d", "x", "y", "v")).alias("e"))
+        merges = [r["e"] for r in best.groupBy("e").agg(F.count(F.lit(1)).alias("times")).where("times = 2").collect()]
+        if not merges:
+            break
+        to = np.arange(len(names), dtype=np.int32)
+        for r in merges:
+            a, b = r["x"], r["y"]
+            within[a] += within[b] + r["v"]
+            size[a] += size[b]
+            to[b] = a
+            found.append((names[a], names[b], r["d"], int(size[a])))
+        left = np.setdiff1d(left, np.flatnonzero(to != np.arange(len(to))))
         add = F.max("v") if method == "complete" else F.sum("v")
-        pairs = materialize(moved.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(add.alias("v")))
-    out = distances.sparkSession.createDataFrame([], MERGES)
-    for merges in found:
-        out = out.unionByName(merges)
-    return out
+        pairs = materialize(pairs.mapInArrow(_renamed(to), "a int, b int, v double").groupBy("a", "b").agg(add.alias("v")))
+    if 1 < len(left) <= TAIL:
+        rest = pairs.repartition(1).mapInArrow(_rest(left, size, within, method), "a int, b int, height double, n long")
+        found += [(names[r["a"]], names[r["b"]], r["height"], r["n"]) for r in rest.collect()]
+    return spark.createDataFrame(found, MERGES)
 
 
 def linkage(distances: DataFrame, method: str = "average") -> DataFrame:

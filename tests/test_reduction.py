@@ -124,6 +124,25 @@ def test_linkage(spark, method):
     assert len(set(labels.values())) == 3
 
 
+@pytest.mark.parametrize("method", ["single", "average", "complete", "ward"])
+def test_linkage_in_few_jobs(spark, monkeypatch, method):
+    x = np.random.default_rng(5).normal(size=(60, 2)).round(1)  # with copies and ties
+    x[40:] = x[:20]
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    table = spark.createDataFrame([(f"n{i:02d}", f"n{j:02d}", float(d[i, j])) for i in range(60) for j in range(i)], "a string, b string, distance double")
+    expected = [round(h, 6) for _, _, h, _ in brute_linkage(d, method)] if method == "single" else None
+    found = []
+    for tail, most in ((linkage.TAIL, 16), (50, 200)):  # all rounds on the matrix; the first ones in Spark
+        monkeypatch.setattr(linkage, "TAIL", tail)
+        monkeypatch.setattr(linkage, "TOGETHER", 100)
+        spark.sparkContext.setJobGroup(f"linkage {method} {tail}", "")
+        found.append([(r["a"], r["b"], r["n"], round(r["height"], 6)) for r in linkage.linkage(table, method).orderBy("step").collect()])
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"linkage {method} {tail}")) <= most
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert sorted(found[0]) == sorted(found[1]) and len(found[0]) == 59
+    assert expected is None or [h for *_, h in found[0]] == expected
+
+
 def test_linkage_ties_and_few(spark):
     ring = [("n00", "n01", 1.0), ("n01", "n02", 1.0), ("n02", "n03", 1.0), ("n03", "n00", 1.0), ("n00", "n02", 1.0), ("n01", "n03", 1.0)]
     table = spark.createDataFrame(ring, "a string, b string, distance double")
