@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 
 from ..errors import ValidationError
 from ..model import CELL, Dataset
-from ..storage import materialize
+from ..storage import materialize, once
 from .harmony import integrate_harmony
 from .matrix import beside, cosine_normalized, row_arrays
 from .neighbors import mutual_neighbors, nearest
+from .pairs import same_places
 from .reduce import pca
 from .scanorama import integrate_scanorama
 
@@ -278,19 +279,16 @@ def adjusted_variance(smooth: DataFrame, new: DataFrame, merged: DataFrame) -> D
     """Shifts lengthened so that a sample's place along its shift, among its own batch, becomes the same place among the merged.
 
     Places are the shares of samples with a smaller projection on the shift's direction; a factor is never below 1. Every sample
-    is projected on every shift of the batch, whose number is that of the batch's samples.
+    is projected on every shift of the batch, whose number is that of the batch's samples, in blocks of both.
     """
-    norm = beside(smooth.withColumnRenamed("sample_id", "b"), "b", length=F.sqrt(F.sum(F.col("shift") ** 2))).where("length > 0")
-    unit = norm.select("b", "feature_id", (F.col("shift") / F.col("length")).alias("u"), "length")
-    project = lambda cells: unit.join(cells, "feature_id").groupBy("b", "sample_id").agg(F.sum(F.col("u") * F.col("value")).alias("at"))
-    own = project(new)
-    mine = own.where("b = sample_id").select("b", F.col("at").alias("here"))
-    share = own.join(mine, "b").groupBy("b").agg(F.avg((F.col("at") <= F.col("here")).cast("int")).alias("share"), F.first("here").alias("here"))
-    there = project(merged).groupBy("b").agg(F.array_sort(F.collect_list("at")).alias("all"))
-    place = F.element_at("all", F.greatest(F.lit(1), F.least(F.size("all"), F.ceil(F.col("share") * F.size("all")).cast("int"))))
-    lengths = unit.select("b", "length").distinct()
-    scale = share.join(there, "b").join(lengths, "b").select("b", F.greatest(F.lit(1.0), (place - F.col("here")) / F.col("length")).alias("scale"))
-    return smooth.join(scale.withColumnRenamed("b", "sample_id"), "sample_id", "left").select("sample_id", "feature_id", (F.col("shift") * F.coalesce("scale", F.lit(1.0))).alias("shift"))
+    along = smooth.withColumnRenamed("shift", "value")
+    dot = along.join(new.select("sample_id", "feature_id", F.col("value").alias("own")), ["sample_id", "feature_id"]).groupBy("sample_id").agg(F.sum(F.col("value") * F.col("own")).alias("dot")).where("dot is not null")
+    length = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x))
+    axes = row_arrays(along).withColumn("length", length).where("length > 0").join(dot, "sample_id")
+    axes = materialize(axes.select("sample_id", "names", F.transform("vec", lambda x: x / F.col("length")).alias("vec"), "length", (F.col("dot") / F.col("length")).alias("here")))
+    places = same_places(axes, once(row_arrays(new)), once(row_arrays(merged)))
+    scale = places.join(axes.select("sample_id", "length", "here"), "sample_id").select("sample_id", F.greatest(F.lit(1.0), (F.col("place") - F.col("here")) / F.col("length")).alias("scale"))
+    return smooth.join(scale, "sample_id", "left").select("sample_id", "feature_id", (F.col("shift") * F.coalesce("scale", F.lit(1.0))).alias("shift"))
 
 
 def integrate_mnn(
