@@ -423,3 +423,23 @@ def test_benchmark_data(spark, mechanism):
     assert len(lost) == pytest.approx(150, abs=2) and all(r["x"] in (None, r["value"]) for r in both)
     assert (np.median(lost) < 0.7 * np.median([r["value"] for r in both])) == (mechanism == "mnar")
     assert ds.obs.where("group <> replace(batch, 'batch', 'group')").count() == 0
+
+
+@pytest.mark.parametrize("name", ["minprob", "lls", "bpca", "iterative_svd", "softimpute", "mechanism"])
+def test_cells_are_computed_once(spark, name):
+    x = np.random.default_rng(8).normal(size=(12, 6))
+    x[np.random.default_rng(9).random(x.shape) < 0.2] = np.nan
+    met = spark.sparkContext.accumulator(0)
+
+    def counted(frames):
+        for f in frames:
+            met.add(len(f))
+            yield f
+
+    cells = cells_of(spark, x)
+    cells = cells.mapInPandas(counted, cells.schema)
+    if name == "mechanism":
+        impute.missing_mechanism(cells)
+    else:
+        assert impute.IMPUTERS[name](cells, **({} if name == "minprob" else {"max_iter": 2})).where("value is null").count() == 0
+    assert met.value == x.size
