@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import materialize
+from ..storage import materialize, once
 from .quantiles import order_statistic, running_counts
 
 
@@ -92,10 +92,11 @@ def group_metrics(cells: DataFrame, groups: DataFrame) -> DataFrame:
 
 def reconstruction(pairs: DataFrame) -> DataFrame:
     """(n, coverage, mae, rmse, nrmse, median_error, pearson, spearman) of (truth, imputed)."""
+    pairs = once(pairs)
     e = F.col("imputed") - F.col("truth")
     rmse = F.sqrt(F.avg(e**2))
     both = pairs.where("truth is not null and imputed is not null").select("truth", "imputed")
-    rho = ranked(ranked(both, "truth", "a"), "imputed", "b").agg(F.corr("a", "b").alias("spearman"))
+    rho = ranked(materialize(ranked(both, "truth", "a")), "imputed", "b").agg(F.corr("a", "b").alias("spearman"))
     out = pairs.agg(F.count("truth").alias("n"), (F.count("imputed") / F.count("truth")).alias("coverage"), F.avg(F.abs(e)).alias("mae"), rmse.alias("rmse"), (rmse / F.stddev_samp("truth")).alias("nrmse"), F.median(F.abs(e)).alias("median_error"), F.corr("truth", "imputed").alias("pearson"))
     return out.join(F.broadcast(rho))
 

@@ -443,3 +443,15 @@ def test_cells_are_computed_once(spark, name):
     else:
         assert impute.IMPUTERS[name](cells, **({} if name == "minprob" else {"max_iter": 2})).where("value is null").count() == 0
     assert met.value == x.size
+
+
+def test_reconstruction_computes_its_pairs_once(spark):
+    met = spark.sparkContext.accumulator(0)
+
+    def counted(frames):
+        for f in frames:
+            met.add(len(f))
+            yield f
+
+    pairs = spark.createDataFrame([(float(i % 7), float(i % 5)) for i in range(40)], "truth double, imputed double")
+    assert benchmarks.reconstruction(pairs.mapInPandas(counted, pairs.schema)).first()["n"] == 40 and met.value == 40
