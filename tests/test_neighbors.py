@@ -96,3 +96,46 @@ def test_copies_are_at_no_distance(spark):
     assert [r["distance"] for r in got] == [0.0] * 1200
     assert [r["other"] for r in got] == [f"s{j:04d}" for i in range(300) for j in range(i // 5 * 5, i // 5 * 5 + 5) if j != i]
     assert report["sent"] == 300 * 10
+
+
+@pytest.mark.parametrize("kind", ["unit", "far", "copies", "missing"])
+def test_a_block_keeps_its_nearest_of_all_chunks(monkeypatch, kind):
+    """The nearest of a block that meets chunks one by one are those of numpy, and few pairs are measured by their differences."""
+    from quantgrid.operators import neighbors
+
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(1600, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    if kind == "far":  # single precision can't tell the samples of a cluster apart
+        x = x * 1e-6 + np.where(np.arange(1600) % 2, 1e3, -1e3)[:, None]
+    if kind == "copies":
+        x = np.repeat(x[:320], 5, 0)
+    if kind == "missing":
+        x[rng.random(x.shape) < 0.2] = np.nan
+    measured, distances = [], neighbors.distances
+    monkeypatch.setattr(neighbors, "distances", lambda a, b: measured.append(len(a)) or distances(a, b))
+    chunks = [neighbors.Chunk(neighbors.pa.array([f"s{i:04d}" for i in range(a, a + 100)]), np.arange(16), x[a : a + 100]) for a in range(0, 1600, 100)]
+    state = neighbors.Nearest(chunks[0], 6)
+    state.meet(chunks[0], True)
+    for c in chunks[1:]:
+        state.meet(c)
+    got = state.result().to_pydict()
+    work = sum(measured)
+    for i in range(100):
+        d = distances(np.repeat(x[i : i + 1], 1600, 0), x)
+        d[i] = np.inf
+        best = np.lexsort((np.arange(1600), d))[:6]
+        here = slice(6 * i, 6 * i + 6)
+        assert got["sample_id"][here] == [f"s{i:04d}"] * 6 and got["other"][here] == [f"s{j:04d}" for j in best]
+        assert got["distance"][here] == pytest.approx(d[best], abs=1e-12)
+    if kind in ("unit", "missing"):
+        assert work < 100 * 1600 / 4
+
+
+def test_few_that_ask_many(spark):
+    """One block of samples that ask, many chunks of others: dealt over tasks, the nearest of all."""
+    rng = np.random.default_rng(9)
+    x, y = rng.normal(size=(40, 12)), rng.normal(size=(500, 12))
+    names, report = [f"f{i:02d}" for i in range(12)], {}
+    check(nearest(rows_of(spark, x, names, "q"), 5, rows_of(spark, y, names), block=50, report=report), brute(x, y, 5, False))
+    assert report["sent"] <= 540
