@@ -220,10 +220,10 @@ def holdout(cells: DataFrame, share: float, seed: int = 42, *, state: int | None
 
     The number is `share` of the observed cells (of those of `state`, if given), at least `least` and at most `most`. A state's
     part is rounded by largest remainders. In each state the cells of the least hash of ids and seed are held, found by counts
-    of ranges; only cells that share the last hash are told apart by their ids.
+    of ranges; only cells that share the last hash are told apart by their ids. Cells are computed once for all of these passes.
     """
     key = F.pmod(F.xxhash64("sample_id", "feature_id", F.lit(seed)), F.lit(1 << 50))
-    x = cells.withColumn("__hash", key)
+    x = once(cells).withColumn("__hash", key)
     mine = x.where(F.col("value").isNotNull() & (F.lit(True) if state is None else F.col("mask") == state))
     counts = {r["mask"]: r["n"] for r in mine.groupBy("mask").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a state
     total = sum(counts.values())
