@@ -5,17 +5,20 @@ Samples stay distributed; the driver holds names and sizes of batches and the sh
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import ValidationError
 from ..model import CELL
-from ..storage import materialize
+from ..storage import materialize, once
 from .matrix import cosine_normalized, row_arrays
 from .neighbors import mutual_between, nearest
 from .reduce import pca
 
 MAX_BATCHES = 1000
+GROUP = 512  # samples whose nearest matched samples' shifts meet in a task
 
 
 def match_shares(matches: DataFrame, sizes: dict[str, int]) -> list[tuple[float, str, str]]:
@@ -28,6 +31,23 @@ def match_shares(matches: DataFrame, sizes: dict[str, int]) -> list[tuple[float,
     return sorted(((max(v, share[y, x]), x, y) for (x, y), v in share.items() if x < y), key=lambda r: (-r[0], r[1], r[2]))
 
 
+def groups_of(samples: int, size: int) -> int:
+    return max(1, -(-samples // size))
+
+
+def weighted_means(rows: pa.Table) -> pa.Table:
+    """(sample_id, bias): the weighted mean of the shifts (all of one length) of each sample of (sample_id, w, shift)."""
+    coded = rows["sample_id"].combine_chunks().dictionary_encode()
+    at = coded.indices.to_numpy()
+    order = np.argsort(at, kind="stable")
+    starts = np.searchsorted(at[order], np.arange(len(coded.dictionary)))
+    w = rows["w"].to_numpy()[order]
+    shift = rows["shift"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(rows.num_rows, -1)[order]
+    shift *= w[:, None]
+    mean = np.add.reduceat(shift, starts, axis=0) / np.add.reduceat(w, starts)[:, None]
+    return pa.table({"sample_id": coded.dictionary, "bias": pa.array(list(mean), pa.list_(pa.float64()))})
+
+
 def shifted(moving: DataFrame, standing: DataFrame, matches: DataFrame, sigma: float, anchors: int) -> DataFrame:
     """Cells of `moving` shifted towards `standing`.
 
@@ -38,15 +58,18 @@ def shifted(moving: DataFrame, standing: DataFrame, matches: DataFrame, sigma: f
     pairs = materialize(matches.select("a", "b"))
     of = lambda cells, key, value: cells.select(F.col("sample_id").alias(key), "feature_id", F.col("value").alias(value))
     both = pairs.join(of(moving, "a", "x"), "a").join(of(standing, "b", "y"), ["b", "feature_id"])
-    shift = materialize(both.groupBy("a", "feature_id").agg(F.avg(F.col("y") - F.col("x")).alias("shift"), F.count(F.lit(1)).alias("n")))
+    shift = both.groupBy("a", "feature_id").agg(F.avg(F.col("y") - F.col("x")).alias("shift"), F.count(F.lit(1)).alias("n"))
+    # Layers are complete: a sample has a shift for each feature, of as many matches.
+    shift = materialize(shift.groupBy("a").agg(F.array_sort(F.collect_list(F.struct("feature_id", "shift"))).alias("x"), F.max("n").alias("n")).select("a", F.col("x.shift").alias("shift"), "n"))
     rows = materialize(row_arrays(moving))
     near = nearest(rows, anchors, rows.join(pairs.select(F.col("a").alias("sample_id")).distinct(), "sample_id", "left_semi"))
     near = near.join(rows.select("sample_id", F.size("vec").alias("width")), "sample_id")
     square = F.col("distance") ** 2 * F.col("width")
     weight = F.exp(-sigma / 2 * (square - F.min(square).over(Window.partitionBy("sample_id"))))
-    weighed = near.select("sample_id", F.col("other").alias("a"), weight.alias("w")).join(shift, "a")
-    w = F.col("w") * F.col("n")
-    bias = weighed.groupBy("sample_id", "feature_id").agg(F.try_divide(F.sum(w * F.col("shift")), F.sum(w)).alias("bias"))
+    weighed = near.select("sample_id", F.col("other").alias("a"), weight.alias("w")).join(shift, "a").select("sample_id", (F.col("w") * F.col("n")).alias("w"), "shift")
+    groups = groups_of(rows.count(), GROUP)
+    means = weighed.groupBy(F.pmod(F.xxhash64("sample_id"), F.lit(groups)).alias("group")).applyInArrow(weighted_means, "sample_id string, bias array<double>")
+    bias = rows.select("sample_id", "names").join(means, "sample_id").select("sample_id", F.explode(F.arrays_zip("names", "bias")).alias("c")).select("sample_id", F.col("c.names").alias("feature_id"), F.col("c.bias").alias("bias"))
     return moving.join(bias, ["sample_id", "feature_id"], "left").withColumn("value", F.col("value") + F.coalesce("bias", F.lit(0.0))).select(*CELL, "batch")
 
 
@@ -60,7 +83,7 @@ def integrate_scanorama(cells: DataFrame, obs: DataFrame, *, batch: str = "batch
     """
     if sigma <= 0 or not 0 < alpha < 1 or (knn is not None and knn < 1) or anchors < 1 or (dimred is not None and dimred < 1):
         raise ValidationError("sigma, knn, dimred and anchors must be positive, alpha between 0 and 1")
-    of = obs.select("sample_id", F.col(batch).cast("string").alias("batch"))
+    of, cells = once(obs.select("sample_id", F.col(batch).cast("string").alias("batch"))), once(cells)
     now = materialize(cosine_normalized(cells).withColumn("value", F.coalesce("value", F.lit(0.0))).join(of, "sample_id"))
     found = now.select("sample_id", "batch").distinct().groupBy("batch").count().limit(MAX_BATCHES + 1).collect()
     sizes = {r["batch"]: r["count"] for r in found if r["batch"] is not None}

@@ -22,3 +22,19 @@ def test_holdout_computes_cells_once(spark):
     found = {r["mask"]: (r["n_observed"], r["n_held"]) for r in benchmarks.state_profile(held).collect()}
     assert found == {0: (200, 20), 1: (200, 20), 2: (200, 20)}
     assert seen.value == 600
+
+
+def test_shifts_of_anchors_meet_as_vectors():
+    """A sample's shift is the weighted mean of whole vectors, so that no row is made for an anchor's single feature."""
+    import numpy as np
+    import pyarrow as pa
+
+    from quantgrid.operators.scanorama import weighted_means
+
+    rng = np.random.default_rng(4)
+    ids, w, x = [f"s{i % 3}" for i in range(12)], rng.random(12), rng.normal(size=(12, 5))
+    out = weighted_means(pa.table({"sample_id": ids, "w": w, "shift": pa.array(list(x), pa.list_(pa.float64()))})).to_pydict()
+    for i, name in enumerate(out["sample_id"]):
+        mine = np.array(ids) == name
+        assert np.allclose(out["bias"][i], np.average(x[mine], axis=0, weights=w[mine]))
+    assert sorted(out["sample_id"]) == ["s0", "s1", "s2"]
