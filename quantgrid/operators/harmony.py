@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..errors import ValidationError
 from ..model import CELL
-from ..storage import materialize
+from ..storage import materialize, once
 from .matrix import feature_list, row_arrays, summed
 
 
@@ -33,9 +33,13 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
 
 
-def memberships(z: np.ndarray, batch: np.ndarray, c: Clusters, theta: float, sigma: float) -> np.ndarray:
+def cosine_distances(z: np.ndarray, c: Clusters) -> np.ndarray:
+    return 2 * (1 - unit(z) @ c.centres.T)
+
+
+def memberships(z: np.ndarray, batch: np.ndarray, c: Clusters, theta: float, sigma: float, far: np.ndarray | None = None) -> np.ndarray:
     """Soft clusters of samples by cosine distance; clusters in which a sample's batch is too common already count less."""
-    far = 2 * (1 - unit(z) @ c.centres.T)
+    far = cosine_distances(z, c) if far is None else far
     less = ((c.expected + 1) / (c.seen + 1)) ** theta
     r = np.exp(-(far - far.min(1, keepdims=True)) / sigma) * less[:, batch].T
     return r / r.sum(1, keepdims=True)
@@ -86,14 +90,15 @@ def harmonize(points: DataFrame, *, theta: float = 2.0, lamb: float = 1.0, sigma
 
         def task(batch: pa.RecordBatch) -> np.ndarray:
             now, code = _rows(batch, "now"), batch.column("code").to_numpy()
-            r = memberships(now, code, shared.value, theta, sigma)
+            far = cosine_distances(now, shared.value)
+            r = memberships(now, code, shared.value, theta, sigma, far)
             z = unit(now) if column == "now" else _rows(batch, column)
             sums, weight = np.zeros((k, b, d)), np.zeros((k, b))
             for i in np.unique(code):
                 mine = code == i
                 sums[:, i], weight[:, i] = r[mine].T @ z[mine], r[mine].sum(0)
-            far = 2 * (1 - unit(now) @ shared.value.centres.T)
-            cost = (r * far).sum() + sigma * (r * np.log(np.maximum(r, 1e-300))).sum()
+            # Only the clusters' rounds ask for the cost.
+            cost = (r * far).sum() + sigma * (r * np.log(np.maximum(r, 1e-300))).sum() if column == "now" else 0.0
             return np.concatenate([sums.ravel(), weight.ravel(), [cost]])
 
         flat = summed(rows.select("code", "vec", "now"), task, k * b * d + k * b + 1)
@@ -135,6 +140,7 @@ def harmonize(points: DataFrame, *, theta: float = 2.0, lamb: float = 1.0, sigma
 
 def integrate_harmony(cells: DataFrame, obs: DataFrame, *, batch: str = "batch", **options) -> DataFrame:
     """Corrected cells of a layer of few features, such as principal components; needs complete cells and two batches."""
+    cells = once(cells)
     rows = materialize(row_arrays(cells))
     features = feature_list(rows)
     if rows.where(F.size("vec") < len(features)).limit(1).count() or cells.where("value is null").limit(1).count():

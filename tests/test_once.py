@@ -1,6 +1,7 @@
 """Tables under several passes are computed once, and results of steps that were made lighter stay the same."""
 
 from quantgrid.functions import benchmarks
+from quantgrid.operators.harmony import integrate_harmony
 
 
 def counted(spark, df):
@@ -38,3 +39,12 @@ def test_shifts_of_anchors_meet_as_vectors():
         mine = np.array(ids) == name
         assert np.allclose(out["bias"][i], np.average(x[mine], axis=0, weights=w[mine]))
     assert sorted(out["sample_id"]) == ["s0", "s1", "s2"]
+
+
+def test_harmony_computes_cells_once(spark):
+    rows = [(f"s{i % 12}", f"f{i // 12}", float(i % 7 + i % 12 % 2), 0) for i in range(36)]
+    cells, seen = counted(spark, spark.createDataFrame(rows, "sample_id string, feature_id string, value double, mask int"))
+    obs = spark.createDataFrame([(f"s{i}", str(i % 2)) for i in range(12)], "sample_id string, batch string")
+    out = integrate_harmony(cells, obs, nclust=2, max_iter_harmony=1, max_iter_cluster=2).collect()
+    assert len(out) == 36 and all(r["value"] is not None for r in out)
+    assert seen.value == 36
