@@ -13,6 +13,7 @@ checkpoints: 16-bit bit lengths of each run of STEP ids, payload: the runs' bits
 from __future__ import annotations
 
 import re
+import sys
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -29,14 +30,16 @@ BLOCK_IDS = 1 << 18
 STEP = 64
 BROADCAST_PARTS = 100_000
 LIMIT = 16
-KEPT = 300_000  # pieces of a generation that a worker remembers
+KEPT = 600_000  # pieces that a worker remembers
 TOGETHER = 6 << 20  # bytes of text that are cut up together
 GROUPS = 16  # strings of 512 pieces that the library encodes in one call
 FEW = 8  # added tokens that are looked for in each text
 FIRST, WHOLE = "\0", "\0\0"
-NO_IDS = b""  # of a part that shows that its text is cut otherwise
+SPACE = "".join(rf"\x{{{i:x}}}" for i in range(sys.maxunicode + 1) if chr(i).isspace())
 #: Parts that show that white space follows white space in their text, or other white space than a space or line end starts it.
-UNEVEN = re.compile(r"^\Z|\s\Z|^\0?[^\S\n]|^\n\s")
+UNEVEN = rf"\A\z|[{SPACE}]\z|\A\x00?[{SPACE.replace(r'\x{a}', '')}]|\A\n[{SPACE}]"
+MARKED = r"\pL[.,]\z"  # the library never puts a letter and such a mark into one word
+MARKS = ".,"
 CUT = re.compile(r"(?<=\S)(?=\s)")
 
 _encoders: dict[tuple[str, bool], PieceEncoder] = {}
@@ -47,8 +50,8 @@ class PieceEncoder:
 
     A byte-level tokenizer never puts a non-space and a following white space into one word. So a text may be cut before white
     space that follows a non-space, and the ids of the pieces, one after the other, are those of the text. The distinct pieces
-    of many texts are found together and each is encoded once. Texts that hold a special token's string, and all texts of other
-    tokenizers, are encoded whole.
+    of many texts are found together and each is encoded once; the pieces met last and their ids are kept as Arrow arrays. Texts
+    that hold a special token's string, and all texts of other tokenizers, are encoded whole.
     """
 
     def __init__(self, path: str, special_as_text: bool = False):
@@ -64,8 +67,9 @@ class PieceEncoder:
         self.width = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)  # bytes of each token
         for token, i in vocabulary.items():
             self.width[i] = len(token)
-        self.new: dict[str, bytes] = {}  # pieces met since the last change of generation
-        self.old: dict[str, bytes] = {}
+        self.pieces, self.ids = pa.array([], pa.string()), pa.array([], pa.large_binary())
+        self.odd, self.met, self.calls = np.zeros(0, bool), np.zeros(0, np.int64), 0  # met: the last call with each piece
+        self.marks = [np.array(self.tokenizer.encode(m, add_special_tokens=False).ids, "<u4").tobytes() for m in MARKS]
 
     @classmethod
     def of(cls, path: str, special_as_text: bool = False) -> PieceEncoder:
@@ -86,9 +90,8 @@ class PieceEncoder:
         parts = pc.split_pattern(pc.replace_substring(pc.binary_join_element_wise(pa.scalar(FIRST, texts.type), texts, pa.scalar("", texts.type)), "\n", " \n"), " ")
         starts = parts.offsets.to_numpy()[:-1] - parts.offsets[0].as_py()
         coded = parts.flatten().dictionary_encode()
-        at, found = coded.indices.to_numpy(), self.ids_of(coded.dictionary.to_pylist())
-        odd = np.fromiter((x is NO_IDS for x in found), bool, len(found))
-        apart = special | np.maximum.reduceat(odd[at], starts) | pc.match_substring(texts, FIRST).to_numpy(zero_copy_only=False)
+        at, (found, odd) = coded.indices.to_numpy(), self.ids_of(coded.dictionary.cast(pa.string()))
+        apart = special | (np.maximum.reduceat(odd[at], starts) if odd.any() else False) | pc.match_substring(texts, FIRST).to_numpy(zero_copy_only=False)
         if not apart.any():
             return self.joined(found, at, starts)
         sizes, pieces = np.zeros(len(texts), np.int64), np.repeat(~apart, np.diff(np.append(starts, len(at))))
@@ -101,73 +104,90 @@ class PieceEncoder:
         return out, sizes
 
     @staticmethod
-    def joined(found: list[bytes], at: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def joined(found: pa.Array, at: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the parts `at`, and how many of them belong to each text; texts begin at `starts`."""
-        taken = pa.array(found, pa.large_binary()).take(pa.array(at))
-        ends = np.frombuffer(taken.buffers()[1], np.int64)[: len(at) + 1]
-        ids = np.frombuffer(taken.buffers()[2], "<u4", (ends[-1] - ends[0]) // 4, int(ends[0])) if ends[-1] > ends[0] else np.zeros(0, np.uint32)
+        ends, ids = taken(found, at)
         return ids, np.diff(np.append(ends[starts], ends[-1])) // 4
 
-    def ids_of(self, parts: list[str]) -> list[bytes]:
-        """The ids of distinct parts; NO_IDS for uneven ones."""
-        found = list(map(self.new.get, parts))
-        lacking = [i for i, x in enumerate(found) if x is None]
-        if self.old:
-            again = {i: x for i in lacking if (x := self.old.get(parts[i])) is not None}
-            self.new.update((parts[i], x) for i, x in again.items())
-            for i, x in again.items():
-                found[i] = x
-            lacking = [i for i in lacking if i not in again]
-        if lacking:
-            fresh = [parts[i] for i in lacking]
-            uneven = {x for x in fresh if not x.isalnum() and x[:2] != WHOLE and UNEVEN.search(x)}
-            made = self._encoded([x for x in fresh if x not in uneven]) | dict.fromkeys(uneven, NO_IDS)
-            for i in lacking:
-                found[i] = made[parts[i]]
-            self.new.update(made)
-        if len(self.new) > KEPT:
-            self.old, self.new = self.new, {}
-        return found
+    def ids_of(self, parts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """The ids of distinct parts, and which of them are uneven. A full stop or comma after a letter is apart from its stem."""
+        marked = _flags(pc.match_substring_regex(parts, MARKED)) & ~_flags(pc.starts_with(parts, FIRST))
+        stems = pc.if_else(pa.array(marked), pc.ascii_rtrim(parts, MARKS), parts).dictionary_encode()
+        pieces = stems.dictionary
+        place = pc.index_in(pieces, value_set=self.pieces)
+        lacking = _flags(place.is_null())
+        place = place.fill_null(0).to_numpy().astype(np.int64)
+        place[lacking] = len(self.pieces) + np.arange(lacking.sum())
+        self.calls += 1
+        if lacking.any():
+            fresh = pieces.filter(pa.array(lacking))
+            ids, odd = self._encoded(fresh)
+            self.pieces, self.ids = pa.concat_arrays([self.pieces, fresh]), pa.concat_arrays([self.ids, ids])
+            self.odd, self.met = np.append(self.odd, odd), np.append(self.met, np.zeros(len(odd), np.int64))
+        self.met[place] = self.calls
+        stem = place[stems.indices.to_numpy()]
+        each = np.cumsum(marked + 1) - marked - 1  # where a part's stem is; its mark comes after it
+        at = np.empty(len(parts) + int(marked.sum()), np.int64)
+        at[each] = stem
+        at[each[marked] + 1] = len(self.ids) + _flags(pc.ends_with(parts, MARKS[1]))[marked]
+        ends, ids = taken(pa.concat_arrays([self.ids, pa.array(self.marks, pa.large_binary())]), at)
+        found, odd = binaries(np.append(ends[each], ends[-1]), ids), self.odd[stem]
+        if len(self.pieces) > KEPT:
+            last = np.sort(np.argsort(self.met, kind="stable")[-KEPT * 3 // 4 :])
+            self.pieces, self.ids = self.pieces.take(pa.array(last)), self.ids.take(pa.array(last))
+            self.odd, self.met = self.odd[last], self.met[last]
+        return found, odd
 
     def encode_apart(self, texts: list[str], whole: np.ndarray) -> list[bytes]:
         """The ids of each text: whole, or cut before each white space after a non-space."""
         out = [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast([t for t, w in zip(texts, whole) if w], add_special_tokens=False)]
         pieces = [[WHOLE + x for x in CUT.split(t)] for t, w in zip(texts, whole) if not w]
         distinct = list({x for p in pieces for x in p})
-        known = dict(zip(distinct, self.ids_of(distinct))).__getitem__
+        known = dict(zip(distinct, self.ids_of(pa.array(distinct, pa.string()))[0].to_pylist())).__getitem__
         by_piece = (b"".join(map(known, p)) for p in pieces)
         each = iter(out)
         return [next(each) if w else next(by_piece) for w in whole]
 
-    def _encoded(self, parts: list[str]) -> dict[str, bytes]:
-        """The ids of each part. A letter and a full stop or comma after it are apart, so stems are looked up alone."""
-        stems = {x: x[:-1] for x in parts if x[-1] in ".," and x[0] != FIRST and x[-2:-1].isalpha()}
-        out = {}
-        for x in {*stems.values(), ".", ","}:
-            if (ids := self.new.get(x) or self.old.get(x)) is not None:
-                out[x] = ids
-        self._encode_joined([x for x in {*parts, *stems.values()}.difference(stems, out) if x[0] != FIRST], out)
-        whole = [x for x in parts if x[0] == FIRST]
-        for x, e in zip(whole, self.tokenizer.encode_batch_fast([x.lstrip(FIRST) if x[:2] != WHOLE else x[2:] for x in whole], add_special_tokens=False)):
-            out[x] = np.array(e.ids, "<u4").tobytes()
-        if stems:
-            marks = {m: np.array(self.tokenizer.encode(m, add_special_tokens=False).ids, "<u4").tobytes() for m in ".,"}
-            out |= {x: out[stem] + marks[x[-1]] for x, stem in stems.items()}
-        return out
-
-    def _encode_joined(self, parts: list[str], out: dict[str, bytes]) -> None:
+    def _encoded(self, parts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """The ids of each part, none of uneven ones, and which of them are uneven."""
+        first = _flags(pc.starts_with(parts, FIRST))
+        odd = _flags(pc.match_substring_regex(parts, UNEVEN)) & ~_flags(pc.starts_with(parts, WHOLE))
+        plain, alone = ~first & ~odd, first & ~odd
+        texts = [x.removeprefix(WHOLE if x.startswith(WHOLE) else FIRST) for x in parts.filter(pa.array(alone)).to_pylist()]
+        own = [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        found = pa.concat_arrays([self._encode_joined(parts.filter(pa.array(plain))), pa.array([*own, b""], pa.large_binary())])
+        place = np.full(len(parts), len(found) - 1)
+        place[plain], place[alone] = np.arange(plain.sum()), plain.sum() + np.arange(len(own))
+        return found.take(pa.array(place)), odd
+
+    def _encode_joined(self, parts: pa.Array) -> pa.Array:
         """Encode parts in long strings and cut the ids apart by the bytes of their tokens."""
-        column = pa.array(parts, pa.string())
-        sizes = pc.binary_length(column).to_numpy() + ~pc.starts_with(column, "\n").to_numpy(zero_copy_only=False)
-        for first in range(0, len(parts), 512 * GROUPS):
-            groups = [parts[i : i + 512] for i in range(first, min(len(parts), first + 512 * GROUPS), 512)]
-            texts = [(" " + " ".join(g)).replace(" \n", "\n") for g in groups]
-            for n, (group, e) in enumerate(zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False))):
-                ids = np.array(e.ids, "<u4")
-                ends = np.cumsum(sizes[first + 512 * n : first + 512 * n + 512])
-                at = (4 * np.searchsorted(np.cumsum(self.width[ids]), ends) + 4).tolist()
-                raw = ids.tobytes()
-                out.update(zip(group, map(raw.__getitem__, map(slice, [0, *at[:-1]], at))))
+        sizes = pc.binary_length(parts).to_numpy().astype(np.int64) + ~_flags(pc.starts_with(parts, "\n"))
+        groups = pa.ListArray.from_arrays(pa.array(np.append(np.arange(0, len(parts), 512), len(parts)), pa.int32()), parts)
+        texts = pc.replace_substring(pc.binary_join_element_wise("", pc.binary_join(groups, " "), " "), " \n", "\n")
+        ids = [np.zeros(0, np.uint32)]
+        for first in range(0, len(texts), GROUPS):
+            ids += [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts.slice(first, GROUPS).to_pylist(), add_special_tokens=False)]
+        whole = np.concatenate(ids)
+        ends = np.searchsorted(np.cumsum(self.width[whole]), np.cumsum(sizes)) + 1
+        return binaries(4 * np.append(0, ends), whole)
+
+
+def _flags(column: pa.Array) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=False)
+
+
+def binaries(ends: np.ndarray, ids: np.ndarray) -> pa.Array:
+    """An array of the bytes of ids between each two of `ends`."""
+    return pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(ids.astype("<u4"))])
+
+
+def taken(found: pa.Array, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of the entries `at` one after the other, and the bytes before each of them and after the last."""
+    some = found.take(pa.array(at))
+    ends = np.frombuffer(some.buffers()[1], np.int64)[some.offset : some.offset + len(at) + 1]
+    ids = np.frombuffer(some.buffers()[2], "<u4", (ends[-1] - ends[0]) // 4, int(ends[0])) if ends[-1] > ends[0] else np.zeros(0, np.uint32)
+    return ends - ends[0], ids
 
 
 def slices(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:

@@ -4,6 +4,7 @@ import itertools
 import random
 import re
 import struct
+import sys
 
 import numpy as np
 import public_tokenizers
@@ -117,6 +118,30 @@ def test_pieces_equal_whole_texts():
             assert [ids[a : a + k].tolist() for a, k in zip(at, n)] == whole[len(texts) - len(some) :] if len(some) != 1 else ids.tolist() == whole[0]
 
 
+def test_pieces_without_python_per_piece(monkeypatch):
+    encoder, rng = token_codec.PieceEncoder(public_tokenizers.path("byte_bpe_50k.json")), random.Random(7)
+    encoder.encode(pa.array(["warm up. a  b"]))
+    texts = [" ".join("".join(rng.choices("abcdeé", k=8)) + rng.choice(["", ".", ","]) for _ in range(500)) for _ in range(20)]
+    calls = 0
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += event in ("call", "c_call")
+
+    sys.setprofile(count)
+    try:
+        ids, n = encoder.encode(pa.array(texts))
+    finally:
+        sys.setprofile(None)
+    assert calls < 1000  # of about 10,000 distinct pieces
+    whole = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert ids.tolist() == sum(whole, []) and n.tolist() == list(map(len, whole))
+    monkeypatch.setattr(token_codec, "KEPT", 300)
+    for text, want in zip(texts, whole):  # pieces are forgotten again and again
+        assert encoder.encode(pa.array([text, "a  b", text]))[0].tolist() == [*want, *encoder.tokenizer.encode("a  b").ids, *want]
+        assert len(encoder.pieces) == len(encoder.ids) <= 300
+
+
 def naive_best_fit(items, capacity, per_source):
     bins, out = [], []
     for size, source, cluster in items:
