@@ -34,12 +34,10 @@ CELL_ROWS = 4096  # rows of a task's cell of small groups
 SIGMAS = 5  # a pair is looked at from the share of equal min-hashes that lies so far below the threshold
 #: A list of at most so many ids is broadcast; a longer one is joined by a shuffle.
 BROADCAST_ROWS = 200_000
-KEPT = 500_000  # words whose hash a worker keeps
 TOGETHER = 4 << 20  # bytes of text whose shingles are made together
+FEW = 24  # a set that fills fewer bins looks for its donors by itself
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
-_words: dict[bytes, int] = {}
-
 
 def meeting(likeness: np.ndarray | float, depth: int, trees: int) -> np.ndarray | float:
     """The chance that pairs of such likeness share a prefix of `depth` in one of the trees."""
@@ -65,23 +63,31 @@ def shingles(text: bytes, width: int = WORDS) -> np.ndarray:
 
     Words are runs of non-space, A-Z lower-cased.
     """
-    words = text.lower().split()
-    if len(_words) > KEPT:
-        _words.clear()
-    for w in {*words}.difference(_words):
-        _words[w] = xxhash.xxh3_64_intdigest(w)
-    return joined(np.fromiter(map(_words.__getitem__, words), np.uint64, len(words)), width)
+    return shingle_sets(pa.array([text], pa.binary()).view(pa.string()), width)[0]
 
 
 def word_hashes(words: pa.Array) -> np.ndarray:
-    """The 64-bit hash of each word; a worker remembers those of words that it has met."""
+    """The 64-bit hash of each word: its bytes times weights of their places, added up for all distinct words at once."""
     coded = words.dictionary_encode()
-    if len(_words) > KEPT:
-        _words.clear()
-    names = coded.dictionary.cast(pa.binary()).to_pylist()
-    for w in {*names}.difference(_words):
-        _words[w] = xxhash.xxh3_64_intdigest(w)
-    return np.fromiter(map(_words.__getitem__, names), np.uint64, len(names))[coded.indices.to_numpy()]
+    names = coded.dictionary.cast(pa.large_binary())
+    if not len(names):
+        return np.zeros(0, np.uint64)
+    ends = np.frombuffer(names.buffers()[1], np.int64)[names.offset : names.offset + len(names) + 1]
+    sizes = np.diff(ends)
+    weights = mix64(np.arange(1, int(sizes.max(initial=0)) + 1, dtype=np.uint64) * STEP)
+    place = np.arange(ends[0], ends[-1]) - np.repeat(ends[:-1], sizes)
+    values = np.frombuffer(names.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]].astype(np.uint64) + np.uint64(1)
+    with np.errstate(over="ignore"):
+        total = np.append(np.uint64(0), np.cumsum(values * weights[place]))
+        return mix64(total[ends[1:] - ends[0]] - total[ends[:-1] - ends[0]])[coded.indices.to_numpy()]
+
+
+def distinct(s: np.ndarray) -> np.ndarray:
+    """The distinct values, ascending."""
+    s = np.sort(s)
+    new = np.ones(len(s), bool)
+    np.not_equal(s[1:], s[:-1], out=new[1:])
+    return s[new]
 
 
 def shingle_sets(texts: pa.Array, width: int = WORDS) -> list[np.ndarray]:
@@ -101,7 +107,7 @@ def shingle_sets(texts: pa.Array, width: int = WORDS) -> list[np.ndarray]:
     s = mix64(s)
     out = []
     for start, end in zip(ends[:-1].tolist(), ends[1:].tolist()):
-        out.append(np.unique(s[start : end - width + 1]) if end - start >= width else joined(h[start:end]))
+        out.append(distinct(s[start : end - width + 1]) if end - start >= width else joined(h[start:end]))
     return out
 
 
@@ -134,17 +140,21 @@ def signatures(sets: list[np.ndarray], order: np.ndarray) -> np.ndarray:
     out[place[::-1]] = whole[::-1]  # of several values for one bin the last counts: the least
     filled[place] = True
     out, filled = out.reshape(-1, bins), filled.reshape(-1, bins)
-    for row, has in zip(out, filled):
-        empty, full = np.flatnonzero(~has), np.flatnonzero(has)
-        if len(empty):
-            row[empty] = row[full[order[empty][:, full].argmin(1)]]
+    n = filled.sum(1)
+    for i in np.flatnonzero(n < FEW):
+        empty, full = np.flatnonzero(~filled[i]), np.flatnonzero(filled[i])
+        out[i, empty] = out[i, full[order[empty][:, full].argmin(1)]]
+    row, own = np.nonzero(~filled & (n >= FEW)[:, None])
+    for donor in np.argsort(order, axis=1).T:  # each bin's first donor, then its next, until all have met a filled one
+        if not len(row):
+            break
+        theirs = donor[own]
+        has = filled[row, theirs]
+        out[row[has], own[has]] = out[row[has], theirs[has]]
+        row, own = row[~has], own[~has]
     return (mix64(out) >> np.uint64(32)).astype(np.uint32)
 
 
-def _texts(column: pa.Array) -> list[bytes]:
-    return [x or b"" for x in column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()]
-
-
 def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """The batch in slices of about TOGETHER bytes of text, one row at least."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -302,12 +312,12 @@ def verify_cell(threshold: float) -> Callable:
 
     def verify(rows: pa.Table) -> pa.Table:
         family, node, side, cross, copies = (rows[c].to_numpy() for c in ("family", "node", "side", "cross", "copies"))
-        names, texts = rows["shingle_set"].to_pylist(), _texts(rows["text"].combine_chunks())
+        names, found = rows["shingle_set"].to_pylist(), shingle_sets(pc.fill_null(rows["text"].combine_chunks(), ""))
         out: list[tuple] = []
         for at in runs_of(family):
             kept, sets, seen = [], [], set()
             for i in at:
-                s = shingles(texts[i])
+                s = found[i]
                 name = xxhash.xxh3_128_digest(s.tobytes())
                 if name == names[i] and (name, side[i]) not in seen:  # another text under the same id is another class's
                     seen.add((name, side[i]))

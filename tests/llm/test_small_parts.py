@@ -163,6 +163,37 @@ def test_best_fit():
         assert packing.best_fit(*map(list, zip(*items)), 100, per_source) == naive_best_fit(items, 100, per_source)
 
 
+def test_shingles_without_python_per_word():
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abcdeé\0", k=rng.randint(1, 12))) for _ in range(20000)]
+    column, calls = pa.array(["", "skipped", *words]).slice(2), 0
+    jaccard_join.word_hashes(column.slice(0, 3))
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += event in ("call", "c_call")
+
+    sys.setprofile(count)
+    try:
+        found = jaccard_join.word_hashes(column)
+    finally:
+        sys.setprofile(None)
+    assert calls < 200
+    assert len({*found.tolist()}) == len({*words})
+    assert (jaccard_join.word_hashes(column.slice(500, 700)) == found[500:1200]).all()  # whatever stands beside them
+    assert len(jaccard_join.word_hashes(column.slice(0, 0))) == 0 and len(jaccard_join.word_hashes(pa.array([""]))) == 1
+    order, bins = jaccard_join.donors(192), 192
+    sets = [jaccard_join.shingles(" ".join(words[: n + 4]).encode()) for n in (1, 5, 23, 24, 60, 300, 5000)]
+    sets.append(jaccard_join.shingles(b"one"))
+    for s, got in zip(sets, jaccard_join.signatures(sets, order)):
+        least = {int(x % bins): x for x in s[::-1].tolist()}
+        want = [least[b if b in least else min(least, key=lambda d: order[b, d])] for b in range(bins)]
+        assert (got == (line_dedup.mix64(np.array(want, np.uint64)) >> np.uint64(32))).all()
+    several = pa.array(["a b c d e f", "", " \n", "x", "A  B c d e F"])
+    apart = [jaccard_join.shingles(t.encode()).tolist() for t in several.to_pylist()]
+    assert [s.tolist() for s in jaccard_join.shingle_sets(several)] == apart and apart[0] == apart[4] and not apart[1] + apart[2]
+
+
 def test_shingles_and_intersections():
     assert len(jaccard_join.shingles(b"")) == 0 and len(jaccard_join.shingles(b"a b")) == 1
     assert (jaccard_join.shingles(b"A b  C\nd e f") == jaccard_join.shingles(b"a B c d e F")).all()
