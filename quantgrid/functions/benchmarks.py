@@ -116,14 +116,15 @@ def contrasts(cells: DataFrame, groups: DataFrame) -> DataFrame:
 
 def ranked(df: DataFrame, column: str, rank: str) -> DataFrame:
     """Add the rank of a column over all rows, equal values sharing their mean; nulls have none. No task sees all rows."""
+    df = once(df)  # a value computed again could differ in its last bit, and would miss its rank
     counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("__v")).agg(F.count(F.lit(1)).alias("n"))
     places = running_counts(counts, "__v").select("__v", (F.col("upto") - (F.col("n") - 1) / 2).alias(rank))
     return df.join(places, df[column] == F.col("__v"), "left").drop("__v")
 
 
 def _by_score(df: DataFrame, label: Column, score: Column) -> DataFrame:
-    """(s, n1, n0, above1, above0): rows of either label at each score, and above it."""
-    counts = df.where(score.isNotNull()).groupBy((-score).alias("s")).agg(F.count_if(label).alias("n1"), F.count_if(~label).alias("n0"))
+    """(s, n1, n0, above1, above0): rows of either label at each score, and above it. Both sides of the join have the same scores."""
+    counts = materialize(df.where(score.isNotNull()).groupBy((-score).alias("s")).agg(F.count_if(label).alias("n1"), F.count_if(~label).alias("n0")))
     one = running_counts(counts.select("s", "n1", "n0"), "s", "n1").withColumnRenamed("upto", "above1")
     two = running_counts(counts.select("s", "n0"), "s", "n0").select("s", F.col("upto").alias("above0"))
     return one.join(two, "s").select("s", "n1", "n0", (F.col("above1") - F.col("n1")).alias("above1"), (F.col("above0") - F.col("n0")).alias("above0"))
@@ -152,7 +153,7 @@ def ratio_metrics(table: DataFrame, expected: DataFrame, background: str) -> Dat
 
     changed_auc: how well the distance from the background's expected change tells other species from the background.
     """
-    x = table.join(expected, "species").where("log2_fc is not null").withColumn("e", F.col("log2_fc") - F.col("fc"))
+    x = once(table.join(expected, "species").where("log2_fc is not null").withColumn("e", F.col("log2_fc") - F.col("fc")))
     errors = x.agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs("e")).alias("mae"), F.sqrt(F.avg(F.col("e") ** 2)).alias("rmse"), F.avg("e").alias("bias"))
     pairwise = pairwise_auc(x).agg(F.avg("auc").alias("pairwise_auc"))
     base = expected.where(F.col("species") == background).select(F.col("fc").alias("base"))

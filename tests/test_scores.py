@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -151,3 +152,27 @@ def test_limma_of_features_without_a_batch(spark):
             assert (have is None and np.isnan(want[i])) or have == pytest.approx(want[i], abs=1e-7), (i, f)
     with pytest.raises(ValidationError):
         integrate.integrate_limma(cells_of(spark, x), obs.withColumn("same", F.col("batch")), covariates=("same",))
+
+
+def unsteady(df, column):
+    """df whose column differs in its last digits each time it is computed, as means do whose sums are taken in another order."""
+
+    def run(batches):
+        for b in batches:
+            x = b[column].to_numpy(zero_copy_only=False)
+            yield b.set_column(b.schema.get_field_index(column), column, pa.array(x * (1 + 1e-12 * np.random.default_rng().random(len(x)))))
+
+    return df.mapInArrow(run, df.schema)
+
+
+def test_scores_that_are_computed_again_meet(spark):
+    rng = np.random.default_rng(3)
+    species, change = np.where(rng.random(300) < 0.4, "one", "other"), rng.normal(size=300)
+    table = unsteady(spark.createDataFrame(list(zip(species.tolist(), change.tolist())), "species string, log2_fc double"), "log2_fc")
+    got = benchmarks.ratio_metrics(table, spark.createDataFrame([("one", 0.0), ("other", 0.5)], "species string, fc double"), "one").first()
+    one, other = change[species == "one"], change[species == "other"]
+    won = (other[:, None] > one).mean()
+    assert got["n"] == 300 and got["pairwise_auc"] == pytest.approx(max(won, 1 - won))
+    assert got["changed_auc"] == pytest.approx((np.abs(other)[:, None] > np.abs(one)).mean())
+    ranks = benchmarks.ranked(table, "log2_fc", "place").select("place").collect()
+    assert sorted(r["place"] for r in ranks) == list(range(1, 301))
