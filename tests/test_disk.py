@@ -1,6 +1,9 @@
 """Steps over pairs leave on disk what goes by the rows that come in, not by their pairs."""
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 
 from quantgrid.operators import aggregate
 
@@ -27,3 +30,17 @@ def test_maxlfq_sends_no_pairs(spark):
     assert aggregate.maxlfq(df, 2).count() == 240
     ratios = aggregate.pair_ratios(df.withColumnRenamed("value", "x"), 2)
     assert ratios.count() == 2 * 120 * 119 // 2
+
+
+def test_polish_room_by_values():
+    """A protein of 600,000 values takes less than 60 bytes a value, where it took 110."""
+    rng = np.random.default_rng(1)
+    samples = np.sort(rng.integers(0, 30_000, (20_000, 30)), 1).ravel()
+    ends = pa.array((np.arange(20_001) * 30).astype(np.int32))
+    lists = [pa.ListArray.from_arrays(ends, pa.array(v)) for v in (np.array([f"{i:06d}" for i in range(30_000)])[samples], rng.lognormal(size=len(samples)))]
+    rows = pa.table([pa.array(["P"] * 20_000), *lists], names=["protein", "samples", "x"])
+    tracemalloc.start()
+    found = aggregate._polish(2.0)(rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found.num_rows == len(np.unique(samples)) and peak < 60 * len(samples)
