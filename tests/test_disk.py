@@ -5,7 +5,7 @@ import tracemalloc
 import numpy as np
 import pyarrow as pa
 
-from quantgrid.operators import aggregate
+from quantgrid.operators import aggregate, neighbors, pairs
 
 
 def shuffled(spark):
@@ -44,3 +44,29 @@ def test_polish_room_by_values():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert found.num_rows == len(np.unique(samples)) and peak < 60 * len(samples)
+
+
+def samples_of(spark, n, f=40):
+    rng = np.random.default_rng(2)
+    x = np.round(rng.uniform(0, 9, (n, f)), 3)
+    x[rng.random(x.shape) < 0.6] = np.nan
+    rows = [(f"s{i}", [f"f{j}" for j in np.flatnonzero(~np.isnan(v))], v[~np.isnan(v)].tolist()) for i, v in enumerate(x)]
+    seen = ~np.isnan(x)
+    met = (seen.astype(int) @ seen.T > 0).sum() - n
+    return spark.createDataFrame(rows, "sample_id string, names array<string>, vec array<double>"), seen.sum() * 16, met // 2
+
+
+def test_samples_do_not_travel_for_their_pairs(spark, monkeypatch):
+    """Many chunks: each sample is dealt to its chunk once, and chunks meet in tasks that read them."""
+    for name, value in (("LEAST", 8), ("WIDEST", 8), ("SIDE", 50)):
+        monkeypatch.setattr(pairs, name, value)
+    rows, size, met = samples_of(spark, 400)
+    for measure in ("distance", "mismatch", "jaccard"):
+        assert left_on_disk(spark, lambda measure=measure: pairs.all_pairs(rows, measure)) < 3 * size
+    assert pairs.all_pairs(rows, "distance").count() == met
+
+
+def test_samples_do_not_travel_for_their_neighbours(spark, monkeypatch):
+    monkeypatch.setattr(neighbors, "SIDE", 50)
+    rows, size, _ = samples_of(spark, 300)
+    assert left_on_disk(spark, lambda: neighbors.nearest(rows, 1, block=4)) < 4 * size
