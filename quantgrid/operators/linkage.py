@@ -2,9 +2,10 @@
 
 Single linkage is the minimum spanning tree: every task keeps the spanning forest of the pairs that pass it, which is all that the
 tree can need of them, and forests are put together in the same way. Average, complete and Ward linkage merge all pairs of
-clusters that are each other's nearest at once, which gives the same tree as merging the nearest pair one by one. Rounds are passes
-over the table of pairs until at most TAIL clusters are left; one task makes the rounds that remain, on their matrix. Clusters
-are named after their least member.
+clusters that are each other's nearest at once, which gives the same tree as merging the nearest pair one by one. Sets of copies, all
+of whose pairs are at distance 0, are merged before, since rounds would merge them one by one. Rounds are passes over the table of
+pairs, of which one is kept, until at most TAIL clusters are left; one task makes the rounds that remain, on their matrix. Clusters are
+named after their least member.
 """
 
 from __future__ import annotations
@@ -13,11 +14,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import ValidationError
-from ..storage import materialize
+from ..storage import delete, materialize, new_table
 
 METHODS = ("single", "average", "complete", "ward")
 MAX_LEAVES = 1 << 17  # items whose merges are numbered and ordered, which the driver does
@@ -123,6 +125,75 @@ def _renamed(to: np.ndarray):
     return run
 
 
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches of at least TOGETHER rows, and the rest."""
+    waiting, rows = [], 0
+    for batch in batches:
+        waiting.append(batch)
+        rows += batch.num_rows
+        if rows >= TOGETHER:
+            yield pa.Table.from_batches(waiting)
+            waiting, rows = [], 0
+    if rows:
+        yield pa.Table.from_batches(waiting)
+
+
+def _numbered(names: list[str], to: np.ndarray):
+    """Pairs by the numbers of their clusters instead of the names of their items."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = pa.array(names, pa.string())
+        for table in _together(batches):
+            a, b = (to[pc.index_in(table[c].combine_chunks(), known).to_numpy()] for c in ("a", "b"))
+            use = a != b
+            yield pa.record_batch([pa.array(np.minimum(a, b)[use]), pa.array(np.maximum(a, b)[use]), pa.array(table["v"].to_numpy()[use])], names=["a", "b", "v"])
+
+    return run
+
+
+def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a task's pairs (name, null, its pairs at distance 0), and (a, b, 0) for the edges of a forest of these pairs."""
+    kept, zeros = None, []
+    for table in _together(batches):
+        names = pa.chunked_array([*table["a"].chunks, *table["b"].chunks]).combine_chunks().dictionary_encode()
+        zero = np.tile(table["v"].to_numpy() == 0, 2)
+        n = np.bincount(names.indices.to_numpy()[zero], minlength=len(names.dictionary))
+        new = pa.table({"a": names.dictionary, "n": pa.array(n.astype(np.int64))})
+        kept = new if kept is None else pa.concat_tables([kept, new]).group_by("a").aggregate([("n", "sum")]).rename_columns({"n_sum": "n"})
+        edges = table.filter(pa.array(zero[: table.num_rows])).select(["a", "b"])
+        if edges.num_rows:
+            edges = edges.append_column("distance", pa.array(np.zeros(edges.num_rows)))
+            zeros = list(_forests(iter([*zeros, *edges.combine_chunks().to_batches()])))
+    kinds = pa.schema([("a", pa.string()), ("b", pa.string()), ("n", pa.int64())])
+    if kept is not None:
+        kept = kept.select(["a", "n"]).combine_chunks()
+        for batch in kept.to_batches():
+            yield pa.record_batch([batch["a"], pa.nulls(batch.num_rows, pa.string()), batch["n"]], schema=kinds)
+    for batch in zeros:
+        yield pa.record_batch([batch["a"], batch["b"], pa.array(np.zeros(batch.num_rows, np.int64))], schema=kinds)
+
+
+def copies(names: list[str], zeros: list[int], edges: list[tuple[str, str]]) -> list[list[int]]:
+    """Sets of items all of whose pairs are at distance 0, by rising number. zeros: how many such pairs each item has."""
+    number = {name: i for i, name in enumerate(names)}
+    top = list(range(len(names)))
+
+    def root(x: int) -> int:
+        while top[x] != x:
+            top[x] = top[top[x]]
+            x = top[x]
+        return x
+
+    for a, b in edges:
+        x, y = sorted((root(number[a]), root(number[b])))
+        top[y] = x
+    sets: dict[int, list[int]] = {}
+    for i, n in enumerate(zeros):
+        if n:
+            sets.setdefault(root(i), []).append(i)
+    return [s for s in sets.values() if sum(zeros[i] for i in s) == len(s) * (len(s) - 1)]
+
+
 def _added(x: np.ndarray, y: np.ndarray, method: str) -> np.ndarray:
     """Values of two clusters beside the same others; NaN where there is none."""
     return np.fmax(x, y) if method == "complete" else np.where(np.isnan(x), y, np.where(np.isnan(y), x, x + y))
@@ -189,26 +260,44 @@ def _rest(left: np.ndarray, size: np.ndarray, within: np.ndarray, method: str):
     return run
 
 
-def mutual_merges(distances: DataFrame, method: str) -> DataFrame:
+def mutual_merges(distances: DataFrame, method: str, unique: bool = False) -> DataFrame:
     """(a, b, height, n): the merges of average, complete or Ward linkage; a and b are the least members, n the size after it.
 
     Between clusters stay sums (average), largest values (complete) or sums of squares (Ward, which also keeps those within), so
     that merging is renaming and grouping. The driver holds names, sizes and merges. A round of Spark has as many pairs as
-    clusters have, and its rounds are few unless one cluster takes up the others one by one.
+    clusters have, and its rounds are few unless one cluster takes up the others one by one. `unique`: no two items have two rows,
+    so that rows are computed anew for each of two passes, and only pairs of the clusters after the first merges are written.
     """
     spark = distances.sparkSession
     d = F.col("distance").cast("double")
     value = d * d if method == "ward" else d
-    pairs = materialize(distances.where("distance is not null and a <> b").select(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"), value.alias("v")))
-    names = sorted(r[0] for r in pairs.select("a").union(pairs.select("b")).distinct().limit(MAX_LEAVES + 1).collect())
-    if len(names) > MAX_LEAVES:
+    a, b = F.col("a").cast("string"), F.col("b").cast("string")
+    pairs = distances.where("distance is not null and a <> b").select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), value.alias("v"))
+    if not unique:
+        pairs = materialize(pairs.groupBy("a", "b").agg(F.min("v").alias("v")))
+    seen = materialize(pairs.mapInArrow(_survey, "a string, b string, n long"))
+    items = sorted((r["a"], r["n"]) for r in seen.where("b is null").groupBy("a").agg(F.sum("n").alias("n")).limit(MAX_LEAVES + 1).collect())
+    if len(items) > MAX_LEAVES:
         raise ValidationError(f"more than {MAX_LEAVES} items")
-    table = spark.createDataFrame(list(zip(names, range(len(names)))), "name string, i int")
-    number = lambda c: F.broadcast(table.select(F.col("name").alias(c), F.col("i").alias(f"i{c}")))
-    pairs = pairs.join(number("a"), "a").join(number("b"), "b")
-    pairs = materialize(pairs.groupBy(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b")).agg(F.min("v").alias("v")))
+    names = [name for name, _ in items]
+    edges = []
+    if any(n for _, n in items):  # the forest of their pairs has fewer edges than there are items
+        zeros = seen.where("b is not null").select("a", "b", F.lit(0.0).alias("distance"))
+        edges = zeros.repartition(1).mapInArrow(_forests, "a string, b string, distance double").collect()
     size, within, left = np.ones(len(names)), np.zeros(len(names)), np.arange(len(names))
-    found = []
+    found, to = [], np.arange(len(names), dtype=np.int32)
+    for least, *others in copies(names, [n for _, n in items], [(r["a"], r["b"]) for r in edges]):
+        for i, b in enumerate(others):
+            to[b] = least
+            found.append((names[least], names[b], 0.0, i + 2))
+        size[least] += len(others)
+    left = np.setdiff1d(left, np.flatnonzero(to != left))
+    add = F.max("v") if method == "complete" else F.sum("v")
+    pairs = pairs.mapInArrow(_numbered(names, to), "a int, b int, v double")
+    if found:
+        pairs = pairs.groupBy("a", "b").agg(add.alias("v"))
+    table = new_table(spark)
+    pairs = materialize(pairs, table)
     while len(left) > TAIL:
         best = pairs.mapInArrow(_nearest(size, within, method), "c int, d double, x int, y int, v double")
         best = best.groupBy("c").agg(F.min(F.struct("d", "x", "y", "v")).alias("e"))
@@ -223,25 +312,27 @@ def mutual_merges(distances: DataFrame, method: str) -> DataFrame:
             to[b] = a
             found.append((names[a], names[b], r["d"], int(size[a])))
         left = np.setdiff1d(left, np.flatnonzero(to != np.arange(len(to))))
-        add = F.max("v") if method == "complete" else F.sum("v")
-        pairs = materialize(pairs.mapInArrow(_renamed(to), "a int, b int, v double").groupBy("a", "b").agg(add.alias("v")))
+        before, table = table, new_table(spark)
+        pairs = materialize(pairs.mapInArrow(_renamed(to), "a int, b int, v double").groupBy("a", "b").agg(add.alias("v")), table)
+        delete(spark, before)
     if 1 < len(left) <= TAIL:
         rest = pairs.repartition(1).mapInArrow(_rest(left, size, within, method), "a int, b int, height double, n long")
         found += [(names[r["a"]], names[r["b"]], r["height"], r["n"]) for r in rest.collect()]
     return spark.createDataFrame(found, MERGES)
 
 
-def linkage(distances: DataFrame, method: str = "average") -> DataFrame:
+def linkage(distances: DataFrame, method: str = "average", *, unique: bool = False) -> DataFrame:
     """(step, a, b, height, n) from distances (a, b, distance) of all pairs: which clusters merge, by rising height.
 
     a and b are the least members of the clusters, a < b, and n the size of the new one. Pairs without a distance never merge
-    in single linkage; the other methods need all pairs. At most MAX_LEAVES items: the steps are numbered on the driver.
+    in single linkage; the other methods need all pairs. At most MAX_LEAVES items: the steps are numbered on the driver. `unique`: no
+    two items have two rows; then the rows are computed twice instead of being written.
     """
     if method not in METHODS:
         raise ValidationError(f"method is one of {METHODS}, not {method!r}")
     spark = distances.sparkSession
     if method != "single":
-        merges = mutual_merges(distances, method)
+        merges = mutual_merges(distances, method, unique)
         rows = merges.limit(MAX_LEAVES).collect()
         # A merge comes after those that made its parts, also at equal heights: these have fewer members.
         rows = sorted((r["height"], r["n"], r["a"], r["b"]) for r in rows)

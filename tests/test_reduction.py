@@ -214,3 +214,26 @@ def test_harmony(spark, monkeypatch):
         harmony.integrate_harmony(cells, obs.selectExpr("sample_id", "'x' as batch"))
     with pytest.raises(ValidationError):
         harmony.integrate_harmony(cells, obs, sigma=0)
+
+
+@pytest.mark.parametrize("method", ["average", "complete", "ward"])
+def test_linkage_merges_copies_at_once(spark, monkeypatch, method):
+    """10 copies each of 10 points: 9 rounds of Spark before, none now; the merges are those made one by one."""
+    monkeypatch.setattr(linkage, "TAIL", 12)
+    x = np.random.default_rng(6).normal(size=(10, 3))[np.random.default_rng(7).permutation(100) % 10]
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    table = spark.createDataFrame([(f"n{i:02d}", f"n{j:02d}", float(d[i, j])) for i in range(100) for j in range(i)], "a string, b string, distance double")
+    key = lambda a, b, n, h: (round(h, 9), n, a, b)
+    want = sorted(key(a, b, n, h) for a, b, h, n in brute_linkage(d, method))
+    for unique in (False, True):
+        spark.sparkContext.setJobGroup(f"copies {method} {unique}", "")
+        got = sorted(key(r["a"], r["b"], r["n"], r["height"]) for r in linkage.linkage(table, method, unique=unique).collect())
+        assert got == want
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"copies {method} {unique}")) <= 18
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_copies_are_all_at_distance_0():
+    names = list("abcdef")
+    assert linkage.copies(names, [1, 2, 1, 1, 1, 0], [("a", "b"), ("b", "c"), ("d", "e")]) == [[3, 4]]  # a and c are apart
+    assert linkage.copies(names, [2, 2, 2, 0, 0, 0], [("b", "c"), ("a", "c")]) == [[0, 1, 2]]
