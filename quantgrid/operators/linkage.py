@@ -22,7 +22,7 @@ from ..errors import ValidationError
 from ..storage import delete, materialize, new_table
 
 METHODS = ("single", "average", "complete", "ward")
-MAX_LEAVES = 1 << 17  # items whose merges are numbered and ordered, which the driver does
+MAX_LEAVES = 1 << 19  # items whose merges are numbered and ordered, which the driver does
 TAIL = 1 << 12  # clusters whose matrix one task holds
 TOGETHER = 1 << 18  # pairs that are added to a forest at a time
 FORESTS = 8  # tasks that put forests together, before one does
