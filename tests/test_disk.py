@@ -4,8 +4,9 @@ import tracemalloc
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
-from quantgrid.operators import aggregate, neighbors, pairs
+from quantgrid.operators import aggregate, impute, neighbors, pairs
 
 
 def shuffled(spark):
@@ -70,3 +71,27 @@ def test_samples_do_not_travel_for_their_neighbours(spark, monkeypatch):
     monkeypatch.setattr(neighbors, "SIDE", 50)
     rows, size, _ = samples_of(spark, 300)
     assert left_on_disk(spark, lambda: neighbors.nearest(rows, 1, block=4)) < 4 * size
+
+
+@pytest.mark.parametrize("weights", ["uniform", "distance"])
+def test_neighbours_values_do_not_travel_to_each_sample(spark, monkeypatch, weights):
+    """Each value is sent to its feature, not with all others to 16 samples; the means are those of the nearest that have one."""
+    monkeypatch.setattr(impute, "ASKING", 100)
+    rng = np.random.default_rng(5)
+    x = np.round(rng.normal(size=(250, 60)), 3)
+    x[rng.random(x.shape) < 0.5] = np.nan
+    x[:, 7] = np.nan
+    cells = spark.createDataFrame([(f"s{i}", f"f{j}", None if np.isnan(v) else float(v), 0) for i, row in enumerate(x) for j, v in enumerate(row)], "sample_id string, feature_id string, value double, mask int").repartition(4)
+    assert left_on_disk(spark, lambda: impute.impute_knn(cells, weights=weights)) < 30 * x.size
+    got = {(r["sample_id"], r["feature_id"]): (r["value"], r["mask"]) for r in impute.impute_knn(cells, weights=weights).collect()}
+    assert len(got) == x.size
+    d = np.array([[np.sqrt(np.nanmean((a - b) ** 2)) for b in x] for a in x])
+    np.fill_diagonal(d, np.inf)
+    for i in range(0, 250, 7):
+        near = np.lexsort(([f"s{j}" for j in range(250)], d[i]))[:16]
+        for j in range(60):
+            some = [n for n in near if not np.isnan(x[n, j])][:5]
+            w = np.ones(len(some)) if weights == "uniform" else 1 / d[i][some]
+            seen = x[:, j][~np.isnan(x[:, j])]
+            want = (w @ x[some, j] / w.sum() if some else seen.mean() if len(seen) else 0.0) if np.isnan(x[i, j]) else x[i, j]
+            assert got[f"s{i}", f"f{j}"] == (pytest.approx(want), 5 if np.isnan(x[i, j]) else 0)
